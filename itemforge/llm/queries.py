@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import exact_dedup, packing, simhash, token_shards, toxicity, workspace
+from itemforge.llm import exact_dedup, fingerprint, packing, simhash, token_shards, toxicity, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +42,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, and its likeness to its edited text and to the next document."""
+    return fingerprint.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from four fifths of the rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
 }
 
