@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import exact_dedup, fingerprint, packing, simhash, token_shards, toxicity, workspace
+from itemforge.llm import exact_dedup, fingerprint, license_scan, packing, simhash, token_shards, toxicity, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,24 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_documents(spark.read.parquet(path))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places of the base phrases, and the labels of all its notices."""
+    found = license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in sequences of at most 2048, a row for each piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -56,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
+    "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_fingerprint": op9_fingerprint,
