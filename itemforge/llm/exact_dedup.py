@@ -89,8 +89,8 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     mine = F.col("locator") == F.col("keep_locator")
     hits = met.where(shared & ~mine).select("digest", "locator", "id", "text")
     stays = met.where(shared & mine).select("digest", F.col("text").alias("stays_text"))
-    clash = hits.join(stays, "digest").where(F.col("text") != F.col("stays_text")).select("digest").distinct()
-    clash = workspace.saved(clash, "dedup-clash")
+    clash = hits.join(stays, "digest").where(F.col("text") != F.col("stays_text")).select("digest")
+    clash = workspace.saved(clash, "dedup-clash").distinct()
     out = ["id", "keep_id", "group_size", "kept", "digest", "locator"]
     plain = met.withColumn("kept", mine)
     if not clash.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import exact_dedup, fingerprint, license_scan, packing, simhash, token_shards, toxicity, workspace
+from itemforge.llm import exact_dedup, fingerprint, license_scan, packing, simhash, token_shards, toxicity, url_filter, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +49,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by the rules and else by the character models."""
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in sequences of at most 2048, a row for each piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
     "op4_license_scan": op4_license_scan,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_fingerprint": op9_fingerprint,
