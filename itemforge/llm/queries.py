@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import exact_dedup, fingerprint, license_scan, packing, simhash, token_shards, toxicity, url_filter, workspace
+from itemforge.llm import chat_format, exact_dedup, fingerprint, license_scan, packing, pieces, simhash, token_shards, toxicity, url_filter, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +32,15 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_documents(spark.read.parquet(path))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, written, and read back, with one that says control strings."""
+    says = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": r, "content": says} for r in ("user", "assistant")]})
+    extra = chat_format.from_records(spark.createDataFrame([(-7, record)], "conv_id long, record string"))
+    turns = chat_format.from_table(spark.read.parquet(f"{sf_dir}/conversations.parquet")).union(extra)
+    return chat_format.digests(workspace.saved(chat_format.formatted(turns), "chat"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's places of the base phrases, and the labels of all its notices."""
     found = license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -65,6 +75,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the piece model, and whether they decode to its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sketch, and its likeness to its edited text and to the next document."""
     return fingerprint.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -79,15 +96,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
+    "op3_chat_format": op3_chat_format,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'),
+            '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'),
+            '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>'), '<|endoftext|>', '<\|endoftext|>') AS safe FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(safe) + 20) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
