@@ -23,9 +23,11 @@ PUNCTUATION = ".,;:!?()[]{}\"'`´/\\|@#$%&*+-=<>_~^°ºª§–—…"
 DELIMITER = r"[.)\]:‐-―-]"
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc(text: Column) -> Column:
+    def compose(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(compose, "string")(text)
 
 
 def clean(text: Column, exact: bool = False) -> Column:
@@ -70,7 +72,7 @@ def content_hash(*parts: Column) -> Column:
 
 def content_hash_array(parts: Column) -> Column:
     given = F.filter(parts, lambda p: p.isNotNull() & (p != ""))
-    return F.sha2(F.array_join(F.transform(given, normalize), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(given, lambda p: normalize(p)), "\n"), 256)
 
 
 def mask_digits(text: Column) -> Column:
