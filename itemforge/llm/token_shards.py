@@ -81,7 +81,7 @@ def compress(ids: np.ndarray, terminals: int, least: int = 16, saving: float = 0
         uses = np.bincount(which, minlength=len(pairs))
         worth = uses >= 4
         found, which = found[worth[which]], which[worth[which]]
-        if len(found) < saving * len(seq):
+        if not len(found) or len(found) < saving * len(seq):
             break
         number = np.cumsum(worth) - 1
         new = np.stack([pairs[worth] >> np.uint64(32), pairs[worth] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)

@@ -7,12 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_FOLDERS: dict[str, SparkSession] = {}
+_STAGED: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,10 +35,29 @@ def shared_root(spark: SparkSession) -> str:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder. It goes when the driver's session ends in good order."""
     path = f"{shared_root(spark)}/itemforge/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    _FOLDERS[path] = spark
     return path
 
 
+@contextmanager
+def stage(docs: DataFrame):
+    """Within it, new folders belong to a stage. They go when a later stage begins, since its input
+    has been written and read again by then; those that `docs` still reads stay."""
+    used = docs.inputFiles()
+    for path in [p for p in _STAGED if not any(p.split("://")[-1].lstrip("/") in f for f in used)]:
+        _STAGED.remove(path)
+        _remove(_FOLDERS.pop(path), path)
+    before = set(_FOLDERS)
+    yield
+    _STAGED.extend(p for p in _FOLDERS if p not in before)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _FOLDERS.items():
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
