@@ -19,9 +19,6 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    # The executors' copies of the state go as soon as it is in the shared folder.
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
