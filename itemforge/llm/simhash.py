@@ -191,6 +191,15 @@ def _links(keyed: DataFrame, bits: int, segments: int, budget: int, near: int |
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _blocks(hot: DataFrame, full: int) -> DataFrame:
+    """The rows of crowded buckets (key, node, count) under the keys of blocks, one for every two parts
+    of a bucket: any two of its rows share a block, and a block holds about 2 * full rows."""
+    parts = F.ceil(F.col("count") / full)
+    mine = F.pmod(F.xxhash64(F.lit(0), "node"), parts)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.xxhash64("key", F.least(mine, k), F.greatest(mine, k)))
+    return hot.withColumn("key", F.explode(met))
+
+
 def near_links(codes: DataFrame, bits: int = 64, budget: int = 3, segments: int = 5, near: int | None = None, full: int = FULL) -> DataFrame:
     """(a, b): links that join every two nodes that pairs within the budget join.
 
@@ -200,9 +209,8 @@ def near_links(codes: DataFrame, bits: int = 64, budget: int = 3, segments: int
 
     A bucket of more than `full` codes is split. Without `near` it is searched again by 16 segments,
     whose buckets hold 2 to the 12th distinct 64-bit codes at most, so nothing is lost. With
-    `near` its rows are dealt over parts of about `full` rows, four times by other seeds, where the
-    dense groups that make such a bucket stay joined; a pair that no part holds can still meet in
-    other rings.
+    `near` its rows are dealt over parts of about `full` rows, and every two parts meet in a block of
+    their own, so nothing is lost either.
     """
     workspace.ship(codes.sparkSession)
     rest = ["node", "code", *(["full"] if near is not None else [])]
@@ -217,12 +225,18 @@ def near_links(codes: DataFrame, bits: int = 64, budget: int = 3, segments: int
         fine = again.select(*rest, F.explode(_keys(F.col("code"), bits, 16, budget, F.col("ring"))).alias("key"))
         found.append(_links(fine.select("key", *rest), bits, 16, budget, None))
     else:
-        for seed in range(4):
-            salt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("count") / full))
-            found.append(_links(hot.withColumn("key", F.xxhash64("key", F.lit(seed), salt)).select("key", *rest), bits, segments, budget, near))
+        found.append(_links(_blocks(hot, full).select("key", *rest), bits, segments, budget, near))
     return reduce(DataFrame.union, found)
 
 
+def wide_links(classes: DataFrame, rings: int, near: int, full: int = FULL) -> DataFrame:
+    """(a, b): links among classes(node long, wide binary), whose codes have 32 * rings bits and are
+    linked at `near` differing bits or fewer."""
+    ring = [F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(rings)]
+    codes = classes.select("node", F.col("wide").alias("full"), F.posexplode(F.array(*ring)).alias("ring", "code"))
+    return near_links(codes, bits=32, near=near, full=full)
+
+
 def simhash_components(docs: DataFrame, words: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): 64-bit fingerprints of word shingles, repeats included,
     linked at `budget` differing bits or fewer; component_id is the least id that links reach.
@@ -261,9 +275,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     marks = workspace.saved(map_texts(docs, keys, F.col(text_column), lambda t: wide_code(t, words, octets), "binary"), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     classes = workspace.saved(marks.groupBy("code").agg(first).select("code", "first", F.col("first.node").alias("node")), "classes")
-    ring = [F.conv(F.hex(F.substring("code", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(rings)]
-    codes = classes.select("node", F.col("code").alias("full"), F.posexplode(F.array(*ring)).alias("ring", "code"))
-    tied = components(near_links(codes, bits=32, near=near)).withColumnRenamed("node", "tied")
+    tied = components(wide_links(classes.select("node", F.col("code").alias("wide")), rings, near)).withColumnRenamed("node", "tied")
     rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("first", F.coalesce("root", "node").alias("root")), "rooted")
     stays = workspace.saved(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node")), "stays")
     stays = stays.select(F.col("node").alias("__stays"))

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips, held-out accuracy, and odd inputs."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -267,6 +268,33 @@ def test_components_of_paths_and_nothing(spark):
     assert components.components(path.limit(0)).count() == 0
 
 
+def _wide_classes(spark, codes, near, full):
+    """The least number of each code's component, by wide_links and by brute force."""
+    rows = [(k, c.to_bytes(32, "big")) for k, c in enumerate(codes)]
+    links = simhash.wide_links(spark.createDataFrame(rows, "node long, wide binary"), 8, near, full)
+    return (_least(len(codes), pairs) for pairs in ([tuple(r) for r in links.collect()], [(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= near]))
+
+
+def _least(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("full", [simhash.FULL, 4])
+def test_wide_links_of_crowded_buckets(spark, full):
+    rng = random.Random(5)
+    codes = []
+    for _ in range(60):  # all alike in the first ring; pairs are 42 bits apart, six in each other ring
+        a = rng.getrandbits(224)
+        codes += [a, a ^ sum(1 << (32 * k + j) for k in range(7) for j in rng.sample(range(32), 6))]
+    got, want = _wide_classes(spark, codes, 45, full)
+    assert got == want
+    assert len(set(want)) == 60
+
+
 def test_drop_near_copies(spark, odd, empty):
     base = [words(300, 40 + k) for k in range(20)]
     rows = []
