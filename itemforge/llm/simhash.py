@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +24,8 @@ from itemforge.llm import workspace
 from itemforge.llm.components import components
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-#: Buckets of more codes than this are split.
-FULL = 4096
+#: Buckets of more codes than this are split; the second figure is for wide codes.
+FULL, WIDE_FULL = 4096, 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -131,14 +130,31 @@ def _join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[tied]], nodes[tied]
 
 
-def _pairs(table: pa.Table, parts: list[np.uint64], budget: int, near: int | None) -> tuple[np.ndarray, np.ndarray]:
+class _Found:
+    """Pairs found so far, cut down to the links that join the same nodes when they grow many."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.held = [], [], 0
+
+    def put(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > 2_000_000:
+            a, b = _join(np.concatenate(self.a), np.concatenate(self.b))
+            self.a, self.b, self.held = [a], [b], len(a)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return _join(np.concatenate(self.a), np.concatenate(self.b))
+
+
+def _pairs(table: pa.Table, parts: list[np.uint64], budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets, sorted by key."""
     key, node = table["key"].to_numpy(), table["node"].to_numpy()
     code = table["code"].to_numpy().view(np.uint64)
-    wide = None
-    if near is not None:
-        wide = np.frombuffer(b"".join(table["full"].to_pylist()), dtype="<u8").reshape(len(node), -1)
-    found_a, found_b, held, step = [], [], 0, 1
+    found, step = _Found(), 1
     at = np.flatnonzero(key[1:] == key[:-1])
     while len(at):
         for part in np.array_split(at, len(at) // 500_000 + 1):
@@ -146,37 +162,124 @@ def _pairs(table: pa.Table, parts: list[np.uint64], budget: int, near: int | Non
             pick = part[chained(x, parts, budget)]
             x = code[pick] ^ code[pick + step]
             pick = pick[np.bitwise_count(x) <= budget]
-            if wide is not None:
-                pick = pick[np.bitwise_count(wide[pick] ^ wide[pick + step]).sum(axis=1, dtype=np.int64) <= near]
-            found_a.append(node[pick])
-            found_b.append(node[pick + step])
-            held += len(pick)
-        if held > 2_000_000:
-            joined = _join(np.concatenate(found_a), np.concatenate(found_b))
-            found_a, found_b, held = [joined[0]], [joined[1]], len(joined[0])
+            found.put(node[pick], node[pick + step])
         step += 1
         at = at[at + step < len(key)]
         at = at[key[at + step] == key[at]]
-    if not held:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _join(np.concatenate(found_a), np.concatenate(found_b))
+    return found.links()
+
+
+class _Bucket:
+    """Codes of one bucket whose pairs within `near` bits are to be joined. `parts` are the ring's
+    segments in the chain's order after the one that all codes share; the first l + 2 segments of a
+    chain have l + 1 differences at most."""
+
+    def __init__(self, words: list[np.ndarray], code: np.ndarray, parts: list[int], near: int, put: Callable) -> None:
+        self.words, self.code, self.parts, self.near, self.put = words, code, parts, near, put
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in self.words)
+
+    def all_pairs(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        """Every pair of two lists, or of one with itself."""
+        first, second = [w[b] for w in self.words[:1]], [w[b] for w in self.words[1:2]]
+        step = max(1, 250_000 // len(b))
+        for k in range(0, len(a), step):
+            some = a[k : k + step]
+            d = np.bitwise_count(self.words[0][some][:, None] ^ first[0])
+            for w in second:
+                d += np.bitwise_count(self.words[1][some][:, None] ^ w)
+            x, y = np.divmod(np.flatnonzero(d <= self.near), len(b))
+            x, y = some[x], b[y]
+            pick = self.apart(x, y) <= self.near
+            if same:
+                pick &= x < y
+            if pick.any():
+                self.put(x[pick], y[pick])
+
+    def follow(self, a: np.ndarray, b: np.ndarray, same: bool, level: int = 0, used: int = 0) -> None:
+        """Every pair whose chain keeps within its share, segment by segment while there are many."""
+        if len(a) * len(b) <= 60_000 or level == len(self.parts):
+            return self.all_pairs(a, b, same)
+        mask = np.uint64(self.parts[level])
+        sides = []
+        for side in (a,) if same else (a, b):
+            value = self.code[side] & mask
+            order = np.argsort(value, kind="stable")
+            values, starts = np.unique(value[order], return_index=True)
+            sides.append((values, np.split(side[order], starts[1:])))
+        (u, us), (v, vs) = sides[0], sides[-1]
+        cost = used + np.bitwise_count(u[:, None] ^ v).astype(np.int64)
+        for x, y in np.argwhere(cost <= level + 1).tolist():
+            if not same or x <= y:
+                self.follow(us[x], vs[y], same and x == y, level + 1, int(cost[x, y]))
+
+    def join(self) -> None:
+        """Dense groups first: those within `near` of a pivot are joined by it, only codes within twice
+        `near` of it can have a pair among them, and then they are done with."""
+        left = np.arange(len(self.code))
+        for pivot in np.random.default_rng(len(left)).permutation(len(left))[:32].tolist() if len(left) > 500 else ():
+            if left[min(np.searchsorted(left, pivot), len(left) - 1)] != pivot:
+                continue
+            d = self.apart(left, np.full(len(left), pivot))
+            close = d <= self.near
+            if close.sum() * 32 < len(left):
+                continue
+            group, rim = left[close], left[~close & (d <= 2 * self.near)]
+            self.put(np.full(len(group), pivot), group)
+            if len(rim):
+                self.all_pairs(rim, group, False)
+            left = left[~close]
+            if not len(left):
+                return
+        self.follow(left, left, True)
+
 
+def _budgets(rings: int, near: int) -> list[int]:
+    """Bits for each ring; a pair beyond all of them differs in more than `near` bits."""
+    return [(near + 1) // rings - 1 + (k < (near + 1) % rings) for k in range(rings)]
 
-def _links(keyed: DataFrame, bits: int, segments: int, budget: int, near: int | None) -> DataFrame:
-    parts = [np.uint64(m) for m in masks(bits, segments)]
+
+def _wide_pairs(table: pa.Table, rings: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets of wide codes, sorted by key."""
+    key, node = table["key"].to_numpy(), table["node"].to_numpy()
+    flat = b"".join(table["wide"].to_pylist())
+    words = np.ascontiguousarray(np.frombuffer(flat, "<u8").reshape(len(node), -1).T)
+    codes = np.frombuffer(flat, ">u4").reshape(len(node), -1).T
+    found, budgets = _Found(), _budgets(rings, near)
+    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a < 2:
+            continue
+        ring, start = int(key[a]) >> 56, int(key[a]) >> 48 & 255
+        parts = masks(32, budgets[ring] + 1)
+        order = [(ring // 2 + 1 + k) % len(words) for k in range(len(words))]  # the ring's own word last
+        here = node[a:b]
+        _Bucket(
+            [words[k, a:b] for k in order],
+            codes[ring, a:b].astype(np.uint64),
+            parts[start + 1 :] + parts[:start],
+            near,
+            lambda x, y, here=here: found.put(here[x], here[y]),
+        ).join()
+    return found.links()
+
+
+def _links(keyed: DataFrame, pairs: Callable) -> DataFrame:
+    """What `pairs` finds in the buckets of keyed(key, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, enough = 0, 50_000
 
         def links(table: pa.Table) -> pa.RecordBatch:
-            a, b = _pairs(table, parts, budget, near)
+            a, b = pairs(table)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < 50_000:
+            if rows < enough:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             key = table["key"].to_numpy()
@@ -184,6 +287,7 @@ def _links(keyed: DataFrame, bits: int, segments: int, budget: int, near: int |
             if cut:
                 yield links(table.slice(0, cut))
             held, rows = table.slice(cut).to_batches(), len(key) - cut
+            enough = max(50_000, rows * 5 // 4)
         if rows:
             yield links(pa.Table.from_batches(held).combine_chunks())
 
@@ -191,50 +295,58 @@ def _links(keyed: DataFrame, bits: int, segments: int, budget: int, near: int |
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _blocks(hot: DataFrame, full: int) -> DataFrame:
-    """The rows of crowded buckets (key, node, count) under the keys of blocks, one for every two parts
-    of a bucket: any two of its rows share a block, and a block holds about 2 * full rows."""
-    parts = F.ceil(F.col("count") / full)
-    mine = F.pmod(F.xxhash64(F.lit(0), "node"), parts)
-    met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.xxhash64("key", F.least(mine, k), F.greatest(mine, k)))
-    return hot.withColumn("key", F.explode(met))
-
-
-def near_links(codes: DataFrame, bits: int = 64, budget: int = 3, segments: int = 5, near: int | None = None, full: int = FULL) -> DataFrame:
+def near_links(codes: DataFrame, bits: int = 64, budget: int = 3, segments: int = 5, full: int = FULL) -> DataFrame:
     """(a, b): links that join every two nodes that pairs within the budget join.
 
-    codes: node long, ring int, code long, and with `near` full binary. Without `near`, codes are
-    distinct, and two nodes are a pair when their codes of a ring differ in at most `budget` bits:
-    none is missed. With `near`, their full codes must differ in at most `near` bits as well.
-
-    A bucket of more than `full` codes is split. Without `near` it is searched again by 16 segments,
-    whose buckets hold 2 to the 12th distinct 64-bit codes at most, so nothing is lost. With
-    `near` its rows are dealt over parts of about `full` rows, and every two parts meet in a block of
-    their own, so nothing is lost either.
+    codes: node long, ring int, code long. Codes are distinct, and two nodes are a pair when their
+    codes of a ring differ in at most `budget` bits: none is missed. A bucket of more than `full`
+    codes is searched again by 16 segments, whose buckets hold 2 to the 12th distinct 64-bit codes
+    at most, so nothing is lost.
     """
     workspace.ship(codes.sparkSession)
-    rest = ["node", "code", *(["full"] if near is not None else [])]
-    keyed = codes.select("ring", *rest, F.explode(_keys(F.col("code"), bits, segments, budget, F.col("ring"))).alias("key"))
+
+    def links(keyed: DataFrame, segments: int) -> DataFrame:
+        parts = [np.uint64(m) for m in masks(bits, segments)]
+        return _links(keyed.select("key", "node", "code"), lambda table: _pairs(table, parts, budget))
+
+    keyed = codes.select("ring", "node", "code", F.explode(_keys(F.col("code"), bits, segments, budget, F.col("ring"))).alias("key"))
     crowded = workspace.saved(keyed.groupBy("key").count().where(F.col("count") > full), "crowded")
     if crowded.isEmpty():
-        return _links(keyed.select("key", *rest), bits, segments, budget, near)
-    found = [_links(keyed.join(crowded, "key", "left_anti").select("key", *rest), bits, segments, budget, near)]
-    hot = keyed.join(crowded, "key")
-    if near is None:
-        again = hot.select("ring", *rest).distinct()
-        fine = again.select(*rest, F.explode(_keys(F.col("code"), bits, 16, budget, F.col("ring"))).alias("key"))
-        found.append(_links(fine.select("key", *rest), bits, 16, budget, None))
-    else:
-        found.append(_links(_blocks(hot, full).select("key", *rest), bits, segments, budget, near))
-    return reduce(DataFrame.union, found)
+        return links(keyed, segments)
+    again = keyed.join(crowded, "key").select("ring", "node", "code").distinct()
+    fine = again.select("node", "code", F.explode(_keys(F.col("code"), bits, 16, budget, F.col("ring"))).alias("key"))
+    return links(keyed.join(crowded, "key", "left_anti"), segments).union(links(fine, 16))
 
 
-def wide_links(classes: DataFrame, rings: int, near: int, full: int = FULL) -> DataFrame:
-    """(a, b): links among classes(node long, wide binary), whose codes have 32 * rings bits and are
-    linked at `near` differing bits or fewer."""
-    ring = [F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(rings)]
-    codes = classes.select("node", F.col("wide").alias("full"), F.posexplode(F.array(*ring)).alias("ring", "code"))
-    return near_links(codes, bits=32, near=near, full=full)
+def _block(key: str, low: Column, high: Column) -> Column:
+    """The key of a block of two parts: ring and start as in the bucket's key."""
+    rest = F.lit((1 << 48) - 1)
+    return F.col(key).bitwiseAND(F.lit(-1 << 48)) + F.xxhash64(key, low, high).bitwiseAND(rest)
+
+
+def wide_links(classes: DataFrame, rings: int, near: int, full: int = WIDE_FULL) -> DataFrame:
+    """(a, b): links among classes(node long, wide binary) that join every two nodes that pairs of
+    codes at `near` differing bits or fewer join. A code has 32 * rings bits; rings are even.
+
+    The rings' budgets add up so that some ring of a pair keeps within its own. It is cut into one
+    segment more than its budget, so a chain starts at a segment that agrees: a code goes to a bucket
+    for each of its segments, and there chains are followed. The rows of a bucket of more than `full`
+    codes are dealt over parts, and every two parts meet in a block, so nothing is lost.
+    """
+    workspace.ship(classes.sparkSession)
+    keys = []
+    for k, budget in enumerate(_budgets(rings, near)):
+        ring = F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long")
+        keys += [F.lit(k << 56 | i << 48) + ring.bitwiseAND(F.lit(m)) for i, m in enumerate(masks(32, budget + 1) if budget >= 0 else ())]
+    keyed = classes.select("node", "wide", F.explode(F.array(*keys)).alias("key"))
+    crowded = workspace.saved(keyed.groupBy("key").count().where(F.col("count") > full), "crowded")
+    if not crowded.isEmpty():
+        keyed = keyed.join(F.broadcast(crowded), "key", "left")
+        parts = F.ceil(F.col("count") / full)
+        mine = F.pmod(F.xxhash64(F.lit(0), "node"), parts)
+        met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: _block("key", F.least(mine, j), F.greatest(mine, j)))
+        keyed = keyed.select("node", "wide", F.explode(F.coalesce(met, F.array("key"))).alias("key"))
+    return _links(keyed.select("key", "node", "wide"), lambda table: _wide_pairs(table, rings, near))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -262,8 +374,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     Texts are near when their shingle sets' similarity (Jaccard), as their fingerprints of
     32 * rings bits tell it, is at least `similarity`, with `slack` standard deviations of that
-    estimate in favour of finding a copy. Candidates meet in a ring of 32 bits within 3 bits. Null
-    and empty texts are equal texts without shingles. Rows that repeat both id and text stay or go
+    estimate in favour of finding a copy. No two fingerprints that near are missed. Null and empty texts are equal texts without shingles. Rows that repeat both id and text stay or go
     together. Null ids come last. All columns are kept; an empty table stays empty.
     """
     node = F.xxhash64(F.struct(F.col(id_column)), F.col(text_column))

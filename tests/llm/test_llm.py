@@ -272,14 +272,16 @@ def _wide_classes(spark, codes, near, full):
     """The least number of each code's component, by wide_links and by brute force."""
     rows = [(k, c.to_bytes(32, "big")) for k, c in enumerate(codes)]
     links = simhash.wide_links(spark.createDataFrame(rows, "node long, wide binary"), 8, near, full)
-    return (_least(len(codes), pairs) for pairs in ([tuple(r) for r in links.collect()], [(a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= near]))
+    close = ((a, b) for a, b in itertools.combinations(range(len(codes)), 2) if (codes[a] ^ codes[b]).bit_count() <= near)
+    return _least(len(codes), (tuple(r) for r in links.collect())), _least(len(codes), close)
 
 
 def _least(n, pairs):
     label = list(range(n))
     for a, b in pairs:
         low, high = sorted((label[a], label[b]))
-        label = [low if x == high else x for x in label]
+        if low != high:
+            label = [low if x == high else x for x in label]
     return label
 
 
@@ -295,6 +297,20 @@ def test_wide_links_of_crowded_buckets(spark, full):
     assert len(set(want)) == 60
 
 
+@pytest.mark.parametrize(("near", "full"), [(45, simhash.WIDE_FULL), (45, 50), (6, 4)])
+def test_wide_links_of_even_differences(spark, near, full):
+    rng = random.Random(6)
+    codes = [0] * 3
+    for _ in range(40):  # a pair has its differences spread over all rings
+        a = rng.getrandbits(256)
+        codes += [a, a ^ sum(1 << (32 * k + j) for k in range(8) for j in rng.sample(range(32), near // 8 + (k < near % 8)))]
+    for flips in (10, 30, 50):  # dense groups, loose ones, and two that a link joins at their rims
+        a = rng.getrandbits(256)
+        codes += [a ^ sum(1 << j for j in rng.sample(range(256), rng.randint(0, flips))) for _ in range(600)]
+    got, want = _wide_classes(spark, codes, near, full)
+    assert got == want
+
+
 def test_drop_near_copies(spark, odd, empty):
     base = [words(300, 40 + k) for k in range(20)]
     rows = []
