@@ -3,8 +3,8 @@
 URLs that a rule blocks or that hold a known word train a model of rejected URLs, all others one of
 accepted URLs; each distinct text counts once, a known word `seed_weight` times. A model counts each
 character after contexts of up to ORDER characters, smoothed from the shortest context up
-(Witten-Bell). The models see a host without its last two labels and a path without its first
-segment, so that they learn what such URLs look like and not the rules over again. A URL's score is
+(Witten-Bell). The models see the whole host and path; only the text of a rule that fits is masked,
+so that they learn what such URLs look like and not the rules over again. A URL's score is
 the mean over its characters of the log ratio of the two models at the longest context that training
 holds; the threshold is calibrated to the accepted URLs: a stated share of them at most scores below
 it. Everything is Spark's own operators.
@@ -47,12 +47,15 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
-def symbols(host: Column, path: Column) -> Column:
+def symbols(host: Column, path: Column, rule: Column | None = None) -> Column:
     """What the models see of a host and path, over 35 symbols: lower-case letters, one for a run of
-    digits, - . / _ and ~ for the rest, between ^ and $."""
-    labels = F.split(host, r"\.")
-    named = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(1))), ".")
-    low = F.translate(F.concat(named, F.regexp_replace(path, "^/[^/]*", "")), _UPPER, _LOWER)
+    digits, - . / _ and ~ for the rest, between ^ and $. One ~ stands for the text of a rule that fits."""
+    whole = F.concat(host, path)
+    if rule is not None:
+        site = F.length(F.substring_index(rule, "/", 1))
+        before = F.substring(host, F.lit(1), F.length(host) - site)
+        whole = F.coalesce(F.concat(before, F.lit("~"), F.substring(path, F.length(rule) - site + 1, F.length(path))), whole)
+    low = F.translate(whole, _UPPER, _LOWER)
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(low, "[0-9]+", "0"), "[^a-z0./_-]", "~"), F.lit("$"))
 
 
@@ -112,7 +115,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, order: int = ORDER, seed_weigh
     host, path = host_and_path(F.col(url_column))
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "text": symbols(F.col("host"), F.col("path"))})
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "text": symbols(F.col("host"), F.col("path"), rule)})
     texts = workspace.saved(rows.select("text", "ruled", F.lit(1.0).alias("weight")).distinct(), "url-texts")
     bad = F.col("text").rlike("|".join(REJECTED))
     known = texts.select("text", (F.coalesce("ruled", F.when(bad, F.lit("block")), F.lit("allow")) == "allow").alias("accepted"), "weight")

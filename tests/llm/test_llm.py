@@ -412,6 +412,19 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_reads_the_whole_url(spark):
+    good = [f"https://www.{w}{k}.com/{s}/{k}" for k in range(20) for w in ("library", "museum", "weather") for s in ("en", "guide")]
+    bad = ["https://www.casino-win.com/en/1", "http://www.a.org/casino/1", "https://poker.com/", "http://b.co/jackpot"]
+    ruled = ["https://casino.net/en/1", "http://www.example.net/en/1"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + ruled)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert [got[len(good) + k].verdict for k in range(4)] == ["block"] * 4
+    assert sum(got[k].verdict == "allow" for k in range(len(good))) > 110
+    assert max(got[len(good) + k].score for k in range(4)) < min(got[k].score for k in range(len(good)))
+    text = url_filter.symbols(F.lit("www.example.net"), F.lit("/en/a/1"), F.lit("example.net/en/"))
+    assert spark.range(1).select(text).first()[0] == "^www.~a/0$"
+
+
 def test_url_model_against_brute_force(spark):
     examples = [("^ab$", True, 1.0), ("^abc$", True, 2.0), ("^xb$", False, 1.0), ("^x0$", False, 3.0)]
     model = {r.gram: r.ratio for r in url_filter.train(spark.createDataFrame(examples, "text string, accepted boolean, weight double"), 2).collect()}
