@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, SparkSession] = {}
-_STAGED: list[str] = []
+_HERE = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,23 +37,36 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder. It goes when the driver's session ends in good order."""
+    """A new path under the shared folder. It goes when the driver's session ends in good order, or
+    with the stage that it was made in."""
     path = f"{shared_root(spark)}/itemforge/{name}-{uuid.uuid4().hex[:12]}"
     _FOLDERS[path] = spark
+    if (stage := getattr(_HERE, "stage", None)) is not None:
+        stage.append(path)
     return path
 
 
-@contextmanager
-def stage(docs: DataFrame):
-    """Within it, new folders belong to a stage. They go when a later stage begins, since its input
-    has been written and read again by then; those that `docs` still reads stay."""
-    used = docs.inputFiles()
-    for path in [p for p in _STAGED if not any(p.split("://")[-1].lstrip("/") in f for f in used)]:
-        _STAGED.remove(path)
-        _remove(_FOLDERS.pop(path), path)
-    before = set(_FOLDERS)
-    yield
-    _STAGED.extend(p for p in _FOLDERS if p not in before)
+class Folders:
+    """The folders of one pipeline, by stage; other pipelines' folders are not touched."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, list[str]] = {}
+
+    @contextmanager
+    def stage(self, name: str):
+        """Within it, new folders of this thread's job belong to the stage."""
+        outer = getattr(_HERE, "stage", None)
+        _HERE.stage = self.of.setdefault(name, [])
+        try:
+            yield
+        finally:
+            _HERE.stage = outer
+
+    def drop(self, *names: str) -> None:
+        """Removes the folders of stages whose rows nobody reads any more."""
+        for name in names:
+            for path in self.of.pop(name, ()):
+                _remove(_FOLDERS.pop(path), path)
 
 
 @atexit.register
@@ -76,20 +93,54 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def locator(docs: DataFrame) -> Column:
+    """Where a row of a table of files lies: its file and its place in it."""
+    at = docs.metadataColumn("_metadata")
+    return F.concat_ws("#", at.getField("file_path"), at.getField("row_index").cast("string"))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """The table itself if its rows lie in Parquet files, which give each row a locator, else a
+    written copy of it."""
+    try:
+        docs.select(locator(docs))
+    except AnalysisException:
+        return saved(docs, "landed")
+    return docs
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """A located table's rows but those whose locators are gone(locator); all columns kept. Spark
+    broadcasts the locators if they are few."""
+    key = max(docs.columns, key=len) + "_at"  # longer than any column's name
+    rest = docs.withColumn(key, locator(docs)).join(gone.select(F.col("locator").alias(f"{key}_gone")), F.col(f"`{key}`") == F.col(f"`{key}_gone`"), "left_anti")
+    return rest.drop(key)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers once for each application, and bounds the Arrow
-    batches, since one text can be very long."""
+    """Sends the package to the Python workers once for each application."""
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
-        out = os.path.join(tempfile.mkdtemp(prefix="itemforge-code-"), f"{package.name}.zip")
+        there = tempfile.mkdtemp(prefix="itemforge-code-")  # on the driver, which serves it to the executors
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
+        out = os.path.join(there, f"{package.name}.zip")
         with zipfile.ZipFile(out, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, str(f.relative_to(package.parent)))
         sc.addPyFile(out)
         _SHIPPED.add(sc.applicationId)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def some(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, chosen by a hash of their key. A threshold for the hash cuts the table down to
+    little more than n first, so that no task sorts more than its share of them."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    share = F.pmod(F.xxhash64(F.lit("some"), key), F.lit(1 << 32)) / float(1 << 32)
+    return rows.where(share < (n + 5 * n**0.5 + 20) / total).orderBy(F.xxhash64(F.lit("some"), key), key).limit(n)
