@@ -1,11 +1,13 @@
 """Toxicity by weak supervision: voters, a generative label model and a linear classifier.
 
 Voters are lexicon groups, beginnings of words that known toxic texts favour, and text patterns; each
-says toxic, clean or nothing of a text. The label model learns how often each voter is right from how voters agree over all training documents: their
-counts of joint votes are summed over the corpus, accuracies and the class balance follow by
-expectation maximisation, and voters whose agreement exceeds what independent errors allow share
-their weight. Labels that are known anchor the patterns they stand with. The posterior label of each distinct pattern of votes then trains a logistic classifier
-on the voters' counts, weighted by how often the pattern occurs.
+says toxic, clean or nothing of a text. The label model learns how often each voter is right from how
+voters agree over all training documents: their counts of joint votes are summed over the corpus, and
+accuracies, the class balance and the voters' correlations follow by expectation maximisation. Voters
+whose agreement exceeds what independent errors allow share their weight, and the accuracies are
+estimated again with these weights until both stand still. Labels that are known anchor the patterns
+they stand with. A logistic classifier then learns the posterior labels of documents from what is
+counted in each; a document's pattern of votes gives its label.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def observe(text: str | None, mined: frozenset = frozenset()) -> list[float]:
             if w in present:
                 present[w] += 1
     hits = [sum(n for w, n in present.items() if w in group) for group in _GROUPS]
-    hits += [sum(1 for _ in p.finditer(low)) if present or k == "silencing" else 0 for k, p in _COMPILED.items()]
+    # The pattern of address begins with a word of its own, so a text without that word has no place for it.
+    hits += [sum(1 for _ in p.finditer(low)) if k != "address" or "you" in distinct else 0 for k, p in _COMPILED.items()]
     begun: set = set()
     for k in BEGINNINGS if mined else ():
         if mined.intersection([w[:k] for w in distinct]):
@@ -98,33 +101,27 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, balance: float = 0.1, rounds: int = 100, smooth: float = 0.5) -> LabelModel:
-    """Expectation maximisation over distinct vote patterns and how often each occurs. `label` is 0
-    or 1 where it is known, else nan; `balance` is the share of toxic texts to begin with. After it, voters that agree beyond what their
-    accuracies explain count as correlated and share their weight."""
-    voters = vote.shape[1]
-    says = np.empty((voters, 2, 3))
-    says[:, 0], says[:, 1] = (0.15, 0.8, 0.05), (0.05, 0.6, 0.35)
-    model = LabelModel(balance, says, np.ones(voters))
+def _accuracies(vote: np.ndarray, count: np.ndarray, label: np.ndarray, model: LabelModel, rounds: int, smooth: float) -> LabelModel:
+    """Expectation maximisation with the voters' weights as they are."""
     total = count.sum()
-    for _ in range(rounds if total else 0):
+    for _ in range(rounds):
         p = np.where(np.isnan(label), model.posterior(vote), np.nan_to_num(label))
         share = np.stack([(1 - p) * count, p * count])
-        new = np.empty_like(says)
-        for v in range(voters):
-            for s in (-1, 0, 1):
-                new[v, :, s + 1] = share[:, vote[:, v] == s].sum(axis=1) + smooth
+        new = np.stack([[share[:, vote[:, v] == s].sum(axis=1) for s in (-1, 0, 1)] for v in range(vote.shape[1])]).transpose(0, 2, 1) + smooth
         new /= new.sum(axis=2, keepdims=True)
         balance = float(np.clip((p * count).sum() / total, 0.001, 0.5))
         done = np.abs(new - model.says).max() < 1e-6
         model = LabelModel(balance, new, model.weight)
         if done:
             break
-    if not total:
-        return model
-    # Residual correlation of two voters given the class, averaged over classes.
-    p, x = model.posterior(vote), vote.astype(float)
-    beyond = np.zeros((voters, voters))
+    return model
+
+
+def correlations(vote: np.ndarray, count: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What is left of the correlation of each two voters within a class, averaged over the classes;
+    p is the share of the toxic class in each pattern."""
+    x, total = vote.astype(float), count.sum()
+    beyond = np.zeros((vote.shape[1], vote.shape[1]))
     for share in (p * count, (1 - p) * count):
         mass = max(share.sum(), 1e-9)
         mean = share @ x / mass
@@ -132,7 +129,28 @@ def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, bala
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         beyond += np.abs(cov / sd / sd[:, None]) * mass / total
     np.fill_diagonal(beyond, 0)
-    return LabelModel(model.balance, model.says, 1 / (1 + np.where(beyond > 0.1, beyond, 0).sum(axis=1)))
+    return beyond
+
+
+def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, balance: float = 0.1, rounds: int = 100, smooth: float = 0.5, least: float = 0.1) -> LabelModel:
+    """The label model of distinct vote patterns and how often each occurs. `label` is 0 or 1 where it
+    is known, else nan; `balance` is the share of toxic texts to begin with. Correlations under
+    `least` count as none. A voter's weight is one over one and its correlations with others, so that
+    two voters that always agree weigh as one. Without patterns the voters are as they begin."""
+    voters = vote.shape[1]
+    says = np.empty((voters, 2, 3))
+    says[:, 0], says[:, 1] = (0.15, 0.8, 0.05), (0.05, 0.6, 0.35)
+    model = LabelModel(balance, says, np.ones(voters))
+    for _ in range(10 if count.sum() else 0):
+        model = _accuracies(vote, count, label, model, rounds, smooth)
+        p = np.where(np.isnan(label), model.posterior(vote), np.nan_to_num(label))
+        beyond = correlations(vote, count, p)
+        weight = 1 / (1 + np.where(beyond > least, beyond, 0).sum(axis=1))
+        done = np.abs(weight - model.weight).max() < 0.01
+        model = LabelModel(model.balance, model.says, weight)
+        if done:
+            break
+    return model
 
 
 def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -168,7 +186,7 @@ def mine(docs: DataFrame, labels: DataFrame | None, rows: int = 20_000, ratio: f
         return frozenset()
     workspace.ship(docs.sparkSession)
     known = _known(labels, id_column).where(~F.coalesce(held_out(F.col("known")), F.lit(False)))
-    some = workspace.saved(known.orderBy(F.xxhash64("known"), "known").limit(rows), "labelled")
+    some = workspace.saved(workspace.some(known, "known", rows), "labelled")
     total = {r.label: r.n for r in some.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:
@@ -200,53 +218,61 @@ def _known(labels: DataFrame, id_column: str) -> DataFrame:
     return rows.groupBy(F.col(id_column).cast("long").alias("known")).agg(F.max("toxic").cast("int").alias("label"))
 
 
-def observed(docs: DataFrame, mined: frozenset = frozenset(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, votes, x): each row's id as long, its votes and its FEATURES, from its whole text."""
+def observed(docs: DataFrame, mined: frozenset = frozenset(), keys: dict[str, F.Column] | None = None, text_column: str = "text") -> DataFrame:
+    """(keys, votes, x): the key columns, by default the id as long, and each row's votes and its
+    FEATURES, from its whole text."""
     workspace.ship(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("votes", pa.binary()), ("x", pa.list_(pa.float64()))])
+    rows = docs.select(*[c.alias(k) for k, c in (keys or {"id": F.col("doc_id").cast("long")}).items()], F.col(text_column).cast("string").alias("text"))
+    names = [*rows.columns[:-1], "votes", "x"]
+    schema = ", ".join([*[f"{k} {t}" for k, t in rows.dtypes[:-1]], "votes binary, x array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([observe(t.as_py(), mined) for t in b.column(1)], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in votes(x)], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], schema=schema)
+            x = np.array([observe(t.as_py(), mined) for t in b.columns[-1]], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([v.tobytes() for v in votes(x)], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], names=names)
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, "id long, votes binary, x array<double>")
 
+def fit(seen: DataFrame, labels: DataFrame | None = None, mined: frozenset = frozenset(), balance: float = 0.1, sample: int = 20_000, id_column: str = "doc_id") -> Classifier:
+    """A classifier from the rows of observed() that are not held out; it needs their `id`.
 
-def fit(seen: DataFrame, labels: DataFrame | None = None, mined: frozenset = frozenset(), balance: float = 0.1, id_column: str = "doc_id") -> Classifier:
-    """A classifier from the rows of observed() that are not held out. The driver gets one row for
-    each distinct pattern of votes and label, whose number the voters bound. An empty table gives
-    the prior."""
+    The label model takes the counts of all of them: the driver gets one row for each distinct pattern
+    of votes and label, whose number the voters bound. The logistic classifier learns from at most
+    `sample` documents of each class that the posterior makes likelier, each weighted by how many of
+    its class it stands for; they are chosen by a hash of the id. An empty table gives the prior.
+    """
     learn = seen.where(~F.coalesce(held_out(F.col("id")), F.lit(False)))
     if labels is None:
-        learn = learn.withColumn("label", F.lit(None).cast("int"))
+        marked = learn.withColumn("label", F.lit(None).cast("int"))
     else:
-        learn = learn.join(_known(labels, id_column), F.col("id") == F.col("known"), "left")
-    sums = [F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(len(FEATURES))]
-    rows = sorted(learn.groupBy("votes", "label").agg(F.count("*").alias("n"), *sums).collect(), key=lambda r: (bytes(r.votes), str(r.label)))
+        marked = learn.join(_known(labels, id_column), F.col("id") == F.col("known"), "left")
+    rows = sorted(marked.groupBy("votes", "label").agg(F.count("*").alias("n")).collect(), key=lambda r: (bytes(r.votes), str(r.label)))
     if not rows:
         empty = fit_label_model(np.zeros((0, len(NAMES)), np.int8), np.zeros(0), np.zeros(0))
         return Classifier(empty, np.concatenate([[np.log(balance / (1 - balance))], np.zeros(len(FEATURES))]), mined)
     vote = np.stack([np.frombuffer(bytes(r.votes), dtype=np.int8) for r in rows])
     label = np.array([np.nan if r.label is None else r.label for r in rows], dtype=float)
     count = np.array([r.n for r in rows], dtype=float)
-    mean = np.array([[r[f"s{k}"] for k in range(len(FEATURES))] for r in rows]) / count[:, None]
     model = fit_label_model(vote, count, label, balance)
-    return Classifier(model, fit_logistic(mean, model.posterior(vote), count), mined)
-
-
-def score(docs: DataFrame, classifier: Classifier, text_column: str = "text") -> DataFrame:
-    """`row`, a struct of all columns, and `score`, 0 to 1, of every whole text."""
-    workspace.ship(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_column).cast("string").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([observe(t.as_py(), classifier.mined) for t in b.column(1)], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classifier.score(x))], names=["row", "score"])
-
-    return rows.mapInArrow(run, schema)
+    toxic = sorted({bytes(r.votes) for r, p in zip(rows, model.posterior(vote), strict=True) if p >= 0.5})
+    x, target, weight = [], [], []
+    inside = F.col("votes").isin(toxic) if toxic else F.lit(False)
+    for rest in (inside, ~inside):
+        got = workspace.some(learn.where(rest), "id", sample).select("votes", "x").collect()
+        if got:
+            n = sum(r.n for r in rows if (bytes(r.votes) in toxic) == (rest is inside))
+            x += [r.x for r in got]
+            target.append(model.posterior(np.stack([np.frombuffer(bytes(r.votes), dtype=np.int8) for r in got])))
+            weight.append(np.full(len(got), n / len(got)))
+    return Classifier(model, fit_logistic(np.array(x), np.concatenate(target), np.concatenate(weight)), mined)
+
+
+def odds(x: F.Column, classifier: Classifier) -> F.Column:
+    """The classifier's score, 0 to 1, of a row's features."""
+    beta = [float(v) for v in classifier.beta]
+    total = sum((x[k] * F.lit(v) for k, v in enumerate(beta[1:])), F.lit(beta[0]))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
 
 
 def held_out(doc_id) -> F.Column:
@@ -264,18 +290,21 @@ def toxicity(docs: DataFrame, labels: DataFrame | None, id_column: str = "doc_id
     read; an empty table gives no rows.
     """
     mined = mine(docs, labels, id_column=id_column, text_column=text_column)
-    seen = workspace.saved(observed(docs, mined, id_column, text_column), "observed")
-    classifier = fit(seen, labels, mined, id_column=id_column)
-    beta = [float(v) for v in classifier.beta]
-    odds = sum((F.col("x")[k] * F.lit(v) for k, v in enumerate(beta[1:])), F.lit(beta[0]))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+    seen = workspace.saved(observed(docs, mined, {"id": F.col(id_column).cast("long")}, text_column), "observed")
+    score = odds(F.col("x"), fit(seen, labels, mined, id_column=id_column))
     out = seen.select(F.col("id").alias("doc_id"), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents whose score is below the threshold, all columns kept. The classifier learns
-    from these documents' own texts, and from the labels as toxicity() does."""
+    """The documents whose score is below the threshold, all columns kept. The classifier learns from
+    these documents' own texts, and from the labels as toxicity() does; nulls, repeated rows and a
+    label given twice count as there, so rows of one text go or stay together, and an empty table
+    stays empty. Texts are observed once: what is rejected is a list of places in the files.
+    """
+    docs = workspace.located(docs)
     mined = mine(docs, labels, id_column=id_column, text_column=text_column)
-    classifier = fit(workspace.saved(observed(docs, mined, id_column, text_column), "observed"), labels, mined, id_column=id_column)
-    return score(docs, classifier, text_column).where(F.col("score") < threshold).select("row.*")
+    keys = {"id": F.col(id_column).cast("long"), "locator": workspace.locator(docs)}
+    seen = workspace.saved(observed(docs, mined, keys, text_column), "observed")
+    score = odds(F.col("x"), fit(seen, labels, mined, id_column=id_column))
+    return workspace.without(docs, workspace.saved(seen.where(score >= threshold).select("locator"), "rejected"))
