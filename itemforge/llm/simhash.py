@@ -61,13 +61,6 @@ def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_code(text: str | None, words: int, octets: int) -> bytes:
-    """A fingerprint of so many bytes over the set of a text's shingles."""
-    hashes = np.unique(shingle_hashes(text, words))
-    with np.errstate(over="ignore"):
-        return struct.pack(f"<{octets // 8}Q", *[majority(mixed(hashes, k + 1)) for k in range(octets // 8)])
-
-
 def map_texts(docs: DataFrame, keys: dict[str, Column], text: Column, make: Callable, kind: str) -> DataFrame:
     """The key columns and `code`, what `make` gives for each text."""
     workspace.ship(docs.sparkSession)
@@ -131,23 +124,54 @@ def _join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Found:
-    """Pairs found so far, cut down to the links that join the same nodes when they grow many."""
+    """Pairs found so far, cut down when they grow many: by `_join` to links that join the same nodes,
+    or, where pairs have a distance, to a forest of true pairs."""
 
     def __init__(self) -> None:
-        self.a, self.b, self.held = [], [], 0
-
-    def put(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.a.append(a)
-        self.b.append(b)
-        self.held += len(a)
-        if self.held > 2_000_000:
-            a, b = _join(np.concatenate(self.a), np.concatenate(self.b))
-            self.a, self.b, self.held = [a], [b], len(a)
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return _join(np.concatenate(self.a), np.concatenate(self.b))
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def put(self, *pairs: np.ndarray) -> None:
+        self.held.append(pairs)
+        self.size += len(pairs[0])
+        if self.size > 2_000_000:
+            self.held = [self.links()]
+            self.size = len(self.held[0][0])
+
+    def links(self) -> tuple[np.ndarray, ...]:
+        if not self.size:
+            return tuple(np.empty(0, np.int64) for _ in (self.held[0] if self.held else "ab"))
+        found = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        return _join(*found) if len(found) == 2 else forest(*found)
+
+
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs at distances the least ones that join what all of them join (Boruvka's rounds): if one
+    of them turns out to be no link, any other pair that would join its two sides is as far or farther."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    rank = np.empty(len(a), dtype=np.int64)
+    rank[np.argsort(d, kind="stable")] = np.arange(len(a))
+    live, chosen, none = np.arange(len(a)), [np.empty(0, np.int64)], np.iinfo(np.int64).max
+    while len(live := live[label[x[live]] != label[y[live]]]):
+        best = np.full(len(nodes), none)
+        np.minimum.at(best, label[x[live]], rank[live])
+        np.minimum.at(best, label[y[live]], rank[live])
+        edge = np.full(len(a), -1, dtype=np.int64)
+        edge[rank[live]] = live
+        tied = np.flatnonzero(best < none)
+        take = edge[best[tied]]
+        chosen.append(take)
+        other = np.where(label[x[take]] == tied, label[y[take]], label[x[take]])
+        up = np.arange(len(nodes))
+        up[tied] = other
+        twice = tied[(up[other] == tied) & (tied < other)]
+        up[twice] = twice
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+    keep = np.unique(np.concatenate(chosen))
+    return a[keep], b[keep], d[keep]
 
 
 def _pairs(table: pa.Table, parts: list[np.uint64], budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +194,12 @@ def _pairs(table: pa.Table, parts: list[np.uint64], budget: int) -> tuple[np.nda
 
 
 class _Bucket:
-    """Codes of one bucket whose pairs within `near` bits are to be joined. `parts` are the ring's
-    segments in the chain's order after the one that all codes share; the first l + 2 segments of a
-    chain have l + 1 differences at most."""
+    """Codes of one bucket whose pairs within `near` bits are to be found, or pairs that join the same
+    codes. `parts` are the ring's segments in the chain's order after the one that all codes share;
+    the first l + 2 segments of a chain have l + 1 differences at most."""
+
+    #: A dense group of more codes than this is joined through pivots.
+    DENSE = 1500
 
     def __init__(self, words: list[np.ndarray], code: np.ndarray, parts: list[int], near: int, put: Callable) -> None:
         self.words, self.code, self.parts, self.near, self.put = words, code, parts, near, put
@@ -191,11 +218,12 @@ class _Bucket:
                 d += np.bitwise_count(self.words[1][some][:, None] ^ w)
             x, y = np.divmod(np.flatnonzero(d <= self.near), len(b))
             x, y = some[x], b[y]
-            pick = self.apart(x, y) <= self.near
+            d = self.apart(x, y)
+            pick = d <= self.near
             if same:
                 pick &= x < y
             if pick.any():
-                self.put(x[pick], y[pick])
+                self.put(x[pick], y[pick], d[pick])
 
     def follow(self, a: np.ndarray, b: np.ndarray, same: bool, level: int = 0, used: int = 0) -> None:
         """Every pair whose chain keeps within its share, segment by segment while there are many."""
@@ -214,11 +242,27 @@ class _Bucket:
             if not same or x <= y:
                 self.follow(us[x], vs[y], same and x == y, level + 1, int(cost[x, y]))
 
+    def gather(self, group: np.ndarray, pivot: int, rng: np.random.Generator) -> None:
+        """Joins a dense group of codes within `near` of a pivot: all its pairs, or, if it is large,
+        each code with the nearest of some further pivots that lies within `near`."""
+        if len(group) <= self.DENSE:
+            return self.all_pairs(group, group, True)
+        pivots = np.unique(np.append(rng.choice(group, 64), pivot))
+        far = np.stack([self.apart(group, np.full(len(group), p)) for p in pivots])
+        far[group == pivots[:, None]] = 1 << 20  # a pivot's nearest is another one
+        best = far.argmin(axis=0)
+        d = far[best, np.arange(len(group))]
+        good = d <= self.near
+        self.put(pivots[best[good]], group[good], d[good])
+        d = self.apart(group, np.full(len(group), pivot))
+        other = group != pivot
+        self.put(np.full(other.sum(), pivot), group[other], d[other])
+
     def join(self) -> None:
-        """Dense groups first: those within `near` of a pivot are joined by it, only codes within twice
-        `near` of it can have a pair among them, and then they are done with."""
-        left = np.arange(len(self.code))
-        for pivot in np.random.default_rng(len(left)).permutation(len(left))[:32].tolist() if len(left) > 500 else ():
+        """Dense groups first: those within `near` of a pivot are joined, only codes within twice `near`
+        of it can have a pair among them, and then they are done with."""
+        left, rng = np.arange(len(self.code)), np.random.default_rng(len(self.code))
+        for pivot in rng.permutation(len(left))[:32].tolist() if len(left) > 500 else ():
             if left[min(np.searchsorted(left, pivot), len(left) - 1)] != pivot:
                 continue
             d = self.apart(left, np.full(len(left), pivot))
@@ -226,7 +270,7 @@ class _Bucket:
             if close.sum() * 32 < len(left):
                 continue
             group, rim = left[close], left[~close & (d <= 2 * self.near)]
-            self.put(np.full(len(group), pivot), group)
+            self.gather(group, pivot, rng)
             if len(rim):
                 self.all_pairs(rim, group, False)
             left = left[~close]
@@ -240,8 +284,8 @@ def _budgets(rings: int, near: int) -> list[int]:
     return [(near + 1) // rings - 1 + (k < (near + 1) % rings) for k in range(rings)]
 
 
-def _wide_pairs(table: pa.Table, rings: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole buckets of wide codes, sorted by key."""
+def _wide_pairs(table: pa.Table, rings: int, near: int) -> tuple[np.ndarray, ...]:
+    """A forest of the pairs of whole buckets of wide codes, sorted by key."""
     key, node = table["key"].to_numpy(), table["node"].to_numpy()
     flat = b"".join(table["wide"].to_pylist())
     words = np.ascontiguousarray(np.frombuffer(flat, "<u8").reshape(len(node), -1).T)
@@ -260,9 +304,9 @@ def _wide_pairs(table: pa.Table, rings: int, near: int) -> tuple[np.ndarray, np.
             codes[ring, a:b].astype(np.uint64),
             parts[start + 1 :] + parts[:start],
             near,
-            lambda x, y, here=here: found.put(here[x], here[y]),
+            lambda x, y, d, here=here: found.put(here[x], here[y], d),
         ).join()
-    return found.links()
+    return found.links()[:2]
 
 
 def _links(keyed: DataFrame, pairs: Callable) -> DataFrame:
@@ -325,13 +369,15 @@ def _block(key: str, low: Column, high: Column) -> Column:
 
 
 def wide_links(classes: DataFrame, rings: int, near: int, full: int = WIDE_FULL) -> DataFrame:
-    """(a, b): links among classes(node long, wide binary) that join every two nodes that pairs of
-    codes at `near` differing bits or fewer join. A code has 32 * rings bits; rings are even.
+    """(a, b): pairs among classes(node long, wide binary) whose codes differ in `near` bits or fewer,
+    enough of them to join every two nodes that such pairs join. A code has 32 * rings bits; rings
+    are even.
 
     The rings' budgets add up so that some ring of a pair keeps within its own. It is cut into one
     segment more than its budget, so a chain starts at a segment that agrees: a code goes to a bucket
     for each of its segments, and there chains are followed. The rows of a bucket of more than `full`
-    codes are dealt over parts, and every two parts meet in a block, so nothing is lost.
+    codes are dealt over parts, and every two parts meet in a block, so nothing is lost. A task puts
+    out a forest of its pairs, the nearest ones that join what all of them do.
     """
     workspace.ship(classes.sparkSession)
     keys = []
@@ -369,25 +415,92 @@ def simhash_components(docs: DataFrame, words: int = 3, budget: int = 3, id_colu
     return marks.join(labels, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents without near copies: of each group the row with the least id stays.
+def sketch(text: str | None, words: int, octets: int) -> bytes:
+    """A text's wide code, a digest of its set of shingles, and the sorted set itself."""
+    hashes = np.unique(shingle_hashes(text, words))
+    with np.errstate(over="ignore"):
+        code = struct.pack(f"<{octets // 8}Q", *[majority(mixed(hashes, k + 1)) for k in range(octets // 8)])
+    return code + xxhash.xxh3_64_digest(hashes.tobytes())
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, code) with each text's sorted shingle hashes."""
+    return map_texts(texts, {"node": F.col("node")}, F.col("text"), lambda t: np.unique(shingle_hashes(t, words)).tobytes(), "binary")
 
-    Texts are near when their shingle sets' similarity (Jaccard), as their fingerprints of
-    32 * rings bits tell it, is at least `similarity`, with `slack` standard deviations of that
-    estimate in favour of finding a copy. No two fingerprints that near are missed. Null and empty texts are equal texts without shingles. Rows that repeat both id and text stay or go
-    together. Null ids come last. All columns are kept; an empty table stays empty.
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float, salted: int = 256) -> DataFrame:
+    """The links(a, b) whose sets(node, code binary of sorted hashes) have that Jaccard similarity. Two
+    empty sets are equal.
+
+    The end that has more links is the hub. Its links are dealt over parts of about `salted`, each
+    with a copy of the hub's set, so a task holds one set at a time and no hub is one task's work.
+    """
+    n = workspace.partitions(links.sparkSession)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    n_a, n_b = (ends.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    met = links.join(n_a, "a").join(n_b, "b")
+    a_first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    spokes = met.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("spoke"))
+    spokes = workspace.saved(spokes, "spokes")
+    hubs = spokes.groupBy("hub").agg(F.ceil(F.count("*") / salted).alias("parts"))
+    part = F.pmod(F.xxhash64("spoke"), F.col("parts"))
+    tips = spokes.join(hubs, "hub").select("hub", "spoke", part.alias("part"))
+    tips = tips.join(sets.withColumnRenamed("node", "spoke"), "spoke").select("hub", "part", "spoke", "code")
+    heads = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("spoke"), "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.empty(0, np.uint64)
+        for batch in batches:
+            out = []
+            for hub, spoke, code in zip(batch["hub"].to_pylist(), batch["spoke"].to_pylist(), batch["code"], strict=True):
+                theirs = np.frombuffer(code.as_buffer() or b"", np.uint64)
+                if spoke is None:
+                    mine = theirs.copy()
+                    continue
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if both >= similarity * (len(mine) + len(theirs) - both) - 1e-9:
+                    out.append((hub, spoke))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    dealt = heads.unionByName(tips).repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.col("spoke").asc_nulls_first())
+    return dealt.select("hub", "spoke", "code").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(locator, id, stays) of a located table: each row's place, its id, and whether it stays.
+
+    Texts are near when the Jaccard similarity of their sets of shingles is at least `similarity`. The
+    fingerprints of 32 * rings bits find the candidates: all pairs at no more bits than this
+    similarity has on average and `slack` standard deviations above, so 95 of 100 pairs at the
+    threshold itself and nearly all beyond it. Of the candidates each task puts forward a forest of
+    the nearest, and every one of these is held against the sets themselves. What confirmed links join
+    is a group; its row with the least id stays, of one id the one whose locator is first. Texts with
+    equal sets are one class, and so are null and empty texts. Null ids come last.
     """
-    node = F.xxhash64(F.struct(F.col(id_column)), F.col(text_column))
     octets, bits = 4 * rings, 32 * rings
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     near = int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
-    keys = {"node": node, "id": F.col(id_column).cast("long")}
-    marks = workspace.saved(map_texts(docs, keys, F.col(text_column), lambda t: wide_code(t, words, octets), "binary"), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
-    classes = workspace.saved(marks.groupBy("code").agg(first).select("code", "first", F.col("first.node").alias("node")), "classes")
-    tied = components(wide_links(classes.select("node", F.col("code").alias("wide")), rings, near)).withColumnRenamed("node", "tied")
-    rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("first", F.coalesce("root", "node").alias("root")), "rooted")
-    stays = workspace.saved(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node")), "stays")
-    stays = stays.select(F.col("node").alias("__stays"))
-    return docs.withColumn("__node", node).join(stays, F.col("__node") == F.col("__stays"), "left_semi").drop("__node")
+    keys = {"locator": workspace.locator(docs), "id": F.col(id_column).cast("long")}
+    marks = map_texts(docs, keys, F.col(text_column), lambda t: sketch(t, words, octets), "binary")
+    marks = workspace.saved(marks.select("locator", "id", "code", F.xxhash64("code").alias("node")), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator")).alias("first")
+    classes = workspace.saved(marks.groupBy("node").agg(first, F.min(F.substring("code", 1, octets)).alias("wide")), "classes")
+    links = wide_links(classes.select("node", "wide"), rings, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = workspace.saved(links.distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    places = workspace.saved(classes.join(ends, "node", "left_semi").select("node", F.col("first.locator").alias("place")), "places")
+    texts = docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")).join(places, "place")
+    sets = workspace.saved(_sets(texts, words), "sets")
+    tied = components(verified(links, sets, similarity)).withColumnRenamed("node", "tied")
+    rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    stays = rooted.join(least, "root").select("node", F.col("best.locator").alias("best"))
+    return marks.join(stays, "node").select("locator", "id", (F.col("locator") == F.col("best")).alias("stays"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without near copies, as near_copies() tells them: of each group one row stays, also
+    of rows that repeat id and text. All columns are kept; an empty table stays empty."""
+    docs = workspace.located(docs)
+    marks = near_copies(docs, words, similarity, rings, slack, id_column, text_column)
+    return workspace.without(docs, workspace.saved(marks.where("not stays").select("locator"), "near-copies"))
