@@ -3,11 +3,11 @@
 Voters are lexicon groups, beginnings of words that known toxic texts favour, and text patterns; each
 says toxic, clean or nothing of a text. The label model learns how often each voter is right from how
 voters agree over all training documents: their counts of joint votes are summed over the corpus, and
-accuracies, the class balance and the voters' correlations follow by expectation maximisation. Voters
-whose agreement exceeds what independent errors allow share their weight, and the accuracies are
-estimated again with these weights until both stand still. Labels that are known anchor the patterns
-they stand with. A logistic classifier then learns the posterior labels of documents from what is
-counted in each; a document's pattern of votes gives its label.
+accuracies and the class balance follow by expectation maximisation. What is left of two voters'
+correlation within the classes is estimated next, and voters whose agreement exceeds what independent
+errors allow share their weight. Labels that are known anchor the patterns they stand with. A logistic
+classifier then learns the posterior labels of documents from what is counted in each; a document's
+pattern of votes gives its label.
 """
 
 from __future__ import annotations
@@ -141,16 +141,11 @@ def fit_label_model(vote: np.ndarray, count: np.ndarray, label: np.ndarray, bala
     says = np.empty((voters, 2, 3))
     says[:, 0], says[:, 1] = (0.15, 0.8, 0.05), (0.05, 0.6, 0.35)
     model = LabelModel(balance, says, np.ones(voters))
-    for _ in range(10 if count.sum() else 0):
-        model = _accuracies(vote, count, label, model, rounds, smooth)
-        p = np.where(np.isnan(label), model.posterior(vote), np.nan_to_num(label))
-        beyond = correlations(vote, count, p)
-        weight = 1 / (1 + np.where(beyond > least, beyond, 0).sum(axis=1))
-        done = np.abs(weight - model.weight).max() < 0.01
-        model = LabelModel(model.balance, model.says, weight)
-        if done:
-            break
-    return model
+    if not count.sum():
+        return model
+    model = _accuracies(vote, count, label, model, rounds, smooth)
+    beyond = correlations(vote, count, model.posterior(vote))
+    return LabelModel(model.balance, model.says, 1 / (1 + np.where(beyond > least, beyond, 0).sum(axis=1)))
 
 
 def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
