@@ -2,9 +2,8 @@
 
 A streaming aggregation in RocksDB state, without watermark and so without expiry, holds for each
 digest the greatest (id, locator) and the number of rows. Its changes go to a table, one folder for
-each micro-batch. Texts that share a digest are then compared byte for byte: a digest's least and
-greatest text are equal if all are, and both are found in the scan tasks before anything is shuffled.
-A digest that stands for several texts is split by the texts themselves.
+each micro-batch. Texts that share a digest are then compared byte for byte, copies before they are
+shuffled. A digest that stands for several texts is split by the texts themselves.
 
 A caller's own folder keeps the state: a later call with the same folder reads only the files that
 came since, and holds them against all that came before.
@@ -68,14 +67,13 @@ def keep_state(seen: DataFrame, home: str, one_batch: bool = False) -> DataFrame
 
 
 def _marks(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, locator) of rows(id, text, digest, locator). Only
-    texts of shared digests leave their scan, and of those one or two for each task and digest."""
+    """(doc_id, keep_id, group_size, kept, digest, locator) of rows(id, text, digest, locator). A scan task
+    compares its own equal texts, and the rest are shuffled once to be compared."""
     shared = workspace.saved(state.where("group_size > 1"), "dedup-shared")
     slim = rows.select("id", "digest", "locator").join(shared, "digest", "left")
     kept = F.col("keep_locator").isNull() | (F.col("locator") == F.col("keep_locator"))
     plain = slim.select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", "locator")
-    hits = rows.select("text", "digest").join(shared.select("digest"), "digest", "left_semi")
-    clash = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("digest")
+    clash = rows.select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     clash = workspace.saved(clash, "dedup-clash")
     if not clash.isEmpty():
         # Different texts of one digest: the texts themselves are the groups. The stream's state

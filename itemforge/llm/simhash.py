@@ -142,11 +142,24 @@ class _Found:
         if not self.size:
             return tuple(np.empty(0, np.int64) for _ in (self.held[0] if self.held else "ab"))
         found = [np.concatenate(x) for x in zip(*self.held, strict=True)]
-        return _join(*found) if len(found) == 2 else forest(*found)
+        if len(found) == 2:
+            return _join(*found)
+        keep = np.union1d(forest(*found), nearest(*found))
+        return tuple(x[keep] for x in found)
 
 
-def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs at distances the least ones that join what all of them join (Boruvka's rounds): if one
+def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int = 4) -> np.ndarray:
+    """Which pairs are among the n nearest of one of their ends: more than a forest needs, so that a
+    pair that turns out to be no link seldom parts what others join."""
+    ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, d[pair], ends))
+    first = np.flatnonzero(np.diff(ends[order], prepend=ends[order[:1]] - 1))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    return np.unique(pair[order[place < n]])
+
+
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs at distances are the least ones that join what all of them join (Boruvka's rounds): if one
     of them turns out to be no link, any other pair that would join its two sides is as far or farther."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
@@ -170,8 +183,7 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.
         while (up != up[up]).any():
             up = up[up]
         label = up[label]
-    keep = np.unique(np.concatenate(chosen))
-    return a[keep], b[keep], d[keep]
+    return np.unique(np.concatenate(chosen))
 
 
 def _pairs(table: pa.Table, parts: list[np.uint64], budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +389,7 @@ def wide_links(classes: DataFrame, rings: int, near: int, full: int = WIDE_FULL)
     segment more than its budget, so a chain starts at a segment that agrees: a code goes to a bucket
     for each of its segments, and there chains are followed. The rows of a bucket of more than `full`
     codes are dealt over parts, and every two parts meet in a block, so nothing is lost. A task puts
-    out a forest of its pairs, the nearest ones that join what all of them do.
+    out the nearest of its pairs: those that join what all of them do, and four of each node.
     """
     workspace.ship(classes.sparkSession)
     keys = []
@@ -489,7 +501,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings:
     links = workspace.saved(links.distinct(), "candidates")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = workspace.saved(classes.join(ends, "node", "left_semi").select("node", F.col("first.locator").alias("place")), "places")
-    texts = docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")).join(places, "place")
+    texts = docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")).hint("merge").join(places, "place")
     sets = workspace.saved(_sets(texts, words), "sets")
     tied = components(verified(links, sets, similarity)).withColumnRenamed("node", "tied")
     rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")

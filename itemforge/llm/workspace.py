@@ -110,16 +110,19 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """A located table's rows but those whose locators are gone(locator); all columns kept. Spark
-    broadcasts the locators if they are few."""
+    """A located table's rows but those whose locators are gone(locator); all columns kept. Both sides
+    are shuffled at every size, so that the plan of a small table is that of a large one."""
     key = max(docs.columns, key=len) + "_at"  # longer than any column's name
-    rest = docs.withColumn(key, locator(docs)).join(gone.select(F.col("locator").alias(f"{key}_gone")), F.col(f"`{key}`") == F.col(f"`{key}_gone`"), "left_anti")
+    rest = docs.withColumn(key, locator(docs)).hint("merge").join(gone.select(F.col("locator").alias(f"{key}_gone")), F.col(f"`{key}`") == F.col(f"`{key}_gone`"), "left_anti")
     return rest.drop(key)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers once for each application."""
-    sc = spark.sparkContext
+    """Sends the package to the Python workers once for each application. Unless the session says how
+    many rows an Arrow batch has, it is a thousand from now on, since texts can be long."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, None) is None:
+        spark.conf.set(rows, "1000")
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
         there = tempfile.mkdtemp(prefix="itemforge-code-")  # on the driver, which serves it to the executors
