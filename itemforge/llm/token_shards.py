@@ -1,8 +1,14 @@
 """Token ids in shards of Re-Pair grammars.
 
-A shard holds the ids of neighbouring documents as a grammar: frequent pairs of symbols give way to
-new symbols, round after round, until a round saves too little. The rules and the length of what
-each one stands for are stored with the sequence, so any range of ids is decoded without the rest.
+A shard holds the ids of neighbouring documents as a grammar: the most frequent pairs of symbols give
+way to new symbols, round after round, until no pair is left at `least` places. The rules and the
+length of what each one stands for are stored with the sequence, so any range of ids is decoded
+without the rest.
+
+A round replaces many pairs at once: every pair at those of its places where no more frequent pair
+overlaps it, so the result is what pairs taken singly would give but for ties in between. Counts are
+kept up by place: a place takes part again only if its pair was frequent or holds a new symbol, since
+the places of an old pair never grow in number.
 """
 
 from __future__ import annotations
@@ -20,119 +26,128 @@ from pyspark.sql import functions as F
 from itemforge.llm import ordered, workspace
 from itemforge.llm.tokens import encoder
 
-#: The first bytes of a shard, and its header: terminals, rules, symbols, bytes a symbol.
-MAGIC = b"RPG1"
-HEADER = "<4I"
+#: The first bytes of a shard, and its header: terminals, rules, symbols, bytes a symbol,
+#: bytes a length.
+MAGIC = b"RPG2"
+HEADER = "<5I"
 SHARD_SCHEMA = "part int, shard int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _NONE = np.uint32(0xFFFFFFFF)
-#: The multiplier of the pair table's hash, and the bits of a slot.
-_ODD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 17
-
-
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * _ODD >> np.uint64(64 - _SLOTS)).astype(np.int64)
-
-
-def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that stand at `least` places or more, the most frequent first, and a table from a
-    pair's slot to its place. Of pairs in one slot the most frequent stays; a later round may take
-    the others."""
-    run = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    count = np.diff(np.append(first, len(run)))
-    often = count >= least
-    pairs, count = run[first[often]], count[often]
-    pairs = pairs[np.argsort(-count, kind="stable")]
-    pairs = pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]
-    table = np.full(1 << _SLOTS, len(pairs), dtype=np.uint32)
-    table[_slot(pairs)] = np.arange(len(pairs), dtype=np.uint32)
-    return pairs, table
-
-
-def _chosen(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions to replace, no two overlapping: where a pair is more frequent than the pairs that
-    overlap it. Also each one's index in pairs."""
-    rank = table[_slot(keys)]
-    rank[np.append(pairs, ~np.uint64(0))[rank] != keys] = _NONE
-    twice = np.flatnonzero((seq[1:] == seq[:-1]) & (rank != _NONE))
-    if len(twice):  # in a run of one symbol every second pair counts
-        n = np.arange(len(twice))
-        start = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(twice) > 1)), n, 0))
-        rank[twice[(n - start) % 2 == 1]] = _NONE
-    best = np.ones(len(rank), dtype=bool)
-    np.less(rank[1:], rank[:-1], out=best[1:])
-    best[:-1] &= rank[:-1] < rank[1:]
-    best &= rank != _NONE
-    found = np.flatnonzero(best)
-    return found, rank[found]
-
-
-def compress(ids: np.ndarray, terminals: int, least: int = 16, saving: float = 0.04) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, their expansion lengths, symbols). Symbols from `terminals` on are rules."""
-    seq, rules = ids.astype(np.uint32), np.empty((0, 2), dtype=np.uint32)
-    lengths = np.empty(0, dtype=np.uint32)
-    while len(seq) > 1:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        pairs, table = _frequent(keys, least)
+#: The multiplier of the hash that counts pairs at first, and the bits of a slot.
+_ODD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
+
+
+def _in_runs(seq: np.ndarray) -> np.ndarray:
+    """The places of pairs of one symbol that overlap the one before: every second one of a run."""
+    twice = np.flatnonzero(seq[1:] == seq[:-1])
+    n = np.arange(len(twice))
+    start = np.maximum.accumulate(np.where(np.diff(twice, prepend=-2) > 1, n, 0))
+    return twice[(n - start) % 2 == 1]
+
+
+def _frequent(places: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, ranks): pairs at `least` places or more, the most frequent first, and of each of
+    their places which pair it is."""
+    slot = (keys * _ODD >> np.uint64(64 - _SLOTS)).astype(np.int64)
+    may = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= least  # no pair is rarer than its slot says
+    places, keys = places[may], keys[may]
+    order = np.argsort(keys)
+    places, keys = places[order], keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    count = np.diff(first, append=len(keys))
+    often = np.flatnonzero(count >= least)
+    often = often[np.argsort(-count[often], kind="stable")]
+    rank = np.full(len(count), _NONE)
+    rank[often] = np.arange(len(often), dtype=np.uint32)
+    rank = np.repeat(rank, count)
+    return keys[first[often]], places[rank != _NONE], rank[rank != _NONE]
+
+
+def compress(ids: np.ndarray, terminals: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, their expansion lengths, symbols). Symbols from `terminals` on are rules. It ends when no
+    pair stands at `least` places that do not overlap: by default, when no rule would pay for itself,
+    since a rule takes the bytes of two or three symbols and each use saves one."""
+    seq, lengths = ids.astype(np.uint32), np.ones(terminals, dtype=np.uint32)
+    rules = [np.empty((0, 2), dtype=np.uint32)]
+    active = np.ones(max(0, len(seq) - 1), dtype=bool)
+    while True:
+        runs, taking = _in_runs(seq), active.copy()
+        taking[runs] = False
+        places = np.flatnonzero(taking)
+        pairs, places, ranks = _frequent(places, seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1], least)
         if not len(pairs):
-            break
-        found, which = _chosen(seq, keys, pairs, table)
-        uses = np.bincount(which, minlength=len(pairs))
-        worth = uses >= 4
+            return np.concatenate(rules), lengths[terminals:], seq
+        rank = np.full(len(seq) + 1, _NONE)  # of the places from -1 to the end
+        rank[places + 1] = ranks
+        here = rank[1:-1]
+        found = np.flatnonzero((here != _NONE) & (here <= rank[:-2]) & (here <= rank[2:]))
+        which = here[found]
+        worth = np.bincount(which, minlength=len(pairs)) >= least  # the most frequent pair always is
         found, which = found[worth[which]], which[worth[which]]
-        if not len(found) or len(found) < saving * len(seq):
-            break
-        number = np.cumsum(worth) - 1
         new = np.stack([pairs[worth] >> np.uint64(32), pairs[worth] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        known = np.concatenate([np.ones(terminals, dtype=np.uint32), lengths])
-        base = terminals + len(rules)
+        live = here != _NONE
+        live[runs] = live[found] = live[found[found > 0] - 1] = True
+        seq[found] = (len(lengths) + np.cumsum(worth) - 1)[which].astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[found + 1] = False
-        seq[found] = (base + number[which]).astype(np.uint32)
         seq = seq[keep]
-        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, known[new].sum(axis=1, dtype=np.uint32)])
-    return rules, lengths, seq
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while len(rules) and (rule := seq >= terminals).any():
-        at = np.arange(len(seq)) + np.cumsum(rule) - rule
-        out = np.empty(len(seq) + int(rule.sum()), dtype=np.uint32)
-        pair = rules[seq[rule] - terminals]
-        out[at[~rule]] = seq[~rule]
-        out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq.astype(np.uint32, copy=False)
+        active = np.append(live, True)[keep][: len(seq) - 1]
+        lengths = np.concatenate([lengths, lengths[new].sum(axis=1, dtype=np.uint32)])
+        rules.append(new)
 
 
 def to_bytes(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray, terminals: int) -> bytes:
     kind = np.dtype("<u2" if terminals + len(rules) <= 0x10000 else "<u4")
-    head = MAGIC + struct.pack(HEADER, terminals, len(rules), len(seq), kind.itemsize)
-    return head + rules.astype(kind).tobytes() + lengths.astype("<u4").tobytes() + seq.astype(kind).tobytes()
-
-
-def from_bytes(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(rules, expansion lengths, symbols, terminals)."""
-    if payload[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    terminals, n_rules, n, width = struct.unpack_from(HEADER, payload, 4)
-    kind, at = np.dtype(f"<u{width}"), 4 + struct.calcsize(HEADER)
-    rules = np.frombuffer(payload, kind, 2 * n_rules, at).reshape(-1, 2).astype(np.uint32)
-    at += rules.size * width
-    lengths = np.frombuffer(payload, "<u4", n_rules, at)
-    return rules, lengths, np.frombuffer(payload, kind, n, at + 4 * n_rules).astype(np.uint32), terminals
-
-
-def read_range(payload: bytes, start: int, length: int) -> np.ndarray:
-    """Ids start to start+length of a shard, expanding only the symbols that cover them."""
-    rules, lengths, seq, terminals = from_bytes(payload)
-    size = np.concatenate([np.ones(terminals, dtype=np.int64), lengths])[seq]
-    ends = np.cumsum(size)
-    first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + length, side="left")
-    before = int(ends[first - 1]) if first else 0
-    return expand(seq[first : last + 1], rules, terminals)[start - before : start - before + length]
+    size = np.min_scalar_type(int(lengths.max(initial=0))).newbyteorder("<")
+    head = MAGIC + struct.pack(HEADER, terminals, len(rules), len(seq), kind.itemsize, size.itemsize)
+    return head + rules.astype(kind).tobytes() + lengths.astype(size).tobytes() + seq.astype(kind).tobytes()
+
+
+class Shard:
+    """A shard for random access: any range of its ids, by the lengths that it stores."""
+
+    def __init__(self, payload: bytes):
+        if payload[:4] != MAGIC:
+            raise ValueError("not a token shard")
+        self.terminals, n_rules, n, width, size = struct.unpack_from(HEADER, payload, 4)
+        kind, at = np.dtype(f"<u{width}"), 4 + struct.calcsize(HEADER)
+        self.rules = np.frombuffer(payload, kind, 2 * n_rules, at).reshape(-1, 2).astype(np.uint32)
+        lengths = np.frombuffer(payload, f"<u{size}", n_rules, at + 2 * n_rules * width).astype(np.int64)
+        self.seq = np.frombuffer(payload, kind, n, at + n_rules * (2 * width + size)).astype(np.uint32)
+        self.lengths = np.concatenate([np.ones(self.terminals, dtype=np.int64), lengths])
+        self.ends = np.cumsum(self.lengths[self.seq])
+        # What each rule stands for, one after another; only rules of a lesser number stand in a rule.
+        self.at = np.cumsum(lengths) - lengths
+        self.flat = self._flat(int(lengths.sum()))
+
+    def _flat(self, n: int) -> np.ndarray:
+        flat = np.empty(n, dtype=np.uint32)
+        place, symbol = np.repeat(self.at, 2), self.rules.reshape(-1)
+        place[1::2] += self.lengths[self.rules[:, 0]]
+        while len(symbol):
+            rule = symbol >= self.terminals
+            flat[place[~rule]] = symbol[~rule]
+            place, inner = place[rule], self.rules[symbol[rule] - self.terminals]
+            place = np.stack([place, place + self.lengths[inner[:, 0]]], axis=1).reshape(-1)
+            symbol = inner.reshape(-1)
+        return flat
+
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """Ids start to start+n; only the symbols that cover them are expanded."""
+        first, last = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, start + n, side="left")
+        seq = self.seq[first : last + 1]
+        if not len(seq) or not n:
+            return np.empty(0, dtype=np.uint32)
+        size = self.lengths[seq]
+        ends = np.cumsum(size)
+        before = int(self.ends[first] - size[0])
+        rule = seq >= self.terminals
+        out = np.repeat(seq, size)
+        if rule.any():
+            inside = np.repeat(rule, size)
+            from_rule = np.repeat(np.where(rule, self.at[np.where(rule, seq - np.uint32(self.terminals), 0)] - (ends - size), 0), size)
+            out[inside] = self.flat[(from_rule + np.arange(len(out)))[inside]]
+        return out[start - before : start - before + n]
 
 
 def write_shards(
@@ -192,7 +207,7 @@ _ARROW = pa.schema(
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """DOC_SCHEMA from shards: each document's place in the whole sequence, its number of ids and
-    their unsigned crc32. The driver gathers one total for each part, no more than there were
+    their unsigned crc32, each read by random access. The driver gathers one total for each part, no more than there were
     tasks."""
     workspace.ship(shards.sparkSession)
     before, total = {}, 0
@@ -202,11 +217,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                rules, _, seq, terminals = from_bytes(row["payload"])
-                ids = memoryview(expand(seq, rules, terminals).astype("<u4").tobytes())
-                ends = np.cumsum(row["doc_tokens"])
-                starts = ends - row["doc_tokens"]
-                crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                shard = Shard(row["payload"])
+                starts = np.cumsum(row["doc_tokens"]) - row["doc_tokens"]
+                crc = [zlib.crc32(shard.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), row["doc_tokens"], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + (before[row["part"]] + row["first_token"])), pa.array(row["doc_tokens"], pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],

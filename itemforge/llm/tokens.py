@@ -2,7 +2,8 @@
 
 The word-level tokenizer splits text at white space before it merges, so the ids of a text are
 the ids of its pre-tokens in order. A printable Latin-1 text is split by the tokenizer's own rule,
-and each distinct pre-token goes to the library once, its ids staying in a bounded memo. Any other
+and each distinct pre-token goes to the library once, with the others that are new in its text, its
+ids staying in a bounded memo. Any other
 text is cut at its spaces and line ends, and each distinct chunk of it goes to the library whole,
 since normalising such characters and finding special tokens is left to the library.
 """
@@ -14,6 +15,8 @@ import re
 from functools import lru_cache
 from struct import pack
 
+import numpy as np
+
 #: The tokenizer file's split pattern over printable Latin-1 characters.
 PRETOKEN = re.compile(
     r"[a-zªµºÀ-ÖØ-öø-ÿ]+"
@@ -23,6 +26,10 @@ PRETOKEN = re.compile(
 )
 
 
+#: Longer words are encoded anew each time, which bounds the memo's bytes.
+LONGEST = 64
+
+
 class _Memo(dict):
     """Ids by word, of bounded size: when it is full, a second generation begins and the one before
     the last is dropped. A missing word is encoded by the library."""
@@ -35,10 +42,14 @@ class _Memo(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+        return self.put(word, ids)
+
+    def put(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -50,29 +61,55 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.pieces, self.chunks = _Memo(self._library, limit), _Memo(self._library, limit // 10)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _library(self, word: str) -> bytes:
         ids = self.library.encode(word, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
-    def _words(self, text: str):
-        """The text's words, and the memo that holds their ids."""
-        text = text.replace("\n", " ")
-        if text.isprintable() and "<|" not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return PRETOKEN.findall(text.lower()), self.pieces
-        return text.split(" "), self.chunks
+    def _learn(self, words: set[str]) -> None:
+        """Ids of pre-tokens that the memo lacks, by one call: white space parts them, and the ids that
+        end one tell them apart again."""
+        new, old = [], self.pieces.old
+        for w in words:
+            if w in old:
+                self.pieces.put(w, old[w])
+            elif len(w) <= LONGEST:
+                new.append(w)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):  # else each is looked up for itself
+                data, edges = ids.tobytes(), [0, *(4 * cut).tolist()]
+                for w, a, b in zip(part, edges, edges[1:], strict=False):
+                    self.pieces.put(w, data[a:b])
+
+    def _plain(self, text: str) -> bool:
+        """Whether a text is split by PRETOKEN as the library would."""
+        if not text.isprintable() or "<|" in text:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        words, memo = self._words(text)
-        return b"".join(map(memo.__getitem__, words))
+        text = text.replace("\n", " ")
+        if not self._plain(text):
+            return b"".join(map(self.chunks.__getitem__, text.split(" ")))
+        words = PRETOKEN.findall(text.lower())
+        parts = list(map(self.pieces.get, words))
+        if None in parts:
+            self._learn({w for w, ids in zip(words, parts, strict=True) if ids is None})
+            parts = map(self.pieces.__getitem__, words)
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
