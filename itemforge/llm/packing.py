@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,30 +135,29 @@ class Packer:
             yield from self._sequence([now[i] for i in group])
 
     def finish(self) -> Iterator[tuple]:
-        """Packs the rest. What would leave the last windows far from full is cut off the end into
-        sequences of powers of two, which need no padding."""
-        over, tail = self.held % self.capacity, []
-        keep = self.held - over - (self.held // self.capacity * self.capacity // 64)
-        if self.held // self.capacity < 64:
-            while self.open and self.held > keep:
-                doc, start, ids, n = self.open.pop()
-                length = len(ids) // 4
-                drop = min(length, self.held - keep)
-                if drop < length:
-                    self.open.append((doc, start, ids[: 4 * (length - drop)], n))
-                tail.append((doc, start + length - drop, ids[4 * (length - drop) :], n))
-                self.held -= drop
+        """Packs the rest. What its windows would hold beyond 63 parts of 64 is cut off the end into
+        sequences of powers of two, which need no padding; so the last windows are as full as others."""
+        whole, tail = self.held // self.capacity, []
+        keep = whole * self.capacity - whole * self.capacity // 64
+        while self.held > keep:
+            doc, start, ids, n = self.open.pop()
+            length = len(ids) // 4
+            drop = min(length, self.held - keep)
+            if drop < length:
+                self.open.append((doc, start, ids[: 4 * (length - drop)], n))
+            tail.append((doc, start + length - drop, ids[4 * (length - drop) :], n))
+            self.held -= drop
         if self.open:
             yield from self._pack(self.held)
-        left = tail[::-1]
+        left = deque(reversed(tail))
         for size in tail_sizes(sum(len(p[2]) // 4 for p in left), self.capacity):
             pieces, room = [], size
             while room:
-                doc, start, ids, n = left.pop(0)
+                doc, start, ids, n = left.popleft()
                 take = min(room, len(ids) // 4)
                 pieces.append((doc, start, ids[: 4 * take], n))
                 if take < len(ids) // 4:
-                    left.insert(0, (doc, start + take, ids[4 * take :], n))
+                    left.appendleft((doc, start + take, ids[4 * take :], n))
                 room -= take
             yield from self._sequence(pieces)
 
@@ -171,7 +171,7 @@ def pack(
     tokenizer: str,
     end_id: int = 1,
     capacity: int = 2048,
-    grain: int = 256,
+    grain: int = 512,
     batch: int = 256,
     id_column: str = "doc_id",
     text_column: str = "text",
