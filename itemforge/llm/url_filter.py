@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from itemforge.llm import workspace
 
 #: Characters of context at most. With the 35 symbols below, a model has at most 35 to the power
-#: ORDER + 1 grams of that length, which bounds what is broadcast.
+#: ORDER + 1 grams of that length.
 ORDER = 3
+#: A text of more than one in so many rows is hot: there are no more such texts than this.
+HOT = 1000
 #: Fixed values: (verdict, host and path) of the rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words whose URLs are rejected examples unless a rule allows them, and the words
@@ -86,17 +88,19 @@ def train(examples: DataFrame, order: int = ORDER) -> DataFrame:
         smooth = {f"p{c}": F.when(F.col(f"n{c}") > 0, (F.col(c) + F.col(f"t{c}") * F.col(f"q{c}")) / (F.col(f"n{c}") + F.col(f"t{c}"))).otherwise(F.col(f"q{c}")) for c in "ar"}
         level = workspace.saved(seen.withColumns(smooth).select("gram", "pa", "pr"), "url-model")
         model = level if model is None else model.union(level)
-    return model.select("gram", F.round(F.log("pa") - F.log("pr"), 9).alias("ratio"))
+    return workspace.saved(model.select("gram", F.round(F.log("pa") - F.log("pr"), 9).alias("ratio")), "url-ratios")
 
 
 def score(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(text, score) of distinct symbol texts: the mean of each symbol's ratio at the longest gram that
-    the model has, 0 where it has none. A short text has as many terms as symbols."""
+    the model has, 0 where it has none. A short text has as many terms as symbols. Spark broadcasts the
+    grams of one length if they are small enough, and else joins them by shuffle, which adaptive
+    execution splits where a gram is frequent."""
     rows = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
     for k in range(order + 1):
         gram = F.when(F.col("i") > k, F.substring("text", F.col("i") - k, F.lit(k + 1)))
         part = model.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        rows = rows.withColumn("at", gram).join(F.broadcast(part), F.col("at") == F.col(f"g{k}"), "left").drop(f"g{k}", "at")
+        rows = rows.withColumn("at", gram).join(part, F.col("at") == F.col(f"g{k}"), "left").drop(f"g{k}", "at")
     best = F.coalesce(*[F.col(f"r{k}") for k in range(order, -1, -1)], F.lit(0.0))
     # Whole numbers add up to the same sum in any order.
     return rows.groupBy("text").agg((F.sum(F.round(best * 1e9).cast("long")) / F.count("*") / 1e9).alias("score"))
@@ -116,7 +120,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, order: int = ORDER, seed_weigh
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "text": symbols(F.col("host"), F.col("path"), rule)})
-    texts = workspace.saved(rows.select("text", "ruled", F.lit(1.0).alias("weight")).distinct(), "url-texts")
+    texts = workspace.saved(rows.groupBy("text", "ruled").agg(F.count("*").alias("n"), F.lit(1.0).alias("weight")), "url-texts")
     bad = F.col("text").rlike("|".join(REJECTED))
     known = texts.select("text", (F.coalesce("ruled", F.when(bad, F.lit("block")), F.lit("allow")) == "allow").alias("accepted"), "weight")
     seeds = [(s, a) for a, group in ((True, ACCEPTED), (False, REJECTED)) for s in group]
@@ -126,5 +130,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, order: int = ORDER, seed_weigh
     accepted = examples.where("accepted").join(scores, "text")
     threshold = accepted.agg(F.percentile_approx("score", false_blocks, 10_000)).first()[0]
     says = F.coalesce("ruled", F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block")))
-    marked = rows.join(scores, "text")
+    # Many URLs may come down to one text. The scores of such texts are few and go to the rows; the rows
+    # of all others meet theirs by shuffle or broadcast, as their size asks for.
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    hot = workspace.saved(texts.groupBy("text").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > total).join(scores, "text").select("text", "score"), "url-hot")
+    rest = rows.join(F.broadcast(hot.select("text")), "text", "left_anti")
+    marked = rows.join(F.broadcast(hot), "text").unionByName(rest.join(scores, "text"))
     return marked.select("page_id", "host", "path", "rule", F.round("score", 9).alias("score"), says.alias("verdict"))
