@@ -29,17 +29,18 @@ _MASK = (1 << 64) - 1
 
 def digests(text: str) -> list[int]:
     """The distinct digests of a text: one for each line's pieces of at most PIECE words, white space
-    aside. A piece that comes again counts with its number, so that a set holds repeats."""
+    aside. A piece that comes again counts with its number, so that a set holds repeats. Of two pieces
+    with one digest, which chance allows, the second is left out."""
     seen: dict[str, int] = {}
-    out = []
+    out: dict[int, None] = {}
     for line in text.split("\n"):
         words = line.split()
         for k in range(0, len(words), PIECE):
             piece = " ".join(words[k : k + PIECE])
             n = seen.get(piece, 0)
             seen[piece] = n + 1
-            out.append(xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), n))
-    return out
+            out[xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), n)] = None
+    return list(out)
 
 
 def _check(digest: int) -> int:
@@ -109,13 +110,16 @@ class Sketch:
 
 def difference(a: list[int], b: list[int], cells: int = CELLS) -> tuple[list[int], list[int]]:
     """The digests that only a and only b hold, by sketches, larger ones after each failure. No
-    fewer cells are tried than the sizes alone ask for."""
+    fewer cells are tried than the sizes alone ask for. Sketches of many times as many cells as there
+    are digests fail only if digests share all their cells, at any size; then the sets themselves are
+    subtracted."""
     while cells < abs(len(a) - len(b)):
         cells *= 2
-    while True:
+    while cells <= 64 * (len(a) + len(b) + CELLS):
         if found := Sketch(cells).add(a).subtract(Sketch(cells).add(b)).peel():
             return found
         cells *= 2
+    return list(set(a).difference(b)), list(set(b).difference(a))
 
 
 def likeness(a: list[int], b: list[int]) -> float:
