@@ -92,7 +92,7 @@ class Model:
 
     def may_follow(self, key: int) -> bool:
         """Whether of two pieces, a << 32 | b, the second may follow the first."""
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 500_000:
             self.follows.clear()
         a, b = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
         known = self.follows[key] = self.merged(a + b) == [a, b]
@@ -173,6 +173,10 @@ class _Walk:
         self.piece.append(best[2])
 
 
+#: Longer words leave the memo after their batch, which bounds its bytes.
+LONGEST = 64
+
+
 class Encoder:
     """Encodes and decodes texts; the ids of words stay in a bounded memo."""
 
@@ -218,7 +222,11 @@ class Encoder:
         self.learn(words)
         if not words <= self.memo.keys():  # the memo was begun anew
             self.learn(words)
-        return [b"".join(map(self.memo.__getitem__, s)) for s in split]
+        out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
+        for word in words:
+            if len(word) > LONGEST:
+                del self.memo[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: marks become spaces, the first of them goes, bytes come together."""
@@ -243,7 +251,9 @@ SCHEMA = "doc_id long, ids binary, n_tokens long, ids_crc32 long, decoded string
 
 def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = True) -> DataFrame:
     """SCHEMA for every document: the ids of its whole text, their number and unsigned crc32, and the
-    text that they decode to. A text is given back whole unless it holds the mark itself, which
+    text that they decode to. The best-scored segmentation (Viterbi) is what a unigram model asks for;
+    under a BPE model it is not what the merges give, so there the same walk over the trie keeps for
+    each prefix the one last piece that merging leaves, without scores. A text is given back whole unless it holds the mark itself, which
     decodes to a space. Null and empty texts have no ids; null ids stay null; repeated rows come out
     as often; other columns are not read; an empty table gives no rows."""
     workspace.ship(docs.sparkSession)

@@ -76,7 +76,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids under the piece model, and whether they decode to its text."""
+    """Every document's ids under the piece model, and the digest of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
