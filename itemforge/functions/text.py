@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,22 +19,66 @@ TYPOGRAPHY = {
 }
 #: Punctuation that counts as legible.
 PUNCTUATION = ".,;:!?()[]{}\"'`´/\\|@#$%&*+-=<>_~^°ºª§–—…"
-#: Delimiters after a marker.
-DELIMITER = r"[.)\]:‐-―-]"
+#: Delimiters after a marker, and words before a question's number, without accents.
+DELIMITERS = ".)]:-‐‑‒–—―"
+QUESTION_WORD = r"^(questao|quest\.|q\.)\s*"
 
 
-def _nfkc(text: Column) -> Column:
-    def compose(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    return F.pandas_udf(compose, "string")(text)
 
-
-def clean(text: Column, exact: bool = False) -> Column:
-    """Typographic characters as plain ones, white space collapsed and trimmed, null as empty.
-    `exact` applies NFKC first, which Spark lacks; it changes compatibility characters only."""
-    text = F.coalesce(text, F.lit(""))
-    text = F.replace(_nfkc(text) if exact else text, F.lit("…"), F.lit("..."))
+@lru_cache(maxsize=1)
+def _compatibility() -> tuple[str, str, str, dict[str, str], dict[str, str]]:
+    """What NFKC does to single characters of the basic plane, by rule: those that become one other, as
+    two strings; a class of all that it may change; those that become several or none; and sequences
+    of a letter and marks that become one letter."""
+    one, several, joined, changed = {}, {}, {}, []
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        new, apart = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFD", c)
+        if new != c:
+            (one if len(new) == 1 else several)[c] = new
+        if new != c or unicodedata.combining(c):
+            changed.append(code)
+        if len(apart) > 1 and not 0xAC00 <= code < 0xD7B0 and unicodedata.normalize("NFC", apart) == c:
+            joined[apart] = c
+    runs = [[changed[0], changed[0]]]
+    for code in changed[1:]:
+        if code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(one), "".join(one.values()), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]", several, joined
+
+
+def _lookup(text: Column, pattern: str, table: dict[str, str]) -> Column:
+    """The text with each match of a pattern that the table has replaced by what the table says. Only the
+    distinct matches are looked up."""
+    pairs = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.aggregate(found, text, lambda done, x: F.replace(done, x, F.coalesce(F.try_element_at(pairs, x), x)))
+
+
+def compose(text: Column) -> Column:
+    """NFKC of a text, by Spark's own functions, for characters of the basic plane and for letters with
+    up to two marks. A text without any character that NFKC could change is not touched."""
+    before, after, changed, several, joined = _compatibility()
+    alone = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+
+    def composed(t: Column) -> Column:
+        single = _lookup(F.translate(t, before, after), alone, several)
+        return _lookup(_lookup(single, r"\P{M}\p{M}{2}", joined), r"\P{M}\p{M}", joined)
+
+    # Most texts have no character beyond ASCII and the letters of Latin-1, and are not looked at again.
+    other = text.rlike(r"[^\x00-\x7F\xC0-\xFF]")
+    return F.when(other, _let(text, lambda t: F.when(t.rlike(changed), composed(t)).otherwise(t))).otherwise(text)
+
+
+def clean(text: Column) -> Column:
+    """NFKC, typographic characters as plain ones, white space collapsed and trimmed, null as empty."""
+    text = F.replace(compose(F.coalesce(text, F.lit(""))), F.lit("…"), F.lit("..."))
     kept = {k: v for k, v in TYPOGRAPHY.items() if v}
     gone = "".join(k for k, v in TYPOGRAPHY.items() if not v)
     text = F.translate(text, "".join(kept) + gone, "".join(kept.values()))
@@ -57,8 +101,8 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_accents()), r"[̀-ͯ]", "")
 
 
-def normalize(text: Column, exact: bool = False) -> Column:
-    return F.lower(fold_accents(clean(text, exact)))
+def normalize(text: Column) -> Column:
+    return F.lower(fold_accents(clean(text)))
 
 
 def slug(text: Column) -> Column:
@@ -92,11 +136,11 @@ def tokens(text: Column) -> Column:
 def matches_all(text: Column, query: str) -> Column:
     """Every word of the query begins some word of the text; quotes count as spaces, case and accents
     do not count. A query without words matches nothing."""
-    found = F.lit(True)
-    words = query.replace('"', " ").split()
-    for w in words:
-        found = found & F.contains(tokens(text), F.rtrim(tokens(F.lit(w))))
-    return found if words else F.lit(False)
+    words = [F.rtrim(tokens(F.lit(w))) for w in query.replace('"', " ").split()]
+    if not words:
+        return F.lit(False)
+    # The text's words are put in order once, then each of the query's is looked for.
+    return F.exists(F.array(tokens(text)), lambda t: F.forall(F.array(*words), lambda w: F.contains(t, w)))
 
 
 def term_hits(text: Column, term: Column | str) -> Column:
@@ -105,6 +149,12 @@ def term_hits(text: Column, term: Column | str) -> Column:
     return F.regexp_count(text, F.concat(F.lit("(?<![a-z0-9])"), term))
 
 
+def longest_terms(text: Column, terms: list[str]) -> Column:
+    """The longest of the terms at each place of normalised text where one begins a word, in order."""
+    choice = "|".join(rf"\Q{t}\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
+    return F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])(?=({choice}))"), F.lit(1))
+
+
 def legible_share(text: Column, sample: int = 20_000) -> Column:
     """Share of letters, digits, spaces and usual punctuation in the first characters; null for none."""
     part = F.substring(text, 1, sample)
@@ -148,40 +198,70 @@ def column_index(reference: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64) - 1
 
 
-_PREFIX = r"(quest[aã]o\s*|quest\.\s*|q\.\s*)"
-_NUMBER_FORMS = (
-    rf"(?iu)^{_PREFIX}?(\d{{1,3}})\s*({DELIMITER})?\s*$",
-    rf"(?iu)^{_PREFIX}?(\d{{1,3}})\s*({DELIMITER})(?:\s+(?=\S)|(?=\p{{L}}))",
-    rf"(?iu)^{_PREFIX}(\d{{1,3}})\s*({DELIMITER})?\s*(?=\S|$)",
-)
-_LETTER_FORMS = (
-    rf"^([(\[])?([a-eA-E])({DELIMITER})?\s*$",
-    rf"^([(\[])?([a-eA-E])({DELIMITER})\s*(?=\S)",
-    rf"^([(\[])([a-eA-E])({DELIMITER})?\s*(?=\S)",
-)
-
-
-def _marker(first: Column, others: Column, forms: tuple[str, ...]) -> Column:
-    """The first form that fits, strict ones first: value, rest of the line, and whether a prefix or
-    delimiter makes it strong."""
-    first = clean(first)
-    out = F.lit(None).cast("struct<value:string,rest:string,strong:boolean>")
-    for form in reversed(forms):
-        strong = (F.length(F.regexp_extract(first, form, 1)) > 0) | (F.length(F.regexp_extract(first, form, 3)) > 0)
-        rest = strip_leaders(F.concat_ws(" ", F.regexp_replace(first, form, ""), others))
-        found = F.struct(F.regexp_extract(first, form, 2).alias("value"), rest.alias("rest"), strong.alias("strong"))
-        out = F.when(first.rlike(form), found).otherwise(out)
-    return out
+def _after(text: Column, taken: Column) -> Column:
+    return F.substring(text, F.length(taken) + 1, F.length(text))
+
+
+def _delimiter(text: Column) -> Column:
+    """The delimiter that a text begins with, else nothing."""
+    first = F.substring(text, 1, 1)
+    return F.when((first != "") & F.contains(F.lit(DELIMITERS), first), first).otherwise("")
+
+
+MARKER = "struct<value:string,rest:string,strong:boolean>"
+
+
+def _marker(found: Column, others: Column | None) -> Column:
+    """MARKER from an array of at most one found(value, rest, strong), with the rest of its line."""
+    more = F.lit("") if others is None else others
+    out = F.transform(found, lambda m: F.struct(m["value"].alias("value"), strip_leaders(F.concat_ws(" ", m["rest"], more)).alias("rest"), m["strong"].alias("strong")))
+    return F.try_element_at(out, F.lit(1))
+
+
+def _split(parts: Column, take: Callable[[Column], Column]) -> Column:
+    """parts(taken array, rest) after one more part was taken off the rest's beginning."""
+    return _let(parts, lambda p: _let(take(p["rest"]), lambda t: F.struct(F.concat(p["taken"], F.array(t)).alias("taken"), _after(p["rest"], t).alias("rest"))))
+
+
+def _parts(text: Column, *takes: Callable[[Column], Column]) -> Column:
+    parts = F.struct(F.array().cast("array<string>").alias("taken"), text.alias("rest"))
+    for take in takes:
+        parts = _split(parts, take)
+    return parts
 
 
 def number_marker(first: Column, others: Column | None = None) -> Column:
-    """The question number that a line's first fragment opens with."""
-    return _marker(fix_leading_zero(clean(first)), F.lit("") if others is None else others, _NUMBER_FORMS)
+    """The question number that a line's first fragment opens with.
+
+    The strictest is a number that stands alone, perhaps after a word for question and before a
+    delimiter. A delimiter makes text after it a question's if a space or a letter follows, so that a
+    decimal is none. The word makes any text one. The number has three digits at most.
+    """
+
+    def word(t: Column) -> Column:
+        return F.substring(t, F.lit(1), F.length(F.regexp_extract(F.lower(fold_accents(t)), QUESTION_WORD, 0)))
+
+    def found(p: Column) -> Column:
+        given, digits, mark, rest = p["taken"][0], p["taken"][1], p["taken"][3], p["rest"]
+        alone, opens = F.trim(rest) == "", (mark != "") & rest.rlike(r"^(\s|\p{L})")
+        good = F.length(digits).between(1, 3) & (alone | opens | (given != ""))
+        return F.filter(F.array(F.struct(digits.alias("value"), F.ltrim(rest).alias("rest"), ((given != "") | (mark != "")).alias("strong"))), lambda m: good)
+
+    parts = _parts(fix_leading_zero(clean(first)), word, lambda t: F.regexp_extract(t, "^[0-9]+", 0), lambda t: F.regexp_extract(t, "^ +", 0), _delimiter)
+    return _marker(_let(parts, found), others)
 
 
 def letter_marker(first: Column, others: Column | None = None) -> Column:
-    """The option letter that a line's first fragment opens with."""
-    return _marker(first, F.lit("") if others is None else others, _LETTER_FORMS)
+    """The option letter, A to E, that a line's first fragment opens with: alone, before a delimiter, or
+    after an opening bracket, which a scanner may have left unclosed."""
+
+    def found(p: Column) -> Column:
+        bracket, value, mark, rest = p["taken"][0], p["taken"][1], p["taken"][2], p["rest"]
+        good = F.upper(value).isin("A", "B", "C", "D", "E") & ((F.trim(rest) == "") | (mark != "") | (bracket != ""))
+        return F.filter(F.array(F.struct(value.alias("value"), F.ltrim(rest).alias("rest"), ((bracket != "") | (mark != "")).alias("strong"))), lambda m: good)
+
+    parts = _parts(clean(first), lambda t: F.regexp_extract(t, r"^[(\[]", 0), lambda t: F.substring(t, 1, 1), _delimiter)
+    return _marker(_let(parts, found), others)
 
 
 def answer_letter(raw: Column, letters: str = "ABCDE") -> Column:

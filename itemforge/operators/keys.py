@@ -7,17 +7,61 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
 
-#: Words for an annulled item, after folding.
+#: Words for an annulled item, after folding; words and marks between two answers; marks
+#: between a number and its answer.
 ANNULLED = ("ANULADA", "ANULADO", "ANULAR", "NULA", "NULO", "CANCELADA", "X", "XX", "*", "**")
-_JOINT = r"(?:/|,|;|\+|&|\bE\b|\bOU\b)"
-#: A number that no digit comes before, an optional delimiter, an answer that no letter follows.
-PAIR = rf"(?:QUESTAO\s*)?(?<!\d)(\d{{1,3}})\s*[-.):\]|]?\s*([A-E](?:\s*{_JOINT}\s*[A-E])*|ANULAD[AO]|ANULAR|NUL[AO]|CANCELADA|XX?|\*{{1,2}}(?!\*))(?![A-Z0-9])"
+BETWEEN = ("/", ",", ";", "+", "&", "E", "OU")
+AFTER_NUMBER = ("-", ".", ")", ":", "]", "|")
+LETTERS = ("A", "B", "C", "D", "E")
+#: What a pair of a number and an answer is waiting for.
+_NOTHING, _MARK, _ANSWER, _MORE, _LETTER, _END = range(6)
 
 
-def answer_letters(answer: Column) -> Column:
-    """Distinct letters of an answer in order; none for an annulled one."""
-    parts = F.regexp_extract_all(F.regexp_replace(answer, rf"(?<=[A-E])\s*{_JOINT}\s*(?=[A-E])", "|"), F.lit(r"(?:^|\|)\s*([A-E])(?=\s*(?:\||$))"), F.lit(1))
-    return F.when(answer.isin(*ANNULLED), F.array().cast("array<string>")).otherwise(F.array_distinct(parts))
+def key_tokens(line: Column) -> Column:
+    """Numbers, words, runs of stars and single marks of a folded line; a tilde stands where a digit
+    follows a letter at once."""
+    return F.regexp_extract_all(F.regexp_replace(line, "(?<=[A-Z])(?=[0-9])", "~"), F.lit(r"[0-9]+|[A-Z]+|\*+|[^A-Z0-9*\s]"), F.lit(0))
+
+
+def key_pairs(line: Column) -> Column:
+    """An array of (number, letters) that a folded line names, read from left to right.
+
+    A number of up to three digits, perhaps one mark, then an answer: a word for annulled, which has no
+    letters, or letters with a word or mark between each two. E is a letter where an answer or a further
+    letter is awaited, else it is the word. An answer that a digit follows at once is none.
+    """
+    pair = "struct<number:int,letters:array<string>>"
+    start = F.struct(F.lit(_NOTHING).alias("awaits"), F.lit(None).cast("int").alias("number"), F.array().cast("array<string>").alias("letters"), F.array().cast(f"array<{pair}>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        awaits, letters = state["awaits"], state["letters"]
+
+        def to(awaits: int, number: Column = state["number"], letters: Column = letters, found: Column = state["found"]) -> Column:
+            return F.struct(F.lit(awaits).alias("awaits"), number.alias("number"), letters.alias("letters"), found.alias("found"))
+
+        def closed(letters: Column) -> Column:
+            done = F.array(F.struct(state["number"].alias("number"), letters.alias("letters")).cast(pair))
+            return F.when(awaits >= _MORE, F.concat(state["found"], done)).otherwise(state["found"])
+
+        none, fewer = F.array().cast("array<string>"), F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0)))
+        number = token.rlike("^[0-9]{1,3}$")
+        return (
+            F.when(number, to(_MARK, token.try_cast("int"), none, closed(letters)))
+            .when(awaits.isin(_MARK, _ANSWER) & token.isin(*LETTERS), to(_MORE, letters=F.array(token)))
+            .when(awaits.isin(_MARK, _ANSWER) & token.isin(*ANNULLED), to(_END, letters=none))
+            .when((awaits == _MARK) & token.isin(*AFTER_NUMBER), to(_ANSWER))
+            .when((awaits == _MORE) & token.isin(*BETWEEN), to(_LETTER))
+            .when((awaits == _LETTER) & token.isin(*LETTERS), to(_MORE, letters=F.concat(letters, F.array(token))))
+            .when((token == "~") & (awaits == _MORE) & (F.size(letters) > 1), to(_NOTHING, found=closed(fewer)))
+            .when((token == "~") & awaits.isin(_MORE, _END), to(_NOTHING))
+            .otherwise(to(_NOTHING, found=closed(letters)))
+        )
+
+    def finish(state: Column) -> Column:
+        done = F.array(F.struct(state["number"].alias("number"), state["letters"].alias("letters")).cast(pair))
+        return F.when(state["awaits"] >= _MORE, F.concat(state["found"], done)).otherwise(state["found"])
+
+    return F.transform(F.aggregate(key_tokens(line), start, step, finish), lambda p: F.struct(p["number"].alias("number"), F.array_distinct(p["letters"]).alias("letters")))
 
 
 def status_of(letters: Column) -> Column:
@@ -33,8 +77,8 @@ def parse_keys(texts: DataFrame, id_column: str = "exam_id", text_column: str =
     """
     lines = texts.select(F.col(id_column).alias("exam_id"), F.col(expected_column).alias("expected"), F.explode(F.split(F.coalesce(F.col(text_column), F.lit("")), r"\R")).alias("line"))
     folded = F.upper(T.fold_accents(T.clean(F.col("line"))))
-    found = lines.select("exam_id", "expected", F.explode(F.regexp_extract_all(folded, F.lit(PAIR), F.lit(0))).alias("pair"))
-    pairs = found.select("exam_id", "expected", F.regexp_extract("pair", PAIR, 1).cast("int").alias("number"), answer_letters(F.regexp_extract("pair", PAIR, 2)).alias("letters"))
+    found = lines.select("exam_id", "expected", F.explode(key_pairs(folded)).alias("pair"))
+    pairs = found.select("exam_id", "expected", "pair.number", "pair.letters")
     ranged = F.when((F.col("number") < 1) | (F.col("number") > F.coalesce("expected", F.lit(999))), "out of range")
     read = pairs.groupBy("exam_id", "number", "expected").agg(F.min("letters").alias("letters"), F.max("letters").alias("other"))
     outcome = F.coalesce(ranged, F.when(F.col("letters") != F.col("other"), "conflict"), F.lit("read"))
@@ -42,6 +86,13 @@ def parse_keys(texts: DataFrame, id_column: str = "exam_id", text_column: str =
     return rows.select("exam_id", "number", F.when(F.col("outcome") == "read", F.col("letters")).alias("letters"), F.when(F.col("outcome") == "read", status_of(F.col("letters"))).alias("status"), "outcome")
 
 
+def report_counts(parsed: DataFrame) -> DataFrame:
+    """Counts by exam of what a key's text gave: numbers read, annulled, in conflict, and out of range."""
+    n = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
+    outcome = F.col("outcome")
+    return parsed.groupBy("exam_id").agg(n(outcome == "read").alias("read"), n(F.col("status") == "anulada").alias("annulled"), n(outcome == "conflict").alias("conflicts"), n(outcome == "out of range").alias("outside"))
+
+
 def missing_numbers(parsed: DataFrame, exams: DataFrame) -> DataFrame:
     """(exam_id, number) from 1 to the expected total, or to the greatest number read, that were not
     read. exams(exam_id, expected)."""

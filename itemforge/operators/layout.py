@@ -103,11 +103,22 @@ def fuse_lines(fragments: DataFrame) -> DataFrame:
 
 
 def y_bands(occurrences: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
-    """occurrences with band: a new one where y0 is more than the gap below the one before."""
+    """occurrences with band: a new one where y0 is more than the gap below the one before. Bands are
+    told from the distinct heights of a key, which a page bounds however common the line is."""
     order = Window.partitionBy(*keys).orderBy("y0")
     fresh = F.when(F.col("y0") - F.lag("y0").over(order) > gap, 1).otherwise(0)
-    ordered = occurrences.withColumn("__new", fresh)
-    return ordered.withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    heights = occurrences.select(*keys, "y0").distinct().withColumn("__new", fresh)
+    bands = heights.withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    return occurrences.join(bands, [*keys, "y0"])
+
+
+def band_facts(counted: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
+    """(keys, band, n, y_min, y_max, y_mean, y_sd) from counted(keys, y0, n): heights and how many lines
+    stand at each. The lines themselves are not needed again."""
+    rows = y_bands(counted, keys, gap)
+    n, s = F.sum("n"), F.sum(F.col("n") * F.col("y0"))
+    spread = F.sum(F.col("n") * F.col("y0") * F.col("y0")) / n - (s / n) * (s / n)
+    return rows.groupBy(*keys, "band").agg(n.alias("n"), F.min("y0").alias("y_min"), F.max("y0").alias("y_max"), F.round(s / n, 2).alias("y_mean"), F.round(F.sqrt(F.greatest(spread, F.lit(0.0))), 2).alias("y_sd"))
 
 
 def strong_marker(first: Column, others: Column) -> Column:
@@ -124,6 +135,18 @@ def recurrences(lines: DataFrame) -> DataFrame:
     )
 
 
+def within_budget(candidates: Column, budget: Column) -> Column:
+    """Of an array of structs with an int `n`, in order, those that fit what is left of a budget; one that
+    does not fit is passed over."""
+    start = F.struct(budget.cast("int").alias("left"), F.slice(candidates, 1, 0).alias("took"))
+
+    def step(state: Column, x: Column) -> Column:
+        taken = F.struct((state["left"] - x["n"]).alias("left"), F.concat(state["took"], F.array(x)).alias("took"))
+        return F.when(x["n"] <= state["left"], taken).otherwise(state)
+
+    return F.aggregate(candidates, start, step, lambda state: state["took"])
+
+
 def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """lines with noise: `header`, `footer` or null.
 
@@ -150,9 +173,7 @@ def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
     # The budget is a fold that skips what does not fit, over a document's few candidates.
     order = F.struct((-F.abs(F.col("y_mean") - F.col("page_height") / 2)).alias("far"), "key", "band", F.col("n").cast("int").alias("n"), "kind", "y_mean", "y_sd")
     folded = rec.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("c"), F.first("n_lines").alias("n_lines"))
-    taken = F.expr(f"""aggregate(c, named_struct('left', CAST(floor(n_lines * {BUDGET}) AS INT), 'took', slice(c, 1, 0)),
-        (s, x) -> IF(x.n <= s.left, named_struct('left', s.left - x.n, 'took', concat(s.took, array(x))), s), s -> s.took)""")
-    chosen = folded.select("doc_id", F.explode(taken).alias("t")).select("doc_id", F.col("t.key").alias("key"), F.col("t.kind").alias("kind"), F.col("t.y_mean").alias("y_mean"), F.col("t.y_sd").alias("y_sd"))
+    chosen = folded.select("doc_id", F.explode(within_budget(F.col("c"), F.floor(F.col("n_lines") * BUDGET).cast("int"))).alias("t")).select("doc_id", F.col("t.key").alias("key"), F.col("t.kind").alias("kind"), F.col("t.y_mean").alias("y_mean"), F.col("t.y_sd").alias("y_sd"))
     keyed = lines.withColumn("key", T.line_key(F.col("text")))
     near = F.abs(F.col("y0") - F.col("y_mean")) <= F.greatest(F.col("y_sd") * 3, F.when(height > 0, height).otherwise(12.0))
     hits = keyed.join(chosen, ["doc_id", "key"]).where(near).groupBy("doc_id", "page", "seq").agg(F.min("kind").alias("noise"))

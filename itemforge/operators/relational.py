@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,11 +92,36 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
 
 def first_seen(rows: DataFrame, key: Column, order: list[Column], known: DataFrame | None = None) -> DataFrame:
     """The first row of each key by order, without keys that are known(key) already. Rows with a null
-    key are kept. Each key's first row comes from a map-side minimum, so copies are not gathered."""
+    key are kept. Each key's first row comes from a map-side minimum, so copies are not gathered, and
+    the key is computed once."""
     names = rows.columns
-    # Compare by order first; the row itself only rides along.
+    # Compare by order first; the row itself only rides along. Rows without a key get one of their own.
     packed = rows.select(key.alias("__key"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*names).alias("row")).alias("__row"))
     if known is not None:
         packed = packed.join(known.select(F.col("key").alias("__known")).distinct(), F.col("__key") == F.col("__known"), "left_anti")
-    best = packed.where("__key IS NOT NULL").groupBy("__key").agg(F.min("__row").alias("__row"))
-    return best.select("__row.row.*").unionByName(packed.where("__key IS NULL").select("__row.row.*"))
+    packed = packed.withColumn("__own", F.when(F.col("__key").isNull(), F.monotonically_increasing_id()))
+    return packed.groupBy("__key", "__own").agg(F.min("__row").alias("__row")).select("__row.row.*")
+
+
+def value_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, one column for each rank): the values that stand at given places, from 0, of a group's sorted
+    values; a rank may use the group's size `n`. Equal values are counted before anything is shuffled,
+    and a running sum of the counts finds the place, so no group is gathered into one row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    by = Window.partitionBy(*keys)
+    up = F.sum("__c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    spread = counts.select(*keys, value, "__c", up.alias("__up"), F.sum("__c").over(by).alias("n"))
+    here = lambda rank: (F.col("__up") - F.col("__c") <= rank) & (rank < F.col("__up"))
+    return spread.groupBy(*keys).agg(*[F.min(F.when(here(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows in the shared folder that spark.checkpoint.dir names, without the plan that led to them.
+    Where it is unset, a local master uses a folder of its own."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='itemforge-')}")
+    return rows.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +17,32 @@ def weights(lexicon: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("term").agg((1.0 / F.count("*")).alias("weight")), "term").select("slug", "term", "weight")
 
 
+def _among(terms: list[str]) -> Callable[[Column], Column]:
+    return lambda t: t.isin(*terms)
+
+
 def lexicon_scores(docs: DataFrame, lexicon: DataFrame, id_column: str = "doc_id", text_column: str = "text", catalogued: list[str] | None = None) -> DataFrame:
     """(doc_id, slug, evidence, score) of every topic with hits; the scores of a document add up to 1.
 
-    A term's hits are counted in the document itself, by one expression for each distinct term of the
-    lexicon, so the documents neither move nor multiply before they are counted. The lexicon is a
-    parameter of a few hundred terms, and its rows go to the driver to build the expressions.
+    One pass over the folded text finds the longest term at each place where one begins a word; all
+    others that begin there begin that one too, so their hits follow from its. The documents neither
+    move nor multiply before they are counted. The lexicon is a parameter of a few hundred terms, and
+    its rows go to the driver to build the expressions.
     """
     by_term: dict[str, list[tuple[str, float]]] = {}
     for r in weights(lexicon).collect():
         if catalogued is None or r.slug in catalogued:
             by_term.setdefault(r.term, []).append((r.slug, r.weight))
     folded = docs.select(F.col(id_column).alias("doc_id"), T.normalize(F.col(text_column)).alias("folded"))
+    if not by_term:
+        return folded.select("doc_id", F.lit("").alias("slug"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score")).limit(0)
+    terms = folded.select("doc_id", T.longest_terms(F.col("folded"), list(by_term)).alias("terms")).where(F.size("terms") > 0)
     hits = []
     for term, topics in sorted(by_term.items()):
-        n = T.term_hits(F.col("folded"), F.lit(term))
-        for slug, weight in sorted(topics):
-            hits.append(F.struct(F.lit(slug).alias("slug"), F.lit(weight).alias("weight"), n.alias("hits")))
-    if not hits:
-        return folded.select("doc_id", F.lit("").alias("slug"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score")).limit(0)
-    found = folded.select("doc_id", F.explode(F.array(*hits)).alias("h")).where("h.hits > 0")
+        n = F.size(F.filter("terms", _among([t for t in by_term if t.startswith(term)])))
+        hits.append(F.struct(F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(w).alias("weight")) for s, w in sorted(topics)]).alias("topics"), n.alias("hits")))
+    counted = terms.select("doc_id", F.explode(F.array(*hits)).alias("h")).where("h.hits > 0")
+    found = counted.select("doc_id", F.col("h.hits").alias("hits"), F.explode("h.topics").alias("t")).select("doc_id", F.struct("t.slug", "t.weight", "hits").alias("h"))
     evidence = found.groupBy("doc_id", F.col("h.slug").alias("slug")).agg(F.sum(F.col("h.weight") * (1 + 0.25 * (F.col("h.hits") - 1))).alias("evidence"))
     share = F.col("evidence") / F.sum("evidence").over(Window.partitionBy("doc_id"))
     return evidence.select("doc_id", "slug", F.round("evidence", 6).alias("evidence"), F.round(share, 6).alias("score"))

@@ -55,6 +55,12 @@ def restricted(gone: DataFrame, children: DataFrame, key: str, child_key: str) -
     return gone.join(children.select(F.col(child_key).alias("__used")).distinct(), F.col(key) == F.col("__used"), "left_semi")
 
 
+def set_null(children: DataFrame, gone: DataFrame, child_key: str, key: str) -> DataFrame:
+    """children whose reference to a row that goes is null instead."""
+    met = children.join(gone.select(F.col(key).alias("__gone")).distinct(), F.col(child_key) == F.col("__gone"), "left")
+    return met.withColumn(child_key, F.when(F.col("__gone").isNull(), F.col(child_key))).select(*children.columns)
+
+
 def unique_violations(rows: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
     """(keys, n) that stand more than once among the rows that the condition takes in."""
     rows = rows.where(where) if where is not None else rows

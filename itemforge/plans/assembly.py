@@ -1,41 +1,55 @@
-"""Pipelines of operators: importing documents, and generating an exam with its sheet."""
+"""Pipelines of operators: importing documents, reading keys, generating an exam with its sheet."""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
-from itemforge.operators import layout, selection
+from itemforge.operators import keys, layout, relational, selection
+from itemforge.sources import files
 
 
 @dataclass
 class Import:
-    """Fragments to stored questions; `log` has a row for each stage (stage, level, message, ms)."""
+    """Fragments to stored questions. Each stage is run, written to the shared folder and timed; `log` has
+    a row for each (exam_id, stage, level, message, detail, duration_ms), and goes to `log_path` at the
+    end, also if a stage fails."""
 
-    log: list[tuple[str, str, str, int]] = field(default_factory=list)
+    exam_id: int | None = None
+    log_path: str | None = None
+    log: list[tuple] = field(default_factory=list)
 
-    def _timed(self, stage: str, make):
+    def _timed(self, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
         began = time.monotonic()
+        ms = lambda: int(1000 * (time.monotonic() - began))
         try:
-            out = make()
+            out = relational.cut(make())
+            n = out.count()
         except Exception as e:
-            self.log.append((stage, "error", str(e)[:500], int(1000 * (time.monotonic() - began))))
+            self.log.append((self.exam_id, stage, "error", type(e).__name__, str(e)[:500], ms()))
             raise
-        self.log.append((stage, "info", "planned", int(1000 * (time.monotonic() - began))))
+        self.log.append((self.exam_id, stage, "info" if n else "warning", f"{n} rows", None, ms()))
         return out
 
     def run(self, fragments: DataFrame, pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Questions with their content hash and `outcome`: recorded, duplicate (of a known one or of an
         earlier one of the batch), or rejected for want of statement and options."""
-        columns = self._timed("columns", lambda: layout.assign_columns(fragments, pages))
-        lines = self._timed("lines", lambda: layout.fuse_lines(columns))
-        noise = self._timed("noise", lambda: layout.detect_noise(lines, pages))
-        found = self._timed("segment", lambda: layout.segment(noise.where("noise IS NULL")))
-        return self._timed("record", lambda: record(found, known))
+        try:
+            columns = self._timed("columns", lambda: layout.assign_columns(fragments, pages))
+            lines = self._timed("lines", lambda: layout.fuse_lines(columns))
+            noise = self._timed("noise", lambda: layout.detect_noise(lines, pages))
+            found = self._timed("segment", lambda: layout.segment(noise.where("noise IS NULL")))
+            return self._timed("record", lambda: record(found, known))
+        finally:
+            if self.log_path:
+                spark = fragments.sparkSession
+                rows = spark.createDataFrame(self.log, "exam_id long, stage string, level string, message string, detail string, duration_ms long")
+                files.append_log(rows.withColumn("at", F.current_timestamp()), self.log_path)
 
 
 def record(questions: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -55,6 +69,34 @@ def record(questions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return met.withColumn("outcome", outcome).drop("first", "__known")
 
 
+def split_rejects(questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(recorded, rejected, counts): rows that are stored, rows that are not with their outcome as a
+    warning, and how many there are of each outcome."""
+    return questions.where("outcome = 'recorded'"), questions.where("outcome <> 'recorded'"), questions.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def key_from_lines(lines: DataFrame, expected: Column | None = None) -> DataFrame:
+    """A parsed key from a document's lines(doc_id, page, col, seq, text, noise): those that are no noise,
+    in reading order. A document without any text is a scan and gives no row."""
+    kept = lines.where("noise IS NULL") if "noise" in lines.columns else lines
+    order = F.array_sort(F.collect_list(F.struct("page", "col", "seq", "text")))
+    text = F.array_join(F.transform(order, lambda x: x["text"]), "\n")
+    texts = kept.groupBy(F.col("doc_id").alias("exam_id")).agg(text.alias("text")).withColumn("expected", (F.lit(None) if expected is None else expected).cast("int"))
+    return keys.parse_keys(texts)
+
+
+def key_from_files(found: DataFrame, exam_id: Column, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed, warnings) of key files (see files.read_files), spreadsheets by their cells and others as
+    text. warnings(path, message) has files that could not be read."""
+    expected = (F.lit(None) if expected is None else expected).cast("int")
+    cells = files.read_cells(found.where("kind = 'sheet'"))
+    rows = cells.where("error IS NULL").withColumn("exam_id", exam_id)
+    sheets = keys.sheet_lines(rows).groupBy("exam_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    plain = found.where("kind = 'text'").select(exam_id.alias("exam_id"), F.decode("content", "UTF-8").alias("text"))
+    parsed = keys.parse_keys(sheets.unionByName(plain).withColumn("expected", expected))
+    return parsed, cells.where("error IS NOT NULL").select("path", F.col("error").alias("message"))
+
+
 def generate(pool: DataFrame, reach: DataFrame, quotas: list[tuple[object, int]], options: DataFrame, answers: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(booklet, sheet) of a new exam: items drawn by quotas from the eligible pool, renumbered in a
     seeded order, options shuffled, and the sheet in printed letters.
@@ -66,7 +108,12 @@ def generate(pool: DataFrame, reach: DataFrame, quotas: list[tuple[object, int]]
     numbered = selection.renumber(picked.select("item").withColumn("exam", F.lit(1)), "exam", [selection.draw_key(seed, F.col("item")), F.col("item")])
     mine = options.join(numbered.select("item", "number"), "item")
     shuffled = selection.shuffle_options(mine, ["item", "number"], "letter", seed)
-    booklet = shuffled.join(options, (shuffled["item"] == options["item"]) & (shuffled["original"] == options["letter"])).select(shuffled["item"], "number", "printed", "original", "text")
     maps = selection.letter_map(shuffled, ["item", "number"])
-    sheet = selection.answer_sheet(answers.join(numbered.select("item", "number"), "item"), maps, ["item", "number"])
-    return booklet, sheet
+    return reprint(maps, options, answers)
+
+
+def reprint(stored: DataFrame, options: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(booklet, sheet) of a stored exam(item, number, map printed to original): the same permutation again,
+    whatever the options' texts have become since."""
+    booklet = selection.apply_map(stored, options, ["item", "number"])
+    return booklet, selection.answer_sheet(answers.join(stored.select("item", "number"), "item"), stored, ["item", "number"])

@@ -137,15 +137,13 @@ def dedup_first_seen(spark, sf_dir):
 
 
 @_query(
-    f"""SELECT min(item_id) AS item_id, hash FROM (
-        SELECT doc_id + 1000000 AS item_id, sha256({_norm('text')}) AS hash FROM documents UNION ALL SELECT item_id, sha256({_norm('text')}) FROM benchmark)
-    WHERE hash NOT IN (SELECT sha256({_norm('text')}) FROM benchmark WHERE item_id % 2 = 0) GROUP BY hash"""
+    f"""SELECT min(page_id) AS page_id, hash FROM (SELECT page_id, sha256({_norm("regexp_extract(url, '://([^/?#]*)', 1)")}) AS hash FROM pages)
+    WHERE hash NOT IN (SELECT sha256({_norm("lang || '.example.net'")}) FROM documents) GROUP BY hash"""
 )
 def dedup_against_known(spark, sf_dir):
-    bench = _table(spark, sf_dir, "benchmark").select("item_id", T.content_hash(F.col("text")).alias("hash"))
-    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000).alias("item_id"), T.content_hash(F.col("text")).alias("hash"))
-    known = bench.where("item_id % 2 = 0").select(F.col("hash").alias("key"))
-    return relational.first_seen(docs.union(bench), F.col("hash"), [F.col("item_id")], known)
+    pages = _table(spark, sf_dir, "pages").select("page_id", T.content_hash(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("hash"))
+    known = _table(spark, sf_dir, "documents").select(T.content_hash(F.concat("lang", F.lit(".example.net"))).alias("key"))
+    return relational.first_seen(pages, F.col("hash"), [F.col("page_id")], known)
 
 
 # Topics
@@ -463,18 +461,18 @@ def key_missing_numbers(spark, sf_dir):
     return keys.missing_numbers(_parsed(spark), exams)
 
 
-_KEYED_SQL = """k AS (SELECT l_orderkey % 1000 AS exam_id, l_linenumber AS number, l_orderkey AS item, ['A', 'N'] AS options, l_returnflag AS flag FROM lineitem),
-    q AS (SELECT exam_id, number, min(item) AS item FROM k WHERE item % 2 = 0 GROUP BY ALL),
-    a AS (SELECT exam_id, number, max(flag) AS flag FROM k WHERE item % 3 = 0 GROUP BY ALL),
+_KEYED_SQL = """k AS (SELECT l_orderkey % 1000 AS exam_id, l_linenumber AS number, l_orderkey AS item, ['A', 'N'] AS options, l_returnflag AS flag, l_linestatus AS side FROM lineitem),
+    q AS (SELECT exam_id, number, min(item) AS item FROM k WHERE side = 'O' GROUP BY ALL),
+    a AS (SELECT exam_id, number, max(flag) AS flag FROM k WHERE side = 'F' GROUP BY ALL),
     r AS (SELECT coalesce(q.exam_id, a.exam_id) AS exam_id, coalesce(q.number, a.number) AS number, item, flag,
         CASE WHEN item IS NULL THEN 'unknown number' WHEN flag IS NULL THEN 'no answer' WHEN flag = 'R' THEN 'letter outside options' ELSE 'applied' END AS outcome
         FROM q FULL OUTER JOIN a ON q.exam_id = a.exam_id AND q.number = a.number)"""
 
 
 def _applied(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("exam_id"), F.col("l_linenumber").alias("number"), F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("flag"))
-    items = rows.where("item % 2 = 0").groupBy("exam_id", "number").agg(F.min("item").alias("item")).withColumn("options", F.array(F.lit("A"), F.lit("N")))
-    answers = rows.where("item % 3 = 0").groupBy("exam_id", "number").agg(F.max("flag").alias("flag"))
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("exam_id"), F.col("l_linenumber").alias("number"), F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("side"))
+    items = rows.where("side = 'O'").groupBy("exam_id", "number").agg(F.min("item").alias("item")).withColumn("options", F.array(F.lit("A"), F.lit("N")))
+    answers = rows.where("side = 'F'").groupBy("exam_id", "number").agg(F.max("flag").alias("flag"))
     parsed = answers.select("exam_id", "number", F.array("flag").alias("letters"), F.lit("valida").alias("status"), F.lit("read").alias("outcome"))
     return keys.apply_keys(parsed, items)
 
@@ -517,19 +515,17 @@ _LINES_SQL = rf"""ln AS (SELECT source, doc_id AS page, (i - 1) * 12.0::DOUBLE A
 
 def _bands(spark, sf_dir):
     first = _lines(spark, sf_dir).groupBy("source", "key", "page").agg(F.min("y0").alias("y0"))
-    return layout.y_bands(first, ["source", "key"])
+    return layout.band_facts(first.groupBy("source", "key", "y0").agg(F.count("*").alias("n")), ["source", "key"])
 
 
 @_query(f"WITH {_LINES_SQL} SELECT source, sha256(key) AS key_hash, CAST(band AS INT) AS band, count(*) AS n, min(y0) AS y_min, max(y0) AS y_max FROM b GROUP BY source, key, band")
 def band_islands(spark, sf_dir):
-    rows = _bands(spark, sf_dir).groupBy("source", "key", "band").agg(F.count("*").alias("n"), F.min("y0").alias("y_min"), F.max("y0").alias("y_max"))
-    return rows.select("source", F.sha2("key", 256).alias("key_hash"), "band", "n", "y_min", "y_max")
+    return _bands(spark, sf_dir).select("source", F.sha2("key", 256).alias("key_hash"), "band", "n", "y_min", "y_max")
 
 
 @_query(f"WITH {_LINES_SQL} SELECT source, sha256(key) AS key_hash, CAST(band AS INT) AS band, count(*) AS n, round(avg(y0), 2) AS y_mean, round(stddev_pop(y0), 2) AS y_sd FROM b GROUP BY source, key, band HAVING count(*) >= 2")
 def noise_recurrence(spark, sf_dir):
-    rows = _bands(spark, sf_dir).groupBy("source", "key", "band").agg(F.count("*").alias("n"), F.round(F.avg("y0"), 2).alias("y_mean"), F.round(F.stddev_pop("y0"), 2).alias("y_sd"))
-    return rows.where("n >= 2").select("source", F.sha2("key", 256).alias("key_hash"), "band", "n", "y_mean", "y_sd")
+    return _bands(spark, sf_dir).where("n >= 2").select("source", F.sha2("key", 256).alias("key_hash"), "band", "n", "y_mean", "y_sd")
 
 
 def _fragments(spark, sf_dir):
@@ -563,13 +559,13 @@ def layout_majority(spark, sf_dir):
 
 @_query("SELECT l_returnflag, list_sort(list(l_quantity))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM lineitem GROUP BY l_returnflag")
 def median_upper(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(layout.upper_median("l_quantity").alias("median"))
+    return relational.value_at(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"median": F.floor(F.col("n") / 2)})
 
 
 @_query("SELECT o_orderpriority, s[CAST(least(floor(n * 0.05), n - 1) AS BIGINT) + 1] AS p5, s[CAST(least(floor(n * 0.95), n - 1) AS BIGINT) + 1] AS p95 FROM (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s, count(*) AS n FROM orders GROUP BY 1)")
 def percentile_positional(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").groupBy("o_orderpriority")
-    return rows.agg(layout.positional("o_totalprice", 0.05).alias("p5"), layout.positional("o_totalprice", 0.95).alias("p95"))
+    at = {name: F.least(F.floor(F.col("n") * share), F.col("n") - 1) for name, share in (("p5", 0.05), ("p95", 0.95))}
+    return relational.value_at(_table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", at)
 
 
 @_query("SELECT l_suppkey, l_linenumber AS modal, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_linenumber) AS k FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber)) WHERE k = 1")
@@ -590,13 +586,16 @@ def _paper(spark):
     return spark.createDataFrame(rows, "doc_id long, page int, col int, seq long, x0 double, y0 double, text string, first_fragment string, others string")
 
 
-@_query()
+_PAPER = [(q + 1, f"Statement of question number {q + 1} goes on", q // 4) for q in range(12)]
+
+
+@_query("SELECT * FROM (VALUES %s) v(doc_id, number, statement, letter, text, confidence)" % ", ".join(f"(1, {n}, '{t}', '{'ABCD'[k]}', 'option {k} of {n}', 1.0::DOUBLE)" for n, t, _ in _PAPER for k in range(4)))
 def segment_options(spark, sf_dir):
     found = layout.segment(_paper(spark))
     return found.select("doc_id", "number", "statement", F.explode("options").alias("o"), "confidence").select("doc_id", "number", "statement", "o.letter", "o.text", "confidence")
 
 
-@_query()
+@_query("SELECT * FROM (VALUES %s) v(doc_id, number, first_page, last_page, remarks)" % ", ".join(f"(1, {n}, {p}, {p}, '')" for n, _, p in _PAPER))
 def segment_chain(spark, sf_dir):
     return layout.segment(_paper(spark)).select("doc_id", "number", "first_page", "last_page", F.array_join("remarks", ";").alias("remarks"))
 
@@ -644,7 +643,7 @@ def upsert_last_writer(spark, sf_dir):
 
 @_query(
     """WITH e AS (SELECT doc_id AS item, CAST(quality AS BIGINT) AS topic, 0.9 AS score, CASE WHEN toxic = 1 THEN 'manual' ELSE 'ml' END AS origin, toxic AS principal FROM labels),
-    i AS (SELECT doc_id AS item, t AS topic, (doc_id % 7 + t) / 10.0 AS score FROM documents, (VALUES (0), (1), (2)) x(t) WHERE doc_id % 3 = 0),
+    i AS (SELECT doc_id AS item, t AS topic, (doc_id % 7 + t) / 10.0 AS score FROM documents, (VALUES (0), (1), (2)) x(t) WHERE lang <> 'en'),
     k AS (SELECT * FROM e WHERE item NOT IN (SELECT item FROM i) OR origin <> 'ml'),
     u AS (SELECT * FROM k UNION ALL SELECT item, topic, score, 'ml', 0 FROM i WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.item = i.item AND k.topic = i.topic))
     SELECT item, CAST(topic AS BIGINT) AS topic, CAST(score AS DOUBLE) AS score, origin, CAST(CASE WHEN item NOT IN (SELECT item FROM i) OR item IN (SELECT item FROM k WHERE origin = 'manual' AND principal = 1) THEN principal
@@ -653,7 +652,7 @@ def upsert_last_writer(spark, sf_dir):
 def replace_by_origin_keep_manual(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels")
     existing = labels.select(F.col("doc_id").alias("item"), F.col("quality").cast("long").alias("topic"), F.lit(0.9).alias("score"), F.when(F.col("toxic") == 1, "manual").otherwise("ml").alias("origin"), F.col("toxic").alias("principal"))
-    incoming = _table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("item"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("topic"))
+    incoming = _table(spark, sf_dir, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("item"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("topic"))
     incoming = incoming.withColumn("score", (F.col("item") % 7 + F.col("topic")) / 10)
     return upsert.replace_by_origin(existing, incoming, "ml")
 

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
-from itemforge.operators import keys, layout, models, selection
-from itemforge.plans import assembly, catalogue
+from itemforge.operators import bank, keys, layout, models, relational, selection
+from itemforge.plans import assembly, catalogue, classification
+from itemforge.plans import queries as plans
 from itemforge.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -25,8 +26,26 @@ def test_text(spark, raw, clean, normal, slug):
     assert (one(spark, T.clean(c)), one(spark, T.normalize(c)), one(spark, T.slug(c))) == (clean, normal, slug)
 
 
-def test_exact_cleaning_composes(spark):
-    assert one(spark, T.clean(F.lit("ﬁm 1º"), exact=True)) == "fim 1o"
+def test_cleaning_composes(spark):
+    import unicodedata
+
+    for raw in ("ﬁm 1º", "e\u0301 a\u0302\u0301 ½ Ａ１ ㎏ plain", "ação", "ﾊﾟ №", "x\u0323y"):
+        assert one(spark, T.compose(F.lit(raw))) == unicodedata.normalize("NFKC", raw)
+    assert one(spark, T.clean(F.lit("ﬁm 1º"))) == "fim 1o"
+
+
+@pytest.mark.parametrize(
+    ("line", "pairs"),
+    [
+        ("1-A", [(1, "A")]), ("01 A", [(1, "A")]), ("1. A 2) B 3: C 4] D", [(1, "A"), (2, "B"), (3, "C"), (4, "D")]), ("QUESTAO 1 - A", [(1, "A")]),
+        ("1 A 41 C 81 E", [(1, "A"), (41, "C"), (81, "E")]), ("3 ANULADA 4 ** 5 X 6 CANCELADA", [(3, ""), (4, ""), (5, ""), (6, "")]),
+        ("2 A/B", [(2, "AB")]), ("2 A E B", [(2, "AB")]), ("2 A, B", [(2, "AB")]), ("2 A OU B", [(2, "AB")]), ("2 A+B", [(2, "AB")]), ("2 A E A", [(2, "A")]),
+        ("1 E", [(1, "E")]), ("1 A E 2 B", [(1, "A"), (2, "B")]), ("1 D, E", [(1, "DE")]), ("2024 A", []), ("1 A2 3 B", [(3, "B")] ), ("1 A/B2", [(1, "A")]), ("1 *** 2 AB 3.- C", []), ("Q1 A", [(1, "A")]), ("", []),
+    ],
+)
+def test_key_pairs(spark, line, pairs):
+    got = one(spark, keys.key_pairs(F.lit(line)))
+    assert [(p.number, "".join(p.letters)) for p in got] == pairs
 
 
 def test_content_hash_ignores_form_and_empty_parts(spark):
@@ -125,7 +144,148 @@ def test_model_votes(spark):
             return ["The answer is C.", "C", "?", "b", "C"][round_no]
 
     prompts = spark.createDataFrame([(1, "q"), (2, "down")], "item long, prompt string")
-    assert [tuple(r) for r in models.infer_answers(prompts, Fixed).collect()] == [(1, "C", 0.6)]
+    assert sorted(tuple(r) for r in models.infer_answers(prompts, Fixed).collect()) == [(1, "C", 0.6, "suggested"), (2, None, None, "discarded")]
+    rounds = models.ask_rounds(prompts.where("item = 1"), Fixed, 5, (r"\b([A-E])\b", 2))
+    assert [r.raw for r in rounds.orderBy("round").collect()] == ["The answer is C.", "C"]  # two votes for C are enough
+
+
+def test_a_server_that_dies_ends_the_batch(spark):
+    class Dying:
+        def ask(self, prompt, round_no):
+            if prompt == "q3":
+                raise ConnectionError("gone")
+            return "A"
+
+    prompts = spark.createDataFrame([(k, f"q{k}") for k in range(1, 7)], "item long, prompt string").coalesce(1)
+    got = {r.item: r.outcome for r in models.infer_answers(prompts, Dying).collect()}
+    assert got == {1: "suggested", 2: "suggested", 3: "not asked", 4: "not asked", 5: "not asked", 6: "not asked"}
+
+
+def servers():
+    """Stand-ins for model servers, made here so that workers get them by value."""
+
+    class Ready:
+        def models(self):
+            return ["small"]
+
+        def ask(self, prompt, round_no):
+            return "2"
+
+    class Down(Ready):
+        def models(self):
+            raise OSError("refused")
+
+    return Ready, Down
+
+
+def small_bank(spark):
+    rows = {
+        "exams": [(1, "e1", "I", "T", 2020, "h", "processado", None, None)],
+        "topics": [(1, "Heart", "heart", None, True), (2, "Valves", "valves", 1, True), (3, "Brain", "brain", None, True)],
+        "questions": [(k, f"u{k}", 1, k, None, s, None, None, 1.0, None, False, True, None) for k, s in ((10, "the heart beats"), (11, "brain and heart heart heart"), (12, "nothing here"))],
+        "options": [(100 * k + j, k, "AB"[j], f"option {j}", j) for k in (10, 11, 12) for j in range(2)],
+        "keys": [(k, k, "ausente", None, None) for k in (10, 11, 12)],
+        "key_letters": [], "links": [(10, 3, 1.0, "manual", True)], "media": [],
+    }
+    return {t: spark.createDataFrame(rows[t], kinds) for t, kinds in bank.TABLES.items()}
+
+
+def test_classification_service(spark):
+    Ready, Down = servers()
+    b = small_bank(spark)
+    lexicon = spark.createDataFrame([("heart", "heart"), ("brain", "brain")], "slug string, term string")
+    assert models.availability(Down(), "small")[0] is False and "lacks" in models.availability(Ready(), "big")[1]
+    name, run, remark = classification.backend("cascade", lexicon, ["heart", "brain"], Down(), "small", Ready)
+    assert name == "lexicon" and "reached" in remark
+    after, report = classification.classify(b, run, exam=1)
+    links = {(r.question, r.topic, r.origin, r.principal) for r in after["links"].collect()}
+    assert links == {(10, 3, "manual", True), (10, 1, "ml", False), (11, 1, "ml", True)}
+    assert {r.doc_id: r.outcome for r in report.collect()} == {10: "classified", 11: "classified", 12: "no suggestion"}
+    _, pending = classification.classify(b, run, pending=True)
+    assert {r.doc_id for r in pending.collect()} == {11, 12}
+    name, run, _ = classification.backend("model", lexicon, ["heart", "brain"], Ready(), "small", Ready)
+    assert name == "model" and {r.slug for r in run(classification.question_text(b).select("doc_id", "text")).collect()} == {"brain"}
+    name, run, _ = classification.backend("cascade", lexicon, ["heart", "brain"], Ready(), "small", Ready)
+    assert name == "cascade" and {r.doc_id: r.slug for r in run(classification.question_text(b).select("doc_id", "text")).collect()}[10] == "heart"
+    with pytest.raises(ValueError):
+        classification.backend("magic", lexicon, [])
+
+
+def test_zero_shot_labels(spark):
+    prompts = spark.createDataFrame([(1, "heart"), (2, "brain")], "item long, prompt string")
+    scorer = lambda: lambda texts, labels: [[float(t in s) for s in labels] for t in texts]
+    got = {(r.item, r.slug): r.share for r in models.score_labels(prompts, scorer, {"h": "about the heart", "b": "about the brain"}).collect()}
+    assert got == {(1, "h"): 1.0, (1, "b"): 0.0, (2, "h"): 0.0, (2, "b"): 1.0}
+
+
+def test_key_text_is_written_with_a_log_row(spark):
+    b, at = small_bank(spark), F.lit("2024-01-01").cast("timestamp")
+    parsed = keys.parse_keys(spark.createDataFrame([(1, None, "10 A\n11 E\n99 B\n12 NULA")], "exam_id long, expected int, text string"))
+    after, applied, log = bank.apply_key_text(b, 1, parsed, at, path="key.txt")
+    assert {r.question: (r.status, r.source) for r in after["keys"].collect()} == {10: ("valida", "pdf"), 11: ("ausente", None), 12: ("anulada", "pdf")}
+    assert {r.number: r.outcome for r in applied.collect()} == {10: "applied", 11: "letter outside options", 12: "applied", 99: "unknown number"}
+    row = log.first()
+    assert (row.level, row.stage) == ("warning", "gabarito") and '"applied":2' in row.detail
+    assert after["exams"].first().key_path == "key.txt"
+    again, refused = bank.confirm(after, 11, ["B"])
+    key = again["keys"].where("question = 11").first()
+    assert (key.status, key.source, key.confidence) == ("valida", "manual", 1.0) and refused.count() == 0
+    assert bank.constraint_violations(again).count() == 0
+
+
+def test_writing_questions_and_constraints(spark):
+    b, at = small_bank(spark), F.lit("2024-01-01").cast("timestamp")
+    new = spark.createDataFrame([(20, "u20", 1, 20, None, "new one", None, None, 0.5, None, False, True, None), (21, "u10", 1, 10, None, "taken", None, None, 2.0, None, False, True, None)], bank.TABLES["questions"])
+    options = spark.createDataFrame([(2000, 20, "A", "x", 0), (2001, 20, "A", "y", 1)], bank.TABLES["options"])
+    after = bank.write_questions(b, new, options, at)
+    assert {r.question: r.status for r in after["keys"].where("question >= 20").collect()} == {20: "ausente", 21: "ausente"}
+    assert after["questions"].where("id = 20").first().content_hash == one(spark, T.content_hash(F.lit("new one"), F.lit("x"), F.lit("y")))
+    rules = {(r.table, r.rule) for r in bank.constraint_violations(after).collect()}
+    assert rules == {("questions", "unique uuid"), ("questions", "unique exam, number"), ("questions", "check confidence"), ("options", "unique question, letter")}
+
+
+def test_schema_ledger_and_seed(spark, tmp_path):
+    path = f"file://{tmp_path}/bank"
+    assert sorted(bank.create_tables(spark, path)) == sorted(bank.TABLES) and bank.create_tables(spark, path) == []
+    tables = bank.open_bank(spark, path)
+    tree = [("Clinic", None), ("Heart", "Clinic"), ("Brain", "Clinic"), ("Surgery", None)]
+    topics = bank.seed_topics(tables["topics"], tree)
+    got = {r.name: r for r in topics.collect()}
+    assert got["Heart"].parent == got["Clinic"].id and got["Surgery"].parent is None and len({r.id for r in got.values()}) == 4
+    assert bank.seed_topics(topics, tree).count() == 4
+
+
+def test_key_files_and_lines(spark, tmp_path):
+    (tmp_path / "key.xlsx").write_bytes(workbook([("A", 1, "1"), ("C", 1, "3"), ("A", 2, "C"), ("C", 2, "D")]))
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    (tmp_path / "key.txt").write_text("7 - B")
+    found = files.read_files(spark, str(tmp_path))
+    parsed, warnings = assembly.key_from_files(found, F.lit(1).cast("long"))
+    assert {r.number: list(r.letters) for r in parsed.where("outcome = 'read'").collect()} == {1: ["C"], 3: ["D"], 7: ["B"]}
+    assert warnings.count() == 1
+    known = found.where("path like '%key.txt'").select("sha256")
+    assert files.new_files(found, known).count() == 2
+    lines = spark.createDataFrame([(5, 0, 0, 0, "Gabarito", "header"), (5, 0, 0, 1, "1 A", None), (5, 1, 0, 0, "2 B", None)], "doc_id long, page int, col int, seq long, text string, noise string")
+    assert {r.number: list(r.letters) for r in assembly.key_from_lines(lines).collect()} == {1: ["A"], 2: ["B"]}
+
+
+def test_import_log_is_written(spark, tmp_path):
+    frags, sizes = fragments(spark, 3)
+    path = f"file://{tmp_path}/log"
+    out = assembly.Import(exam_id=3, log_path=path).run(frags, sizes)
+    log = spark.read.parquet(path)
+    assert [r.stage for r in log.where("level = 'info'").collect()] and log.count() == 5 and log.where("duration_ms > 0").count() == 5
+    stored, rejected, counts = assembly.split_rejects(out)
+    assert stored.count() == 9 and rejected.count() == 0 and counts.first().n == 9
+    with pytest.raises(Exception):  # noqa: B017
+        assembly.Import(log_path=path).run(frags.drop("x0"), sizes)
+    assert spark.read.parquet(path).where("level = 'error'").count() == 1
+
+
+def test_ranks_without_gathering(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in (5, 1, 1, 9, None or 3)] + [("b", 2.0), ("b", None)], "k string, v double")
+    got = relational.value_at(rows, ["k"], "v", {"median": F.floor(F.col("n") / 2), "last": F.col("n") - 1})
+    assert {r.k: (r.median, r.last) for r in got.collect()} == {"a": (3.0, 9.0), "b": (2.0, 2.0)}
 
 
 def test_sheet_agrees_with_booklet_and_no_item_comes_twice(spark):
@@ -146,20 +306,20 @@ def test_scores_add_up(spark):
     assert rows and all(abs(r.s - 1) < 1e-5 for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_queries_equal_sql(spark, name):
     import duckdb
 
-    got = catalogue.QUERIES[name](spark, SF)
+    got = plans.QUERIES[name](spark, SF)
     rows = got.collect()
-    if name not in catalogue.ORACLE_SQL:
+    if name not in plans.ORACLE_SQL:
         assert rows
         return
     db = duckdb.connect()
     db.execute("SET TimeZone='UTC'")
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = db.sql(catalogue.ORACLE_SQL[name])
+    want = db.sql(plans.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     plain = lambda v: round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)[:19] if hasattr(v, "isoformat") else v
     mine = sorted((tuple(plain(r[c]) for c in sorted(got.columns)) for r in rows), key=repr)
