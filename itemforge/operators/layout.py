@@ -102,20 +102,23 @@ def fuse_lines(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("doc_id", "page").applyInPandas(fuse, _LINES)
 
 
+def _banded(heights: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """heights(keys, y0, ...), each height of a key once, with band."""
+    order = Window.partitionBy(*keys).orderBy("y0")
+    fresh = F.when(F.col("y0") - F.lag("y0").over(order) > gap, 1).otherwise(0)
+    return heights.withColumn("__new", fresh).withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+
+
 def y_bands(occurrences: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
     """occurrences with band: a new one where y0 is more than the gap below the one before. Bands are
     told from the distinct heights of a key, which a page bounds however common the line is."""
-    order = Window.partitionBy(*keys).orderBy("y0")
-    fresh = F.when(F.col("y0") - F.lag("y0").over(order) > gap, 1).otherwise(0)
-    heights = occurrences.select(*keys, "y0").distinct().withColumn("__new", fresh)
-    bands = heights.withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
-    return occurrences.join(bands, [*keys, "y0"])
+    return occurrences.join(_banded(occurrences.select(*keys, "y0").distinct(), keys, gap), [*keys, "y0"])
 
 
 def band_facts(counted: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
-    """(keys, band, n, y_min, y_max, y_mean, y_sd) from counted(keys, y0, n): heights and how many lines
-    stand at each. The lines themselves are not needed again."""
-    rows = y_bands(counted, keys, gap)
+    """(keys, band, n, y_min, y_max, y_mean, y_sd) from counted(keys, y0, n): each height of a key once,
+    and how many lines stand there. The lines themselves are not needed again."""
+    rows = _banded(counted, keys, gap)
     n, s = F.sum("n"), F.sum(F.col("n") * F.col("y0"))
     spread = F.sum(F.col("n") * F.col("y0") * F.col("y0")) / n - (s / n) * (s / n)
     return rows.groupBy(*keys, "band").agg(n.alias("n"), F.min("y0").alias("y_min"), F.max("y0").alias("y_max"), F.round(s / n, 2).alias("y_mean"), F.round(F.sqrt(F.greatest(spread, F.lit(0.0))), 2).alias("y_sd"))

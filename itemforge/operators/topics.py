@@ -36,7 +36,7 @@ def lexicon_scores(docs: DataFrame, lexicon: DataFrame, id_column: str = "doc_id
     folded = docs.select(F.col(id_column).alias("doc_id"), T.normalize(F.col(text_column)).alias("folded"))
     if not by_term:
         return folded.select("doc_id", F.lit("").alias("slug"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score")).limit(0)
-    terms = folded.select("doc_id", T.longest_terms(F.col("folded"), list(by_term)).alias("terms")).where(F.size("terms") > 0)
+    terms = folded.select("doc_id", T.longest_terms(F.col("folded"), list(by_term)).alias("terms"))
     hits = []
     for term, topics in sorted(by_term.items()):
         n = F.size(F.filter("terms", _among([t for t in by_term if t.startswith(term)])))
