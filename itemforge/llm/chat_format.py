@@ -134,7 +134,9 @@ def from_records(records: DataFrame, id_column: str = "conv_id", record_column:
 
 def from_table(table: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """TURNS from a table whose own schema is a known layout. Only rows of turns, and flat layouts,
-    need no JSON; a table of messages goes through from_records."""
+    need no JSON; a table of messages goes through from_records. A null role or text is empty, null ids
+    and turns stay null, repeated rows come out as often and rows of one turn in no order of their own.
+    Columns that no layout needs are not read; an empty table gives no turns."""
     mark = fingerprint(schema_paths(table.schema))
     found = BY_FINGERPRINT.get(mark)
     if found is None:
