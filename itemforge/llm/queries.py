@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import chat_format, exact_dedup, fingerprint, license_scan, packing, pieces, simhash, token_shards, toxicity, url_filter, workspace
+from itemforge.llm import alignment, chat_format, exact_dedup, fingerprint, license_scan, merkle, packing, pieces, simhash, token_shards, toxicity, url_filter, warc, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,6 +93,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and roots, the digest of its proof, and the root that a row tampered with
+    gives where its id's crc32 is divisible by 7."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    other = merkle.leaf_hash(*[F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in columns])
+    found = merkle.manifest(docs, columns, "lang", "doc_id", {"tampered": F.when(hit, other)})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.path_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, their groups, and its links by corpus-wide counts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    stretches = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), workspace.folder(spark, "warc"))
+    return warc.read(stretches, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_shards": op2_token_shards,
@@ -104,9 +129,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_alignment": op12_alignment,
+    "op13_warc": op13_warc,
 }
 
+
+
+def _leaf_sql(n_chars: str) -> str:
+    cells = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(cells)})"
+
+
+#: The reflected CRC-32 of a text's bytes, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce([4294967295] || [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda s, c: list_reduce([xor(s, c)] || [CAST(k AS BIGINT) FOR k IN range(8)], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf,
+                CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS tampered FROM documents),
+            p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+            t AS (SELECT g, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY g
+                UNION ALL SELECT g, level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)] FROM t WHERE len(nodes) > 1),
+            s AS (SELECT g, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM t WHERE len(nodes) = 1),
+            u AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+                UNION ALL SELECT level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)] FROM u WHERE len(nodes) > 1),
+            w AS (SELECT p.doc_id, p.g, p.pos, t.level, (p.pos >> t.level) % 2 = 1 AS odd, t.nodes[xor(p.pos >> t.level, 1) + 1] AS sibling FROM p JOIN t ON t.g = p.g AND len(t.nodes) > 1
+                UNION ALL SELECT p.doc_id, p.g, p.pos, s.height + u.level, (s.place >> u.level) % 2 = 1, u.nodes[xor(s.place >> u.level, 1) + 1] FROM p JOIN s ON s.g = p.g JOIN u ON len(u.nodes) > 1),
+            h AS (SELECT g, pos, string_agg(coalesce(sibling, ''), '' ORDER BY level) AS proof, count(*) AS levels, list(coalesce(sibling, '') ORDER BY level) AS siblings, list(odd ORDER BY level) AS odds FROM w GROUP BY g, pos),
+            f AS (SELECT p.g, p.pos, 0 AS level, coalesce(tampered, leaf) AS node, coalesce(levels, 0) AS levels, siblings, odds FROM p LEFT JOIN h ON h.g = p.g AND h.pos = p.pos
+                UNION ALL SELECT g, pos, level + 1, sha256(CASE WHEN odds[level + 1] THEN siblings[level + 1] || node ELSE node || siblings[level + 1] END), levels, siblings, odds FROM f WHERE level < levels)
+        SELECT p.doc_id, p.leaf, s.subroot, r.nodes[1] AS root, sha256(coalesce(h.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.nodes[1] AS verified
+        FROM p JOIN s ON s.g = p.g JOIN f ON f.g = p.g AND f.pos = p.pos AND f.level = f.levels LEFT JOIN h ON h.g = p.g AND h.pos = p.pos JOIN u r ON len(r.nodes) = 1""",
+    "op13_warc": """
+        WITH d AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keep FROM d)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM h""",
     "op3_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
