@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +34,24 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[int, str, bytes]:
     """(number of groups, the groups in words, keys a << 32 | b of all overlapping tokens) of two rows of
     tokens over the same bytes, by one walk along both."""
-    keys, groups, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    a_end, b_end = (a_sizes[0], b_sizes[0]) if a else (0, 0)
-    while i < len(a):
+    if len(a) == 1 or len(b) == 1:  # one group, in which all overlap
+        keys = [x << 32 | y for x in a for y in b]
+        return 1, f"{','.join(map(str, a))}|{','.join(map(str, b))}", pack(f"<{len(keys)}q", *keys)
+    keys, groups, i, j, i0, j0, ahead = [], [], 0, 0, 0, 0, a_sizes[0] - b_sizes[0]
+    while True:  # ahead: how many bytes A's token ends after B's
         keys.append(a[i] << 32 | b[j])
-        up_a, up_b = a_end <= b_end, b_end <= a_end
-        if up_a:
-            i += 1
-        if up_b:
+        if ahead > 0:
             j += 1
-        if up_a and up_b:
+            ahead -= b_sizes[j]
+        elif ahead < 0:
+            i += 1
+            ahead += a_sizes[i]
+        else:
+            i, j = i + 1, j + 1
             groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            i0, j0 = i, j
-        if up_a and i < len(a):
-            a_end += a_sizes[i]
-        if up_b and j < len(b):
-            b_end += b_sizes[j]
-    return len(groups), ";".join(groups), np.array(keys, dtype="<i8").tobytes()
+            if i == len(a):
+                return len(groups), ";".join(groups), pack(f"<{len(keys)}q", *keys)
+            i0, j0, ahead = i, j, a_sizes[i] - b_sizes[j]
 
 
 class Pair:
@@ -81,27 +83,24 @@ class Pair:
         rest = iter(range(256, 512))
         return [chr(k) if k in own else chr(next(rest)) for k in range(256)]
 
-    def tokens(self, full: str) -> tuple[list[int], list[int]]:
-        """Both tokenizers' ids of a unit or a whole text, its first space or line end included."""
-        a = self.a.encode(full, add_special_tokens=False).ids
-        return a, self._b(full)
-
-    def _b(self, full: str) -> list[int]:
+    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both tokenizers' ids of units, or of whole texts, with their first space or line end."""
+        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
         # The model's own space stands before a line end by itself, and is taken off again.
-        return self.b.encode(full[1:]) if full[0] == " " else self.b.encode(full)[1:]
+        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        return a, [x if u[0] == " " else x[1:] for u, x in zip(units, b, strict=True)]
 
     def _made(self, full: str, a: list[int], b: list[int]) -> tuple:
         """aligned() with the numbers of tokens; empty where the tokens do not spell the unit."""
         a_bytes, b_bytes = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
         if not b"".join(a_bytes) == b"".join(b_bytes) == full.encode():
             return ()
-        return len(a), len(b), *aligned(a, b, list(map(len, a_bytes)), list(map(len, b_bytes)))
+        return len(a), len(b), *aligned(a, b, [*map(len, a_bytes)], [*map(len, b_bytes)])
 
     def _learn(self, units: set[str]) -> dict[str, tuple]:
         """What is new of a text's units, in one call of each library."""
         new = [u for u in units if u not in self.old]
-        a = self.a.encode_batch(new, add_special_tokens=False)
-        got = {u: self._made(u, x.ids, self._b(u)) for u, x in zip(new, a, strict=True)}
+        got = {u: self._made(u, a, b) for u, a, b in zip(new, *self._ids(new), strict=True)} if new else {}
         got |= {u: self.old[u] for u in units if u in self.old}
         for u, v in got.items():
             if len(u) <= LONGEST:

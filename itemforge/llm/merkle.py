@@ -74,17 +74,18 @@ def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def _climb(rows: DataFrame, arity: int, height: int) -> DataFrame:
     """rows(g, n, pos, node, ...) with `top`, the root of their g, and `path`, their siblings up to it."""
-    size, heights = arity**height, []
+    size, heights, tasks = arity**height, [], workspace.partitions(rows.sparkSession)
     levels = _levels(F.transform("items", lambda x: x["node"]), F.col("n") > size, arity, height)
     while True:
         held = F.struct("pos", *[c for c in rows.columns if c not in ("g", "n", "pos")])
         blocks = rows.withColumn("block", F.floor(F.col("pos") / size)).groupBy("g", "n", "block").agg(F.array_sort(F.collect_list(held)).alias("items"))
-        blocks = workspace.saved(blocks, "merkle-blocks")
+        blocks = workspace.saved(blocks.coalesce(tasks), "merkle-blocks")
         heights.append(blocks)
+        tasks = min(tasks, 1 + blocks.count() // (16 * size))  # each height has the size-th part of the nodes below
         if blocks.where(F.col("n") > size).isEmpty():
             break
         roots = blocks.withColumn("node", F.element_at(F.element_at(levels, -1), 1))
-        rows = workspace.saved(roots.select("g", F.ceil(F.col("n") / size).alias("n"), F.col("block").alias("pos"), "node"), "merkle-roots")
+        rows = workspace.saved(roots.select("g", F.ceil(F.col("n") / size).alias("n"), F.col("block").alias("pos"), "node").coalesce(tasks), "merkle-roots")
     above = None
     for blocks in reversed(heights):
         met = blocks.withColumn("levels", levels)
