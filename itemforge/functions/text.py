@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -44,13 +45,7 @@ def _compatibility() -> tuple[str, str, str, dict[str, str], dict[str, str]]:
             changed.append(code)
         if len(apart) > 1 and not 0xAC00 <= code < 0xD7B0 and unicodedata.normalize("NFC", apart) == c:
             joined[apart] = c
-    runs = [[changed[0], changed[0]]]
-    for code in changed[1:]:
-        if code == runs[-1][1] + 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    return "".join(one), "".join(one.values()), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]", several, joined
+    return "".join(one), "".join(one.values()), _char_class(changed), several, joined
 
 
 def _lookup(text: Column, pattern: str, table: dict[str, str]) -> Column:
@@ -65,7 +60,7 @@ def compose(text: Column) -> Column:
     """NFKC of a text, by Spark's own functions, for characters of the basic plane and for letters with
     up to two marks. A text without any character that NFKC could change is not touched."""
     before, after, changed, several, joined = _compatibility()
-    alone = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    alone = _char_class(sorted(map(ord, several)))
 
     def composed(t: Column) -> Column:
         single = _lookup(F.translate(t, before, after), alone, several)
@@ -85,20 +80,43 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _char_class(codes: list[int]) -> str:
+    """A pattern for one of the characters, by runs."""
+    runs = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @lru_cache(maxsize=1)
-def _accents() -> tuple[str, str]:
-    """Letters with a decomposition to one base letter, over the Latin blocks."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _accents() -> tuple[str, str, dict[str, str], str]:
+    """What is left of a character of the basic plane when its decomposition loses all combining marks,
+    by rule: those that become one other character, as two strings; those that become several; and a
+    class of the marks themselves. Hangul syllables are left whole on purpose: their parts are no
+    marks, and whole they equal what clean() composes."""
+    one, several, marks = {}, {}, []
+    for code in [*range(0xC0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(code)
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if base != c:
+            (one if len(base) == 1 else several)[c] = base
+    return "".join(one), "".join(one.values()), several, _char_class(marks)
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without their marks; marks that stand alone go too."""
-    return F.regexp_replace(F.translate(text, *_accents()), r"[̀-ͯ]", "")
+    """The text without combining marks, be they parts of a letter or characters of their own, in every
+    script of the basic plane. Characters beyond it stay as they are."""
+    before, after, several, marks = _accents()
+    latin = sum(ord(c) < 0x100 for c in before)
+    whole = F.regexp_replace(_lookup(F.translate(text, before, after), _char_class(sorted(map(ord, several))), several), marks, "")
+    # Most texts have no character beyond Latin-1.
+    return F.when(text.rlike(r"[^\x00-\xFF]"), whole).otherwise(F.translate(text, before[:latin], after[:latin]))
 
 
 def normalize(text: Column) -> Column:
@@ -149,10 +167,34 @@ def term_hits(text: Column, term: Column | str) -> Column:
     return F.regexp_count(text, F.concat(F.lit("(?<![a-z0-9])"), term))
 
 
+def _trie_pattern(terms: list[str]) -> str:
+    """A pattern for the longest of the terms at a place. Terms that begin alike share that beginning, so
+    a place is read once, however many terms there are."""
+    tree: dict = {}
+    for t in terms:
+        node = tree
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = []
+        for c in sorted(k for k in node if k):
+            child, run = node[c], re.escape(c)
+            while len(child) == 1 and "" not in child:  # a stretch without branches
+                ((c, child),) = child.items()
+                run += re.escape(c)
+            parts.append(run + pattern(child))
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
 def longest_terms(text: Column, terms: list[str]) -> Column:
     """The longest of the terms at each place of normalised text where one begins a word, in order."""
-    choice = "|".join(rf"\Q{t}\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
-    return F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])(?=({choice}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])(?=({_trie_pattern(terms)}))"), F.lit(1))
 
 
 def legible_share(text: Column, sample: int = 20_000) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
-from itemforge.operators import keys, relational, upsert
+from itemforge.operators import admission, keys, relational, upsert
 
 Bank = dict[str, DataFrame]
 
@@ -34,9 +34,10 @@ CHECKS = {
     "links": {"score": "score BETWEEN 0 AND 1"},
 }
 UNIQUE = {
-    "exams": [(["file_hash"], None)], "topics": [(["name"], None), (["slug"], None)], "questions": [(["uuid"], None), (["exam", "number"], "number IS NOT NULL")],
-    "options": [(["question", "letter"], None), (["question", "ordinal"], None)], "keys": [(["question"], None)], "key_letters": [(["question", "option"], None)],
-    "links": [(["question", "topic"], None), (["question"], "principal")],
+    "exams": [(["id"], None), (["file_hash"], None)], "topics": [(["id"], None), (["name"], None), (["slug"], None)],
+    "questions": [(["id"], None), (["uuid"], None), (["exam", "number"], "number IS NOT NULL")],
+    "options": [(["id"], None), (["question", "letter"], None), (["question", "ordinal"], None)], "keys": [(["id"], None), (["question"], None)],
+    "key_letters": [(["question", "option"], None)], "links": [(["question", "topic"], None), (["question"], "principal")], "media": [(["id"], None)],
 }
 REFERENCES = [("questions", "exam", "exams"), ("options", "question", "questions"), ("keys", "question", "questions"), ("key_letters", "question", "questions"), ("key_letters", "option", "options"), ("links", "question", "questions"), ("links", "topic", "topics"), ("media", "question", "questions"), ("topics", "parent", "topics")]
 
@@ -60,9 +61,10 @@ def read_model(bank: Bank) -> DataFrame:
 
 
 def matching(model: DataFrame, bank: Bank, text: str | None = None, topic: int | None = None, untagged: bool = False, exam: int | None = None, eligible_only: bool = False) -> DataFrame:
-    """The read model's active rows that meet every condition given: words of the text, a topic or one of
-    its children, no topic at all, an exam; of all questions or of those an exam can use."""
-    rows = relational.eligible(model) if eligible_only else model.where("active")
+    """The read model's rows that meet every condition given: words of the text, a topic or one of its
+    children, no topic at all, an exam; of all questions, inactive ones too, or of those an exam can
+    use."""
+    rows = relational.eligible(model) if eligible_only else model
     links = bank["links"].select(F.col("question").alias("item"), "topic")
     if text is not None and text.strip():
         rows = rows.where(T.matches_all(F.concat_ws(" ", "support", "statement", "command"), text))
@@ -144,7 +146,9 @@ def _touched(bank: Bank, ids: DataFrame, at: Column, questions: DataFrame | None
 def write_questions(bank: Bank, questions: DataFrame, options: DataFrame, at: Column) -> Bank:
     """New questions with their options, each with a key that is still absent. A number that the exam has
     already, or a uuid that is taken, is refused by constraint_violations() before the snapshot is put in place."""
-    born = questions.select(F.col("id"), F.col("id").alias("question"), F.lit("ausente").alias("status"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("confidence"))
+    top = bank["keys"].agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("top"))
+    each = number(questions.select(F.col("id").alias("question")), ["question"]).join(F.broadcast(top))  # one row
+    born = each.select((F.col("top") + F.col("__number")).alias("id"), "question", F.lit("ausente").alias("status"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("confidence"))
     grown = bank | {"keys": bank["keys"].unionByName(born)}
     return _touched(grown, questions, at, bank["questions"].unionByName(questions), bank["options"].unionByName(options))
 
@@ -158,8 +162,10 @@ def edit_texts(bank: Bank, changes: DataFrame, at: Column) -> Bank:
 def correct_options(bank: Bank, changes: DataFrame, at: Column) -> Bank:
     """changes(question, letter, text): an option of that letter gets the text, a letter that the question
     lacks becomes an option at the next ordinal, several in order of their letters. Ids of new options
-    follow the greatest one."""
-    given = changes.select("question", F.upper(F.substring(F.trim("letter"), 1, 1)).alias("letter"), F.col("text").alias("__text"))
+    follow the greatest one. Changes with a blank letter, and those of questions that the bank lacks,
+    make nothing."""
+    given = changes.select("question", T.tidy_letter(F.col("letter")).alias("letter"), F.col("text").alias("__text")).where("letter <> ''")
+    given = given.join(bank["questions"].select(F.col("id").alias("question")), "question", "left_semi")
     given = given.groupBy("question", "letter").agg(F.max("__text").alias("__text"))
     options = bank["options"]
     kept = options.join(given, ["question", "letter"], "left").withColumn("text", F.coalesce("__text", "text")).select(*options.columns)
@@ -168,7 +174,7 @@ def correct_options(bank: Bank, changes: DataFrame, at: Column) -> Bank:
     fresh = fresh.withColumn("ordinal", (F.coalesce("next", F.lit(0)) + place).cast("int"))
     top = options.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("top"))
     fresh = number(fresh, ["question", "letter"]).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__number")).withColumn("text", F.col("__text"))  # one row
-    return _touched(bank, changes.select(F.col("question").alias("id")), at, options=kept.unionByName(fresh.select(*options.columns)))
+    return _touched(bank, given.select(F.col("question").alias("id")), at, options=kept.unionByName(fresh.select(*options.columns)))
 
 
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -194,19 +200,26 @@ def define_keys(bank: Bank, answers: DataFrame, source: str) -> tuple[Bank, Data
     """(bank, refused) with the keys of answers(question, letters array, confidence) written.
 
     The status follows from the number of letters, and the letters replace those before. A question whose
-    options lack a letter keeps its key; refused(question, letter) has these letters.
+    options lack a letter keeps its key; refused(question, letter) has these letters, and a row without
+    a letter for each question that the bank lacks. Ids of new keys follow the greatest one.
     """
+    met = answers.join(bank["questions"].select(F.col("id").alias("__known")), F.col("question") == F.col("__known"), "left")
+    unknown = met.where("__known IS NULL").select("question", F.lit(None).cast("string").alias("letter"))
+    answers = met.where("__known IS NOT NULL").drop("__known")
     asked = answers.select("question", F.explode("letters").alias("letter"))
     known = asked.join(bank["options"].select("question", "letter", F.col("id").alias("option")), ["question", "letter"], "left")
     refused = known.where("option IS NULL").select("question", "letter")
     good = answers.join(refused.select("question").distinct(), "question", "left_anti")
     fresh = good.select("question", keys.status_of(F.col("letters")).alias("status"), F.lit(source).alias("source"), "confidence")
     table = bank["keys"]
-    new = fresh.join(table.select("question", "id"), "question", "left").withColumn("id", F.coalesce("id", "question"))
+    met = fresh.join(table.select("question", "id"), "question", "left")
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("top"))
+    born = number(met.where("id IS NULL"), ["question"]).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__number"))  # one row
+    new = met.where("id IS NOT NULL").unionByName(born.select(*met.columns))
     kept = table.join(fresh.select("question"), "question", "left_anti")
     letters = bank["key_letters"].join(good.select("question"), "question", "left_anti")
     named = known.join(good.select("question"), "question", "left_semi").select("question", "option").distinct()
-    return bank | {"keys": kept.unionByName(new.select(*table.columns)), "key_letters": letters.unionByName(named)}, refused
+    return bank | {"keys": kept.unionByName(new.select(*table.columns)), "key_letters": letters.unionByName(named)}, refused.unionByName(unknown)
 
 
 def apply_key_text(bank: Bank, exam: int, parsed: DataFrame, at: Column, source: str = "pdf", path: str | None = None) -> tuple[Bank, DataFrame, DataFrame]:
@@ -238,16 +251,26 @@ def confirm(bank: Bank, question: int, letters: list[str]) -> tuple[Bank, DataFr
 
 
 def set_topics(links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """links with chosen(question, topic) set by hand: each is a manual link of score 1, and the only
-    principal one of its question; the last of several by topic id is it."""
-    last = chosen.groupBy("question").agg(F.max("topic").alias("__main"))
-    picked = chosen.select("question", "topic").distinct()
+    """links with chosen(question, topic, and perhaps principal) set by hand: each is a manual link of score
+    1. Unless a row says that it is not principal, it becomes the only principal one of its question,
+    the last of several by topic id."""
+    if "principal" not in chosen.columns:
+        chosen = chosen.withColumn("principal", F.lit(True))
+    picked = chosen.groupBy("question", "topic").agg(F.bool_or(F.coalesce("principal", F.lit(True))).alias("__first"))
+    last = picked.where("__first").groupBy("question").agg(F.max("topic").alias("__main"))
+    before = links.join(picked.select("question", "topic"), ["question", "topic"], "left_semi").select("question", "topic", F.col("principal").alias("__was"))
     kept = links.join(picked, ["question", "topic"], "left_anti")
-    new = picked.select("question", "topic", F.lit(1.0).alias("score"), F.lit("manual").alias("origin"), F.lit(False).alias("principal"))
+    new = picked.join(before, ["question", "topic"], "left").select("question", "topic", F.lit(1.0).alias("score"), F.lit("manual").alias("origin"), F.coalesce("__was", F.lit(False)).alias("principal"))
     both = kept.select(*new.columns).unionByName(new).join(last, "question", "left")
     return both.withColumn("principal", F.when(F.col("__main").isNull(), F.col("principal")).otherwise(F.col("topic") == F.col("__main"))).select(*links.columns)
 
 
+def remove_topics(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """links without those of gone(question, topic), whatever their origin. A question that loses its
+    principal link has none until one is set."""
+    return links.join(gone.select("question", "topic").distinct(), ["question", "topic"], "left_anti").select(*links.columns)
+
+
 def set_flags(table: DataFrame, ids: DataFrame, at: Column | None = None, **values) -> DataFrame:
     """The table with columns of the rows ids(id) set: reviewed, active, status, paths, counts."""
     met = table.join(ids.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left")
@@ -293,28 +316,48 @@ def seed_topics(topics: DataFrame, tree: list[tuple[str, str | None]]) -> DataFr
 
 def constraint_violations(bank: Bank) -> DataFrame:
     """(table, rule, n) of every rule of a bank that rows break: checks, unique keys, references, and that
-    a key's letters are its own question's."""
+    a key's letters are its own question's. All checks of a table are one aggregate over it, and all
+    references to a table one join with its ids."""
     found = []
 
     def add(table: str, rule: str, rows: DataFrame) -> None:
-        found.append(rows.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "n"))
+        found.append(rows.agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "n"))
 
     for table, checks in CHECKS.items():
-        for name, holds in checks.items():
-            add(table, f"check {name}", bank[table].where(f"NOT ({holds})"))
+        counts = bank[table].agg(*[F.count_if(F.expr(f"NOT ({holds})")).alias(name) for name, holds in checks.items()])
+        each = F.array(*[F.struct(F.lit(f"check {name}").alias("rule"), F.col(name).alias("n")) for name in checks])
+        found.append(counts.select(F.lit(table).alias("table"), F.explode(each).alias("x")).select("table", "x.rule", "x.n"))
     for table, rules in UNIQUE.items():
         for columns, where in rules:
             rows = bank[table].where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
             add(table, f"unique {', '.join(columns)}", upsert.unique_violations(rows, columns, F.expr(where) if where else None))
-    for table, column, parent in REFERENCES:
-        add(table, f"reference {column}", upsert.orphans(bank[table], bank[parent], column, "id"))
+    for parent in dict.fromkeys(p for *_, p in REFERENCES):
+        uses = [bank[t].select(F.lit(t).alias("table"), F.lit(f"reference {c}").alias("rule"), F.col(c).alias("__to")) for t, c, p in REFERENCES if p == parent]
+        lost = upsert.orphans(relational.unioned(uses), bank[parent], "__to", "id")
+        found.append(lost.groupBy("table", "rule").agg(F.count("*").alias("n")))
     owner = bank["options"].select(F.col("id").alias("option"), F.col("question").alias("__owner"))
     met = bank["key_letters"].join(owner, "option")
     add("key_letters", "option of the question", upsert.same_parent_violations(met, F.col("question"), F.col("__owner")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return relational.unioned(found).where("n > 0")
+
+
+def admission_rules(bank: Bank, table: str, more: dict[str, tuple[list[str], str | None]] | None = None) -> admission.Rules:
+    """The bank's rules for new rows of a table, with further unique keys."""
+    references = [(c, bank[p], "id") for t, c, p in REFERENCES if t == table]
+    return admission.Rules(CHECKS.get(table, {}), references, (more or {}) | {", ".join(columns): (columns, where) for columns, where in UNIQUE[table]})
+
+
+def admit_questions(bank: Bank, questions: DataFrame, options: DataFrame, order: list[str], at: Column, known_texts: bool = True) -> tuple[Bank, DataFrame]:
+    """(bank, verdicts) with the questions stored that the bank takes, in their order, each with its options
+    and a key that is still absent. verdicts has the questions with `broken` and `blocker`, see
+    admission.admit(); a text that is known already, or earlier in the batch, breaks `unique text`,
+    unless such texts are wanted too. Questions without a statement have no text to be known."""
+    hashed = content(questions, options)
+    text = {"text": (["content_hash"], "statement IS NOT NULL AND statement <> ''")} if known_texts else {}
+    verdicts = admission.admit(hashed, order, admission_rules(bank, "questions", text), bank["questions"], "id")
+    good = verdicts.where("broken IS NULL").select(*bank["questions"].columns)
+    mine = options.join(good.select(F.col("id").alias("question")), "question", "left_semi").select(*bank["options"].columns)
+    return write_questions(bank, good, mine, at), verdicts
 
 
 def create_tables(spark: SparkSession, path: str) -> list[str]:

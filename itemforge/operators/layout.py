@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
+from itemforge.operators import intervals, relational
+from itemforge.sources import shared
 
 #: The thresholds of the layout rules.
 VOTING, COVERAGE, BODY = 25, 0.25, (0.08, 0.92)
@@ -71,6 +73,24 @@ def assign_columns(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("col", F.when(two & (edge >= middle), 1).otherwise(0)).select(*fragments.columns, "col")
 
 
+def assign_to_columns(fragments: DataFrame, columns: DataFrame, cell: float = 100.0) -> DataFrame:
+    """fragments with col, of any number of columns(doc_id, page, col, left, right) a page.
+
+    A fragment lies in the column that has its centre, or its left edge where it covers a quarter of two
+    columns or more; one that no column has lies in the last. Pages without columns are one column.
+    """
+    rows = relational.cut(fragments.withColumn("__id", F.monotonically_increasing_id()))
+    boxes = rows.select("__id", "doc_id", "page", "x0", "x1")
+    met = intervals.overlapping(boxes, columns.select("doc_id", "page", F.col("col").alias("__col"), "left", "right"), ["doc_id", "page"], ("x0", "x1"), ("left", "right"), cell)
+    covers = (F.least("x1", "right") - F.greatest("x0", "left")) / (F.col("right") - F.col("left")) >= COVERAGE
+    holds = lambda at: F.min(F.when((at >= F.col("left")) & (at < F.col("right")), F.col("__col")))
+    found = met.groupBy("__id").agg(F.count_if((F.col("right") > F.col("left")) & covers).alias("__covered"), holds((F.col("x0") + F.col("x1")) / 2).alias("__centre"), holds(F.col("x0")).alias("__edge"))
+    last = columns.groupBy("doc_id", "page").agg(F.max("col").alias("__last"))
+    out = rows.join(found, "__id", "left").join(last, ["doc_id", "page"], "left")
+    col = F.coalesce(F.when(F.col("__covered") > 1, F.col("__edge")).otherwise(F.col("__centre")), "__last", F.lit(0))
+    return out.select(*fragments.columns, col.cast("int").alias("col"))
+
+
 _LINES = "doc_id long, page int, col int, seq long, x0 double, y0 double, x1 double, y1 double, text string, first_fragment string, others string, size double, bold boolean"
 
 
@@ -78,6 +98,8 @@ def fuse_lines(fragments: DataFrame) -> DataFrame:
     """Lines of fragments(…, col). On a page, fragments of a column join while their centre is within
     half the upper median height of the running mean of the line's centres; a page is one group."""
 
+    shared.ship(fragments.sparkSession)
+
     def fuse(page: pd.DataFrame) -> pd.DataFrame:
         heights = sorted(h for h in page.y1 - page.y0 if h > 0)
         slack, rows = max(0.5 * (heights[len(heights) // 2] if heights else 10.0), 1.0), []
@@ -150,49 +172,78 @@ def within_budget(candidates: Column, budget: Column) -> Column:
     return F.aggregate(candidates, start, step, lambda state: state["took"])
 
 
-def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """lines with noise: `header`, `footer` or null.
-
-    A band of a recurring key on enough pages is one when it does not wander, lies beyond the 5th or
-    95th percentile of y, and has a gap to the body and at most one line outside on most pages. Bands
-    farthest from the middle are taken while their lines fit the budget; one that does not fit is
-    passed over. Documents of fewer than three pages have none.
-    """
+def _recurring(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Recurring keys' bands on enough pages, with `kind`: `header` or `footer` for those that may be
+    noise, null for the body's. Documents of fewer than three pages have none."""
     height = F.col("y1") - F.col("y0")
     facts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), positional("y0", 0.05).alias("top"), positional("y0", 0.95).alias("bottom"), upper_median(F.when(height > 0, height)).alias("line_height"))
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.min_by("height", "page").alias("page_height"))
     rec = recurrences(lines).join(facts, "doc_id").join(sizes, "doc_id").where((F.col("n_pages") >= LEAST_PAGES) & (F.size("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * PAGE_SHARE))))
     kind = F.when(F.col("y_sd") > MOST_SD, None).when(F.col("y_mean") <= F.col("top"), "header").when(F.col("y_mean") >= F.col("bottom"), "footer")
-    rec = rec.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("band_width", F.greatest(F.col("y_sd") * 1.5, F.lit(2.0)))
+    rec = rec.withColumn("kind", kind).withColumn("band_width", F.greatest(F.col("y_sd") * 1.5, F.lit(2.0)))
     # Each page of a band: lines outside it, and the gap to the nearest body line.
-    at = rec.select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(lines.select("doc_id", "page", "y0"), ["doc_id", "page"])
+    at = rec.where("kind IS NOT NULL").select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(lines.select("doc_id", "page", "y0"), ["doc_id", "page"])
     above, below = F.col("y0") < F.col("y_mean") - F.col("band_width"), F.col("y0") > F.col("y_mean") + F.col("band_width")
     header = F.col("kind") == "header"
     outside = F.count_if(F.when(header, above).otherwise(below))
     gap = F.coalesce(F.min(F.when(header & below, F.col("y0") - F.col("y_mean")).when(~header & above, F.col("y_mean") - F.col("y0"))), F.lit(float("inf")))
     page_facts = at.groupBy("doc_id", "key", "band", "line_height", "page").agg(outside.alias("outside"), gap.alias("gap"))
     good = page_facts.groupBy("doc_id", "key", "band", "line_height").agg((F.avg((F.col("outside") <= 1).cast("double")) >= 0.8).alias("conform"), upper_median("gap").alias("gap")).where(F.col("conform") & (F.col("gap") >= F.coalesce("line_height", F.lit(0.0)) * GAP_LINES))
-    rec = rec.join(good.select("doc_id", "key", "band"), ["doc_id", "key", "band"])
-    # The budget is a fold that skips what does not fit, over a document's few candidates.
+    met = rec.join(good.select("doc_id", "key", "band", F.lit(True).alias("__good")), ["doc_id", "key", "band"], "left")
+    return met.withColumn("kind", F.when(F.col("__good"), F.col("kind"))).drop("__good")
+
+
+def _within(rec: DataFrame) -> DataFrame:
+    """(doc_id, key, band, kind, y_mean, y_sd) of the bands that a document's budget takes: a fold that skips
+    what does not fit, over a document's few candidates, those farthest from the middle first."""
     order = F.struct((-F.abs(F.col("y_mean") - F.col("page_height") / 2)).alias("far"), "key", "band", F.col("n").cast("int").alias("n"), "kind", "y_mean", "y_sd")
-    folded = rec.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("c"), F.first("n_lines").alias("n_lines"))
-    chosen = folded.select("doc_id", F.explode(within_budget(F.col("c"), F.floor(F.col("n_lines") * BUDGET).cast("int"))).alias("t")).select("doc_id", F.col("t.key").alias("key"), F.col("t.kind").alias("kind"), F.col("t.y_mean").alias("y_mean"), F.col("t.y_sd").alias("y_sd"))
+    folded = rec.where("kind IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("c"), F.first("n_lines").alias("n_lines"))
+    taken = folded.select("doc_id", F.explode(within_budget(F.col("c"), F.floor(F.col("n_lines") * BUDGET).cast("int"))).alias("t"))
+    return taken.select("doc_id", *[F.col(f"t.{c}").alias(c) for c in ("key", "band", "kind", "y_mean", "y_sd")])
+
+
+def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines with noise: `header`, `footer` or null.
+
+    A band of a recurring key on enough pages is one when it does not wander, lies beyond the 5th or
+    95th percentile of y, and has a gap to the body and at most one line outside on most pages. Bands
+    farthest from the middle are taken while their lines fit the budget; one that does not fit is
+    passed over. Documents of fewer than three pages have none.
+    """
+    height = F.col("y1") - F.col("y0")
+    chosen = _within(_recurring(lines, pages)).drop("band")
     keyed = lines.withColumn("key", T.line_key(F.col("text")))
     near = F.abs(F.col("y0") - F.col("y_mean")) <= F.greatest(F.col("y_sd") * 3, F.when(height > 0, height).otherwise(12.0))
     hits = keyed.join(chosen, ["doc_id", "key"]).where(near).groupBy("doc_id", "page", "seq").agg(F.min("kind").alias("noise"))
     return lines.join(hits, ["doc_id", "page", "seq"], "left").select(*lines.columns, "noise")
 
 
+def recurrence_report(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, place, key, n, pages, y_mean, y_sd, kind, verdict) of all recurring bands, numbered by place
+    in each document: the most frequent first, equal ones by key. verdict is `noise`, `body`, or `over
+    budget` for a band that would have been noise, of which a reader should be warned."""
+    rec = relational.cut(_recurring(lines, pages))
+    taken = _within(rec).select("doc_id", "key", "band", F.lit("noise").alias("__taken"))
+    verdict = F.when(F.col("kind").isNull(), "body").otherwise(F.coalesce("__taken", F.lit("over budget")))
+    order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "key", "band")
+    met = rec.join(taken, ["doc_id", "key", "band"], "left").withColumns({"verdict": verdict, "place": F.row_number().over(order)})
+    return met.select("doc_id", "place", "key", "n", "pages", "y_mean", "y_sd", "kind", "verdict")
+
+
 def longest_chain(numbers: list[int], step: int = STEP) -> list[int]:
     """Positions of the longest rising chain whose steps are 1 to `step`; the earliest end and the
-    earliest predecessors win."""
-    best, back = [1] * len(numbers), [-1] * len(numbers)
+    earliest predecessors win. For each number only its best end so far is kept, so a position looks
+    at `step` numbers whatever came before it."""
+    best: dict[int, tuple[int, int]] = {}  # number: (length, -position) of the best chain that ends with it
+    back: list[int] = []
+    last = (0, 0)
     for i, n in enumerate(numbers):
-        for j in range(i):
-            if 0 < n - numbers[j] <= step and best[j] + 1 > best[i]:
-                best[i], back[i] = best[j] + 1, j
-    at = max(range(len(numbers)), key=lambda i: best[i], default=-1)
-    out = []
+        length, before = max((best[m] for m in range(n - step, n) if m in best), default=(0, 1))
+        back.append(-before)
+        end = (length + 1, -i)
+        best[n] = max(best.get(n, end), end)
+        last = max(last, end)
+    out, at = [], -last[1] if last[0] else -1
     while at >= 0:
         out.append(at)
         at = back[at]
@@ -227,25 +278,44 @@ def _gutters(marked: list) -> dict[int, float]:
     return {c: max(e, key=e.get) for c, e in counts.items()}
 
 
+def _strict(marked: list, strong: str) -> bool:
+    """Whether enough markers are strong that weak ones do not count; numbers and letters each have a
+    census of their own."""
+    return sum(bool(getattr(r, strong)) for r in marked) >= STRONG
+
+
 def segment(lines: DataFrame) -> DataFrame:
     """QUESTIONS from lines without noise; one group is one document.
 
     Numbers at their column's gutter that make the longest chain open questions; with five strong
-    markers or more, weak ones do not count. Confidence falls for missing or odd options, a number
-    out of sequence, a short statement, many pages and empty options, each with a remark; then for
-    a number of options that differs from what most questions of the document have.
+    numbers or more, weak ones do not count, and so with letters. Confidence falls for missing or odd
+    options, letters out of order, a short statement, many pages and empty options, each with a remark;
+    then for a number of options that differs from what most questions of the document have.
     """
+    return _segmented(lines, False)
+
+
+def segment_warnings(lines: DataFrame) -> DataFrame:
+    """(doc_id, warning, before, after) of whole documents: `no questions` where no chain of numbers
+    was found, `jump` between two numbers that are not neighbours, and `late start` where the first
+    number is not 1. Documents without lines are not seen."""
+    return _segmented(lines, True)
+
+
+WARNINGS = "doc_id long, warning string, before int, after int"
+
+
+def _segmented(lines: DataFrame, warnings: bool) -> DataFrame:
+    shared.ship(lines.sparkSession)
     marked = lines.withColumns({"num": T.number_marker(F.col("first_fragment"), F.col("others")), "let": T.letter_marker(F.col("first_fragment"), F.col("others"))})
     marked = marked.select("doc_id", "page", "col", "seq", "x0", "text", F.col("num.value").try_cast("int").alias("number"), F.col("num.rest").alias("number_rest"), F.col("num.strong").alias("number_strong"), F.upper("let.value").alias("letter"), F.col("let.rest").alias("letter_rest"), F.col("let.strong").alias("letter_strong"))
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         rows = [r._replace(number=None if pd.isna(r.number) else int(r.number), letter=r.letter if isinstance(r.letter, str) else None) for r in doc.sort_values(["page", "col", "seq"]).itertuples(index=False)]
-        numbers = [r for r in rows if r.number is not None]
-        strict = sum(bool(r.number_strong) for r in numbers) >= STRONG
-        accepted = [r for r in numbers if r.number_strong or not strict]
-        gutters = _gutters(accepted)
-        letters = [r for r in rows if r.letter is not None and (r.letter_strong or not strict)]
-        letter_gutters = _gutters(letters)
+        numbers, letters = [r for r in rows if r.number is not None], [r for r in rows if r.letter is not None]
+        strict, strict_letters = _strict(numbers, "number_strong"), _strict(letters, "letter_strong")
+        gutters = _gutters([r for r in numbers if r.number_strong or not strict])
+        letter_gutters = _gutters([r for r in letters if r.letter_strong or not strict_letters])
         start = {c: min(r.x0 for r in rows if r.col == c) for c in {r.col for r in rows}}
         for known in (gutters, letter_gutters):  # a column without markers keeps the others' indent
             if known:
@@ -254,24 +324,38 @@ def segment(lines: DataFrame) -> DataFrame:
                     known.setdefault(c, start[c] + known[c0] - start[c0])
         at = [i for i, r in enumerate(rows) if r.number is not None and (r.number_strong or not strict) and abs(r.x0 - gutters.get(r.col, r.x0)) <= GUTTER]
         anchors = [at[k] for k in longest_chain([rows[i].number for i in at])]
+        doc_id = int(doc.doc_id.iloc[0])
+        if warnings:
+            found = [] if anchors else [(doc_id, "no questions", None, None)]
+            if anchors and rows[anchors[0]].number != 1:
+                found.append((doc_id, "late start", None, rows[anchors[0]].number))
+            found += [(doc_id, "jump", rows[a].number, rows[b].number) for a, b in zip(anchors, anchors[1:], strict=False) if rows[b].number != rows[a].number + 1]
+            return pd.DataFrame(found, columns=["doc_id", "warning", "before", "after"]).astype({"before": "Int32", "after": "Int32"})
         out = []
         for k, i in enumerate(anchors):
             body = rows[i + 1 : anchors[k + 1] if k + 1 < len(anchors) else len(rows)]
-            ok = [r.letter if r.letter and (r.letter_strong or not strict) and abs(r.x0 - letter_gutters.get(r.col, r.x0)) <= GUTTER else None for r in body]
+            ok = [r.letter if r.letter and (r.letter_strong or not strict_letters) and abs(r.x0 - letter_gutters.get(r.col, r.x0)) <= GUTTER else None for r in body]
             more, options = split_options([r.text for r in body], ok, [r.letter_rest or "" for r in body])
             statement = " ".join(p for p in (rows[i].number_rest or "", more) if p)
             pages = [rows[i].page, *(r.page for r in body)]
-            jump = k > 0 and rows[i].number != rows[anchors[k - 1]].number + 1 or k == 0 and rows[i].number != 1
-            faults = [(0.6, "no options", not options), (0.3, "unusual number of options", bool(options) and len(options) not in (4, 5)), (0.2, "number out of sequence", jump), (0.25, "short statement", len(statement) < 30), (0.1, "spans many pages", max(pages) - min(pages) + 1 > 3), (0.2, "empty option", any(len(t) < 2 for _, t in options))]
-            out.append([rows[i].number, statement, options, min(pages), max(pages), sum(f for f, _, bad in faults if bad), [w for _, w, bad in faults if bad]])
+            loss, remarks = losses(statement, options, max(pages) - min(pages) + 1)
+            out.append([rows[i].number, statement, options, min(pages), max(pages), loss, remarks])
         counts = [len(q[2]) for q in out]
         mode = max(dict.fromkeys(counts), key=counts.count) if counts else 0
-        common = len(out) >= 3 and counts.count(mode) >= 0.6 * len(out)
+        common = len(out) >= 3 and mode > 0 and counts.count(mode) >= 0.6 * len(out)
         for q in out:
+            q[5] = max(0.0, min(1.0, round(1.0 - q[5], 3)))
             if common and len(q[2]) != mode and not any("option" in w for w in q[6]):
-                q[5] += 0.35
+                q[5] = max(0.0, round(q[5] - 0.35, 3))
                 q[6] = [*q[6], "options differ from the document's"]
-        found = [(int(doc.doc_id.iloc[0]), n, s, [{"letter": a, "text": t} for a, t in o], p, e, round(min(1.0, max(0.0, 1.0 - loss)), 3), w) for n, s, o, p, e, loss, w in out]
+        found = [(doc_id, n, s, [{"letter": a, "text": t} for a, t in o], p, e, c, w) for n, s, o, p, e, c, w in out]
         return pd.DataFrame(found, columns=["doc_id", "number", "statement", "options", "first_page", "last_page", "confidence", "remarks"])
 
-    return marked.groupBy("doc_id").applyInPandas(run, QUESTIONS)
+    return marked.groupBy("doc_id").applyInPandas(run, WARNINGS if warnings else QUESTIONS)
+
+
+def losses(statement: str, options: list[tuple[str, str]], pages: int) -> tuple[float, list[str]]:
+    """(loss of confidence, remarks) of one question."""
+    in_order = all(mark == chr(65 + k) for k, (mark, _) in enumerate(options))
+    faults = [(0.6, "no options", not options), (0.3, "unusual number of options", bool(options) and len(options) not in (4, 5)), (0.2, "option letters out of order", not in_order), (0.25, "short statement", len(statement) < 30), (0.1, "spans many pages", pages > 3), (0.2, "empty option", any(len(t) < 2 for _, t in options))]
+    return sum(f for f, _, bad in faults if bad), [w for _, w, bad in faults if bad]

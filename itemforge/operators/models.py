@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
+from itemforge.sources import shared
 
 
 class Client(Protocol):
@@ -78,6 +79,7 @@ def ask_rounds(prompts: DataFrame, client: Callable[[], Client], rounds: int, en
                 out.append((item, -1, None, down))
             yield pd.DataFrame(out, columns=["item", "round", "raw", "error"]).astype({"round": "int32"})
 
+    shared.ship(prompts.sparkSession)
     return prompts.select("item", "prompt").mapInPandas(run, ROUNDS)
 
 
@@ -128,6 +130,7 @@ def score_labels(prompts: DataFrame, scorer: Callable[[], Callable[[list[str], l
             found = score(b["prompt"].tolist(), sentences)
             yield pd.DataFrame([(i, s, float(v)) for i, row in zip(b["item"], found, strict=True) for s, v in zip(slugs, row, strict=True)], columns=["item", "slug", "share"])
 
+    shared.ship(prompts.sparkSession)
     return prompts.select("item", "prompt").mapInPandas(run, "item long, slug string, share double")
 
 

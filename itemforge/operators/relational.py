@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,13 +117,18 @@ def value_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Colu
     return spread.groupBy(*keys).agg(*[F.min(F.when(here(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
 
 
+def unioned(parts: list[DataFrame]) -> DataFrame:
+    """All rows of one or more tables of the same columns."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows in the shared folder that spark.checkpoint.dir names, without the plan that led to them.
     Where it is unset, a local master uses a folder of its own."""
     sc = rows.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         root = sc.getConf().get("spark.checkpoint.dir")
-        if not root and not sc.master.startswith("local["):
+        if not root and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='itemforge-')}")
     return rows.checkpoint()

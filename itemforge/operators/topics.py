@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,17 +17,13 @@ def weights(lexicon: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("term").agg((1.0 / F.count("*")).alias("weight")), "term").select("slug", "term", "weight")
 
 
-def _among(terms: list[str]) -> Callable[[Column], Column]:
-    return lambda t: t.isin(*terms)
-
-
 def lexicon_scores(docs: DataFrame, lexicon: DataFrame, id_column: str = "doc_id", text_column: str = "text", catalogued: list[str] | None = None) -> DataFrame:
     """(doc_id, slug, evidence, score) of every topic with hits; the scores of a document add up to 1.
 
-    One pass over the folded text finds the longest term at each place where one begins a word; all
-    others that begin there begin that one too, so their hits follow from its. The documents neither
-    move nor multiply before they are counted. The lexicon is a parameter of a few hundred terms, and
-    its rows go to the driver to build the expressions.
+    One pass over the folded text finds the longest term at each place where one begins a word, by a
+    pattern in which terms share their beginnings; all others that begin there begin that one too, so
+    their hits follow from its. The documents neither move nor multiply before they are counted. The
+    lexicon is a parameter of some thousand terms, and its rows go to the driver to build the pattern.
     """
     by_term: dict[str, list[tuple[str, float]]] = {}
     for r in weights(lexicon).collect():
@@ -37,12 +33,19 @@ def lexicon_scores(docs: DataFrame, lexicon: DataFrame, id_column: str = "doc_id
     if not by_term:
         return folded.select("doc_id", F.lit("").alias("slug"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score")).limit(0)
     terms = folded.select("doc_id", T.longest_terms(F.col("folded"), list(by_term)).alias("terms"))
-    hits = []
-    for term, topics in sorted(by_term.items()):
-        n = F.size(F.filter("terms", _among([t for t in by_term if t.startswith(term)])))
-        hits.append(F.struct(F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(w).alias("weight")) for s, w in sorted(topics)]).alias("topics"), n.alias("hits")))
-    counted = terms.select("doc_id", F.explode(F.array(*hits)).alias("h")).where("h.hits > 0")
-    found = counted.select("doc_id", F.col("h.hits").alias("hits"), F.explode("h.topics").alias("t")).select("doc_id", F.struct("t.slug", "t.weight", "hits").alias("h"))
+    # Each distinct term found, how often it stands there, and all that begin it, by one look at a map.
+    ordered, reach, open_terms = sorted(by_term), {}, []
+    for t in ordered:  # in this order a term comes after all that begin it
+        while open_terms and not t.startswith(open_terms[-1]):
+            open_terms.pop()
+        open_terms.append(t)
+        reach[t] = list(open_terms)
+    entry = "array<struct<slug:string,weight:double,term:string>>"
+    lookup = F.from_json(F.lit(json.dumps({t: [{"slug": s, "weight": w, "term": x} for x in reach[t] for s, w in sorted(by_term[x])] for t in ordered})), f"map<string,{entry}>")
+    each = F.transform(F.array_distinct("terms"), lambda t: F.struct((F.size("terms") - F.size(F.array_remove("terms", t))).alias("n"), F.try_element_at(lookup, t).alias("topics")))
+    counted = terms.select("doc_id", F.explode(each).alias("h"))
+    hits = counted.select("doc_id", F.col("h.n").alias("n"), F.explode("h.topics").alias("t")).groupBy("doc_id", F.col("t.slug").alias("slug"), F.col("t.term").alias("term")).agg(F.sum("n").alias("hits"), F.first("t.weight").alias("weight"))
+    found = hits.select("doc_id", F.struct("slug", "weight", "hits").alias("h"))
     evidence = found.groupBy("doc_id", F.col("h.slug").alias("slug")).agg(F.sum(F.col("h.weight") * (1 + 0.25 * (F.col("h.hits") - 1))).alias("evidence"))
     share = F.col("evidence") / F.sum("evidence").over(Window.partitionBy("doc_id"))
     return evidence.select("doc_id", "slug", F.round("evidence", 6).alias("evidence"), F.round(share, 6).alias("score"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itemforge.operators import bank, keys, models, selection
+from itemforge.operators import admission, bank, keys, known_hashes, models, search_index, selection
 from itemforge.plans import assembly, catalogue, classification
 from itemforge.plans.catalogue import _norm, _query, _table
+from itemforge.sources import shared
 
 _AT = "2024-06-01"
 _BANK_SQL = f"""ex AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, CASE WHEN n_regionkey = 0 THEN 'erro' ELSE 'processado' END AS status, TIMESTAMP '2024-01-01' + n_nationkey * INTERVAL 1 DAY AS created_at FROM nation),
@@ -76,7 +77,7 @@ def bank_read_model(spark, sf_dir):
     return bank.read_model(_bank(spark, sf_dir)).select("id", "exam", "number", "title", "topic", "status", "source", "letters", "options", "media")
 
 
-@_query(f"WITH {_MODEL_SQL} SELECT id, topic FROM md WHERE active AND {_FOUND_SQL} AND id IN (SELECT question FROM lk WHERE topic = 1 OR topic IN (SELECT id FROM tp WHERE parent = 1)) ORDER BY id LIMIT 20 OFFSET 20")
+@_query(f"WITH {_MODEL_SQL} SELECT id, topic FROM md WHERE {_FOUND_SQL} AND id IN (SELECT question FROM lk WHERE topic = 1 OR topic IN (SELECT id FROM tp WHERE parent = 1)) ORDER BY id LIMIT 20 OFFSET 20")
 def library_search(spark, sf_dir):
     b = _bank(spark, sf_dir)
     return bank.search(bank.read_model(b), b, page=1, size=20, text="The en", topic=1).select("id", "topic")
@@ -88,7 +89,7 @@ def library_search_count(spark, sf_dir):
     return bank.search_count(bank.read_model(b), b, exam=3, eligible_only=True)
 
 
-@_query(f"WITH {_MODEL_SQL} SELECT id, title FROM md WHERE active AND {_FOUND_SQL} AND id NOT IN (SELECT question FROM lk)")
+@_query(f"WITH {_MODEL_SQL} SELECT id, title FROM md WHERE {_FOUND_SQL} AND id NOT IN (SELECT question FROM lk)")
 def library_search_untagged(spark, sf_dir):
     b = _bank(spark, sf_dir)
     return bank.matching(bank.read_model(b), b, text="The en", untagged=True).select("id", "title")
@@ -142,7 +143,9 @@ def _corrected(spark, sf_dir):
     letter = catalogue.T.letter(F.col("turn"))
     old = rows.where("role = 'user'").select(F.col("conv_id").alias("question"), F.concat(F.lit(" "), F.lower(letter)).alias("letter"), F.concat(F.lit("new "), letter).alias("text"))
     new = rows.select(F.col("conv_id").alias("question")).distinct().select("question", F.explode(F.array(*[F.struct(F.lit(a).alias("letter"), F.lit(b).alias("text")) for a, b in (("Z", "and another"), ("Y", "one more"))])).alias("o"))
-    return bank.correct_options(_bank(spark, sf_dir), old.unionByName(new.select("question", "o.letter", "o.text")), _at())
+    blank = rows.select(F.col("conv_id").alias("question"), F.lit(" ").alias("letter"), F.lit("no option").alias("text"))
+    lost = rows.select((-1 - F.col("conv_id")).alias("question"), F.lit("A").alias("letter"), F.lit("of no question").alias("text"))
+    return bank.correct_options(_bank(spark, sf_dir), old.unionByName(new.select("question", "o.letter", "o.text")).unionByName(blank).unionByName(lost), _at())
 
 
 @_query(f"WITH {_BANK_SQL}, {_CORRECTED_SQL} SELECT question, letter, text, CAST(ordinal AS INT) AS ordinal FROM cr")
@@ -289,15 +292,12 @@ def answer_prompts(spark, sf_dir):
     return rows.select("id", models.answer_prompt(F.concat_ws("\n", F.coalesce("support", F.lit("")), "statement"), F.col("options")).alias("prompt"))
 
 
-_KEY_COUNTS = {e: [0, 0, 0, 0] for e, *_ in catalogue._PARSED}
-for _exam, _, _letters, _status, _outcome in catalogue._PARSED:
-    for _k, _hit in enumerate((_outcome == "read", _status == "anulada", _outcome == "conflict", _outcome == "out of range")):
-        _KEY_COUNTS[_exam][_k] += _hit
-
-
-@_query("SELECT * FROM (VALUES %s) v(exam_id, \"read\", annulled, conflicts, outside)" % ", ".join(f"({e}, {', '.join(map(str, n))})" for e, n in _KEY_COUNTS.items()))
+@_query(
+    f"""WITH {catalogue._PARSED_SQL} SELECT exam_id, count(*) FILTER (outcome = 'read') AS "read", count(*) FILTER (status = 'anulada') AS annulled, count(*) FILTER (outcome = 'conflict') AS conflicts,
+    count(*) FILTER (outcome = 'out of range') AS outside FROM p GROUP BY exam_id"""
+)
 def key_report_counts(spark, sf_dir):
-    return keys.report_counts(catalogue._parsed(spark))
+    return keys.report_counts(catalogue._parsed(spark, sf_dir))
 
 
 @_query(
@@ -310,3 +310,88 @@ def import_outcomes(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("number"), F.coalesce("text", F.lit("")).alias("statement"), none.alias("options"))
     known = _table(spark, sf_dir, "benchmark").select(catalogue.T.content_hash(F.col("text")).alias("hash"))
     return assembly.record(rows, known).select("doc_id", "outcome")
+
+
+_BATCH_SQL = f"""r AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, [CASE WHEN text <> '' THEN 't' || {_norm('text')} END, 'u' || substr(sha256(CAST(n_chars // 5 AS VARCHAR)), 1, 8), CASE WHEN quality IS NOT NULL THEN 'e' || (doc_id % 7) || ' ' || (n_chars % 97) END] AS keys,
+        CASE WHEN quality = 0 AND toxic = 1 THEN 'check confidence' WHEN lang = 'es' AND source NOT IN (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND doc_id % 2 = 0) THEN 'reference source' END AS fault FROM documents LEFT JOIN labels USING (doc_id)),
+    s(k, doc_id, broken, taken, holders) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
+        UNION ALL SELECT r.k, r.doc_id, coalesce(fault, ['unique text', 'unique uuid', 'unique exam, number'][x]), CASE WHEN fault IS NULL AND x IS NULL THEN list_concat(taken, [y FOR y IN keys IF y IS NOT NULL]) ELSE taken END,
+            CASE WHEN fault IS NULL AND x IS NULL THEN list_concat(holders, [r.doc_id FOR y IN keys IF y IS NOT NULL]) ELSE CASE WHEN fault IS NULL THEN list_concat(holders, []) ELSE holders END END
+        FROM (SELECT s.taken, s.holders, r.*, CASE WHEN list_contains(taken, keys[1]) THEN 1 WHEN list_contains(taken, keys[2]) THEN 2 WHEN list_contains(taken, keys[3]) THEN 3 END AS x FROM s JOIN r ON r.k = s.k + 1) r)"""
+
+
+@_query(f"WITH RECURSIVE {_BATCH_SQL} SELECT s.doc_id, s.broken, CASE WHEN s.broken LIKE 'unique%' THEN a.holder END AS blocker FROM s JOIN r ON r.doc_id = s.doc_id LEFT JOIN LATERAL (SELECT CASE s.broken WHEN 'unique text' THEN s.holders[list_position(s.taken, r.keys[1])] WHEN 'unique uuid' THEN s.holders[list_position(s.taken, r.keys[2])] ELSE s.holders[list_position(s.taken, r.keys[3])] END AS holder) a ON true WHERE s.k > 0")
+def import_verdicts(spark, sf_dir):
+    """Documents as a batch of questions, in order of id, with texts, uuids and numbers of exams that many
+    of them share: which are taken, and which rule and which row refuses each other."""
+    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    uuid = F.substring(F.sha2(F.floor(F.col("n_chars") / 5).cast("string"), 256), 1, 8)
+    rows = docs.select("doc_id", "text", "lang", "source", "quality", "toxic", catalogue.T.normalize(F.col("text")).alias("norm"), uuid.alias("uuid"), (F.col("doc_id") % 7).alias("exam"), F.when(F.col("quality").isNotNull(), F.col("n_chars") % 97).alias("number"))
+    rows = rows.withColumn("spanish", F.when(F.col("lang") == "es", F.col("source")))
+    known = rows.where("lang = 'en' AND doc_id % 2 = 0").select("source").distinct()
+    rules = admission.Rules({"confidence": "NOT (quality = 0 AND toxic = 1)"}, [("spanish", known, "source")], {"text": (["norm"], "text <> ''"), "uuid": (["uuid"], None), "exam, number": (["exam", "number"], "number IS NOT NULL")})
+    found = admission.admit(rows, ["doc_id"], rules, name="doc_id")
+    return found.select("doc_id", F.when(F.col("broken") == "reference spanish", "reference source").otherwise(F.col("broken")).alias("broken"), "blocker")
+
+
+_MANY_SQL = f"""{catalogue._TOPICS_SQL}, q AS (SELECT s_suppkey AS exam, topic, wanted, place FROM (SELECT s_suppkey, unnest([CAST(s_nationkey + 100 AS BIGINT), CAST(s_nationkey % 5 AS BIGINT), CAST((s_nationkey + 7) % 25 + 100 AS BIGINT)]) AS topic, unnest([3, 5, 40]) AS wanted, unnest([0, 1, 2]) AS place FROM supplier)),
+    n AS (SELECT topic, count(DISTINCT item) AS n FROM reach GROUP BY topic),
+    a AS (SELECT exam, q.topic, wanted, row_number() OVER (PARTITION BY exam ORDER BY coalesce(n, 0), place) AS turn FROM q LEFT JOIN n ON n.topic = q.topic),
+    w(exam, turn, topic, wanted, taken, got) AS (SELECT DISTINCT exam, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM a
+        UNION ALL SELECT exam, turn, topic, wanted, taken, coalesce(list(item ORDER BY key, item) FILTER (item IS NOT NULL AND NOT list_contains(taken, item)), [])[1:wanted] FROM (
+            SELECT a.exam, a.turn, a.topic, a.wanted, list_concat(w.taken, w.got) AS taken, r.item, sha256(a.exam || ':' || r.item) AS key FROM w JOIN a ON a.exam = w.exam AND a.turn = w.turn + 1 LEFT JOIN (SELECT DISTINCT topic, item FROM reach) r ON r.topic = a.topic) GROUP BY exam, turn, topic, wanted, taken)"""
+
+
+def _many(spark, sf_dir):
+    nation = F.col("s_nationkey").cast("long")
+    each = F.explode(F.array(*[F.struct(t.alias("topic"), F.lit(n).alias("wanted"), F.lit(k).alias("place")) for k, (t, n) in enumerate(((nation + 100, 3), (nation % 5, 5), ((nation + 7) % 25 + 100, 40)))])).alias("q")
+    quotas = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("exam"), F.col("s_suppkey").alias("seed"), each).select("exam", "seed", "q.topic", "q.wanted", "q.place")
+    return selection.draw_many(catalogue._reach(spark, sf_dir), quotas)
+
+
+@_query(f"WITH RECURSIVE {_MANY_SQL} SELECT exam, topic, item, CAST(rank AS INT) AS rank FROM (SELECT exam, topic, unnest(got) AS item, generate_subscripts(got, 1) AS rank FROM w WHERE turn > 0)")
+def many_exams(spark, sf_dir):
+    """An exam for each supplier, drawn from three topics that share items, all in one go."""
+    return _many(spark, sf_dir)[0]
+
+
+@_query(f"WITH RECURSIVE {_MANY_SQL} SELECT exam, topic, wanted, CAST(len(got) AS INT) AS got FROM w WHERE turn > 0 AND len(got) < wanted")
+def many_exams_shortfall(spark, sf_dir):
+    return _many(spark, sf_dir)[1]
+
+
+@_query(catalogue.ORACLE_SQL["search_prefix_all_terms"])
+def indexed_search(spark, sf_dir):
+    """search_prefix_all_terms by an index of words that grew by two appends."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labelled = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    path = shared.folder(spark, "index")
+    search_index.append(docs.join(labelled, "id", "left_semi"), path)
+    search_index.append(search_index.absent(docs, spark, path), path)
+    return search_index.find(search_index.open_index(spark, path), docs, '"The" on Eá').select(F.col("id").alias("doc_id"))
+
+
+@_query(f"WITH k AS (SELECT sha256({_norm('text')}) AS hash FROM documents JOIN labels USING (doc_id)) SELECT doc_id FROM (SELECT doc_id, sha256({_norm('text')}) AS hash FROM documents) WHERE hash NOT IN (SELECT hash FROM k)")
+def unknown_by_filter(spark, sf_dir):
+    """Documents whose text no labelled document has, told by a filter of these and a join for its hits."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", catalogue.T.content_hash(F.col("text")).alias("hash"))
+    known = rows.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("hash")
+    return known_hashes.unknown(rows, shared.saved(known_hashes.build(known), "filter"), known).select("doc_id")
+
+
+@_query(f"WITH {_BANK_SQL} SELECT question, topic, score::DOUBLE AS score, origin, principal FROM lk WHERE question NOT IN (SELECT conv_id FROM conversations)")
+def topic_link_removal(spark, sf_dir):
+    links = _bank(spark, sf_dir)["links"]
+    gone = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question")).distinct().join(links.select("question", "topic"), "question")
+    return bank.remove_topics(links, gone)
+
+
+@_query(
+    f"""WITH {_BANK_SQL}, ch AS (SELECT DISTINCT conv_id AS question, CAST(103 AS BIGINT) AS topic FROM conversations)
+    SELECT question, topic, score::DOUBLE AS score, origin, principal FROM lk WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.question = lk.question AND ch.topic = lk.topic)
+    UNION ALL SELECT ch.question, ch.topic, 1.0::DOUBLE, 'manual', coalesce(principal, false) FROM ch LEFT JOIN lk ON lk.question = ch.question AND lk.topic = ch.topic"""
+)
+def manual_topic_beside(spark, sf_dir):
+    """A topic set by hand that does not become the principal one."""
+    chosen = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question"), F.lit(103).cast("long").alias("topic"), F.lit(False).alias("principal"))
+    return bank.set_topics(_bank(spark, sf_dir)["links"], chosen)

@@ -162,9 +162,11 @@ def _lexicon(spark):
     return spark.createDataFrame([(s, t) for s, ts in LEXICON.items() for t in ts], "slug string, term string")
 
 
-@_query(f"WITH {_SCORES_SQL.split('d AS')[0].rstrip().rstrip(',')} SELECT slug, term, weight FROM w")
+@_query(f"WITH lex AS (SELECT DISTINCT lang AS slug, unnest(string_split({_norm('text')}, ' ')) AS term FROM documents) SELECT slug, term, 1.0::DOUBLE / count(*) OVER (PARTITION BY term) AS weight FROM lex")
 def lexicon_weights(spark, sf_dir):
-    return topics.weights(_lexicon(spark))
+    """Every word of the documents as a term of its language."""
+    words = F.explode(F.split(T.normalize(F.col("text")), " ")).alias("term")
+    return topics.weights(_table(spark, sf_dir, "documents").select(F.col("lang").alias("slug"), words))
 
 
 @_query(f"WITH {_SCORES_SQL} SELECT doc_id, slug, evidence, score FROM s")
@@ -414,51 +416,49 @@ def answer_grid(spark, sf_dir):
 
 # Answer keys
 
-#: Keys as they are typed: exam, expected total, text.
-KEYS = (
-    (1, 6, "1-A\n2 - B\n03 C\n4) D/E\nQUESTÃO 5: ANULADA"),
-    (2, 4, "1 A 2 B 3 C\n1 B\n2 B\n9 D"),
-    (3, 30, "Gabarito 2024 A\n7. e\n8] X\n9 A e B\n10 **\n24 C"),
-    (4, None, ""),
-    (5, None, "2 B\n5 A ou C\n5 A OU C\n12 NULA"),
-)
-_PARSED = (
-    (1, 1, "A", "valida", "read"), (1, 2, "B", "valida", "read"), (1, 3, "C", "valida", "read"), (1, 4, "D,E", "multipla", "read"), (1, 5, "", "anulada", "read"),
-    (2, 1, None, None, "conflict"), (2, 2, "B", "valida", "read"), (2, 3, "C", "valida", "read"), (2, 9, None, None, "out of range"),
-    (3, 7, "E", "valida", "read"), (3, 8, "", "anulada", "read"), (3, 9, "A,B", "multipla", "read"), (3, 10, "", "anulada", "read"), (3, 24, "C", "valida", "read"),
-    (5, 2, "B", "valida", "read"), (5, 5, "A,C", "multipla", "read"), (5, 12, "", "anulada", "read"),
-)
+def _typed() -> str:
+    """A line item as it is typed into its order's key: its number modulo 5, a mark, and its answer."""
+    answer = "CASE l_returnflag WHEN 'A' THEN CASE l_suppkey % 2 WHEN 0 THEN 'A' ELSE 'a' END WHEN 'R' THEN CASE l_suppkey % 3 WHEN 0 THEN 'B/D' WHEN 1 THEN 'B e D' ELSE 'B ou D' END ELSE CASE l_suppkey % 3 WHEN 0 THEN 'ANULADA' WHEN 1 THEN '**' ELSE 'X' END END"
+    n = "CAST(l_linenumber % 5 AS BIGINT)"
+    return f"CASE l_partkey % 5 WHEN 0 THEN {n} || '-' || {answer} WHEN 1 THEN '0' || {n} || ' ' || {answer} WHEN 2 THEN {n} || ') ' || {answer} WHEN 3 THEN 'QUESTÃO ' || {n} || ': ' || {answer} ELSE {n} || '. ' || {answer} END"
 
 
-def _value(x) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+#: What a key of three questions gives: orders are exams, those of odd numbers have no expected total, and lines of even
+#: ones stand side by side.
+_PARSED_SQL = """t AS (SELECT l_orderkey AS exam_id, CAST(l_linenumber % 5 AS INT) AS number, CASE WHEN l_orderkey % 3 > 0 THEN 3 END AS expected, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'B,D' ELSE '' END AS letters FROM lineitem),
+    p AS (SELECT exam_id, number, outcome, CASE WHEN outcome = 'read' THEN letters END AS letters, CASE WHEN outcome = 'read' THEN CASE letters WHEN '' THEN 'anulada' WHEN 'A' THEN 'valida' ELSE 'multipla' END END AS status FROM (
+        SELECT exam_id, number, min(letters) AS letters, CASE WHEN number < 1 OR number > coalesce(expected, 999) THEN 'out of range' WHEN min(letters) <> max(letters) THEN 'conflict' ELSE 'read' END AS outcome FROM t GROUP BY exam_id, number, expected))"""
 
 
-_PARSED_SQL = "p AS (SELECT * FROM (VALUES %s) v(exam_id, number, letters, status, outcome))" % ", ".join(f"({', '.join(map(_value, r))})" for r in _PARSED)
+def _key_exams(spark, sf_dir):
+    order = F.col("l_orderkey")
+    typed = F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr(_typed()).alias("line"))))
+    lines = F.transform(typed, lambda x: x["line"])
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.when(order % 2 == 0, F.array_join(lines, "   ")).otherwise(F.array_join(lines, "\n")).alias("text"))
+    return rows.select(order.alias("exam_id"), F.when(order % 3 > 0, 3).alias("expected"), "text")
 
 
-def _parsed(spark):
-    return keys.parse_keys(spark.createDataFrame(KEYS, "exam_id int, expected int, text string"))
+def _parsed(spark, sf_dir):
+    return keys.parse_keys(_key_exams(spark, sf_dir))
 
 
 @_query(f"WITH {_PARSED_SQL} SELECT exam_id, number, letters, status, outcome FROM p")
 def key_parse_text(spark, sf_dir):
-    return _parsed(spark).withColumn("letters", F.array_join("letters", ","))
+    return _parsed(spark, sf_dir).withColumn("letters", F.array_join("letters", ","))
 
 
 @_query(f"WITH {_PARSED_SQL} SELECT exam_id, number, outcome FROM p WHERE outcome <> 'read'")
 def key_conflicts(spark, sf_dir):
-    return _parsed(spark).where("outcome <> 'read'").select("exam_id", "number", "outcome")
+    return _parsed(spark, sf_dir).where("outcome <> 'read'").select("exam_id", "number", "outcome")
 
 
 @_query(
-    f"""WITH {_PARSED_SQL}, x AS (SELECT * FROM (VALUES (1, 6), (2, 4), (3, 30), (4, 0), (5, 12)) v(exam_id, top))
+    f"""WITH {_PARSED_SQL}, x AS (SELECT t.exam_id, coalesce(any_value(expected), max(p.number) FILTER (outcome = 'read'), 0) AS top FROM t LEFT JOIN p ON p.exam_id = t.exam_id GROUP BY t.exam_id)
     SELECT exam_id, CAST(n AS INT) AS number FROM (SELECT exam_id, unnest(range(1, top + 1)) AS n FROM x) q
     WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.exam_id = q.exam_id AND p.number = q.n AND outcome = 'read')"""
 )
 def key_missing_numbers(spark, sf_dir):
-    exams = spark.createDataFrame([(e, n) for e, n, _ in KEYS], "exam_id int, expected int")
-    return keys.missing_numbers(_parsed(spark), exams)
+    return keys.missing_numbers(_parsed(spark, sf_dir), _key_exams(spark, sf_dir).select("exam_id", "expected"))
 
 
 _KEYED_SQL = """k AS (SELECT l_orderkey % 1000 AS exam_id, l_linenumber AS number, l_orderkey AS item, ['A', 'N'] AS options, l_returnflag AS flag, l_linestatus AS side FROM lineitem),
@@ -490,12 +490,18 @@ def key_application_report(spark, sf_dir):
     return keys.application_report(_applied(spark, sf_dir))
 
 
-_CELLS = [(1, "s1", 0, c, str(c)) for c in (1, 2, 3)] + [(1, "s1", 1, 1, "C"), (1, "s1", 1, 3, "D"), (1, "s2", 0, 0, "4 A"), (1, "s2", 5, 0, "5"), (1, "s2", 6, 0, "B")]
-
-
-@_query("SELECT * FROM (VALUES (1, 's1', 0, '1 C'), (1, 's1', 0, '3 D'), (1, 's1', 0, '1 2 3'), (1, 's1', 1, 'C D'), (1, 's2', 0, '4 A'), (1, 's2', 5, '5'), (1, 's2', 6, 'B')) v(exam_id, sheet, row, line)")
+@_query(
+    """WITH c AS (SELECT l_orderkey AS exam_id, l_linestatus AS sheet, l_linenumber AS col, CAST(l_linenumber AS VARCHAR) AS n, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linestatus, l_linenumber),
+    a AS (SELECT exam_id, sheet FROM c WHERE flag = 'A' GROUP BY ALL HAVING count(*) >= 2)
+    SELECT exam_id, sheet, 0 AS row, n || ' A' AS line FROM c JOIN a USING (exam_id, sheet) WHERE flag = 'A'
+    UNION ALL SELECT exam_id, sheet, 0, string_agg(n, ' ' ORDER BY col) FROM c GROUP BY ALL UNION ALL SELECT exam_id, sheet, 1, string_agg(flag, ' ' ORDER BY col) FROM c GROUP BY ALL"""
+)
 def sheet_pairing(spark, sf_dir):
-    return keys.sheet_lines(spark.createDataFrame(_CELLS, "exam_id int, sheet string, row int, col int, value string"))
+    """A sheet for each status of an order: a row of line numbers, and their flags below."""
+    cell = F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("l_linenumber").cast("string").alias("value")), F.struct(F.lit(1).alias("row"), F.col("flag").alias("value")))).alias("c")
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
+    cells = lines.select(F.col("l_orderkey").alias("exam_id"), F.col("l_linestatus").alias("sheet"), F.col("l_linenumber").alias("col"), cell)
+    return keys.sheet_lines(cells.select("exam_id", "sheet", "c.row", "col", "c.value"))
 
 
 # Layout
@@ -575,32 +581,7 @@ def modal_value(spark, sf_dir):
     return best.select("l_suppkey", (-F.col("b.early")).alias("modal"), "b.n")
 
 
-def _paper(spark):
-    """Lines of an exam of two pages, by construction: 12 questions of four options."""
-    rows = []
-    for q in range(12):
-        page, y = divmod(q, 4)
-        y = 70.0 + 160 * y
-        rows.append((1, page, 0, 5 * q, 8.0, y, f"{q + 1}. Statement of question number {q + 1} goes on", f"{q + 1}.", f"Statement of question number {q + 1} goes on"))
-        rows += [(1, page, 0, 5 * q + 1 + k, 20.0, y + 14 * (k + 1), f"{'ABCD'[k]}) option {k} of {q + 1}", f"{'ABCD'[k]})", f"option {k} of {q + 1}") for k in range(4)]
-    return spark.createDataFrame(rows, "doc_id long, page int, col int, seq long, x0 double, y0 double, text string, first_fragment string, others string")
-
-
-_PAPER = [(q + 1, f"Statement of question number {q + 1} goes on", q // 4) for q in range(12)]
-
-
-@_query("SELECT * FROM (VALUES %s) v(doc_id, number, statement, letter, text, confidence)" % ", ".join(f"(1, {n}, '{t}', '{'ABCD'[k]}', 'option {k} of {n}', 1.0::DOUBLE)" for n, t, _ in _PAPER for k in range(4)))
-def segment_options(spark, sf_dir):
-    found = layout.segment(_paper(spark))
-    return found.select("doc_id", "number", "statement", F.explode("options").alias("o"), "confidence").select("doc_id", "number", "statement", "o.letter", "o.text", "confidence")
-
-
-@_query("SELECT * FROM (VALUES %s) v(doc_id, number, first_page, last_page, remarks)" % ", ".join(f"(1, {n}, {p}, {p}, '')" for n, _, p in _PAPER))
-def segment_chain(spark, sf_dir):
-    return layout.segment(_paper(spark)).select("doc_id", "number", "first_page", "last_page", F.array_join("remarks", ";").alias("remarks"))
-
-
-# Log, constraints, writes
+# Logs and constraints
 
 
 @_query("SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'error' WHEN event_type = 'click' THEN 'warning' ELSE 'info' END AS level, CAST(json_extract(props, '$.k') AS INT) % 5 AS code, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error', 'click') GROUP BY ALL")

@@ -1,40 +1,72 @@
-"""Queries over small pages and markers made here, whose rows follow from how they were made."""
+"""Queries over pages and markers that are made of the given tables, whose rows follow from how they were
+made: customers open lines, line items are questions, fragments and spans, parts fill workbooks."""
 
 from __future__ import annotations
 
 import io
 import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
 from itemforge.operators import layout
-from itemforge.plans.catalogue import _query, _value
-from itemforge.sources import files
+from itemforge.plans import catalogue
+from itemforge.plans.catalogue import _query, _table
+from itemforge.sources import files, shared
 
+# Markers
 
-def _rows_sql(columns: str, rows: list[tuple]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in rows)}) v({columns})"
 
+def _first(n: str, name: str, segment: str) -> dict[int, str]:
+    """What a line begins with, as SQL, by the customer's number modulo 10."""
+    return {0: f"{n} || '.'", 1: f"{n} || ''", 2: f"{n} || ')Homem'", 3: f"{n} || '.5 mg'", 4: f"'QUESTÃO ' || {n} || ' ____'", 5: f"'o' || ({n} % 10) || '.'", 6: f"{name}", 7: f"'Questão ' || {n}", 8: f"{n} || ' anos'", 9: f"{n} || ' - ' || {segment}"}
 
-#: What lines begin with, and the number, rest and strength that are read.
-NUMBERS = [
-    ("1.", "1", "x", True), ("12", "12", "x", False), ("6)Homem", "6", "Homem x", True), ("12.5 mg", None, None, None), ("QUESTÃO 11 ____", "11", "x", True), ("o1.", "01", "x", True), ("abc", None, None, None),
-    ("Questão 7", "7", "x", True), ("Q. 3", "3", "x", True), ("quest. 4 - texto", "4", "texto x", True), ("2024", None, None, None), ("3 - Assinale", "3", "Assinale x", True), ("45 anos", None, None, None), ("8: (A)", "8", "(A) x", True),
-]
-LETTERS = [("A)", "A", "", True), ("(B", "B", "", True), ("(B foi", "B", "foi", True), ("a)2 - 5", "a", "2 - 5", True), ("Atenção", None, None, None), ("C", "C", "", False), ("[D] x", "D", "x", True), ("F)", None, None, None), ("E. fim", "E", "fim", True)]
 
+_N = "CAST(c_custkey % 999 + 1 AS BIGINT)"
 
-@_query(_rows_sql("line, value, rest, strong", NUMBERS))
+
+def _by_form(values: dict[int, str], form: str) -> str:
+    return f"CASE {form} {' '.join(f'WHEN {k} THEN {v}' for k, v in values.items())} END"
+
+
+@_query(
+    f"""SELECT c_custkey, {_by_form({k: f"CAST({_N} AS VARCHAR)" for k in (0, 1, 2, 4, 7, 9)} | {5: f"'0' || ({_N} % 10)"}, 'c_custkey % 10')} AS value,
+    {_by_form({k: "'x'" for k in (0, 1, 4, 5, 7)} | {2: "'Homem x'", 9: "c_mktsegment || ' x'"}, 'c_custkey % 10')} AS rest,
+    {_by_form({k: 'true' for k in (0, 2, 4, 5, 7, 9)} | {1: 'false'}, 'c_custkey % 10')} AS strong FROM customer"""
+)
 def number_markers(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in NUMBERS], "line string")
-    return rows.withColumn("m", T.number_marker(F.col("line"), F.lit("x"))).select("line", "m.value", "m.rest", "m.strong")
+    first = F.expr(_by_form(_first(_N, "c_name", "c_mktsegment"), "c_custkey % 10"))
+    rows = _table(spark, sf_dir, "customer").withColumn("m", T.number_marker(first, F.lit("x")))
+    return rows.select("c_custkey", "m.value", "m.rest", "m.strong")
+
+
+_LETTER = "chr(CAST(65 + c_nationkey % 7 AS INT))"
+_LETTER_FORMS = {0: "{0} || ')'", 1: "'(' || {0}", 2: "'(' || {0} || ' foi'", 3: "{0} || ''", 4: "lower({0}) || '. fim'", 5: "{0} || 'tenção'", 6: "'[' || {0} || '] x'"}
 
 
-@_query(_rows_sql("line, value, rest, strong", LETTERS))
+@_query(
+    f"""SELECT c_custkey, CASE WHEN {_LETTER} <= 'E' THEN {_by_form({k: _LETTER for k in (0, 1, 2, 3, 6)} | {4: f"lower({_LETTER})"}, 'c_custkey % 7')} END AS value,
+    CASE WHEN {_LETTER} <= 'E' THEN {_by_form({0: "''", 1: "''", 2: "'foi'", 3: "''", 4: "'fim'", 6: "'x'"}, 'c_custkey % 7')} END AS rest,
+    CASE WHEN {_LETTER} <= 'E' THEN {_by_form({k: 'true' for k in (0, 1, 2, 4, 6)} | {3: 'false'}, 'c_custkey % 7')} END AS strong FROM customer"""
+)
 def letter_markers(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in LETTERS], "line string")
-    return rows.withColumn("m", T.letter_marker(F.col("line"))).select("line", "m.value", "m.rest", "m.strong")
+    first = F.expr(_by_form({k: v.format(_LETTER) for k, v in _LETTER_FORMS.items()}, "c_custkey % 7"))
+    rows = _table(spark, sf_dir, "customer").withColumn("m", T.letter_marker(first))
+    return rows.select("c_custkey", "m.value", "m.rest", "m.strong")
+
+
+#: Letters with and without marks of three scripts, and a mark of its own.
+_ALPHABET = "абвгдеёжзийклўїέήίόύώϊϋΐάαβγàéîõüñçāďłřșấệộǰẛ"
+_SCRIPTS = f"c_name || ' ёлка άλφα ' || substring('{_ALPHABET}', CAST(c_custkey % {len(_ALPHABET)} + 1 AS INT), 5) || 'e\u0301 \u0323'"
+
+
+@_query(f"SELECT c_custkey, strip_accents({_SCRIPTS}) AS folded FROM customer")
+def fold_scripts(spark, sf_dir):
+    """Letters of Cyrillic, Greek and extended Latin, and a mark of its own, without their marks."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.fold_accents(F.expr(_SCRIPTS)).alias("folded"))
 
 
 @_query(r"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '0' || c_custkey ELSE 'o' || c_name END AS fixed, trim(regexp_replace(regexp_replace(c_name || ' ____ ' || c_mktsegment, '[_.-]{3,}', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM customer")
@@ -58,57 +90,163 @@ def header_pairs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", m["segment"].alias("segment"), m["name"].alias("name"))
 
 
-#: page, block, line, kind, x0, text, size, flags
-_SPANS = [(0, 0, 0, 0, 20.0, "1. ", 9.0, 0), (0, 0, 0, 0, 35.0, "A longer bold span", 11.0, 16), (0, 0, 1, 0, 20.0, "  ", 9.0, 0), (0, 1, 0, 1, 20.0, "image", 9.0, 0), (1, 0, 0, 0, 20.0, "leaning", 8.0, 2), (1, 0, 1, 0, 20.0, "plain", 8.0, 4)]
+# Spans and fragments
 
 
-@_query(_rows_sql("page, x0, x1, text, size, bold, italic", [(0, 20.0, 45.0, "1. A longer bold span", 11.0, True, False), (1, 20.0, 30.0, "leaning", 8.0, False, True), (1, 20.0, 30.0, "plain", 8.0, False, False)]))
+@_query(
+    """WITH s AS (SELECT l_orderkey, CAST(l_orderkey % 7 AS INT) AS page, l_linenumber // 3 AS line, l_linenumber * 20.0::DOUBLE AS x0, repeat('part ' || l_partkey || ' ', CAST(1 + l_linenumber % 2 AS INT)) AS text, l_quantity AS size, CAST(l_partkey % 32 AS INT) AS flags
+        FROM lineitem WHERE l_returnflag <> 'N'), t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, line ORDER BY length(text) DESC, x0, size DESC, flags DESC) AS k FROM s)
+    SELECT l_orderkey AS doc_id, page, min(x0) AS x0, max(x0 + 10) AS x1, string_agg(text, '' ORDER BY x0, text) AS text, max(size) FILTER (k = 1) AS size, bool_or((flags & 16) > 0) FILTER (k = 1) AS bold, bool_or((flags & 2) > 0) FILTER (k = 1) AS italic
+    FROM t GROUP BY l_orderkey, page, line"""
+)
 def span_flattening(spark, sf_dir):
-    rows = [(1, p, b, n, k, x, 70.0 + 12 * n, x + 10, 80.0 + 12 * n, t, s, f) for p, b, n, k, x, t, s, f in _SPANS]
-    spans = spark.createDataFrame(rows, "doc_id long, page int, block int, line int, kind int, x0 double, y0 double, x1 double, y1 double, text string, size double, flags int")
-    return files.flatten_spans(spans).select("page", "x0", "x1", "text", "size", "bold", "italic")
+    """Line items as spans, three to a line of their order; those of a flag are images."""
+    x0 = F.col("l_linenumber") * F.lit(20.0)
+    text = F.repeat(F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" ")), (1 + F.col("l_linenumber") % 2).cast("int"))
+    spans = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 7).cast("int").alias("page"), F.lit(0).alias("block"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("line"), (F.col("l_returnflag") == "N").cast("int").alias("kind"),
+        x0.alias("x0"), F.lit(70.0).alias("y0"), (x0 + 10).alias("x1"), F.lit(80.0).alias("y1"), text.alias("text"), F.col("l_quantity").alias("size"), (F.col("l_partkey") % 32).cast("int").alias("flags"),
+    )
+    return files.flatten_spans(spans).select("doc_id", "page", "x0", "x1", "text", "size", "bold", "italic")
 
 
-def _two_columns(spark):
-    """Three pages of 595 x 842: two with 15 short lines a column and one line across, one with few lines."""
-    rows = []
-    for page in range(3):
-        for k in range(15 if page < 2 else 3):
-            rows += [(1, page, x, 80.0 + 40 * k, x + 220, 90.0 + 40 * k, f"p{page} x{int(x)} k{k}", 9.0, False, False) for x in (20.0, 310.0)]
-        rows.append((1, page, 20.0, 700.0, 560.0, 710.0, f"p{page} across", 9.0, False, False))
-    pages = spark.createDataFrame([(1, p, 595.0, 842.0) for p in range(3)], "doc_id long, page int, width double, height double")
-    return spark.createDataFrame(rows, files.FRAGMENTS), pages
+@_query(
+    f"""WITH {catalogue._FRAGMENTS_SQL}, m AS (SELECT doc_id, coalesce(count(*) FILTER (two_columns) > count(two_columns) / 2, false) AS two FROM w GROUP BY doc_id)
+    SELECT f.doc_id, f.page, x0::DOUBLE AS x0, x1, y - 6 AS y0, CASE WHEN two AND two_columns IS NOT NULL AND
+        CASE WHEN greatest(0, least(x1, 297.5) - greatest(x0, 0)) >= 0.25 * 297.5 AND greatest(0, least(x1, 595) - greatest(x0, 297.5)) >= 0.25 * 297.5 THEN x0 ELSE (x0 + x1) / 2 END >= 297.5 THEN 1 ELSE 0 END AS col
+    FROM f JOIN w ON w.doc_id = f.doc_id AND w.page = f.page JOIN m ON m.doc_id = f.doc_id"""
+)
+def column_assignment(spark, sf_dir):
+    fragments = catalogue._fragments(spark, sf_dir)
+    pages = fragments.select("doc_id", "page").distinct().withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
+    return layout.assign_columns(fragments, pages).select("doc_id", "page", "x0", "x1", "y0", "col")
 
 
-@_query(_rows_sql("text, col", [(f"p{p} x{x} k{k}", int(x == 310 and p < 2)) for p in range(3) for k in range(15 if p < 2 else 3) for x in (20, 310)] + [(f"p{p} across", 0) for p in range(3)]))
-def column_assignment(spark, sf_dir):
-    return layout.assign_columns(*_two_columns(spark)).select("text", "col")
+#: Boxes of line items, and columns of pages: one to four, of unlike widths, with gaps between them.
+_BOXES_SQL = """b AS (SELECT row_number() OVER () AS rid, l_suppkey % 50 AS doc_id, CAST(l_orderkey % 40 AS INT) AS page, l_orderkey, l_linenumber, l_partkey % 560 * 1.0::DOUBLE AS x0, l_partkey % 560 + l_quantity * l_linenumber * 2.0::DOUBLE AS x1 FROM lineitem),
+    p AS (SELECT DISTINCT doc_id, page FROM b), c AS (SELECT doc_id, page, CAST(k AS INT) AS col, 10 + k * (580.0::DOUBLE / n) AS lo, 10 + (k + 1) * (580.0::DOUBLE / n) - (doc_id % 3) * 4.0::DOUBLE AS hi
+        FROM (SELECT doc_id, page, doc_id % 4 + 1 AS n, unnest(range(doc_id % 4 + 1)) AS k FROM p))"""
 
 
 @_query(
-    _rows_sql(
-        "page, col, seq, text",
-        [r for p in range(2) for r in [*((p, 0, k, f"p{p} x20 k{k}") for k in range(15)), (p, 0, 15, f"p{p} across"), *((p, 1, 16 + k, f"p{p} x310 k{k}") for k in range(15))]] + [(2, 0, k, f"p2 x20 k{k} p2 x310 k{k}") for k in range(3)] + [(2, 0, 3, "p2 across")],
-    )
+    f"""WITH {_BOXES_SQL}, j AS (SELECT rid, l_orderkey, l_linenumber, x0, x1, count(*) FILTER ((least(x1, hi) - greatest(x0, lo)) / (hi - lo) >= 0.25) AS covered,
+        min(col) FILTER ((x0 + x1) / 2 >= lo AND (x0 + x1) / 2 < hi) AS centre, min(col) FILTER (x0 >= lo AND x0 < hi) AS edge, max(col) AS last FROM b JOIN c ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, x0, x1, coalesce(CASE WHEN covered > 1 THEN edge ELSE centre END, last) AS col FROM j"""
+)
+def column_intervals(spark, sf_dir):
+    """Boxes to the one to four columns of their page, by an interval join."""
+    x0 = (F.col("l_partkey") % 560).cast("double")
+    boxes = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("doc_id"), (F.col("l_orderkey") % 40).cast("int").alias("page"), "l_orderkey", "l_linenumber", x0.alias("x0"), (x0 + F.col("l_quantity") * F.col("l_linenumber") * 2).alias("x1"))
+    n = F.col("doc_id") % 4 + 1
+    places = boxes.select("doc_id", "page").distinct().select("doc_id", "page", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
+    columns = places.select("doc_id", "page", F.col("k").cast("int").alias("col"), (10 + F.col("k") * (580.0 / F.col("n"))).alias("left"), (10 + (F.col("k") + 1) * (580.0 / F.col("n")) - F.col("doc_id") % 3 * 4.0).alias("right"))
+    return layout.assign_to_columns(boxes, columns).select("l_orderkey", "l_linenumber", "x0", "x1", "col")
+
+
+@_query(
+    """WITH f AS (SELECT l_suppkey AS doc_id, CAST(l_orderkey % 9 AS INT) AS page, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS col, CAST(l_partkey % 30 AS INT) AS line, l_partkey % 281 * 1.0::DOUBLE AS x0, l_partkey % 30 * 25 + l_discount * 10 AS y0, 'p' || (l_partkey % 281) || 'd' || CAST(round(l_discount * 100) AS INT) AS text FROM lineitem)
+    SELECT doc_id, page, col, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY col, line) - 1 AS BIGINT) AS seq, min(x0) AS x0, string_agg(text, ' ' ORDER BY x0, y0) AS text FROM f GROUP BY doc_id, page, col, line"""
 )
 def line_fusion(spark, sf_dir):
-    return layout.fuse_lines(layout.assign_columns(*_two_columns(spark))).select("page", "col", "seq", "text")
+    """Line items as fragments of two columns; those of a line stand up to a point apart."""
+    y0 = F.col("l_partkey") % 30 * 25 + F.col("l_discount") * 10
+    x0 = (F.col("l_partkey") % 281).cast("double")
+    text = F.concat(F.lit("p"), (F.col("l_partkey") % 281).cast("string"), F.lit("d"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))
+    fragments = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 9).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 10).alias("x1"), (y0 + 10).alias("y1"), text.alias("text"), F.lit(9.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), (F.col("l_returnflag") == "R").cast("int").alias("col")
+    )
+    return layout.fuse_lines(fragments).select("doc_id", "page", "col", "seq", "x0", "text")
+
+
+# Papers: a supplier's line items are the questions of an exam
+
+#: Questions of a paper: eight a page, 84 points apart. The numbers jump by one after the fifth; line items of a flag
+#: have a line that begins like a number, but is not at the numbers' edge; the line's number in its
+#: order gives how many options there are. Papers of odd suppliers have letters without brackets.
+_PAPER_SQL = """q AS (SELECT *, rn - 1 AS k, CAST(rn + CASE WHEN rn > 5 THEN 1 ELSE 0 END AS INT) AS number, CASE l_linenumber WHEN 7 THEN 0 WHEN 6 THEN 3 WHEN 5 THEN 5 ELSE 4 END AS m,
+        'Statement about order ' || l_orderkey || ' and part ' || l_partkey || CASE WHEN l_returnflag = 'R' THEN ' ' || l_linenumber || '. mg is no number of a question' ELSE '' END AS statement
+        FROM (SELECT *, l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS rn FROM lineitem)),
+    d AS (SELECT doc_id, count(*) AS n, count(*) >= 3 AND count(*) FILTER (m = 4) >= 0.6 * count(*) AS usual FROM q GROUP BY doc_id)"""
 
 
-def _noisy(spark):
-    """Five pages of ten lines between a header with the page's number and a footer; one line of the body
-    comes again on each page where the body is."""
-    rows = []
-    for page in range(5):
-        lines = [(20.0, f"Exam of the year - page {page}"), *((80.0 + 60 * k, "comes again" if k == 4 else f"body {'abcdefghij'[k]} of {'vwxyz'[page]}") for k in range(10)), (800.0, f"{page + 1}")]
-        rows += [(1, page, 0, n, 20.0, y, 300.0, y + 10, t, t.split()[0], " ".join(t.split()[1:]), 9.0, False) for n, (y, t) in enumerate(lines)]
-    pages = spark.createDataFrame([(1, p, 595.0, 842.0) for p in range(5)], "doc_id long, page int, width double, height double")
-    return spark.createDataFrame(rows, layout._LINES), pages
+def _questions(spark, sf_dir):
+    rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", rn.alias("rn"))
+    return rows.withColumns({"page": F.floor((F.col("rn") - 1) / 8).cast("int"), "top": 70.0 + (F.col("rn") - 1) % 8 * 84, "number": F.col("rn") + F.when(F.col("rn") > 5, 1).otherwise(0)})
 
 
-@_query(_rows_sql("page, seq, noise", [(p, n, "header" if n == 0 else "footer" if n == 11 else None) for p in range(5) for n in range(12)]))
+def _line(place, x0: float, first, others, when=None):
+    made = F.struct(F.lit(place).alias("place"), F.lit(x0).alias("x0"), first.alias("first"), others.alias("others"))
+    return made if when is None else F.when(when, made)
+
+
+def _laid(rows):
+    """Lines of rows(doc_id, page, y0, x0, first, others), numbered by page from the top."""
+    text = F.trim(F.concat_ws(" ", "first", "others"))
+    seq = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0")).cast("long")
+    return rows.select("doc_id", "page", F.lit(0).alias("col"), seq.alias("seq"), "x0", "y0", (F.col("x0") + 300).alias("x1"), (F.col("y0") + 10).alias("y1"), text.alias("text"), F.col("first").alias("first_fragment"), "others", F.lit(9.0).alias("size"), F.lit(False).alias("bold"))
+
+
+def _body(spark, sf_dir):
+    string = lambda c: F.col(c).cast("string")
+    n = F.when(F.col("l_linenumber") == 7, 0).when(F.col("l_linenumber") == 6, 3).when(F.col("l_linenumber") == 5, 5).otherwise(4)
+    mark = F.when(F.col("doc_id") % 2 == 0, ")").otherwise("")
+    lines = [
+        _line(0, 8.0, F.concat(string("number"), F.lit(".")), F.concat(F.lit("Statement about order "), string("l_orderkey"), F.lit(" and part "), string("l_partkey"))),
+        _line(1, 60.0, F.concat(string("l_linenumber"), F.lit(".")), F.lit("mg is no number of a question"), F.col("l_returnflag") == "R"),
+        *[_line(2 + k, 20.0, F.concat(F.lit("ABCDE"[k]), mark), F.concat(F.lit(f"option {k} of "), string("l_orderkey")), n > k) for k in range(5)],
+    ]
+    rows = _questions(spark, sf_dir).select("doc_id", "page", "top", F.explode(F.array_compact(F.array(*lines))).alias("l"))
+    return rows.select("doc_id", "page", (F.col("top") + F.col("l.place") * 12).alias("y0"), "l.x0", "l.first", "l.others")
+
+
+@_query(
+    f"""WITH {_PAPER_SQL} SELECT q.doc_id, number, statement, chr(CAST(65 + j AS INT)) AS letter, 'option ' || j || ' of ' || l_orderkey AS text, CASE m WHEN 3 THEN 0.7 WHEN 5 THEN CASE WHEN usual THEN 0.65 ELSE 1.0 END ELSE 1.0 END::DOUBLE AS confidence
+    FROM (SELECT *, unnest(range(m)) AS j FROM q) q JOIN d ON d.doc_id = q.doc_id"""
+)
+def segment_options(spark, sf_dir):
+    found = layout.segment(_laid(_body(spark, sf_dir)))
+    return found.select("doc_id", "number", "statement", F.explode("options").alias("o"), "confidence").select("doc_id", "number", "statement", "o.letter", "o.text", "confidence")
+
+
+@_query(
+    f"""WITH {_PAPER_SQL} SELECT q.doc_id, number, CAST(k // 8 AS INT) AS first_page, CAST(k // 8 AS INT) AS last_page,
+    CASE m WHEN 0 THEN 'no options' WHEN 3 THEN 'unusual number of options' WHEN 5 THEN CASE WHEN usual THEN 'options differ from the document''s' ELSE '' END ELSE '' END AS remarks FROM q JOIN d ON d.doc_id = q.doc_id"""
+)
+def segment_chain(spark, sf_dir):
+    return layout.segment(_laid(_body(spark, sf_dir))).select("doc_id", "number", "first_page", "last_page", F.array_join("remarks", ";").alias("remarks"))
+
+
+@_query(f"WITH {_PAPER_SQL} SELECT doc_id, 'jump' AS warning, 5 AS before, 7 AS after FROM d WHERE n > 5")
+def segment_warnings(spark, sf_dir):
+    return layout.segment_warnings(_laid(_body(spark, sf_dir)))
+
+
+def _pages(spark, sf_dir):
+    return _questions(spark, sf_dir).select("doc_id", "page").distinct().withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
+
+
+def _whole(spark, sf_dir):
+    """The papers with a header and a page number on each page."""
+    string = lambda c: F.col(c).cast("string")
+    pages = _pages(spark, sf_dir)
+    header = pages.select("doc_id", "page", F.lit(20.0).alias("y0"), F.lit(20.0).alias("x0"), F.lit("Exam").alias("first"), F.concat(F.lit("of supplier "), string("doc_id"), F.lit(" page "), string("page")).alias("others"))
+    footer = pages.select("doc_id", "page", F.lit(800.0).alias("y0"), F.lit(290.0).alias("x0"), (F.col("page") + 1).cast("string").alias("first"), F.lit("").alias("others"))
+    return _laid(_body(spark, sf_dir).unionByName(header).unionByName(footer))
+
+
+_NOISY_SQL = f"{_PAPER_SQL}, g AS (SELECT doc_id, CAST(k // 8 AS INT) AS page, CAST(count(*) + sum(m) AS BIGINT) + CAST(count(*) FILTER (l_returnflag = 'R') + 2 AS BIGINT) AS lines FROM q GROUP BY ALL), n AS (SELECT doc_id, count(*) >= 3 AS noisy, count(*) AS pages FROM g GROUP BY doc_id)"
+
+
+@_query(f"WITH {_NOISY_SQL} SELECT g.doc_id, page, seq, CASE WHEN noisy AND seq = 1 THEN 'header' WHEN noisy AND seq = lines THEN 'footer' END AS noise FROM (SELECT *, CAST(unnest(range(1, lines + 1)) AS BIGINT) AS seq FROM g) g JOIN n ON n.doc_id = g.doc_id")
 def noise_detection(spark, sf_dir):
-    return layout.detect_noise(*_noisy(spark)).select("page", "seq", "noise")
+    return layout.detect_noise(_whole(spark, sf_dir), _pages(spark, sf_dir)).select("doc_id", "page", "seq", "noise")
+
+
+@_query(f"WITH {_NOISY_SQL} SELECT doc_id, key, pages AS n, y_mean::DOUBLE AS y_mean, kind, 'noise' AS verdict FROM n, (VALUES ('exam of supplier # page #', 20.0, 'header'), ('#', 800.0, 'footer')) v(key, y_mean, kind) WHERE noisy")
+def recurrence_report(spark, sf_dir):
+    found = layout.recurrence_report(_whole(spark, sf_dir), _pages(spark, sf_dir))
+    return found.where("verdict <> 'body'").select("doc_id", "key", "n", "y_mean", "kind", "verdict")
 
 
 @_query("SELECT o_custkey, CAST(count(*) FILTER (o_totalprice < 0) AS BIGINT) AS none, list_reduce(list(n ORDER BY n DESC, o_orderkey), lambda s, n: CASE WHEN s + n <= 25 THEN s + n ELSE s END, 0) AS taken FROM (SELECT o_custkey, o_orderkey, o_totalprice, CAST(o_orderkey % 17 + 1 AS INT) AS n FROM orders) GROUP BY o_custkey")
@@ -125,14 +263,25 @@ def _workbook(cells: list[tuple[str, int, str]], shared: bool) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         if shared:
-            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{space}">' + "".join(f"<si><t>{v}</t></si>" for *_, v in cells) + "</sst>")
-        body = "".join(f'<row r="{r}"><c r="{c}{r}" t="s"><v>{k}</v></c></row>' if shared else f'<row r="{r}"><c r="{c}{r}"><v>{v}</v></c></row>' for k, (c, r, v) in enumerate(cells))
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{space}">' + "".join(f"<si><t>{escape(v)}</t></si>" for *_, v in cells) + "</sst>")
+        body = "".join(f'<row r="{r}"><c r="{c}{r}" t="s"><v>{k}</v></c></row>' if shared else f'<row r="{r}"><c r="{c}{r}"><v>{escape(v)}</v></c></row>' for k, (c, r, v) in enumerate(cells))
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>')
     return out.getvalue()
 
 
-@_query(_rows_sql("path, row, col, value, failed", [("a.xlsx", 0, 0, "1", False), ("a.xlsx", 0, 2, "3", False), ("a.xlsx", 1, 27, "C", False), ("b.xlsm", 4, 1, "7", False), ("c.xlsx", None, None, None, True)]))
+@_query(
+    """WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS row FROM part)
+    SELECT 'book' || p_size || '.xlsx' AS path, row, col, CASE WHEN col = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name || ' <' || p_brand || '>' END AS value, false AS failed FROM b, (VALUES (0), (27)) v(col) WHERE p_size % 10 <> 0
+    UNION ALL SELECT DISTINCT 'book' || p_size || '.xlsx', NULL, NULL, NULL, true FROM part WHERE p_size % 10 = 0"""
+)
 def spreadsheet_cells(spark, sf_dir):
-    books = [("a.xlsx", _workbook([("A", 1, "1"), ("C", 1, "3"), ("AB", 2, "C")], True)), ("b.xlsm", _workbook([("B", 5, "7")], False)), ("c.xlsx", b"no archive")]
-    cells = files.read_cells(spark.createDataFrame(books, "path string, content binary"))
-    return cells.select("path", "row", "col", "value", F.col("error").isNotNull().alias("failed"))
+    """A workbook for each size of part, with or without a table of strings; every tenth size's is none."""
+    shared.ship(spark)
+
+    def book(rows: pd.DataFrame) -> pd.DataFrame:
+        size = int(rows.p_size.iloc[0])
+        cells = [c for k, r in enumerate(rows.sort_values("p_partkey").itertuples(), 1) for c in (("A", k, str(r.p_partkey)), ("AB", k, f"{r.p_name} <{r.p_brand}>"))]
+        return pd.DataFrame([(f"book{size}.xlsx", _workbook(cells, size % 2 == 0) if size % 10 else b"no archive")], columns=["path", "content"])
+
+    books = _table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_name", "p_brand").groupBy("p_size").applyInPandas(book, "path string, content binary")
+    return files.read_cells(books).select("path", "row", "col", "value", F.col("error").isNotNull().alias("failed"))

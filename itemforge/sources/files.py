@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
+from itemforge.sources import shared
 
 #: Log levels from the least to the gravest.
 LEVELS = ("debug", "info", "warning", "error")
@@ -22,12 +23,25 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, kind, sha256, archive_name, content) of files; archive names are addressed by content.
-    kind is `sheet` for spreadsheets, else `text`."""
+    """(path, kind, sha256, archive_name, content) of files; archive names are addressed by content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     digest, name = F.sha2("content", 256), F.element_at(F.split("path", "/"), -1)
-    kind = F.when(F.lower("path").rlike(r"\.xls[xm]$"), "sheet").otherwise("text")
-    return files.select("path", kind.alias("kind"), digest.alias("sha256"), T.safe_file_name(digest, name).alias("archive_name"), "content")
+    return files.select("path", kind_of(F.col("path"), F.col("content")).alias("kind"), digest.alias("sha256"), T.safe_file_name(digest, name).alias("archive_name"), "content")
+
+
+def kind_of(path: Column, content: Column) -> Column:
+    """`pdf`, `sheet`, `text` or `binary`, by what a file begins with and holds. A file that has a
+    spreadsheet's name is taken for one whatever it holds, since its reader tells what is wrong."""
+    starts = lambda magic: F.substring(content, 1, len(magic)) == F.lit(magic)
+    named = F.lower(path).rlike(r"\.xls[xm]$")
+    zero = F.contains(content, F.lit(b"\x00"))
+    return F.when(starts(b"%PDF"), "pdf").when(named | starts(b"PK\x03\x04"), "sheet").when(zero, "binary").otherwise("text")
+
+
+def decoded(content: Column) -> Column:
+    """A file's text: UTF-8 without its mark, or Latin-1 where the bytes are not UTF-8."""
+    text = content.cast("string")
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1")), "^\ufeff", "")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -85,6 +99,7 @@ def read_cells(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "error"])
             yield out.astype({"row": "Int32", "col": "Int32"})
 
+    shared.ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
@@ -93,7 +108,7 @@ def flatten_spans(spans: DataFrame) -> DataFrame:
     flags): text blocks only, lines with text only; the longest span gives a line its style. Bit 4 of
     flags is bold, bit 1 italic."""
     rows = spans.where((F.col("kind") == 0) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    style = F.max_by(F.struct("size", "flags"), F.struct(F.length("text"), -F.col("x0"))).alias("style")
+    style = F.max_by(F.struct("size", "flags"), F.struct(F.length("text"), -F.col("x0"), "size", "flags")).alias("style")
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), "")
     lines = rows.groupBy("doc_id", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), words.alias("text"), style)
     bit = lambda n: F.col("style.flags").bitwiseAND(1 << n) > 0

@@ -274,7 +274,7 @@ def test_import_log_is_written(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     out = assembly.Import(exam_id=3, log_path=path).run(frags, sizes)
     log = spark.read.parquet(path)
-    assert [r.stage for r in log.where("level = 'info'").collect()] and log.count() == 5 and log.where("duration_ms > 0").count() == 5
+    assert [r.stage for r in log.where("level = 'info'").collect()] and log.count() == 7 and log.where("duration_ms > 0").count() == 7
     stored, rejected, counts = assembly.split_rejects(out)
     assert stored.count() == 9 and rejected.count() == 0 and counts.first().n == 9
     with pytest.raises(Exception):  # noqa: B017
