@@ -42,15 +42,23 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("block", F.zip_with(F.coalesce("a", none), F.coalesce("b", none), lambda x, y: x.bitwiseOR(y)).alias("words"))
 
 
-def maybe_known(rows: DataFrame, filter_rows: DataFrame, column: str = "hash", blocks: int = 1024, bits: int = 6) -> DataFrame:
-    """rows with `maybe`: false means that the value is not among the filter's. The filter has at most
-    `blocks` rows of half a kilobyte, which bounds what is sent to every task."""
-    key = F.col(column)
-    met = rows.withColumn("__block", _block(key, blocks)).join(F.broadcast(filter_rows.select(F.col("block").alias("__b"), F.col("words").alias("__words"))), F.col("__block") == F.col("__b"), "left")
+def blocks_for(n: int, most: int = 1 << 14) -> int:
+    """Blocks for n hashes: some 400 each, and no more than `most`, which bounds the filter to 8 MB; beyond
+    that false hits grow more, and nothing else."""
+    return max(1, min(most, -(-n // 400)))
+
+
+def maybe_known(rows: DataFrame, filter_rows: DataFrame, column: str = "hash", blocks: int = 1024, bits: int = 6, name: str = "maybe") -> DataFrame:
+    """rows with a column `name`: false means that the value is not among the filter's. The filter has at
+    most `blocks` rows of half a kilobyte, which bounds what is sent to every task. Columns of rows may
+    have any names that do not begin with `name`."""
+    key, block, words = F.col(f"`{column}`"), f"{name}_block", f"{name}_words"
+    sent = F.broadcast(filter_rows.select(F.col("block").alias(f"{name}_of"), F.col("words").alias(words)))
+    met = rows.withColumn(block, _block(key, blocks)).join(sent, F.col(f"`{block}`") == F.col(f"`{name}_of`"), "left")
     hit = F.lit(True)
     for bit in _bits(key, bits):
-        hit = hit & (F.getbit(F.element_at("__words", (bit / WORD).cast("int") + 1), bit % WORD) == 1)
-    return met.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__block", "__b", "__words")
+        hit = hit & (F.getbit(F.element_at(F.col(f"`{words}`"), (bit / WORD).cast("int") + 1), bit % WORD) == 1)
+    return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop(block, f"{name}_of", words)
 
 
 def unknown(rows: DataFrame, filter_rows: DataFrame, known: DataFrame, column: str = "hash", blocks: int = 1024, bits: int = 6) -> DataFrame:
