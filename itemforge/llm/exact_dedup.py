@@ -2,8 +2,8 @@
 
 A streaming aggregation in RocksDB state, without watermark and so without expiry, holds for each
 digest the greatest (id, locator) and the number of rows. Its changes go to a table, one folder for
-each micro-batch. Texts that share a digest are then compared byte for byte, copies before they are
-shuffled. A digest that stands for several texts is split by the texts themselves.
+each micro-batch. Texts whose digest is shared are then compared byte for byte, and no others are read
+into a shuffle. A digest that stands for several texts is split by the texts themselves.
 
 A caller's own folder keeps the state: a later call with the same folder reads only the files that
 came since, and holds them against all that came before.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.llm import workspace
+from itemforge.operators import known_hashes
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -67,13 +68,17 @@ def keep_state(seen: DataFrame, home: str, one_batch: bool = False) -> DataFrame
 
 
 def _marks(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, locator) of rows(id, text, digest, locator). A scan task
-    compares its own equal texts, and the rest are shuffled once to be compared."""
+    """(doc_id, keep_id, group_size, kept, digest, locator) of rows(id, text, digest, locator). Full bytes are
+    compared on hits: a filter of the digests that several rows share, of bounded size, is tested while
+    the texts are scanned, and of those that it may know each task's different ones are shuffled once."""
     shared = workspace.saved(state.where("group_size > 1"), "dedup-shared")
     slim = rows.select("id", "digest", "locator").join(shared, "digest", "left")
     kept = F.col("keep_locator").isNull() | (F.col("locator") == F.col("keep_locator"))
     plain = slim.select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", "locator")
-    clash = rows.select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    blocks = known_hashes.blocks_for(shared.count())
+    hits = workspace.saved(known_hashes.build(shared, "digest", blocks), "dedup-filter")
+    hit = known_hashes.maybe_known(rows.select("digest", "text"), hits, "digest", blocks).where("maybe")
+    clash = hit.select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     clash = workspace.saved(clash, "dedup-clash")
     if not clash.isEmpty():
         # Different texts of one digest: the texts themselves are the groups. The stream's state

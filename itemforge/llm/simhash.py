@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from itemforge.llm import workspace
 from itemforge.llm.components import components
+from itemforge.operators import known_hashes
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 #: Buckets of more codes than this are split; the second figure is for wide codes.
@@ -542,7 +543,10 @@ def _confirmed(docs: DataFrame, text_column: str, classes: DataFrame, places: Da
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         new = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
         at = workspace.saved(places.join(new, "node", "left_semi"), "places")
-        texts = docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")).hint("merge").join(at, "place")
+        blocks = known_hashes.blocks_for(at.count())
+        wanted = workspace.saved(known_hashes.build(at, "place", blocks), "wanted-filter")
+        texts = known_hashes.maybe_known(docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")), wanted, "place", blocks)
+        texts = texts.where("maybe").join(at, "place").select("node", "text")  # the filter keeps other texts out of the shuffle
         fresh = workspace.saved(_sets(texts, words), "sets")
         sets = fresh if sets is None else sets.unionByName(fresh)
         held = workspace.saved(verified(links, sets, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "confirmed")

@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemforge.operators import known_hashes
+
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, SparkSession] = {}
@@ -110,11 +112,16 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """A located table's rows but those whose locators are gone(locator); all columns kept. Both sides
-    are shuffled at every size, so that the plan of a small table is that of a large one."""
+    """A located table's rows but those whose locators are gone(locator, written before); all columns kept.
+    A filter of the locators, of bounded size, is tested while the table is scanned: rows that it does
+    not know go on from there, and only those that it may know are shuffled to be told exactly."""
     key = max(docs.columns, key=len) + "_at"  # longer than any column's name
-    rest = docs.withColumn(key, locator(docs)).hint("merge").join(gone.select(F.col("locator").alias(f"{key}_gone")), F.col(f"`{key}`") == F.col(f"`{key}_gone`"), "left_anti")
-    return rest.drop(key)
+    blocks = known_hashes.blocks_for(gone.count())
+    known = saved(known_hashes.build(gone, "locator", blocks), "gone-filter")
+    name = f"{key}_maybe"
+    tested = known_hashes.maybe_known(docs.withColumn(key, locator(docs)), known, key, blocks, name=name)
+    some = tested.where(F.col(f"`{name}`")).join(gone.select(F.col("locator").alias(f"{key}_gone")), F.col(f"`{key}`") == F.col(f"`{key}_gone`"), "left_anti")
+    return tested.where(~F.col(f"`{name}`")).union(some).drop(key, name)
 
 
 def ship(spark: SparkSession) -> None:
