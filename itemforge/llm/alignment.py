@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +27,27 @@ from itemforge.llm import sorted_shards, workspace
 _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Longer units are not kept.
 LONGEST = 64
-_ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: Before a unit that is not named by its word: one with white space at an end, or this character at its start.
+_RAW = "\0"
+
 
+def _name(unit: str) -> str:
+    """The memo's name of a unit: its word for a space and a word, itself for a line end and a word, else
+    the whole unit after a mark."""
+    word = unit[1:]
+    plain = word and unit[0] in " \n" and not word[0].isspace() and not word[-1].isspace() and word[0] != _RAW
+    return _RAW + unit if not plain else word if unit[0] == " " else unit
 
-def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[int, str, bytes]:
-    """(number of groups, the groups in words, keys a << 32 | b of all overlapping tokens) of two rows of
-    tokens over the same bytes, by one walk along both."""
-    if len(a) == 1 or len(b) == 1:  # one group, in which all overlap
-        keys = [x << 32 | y for x in a for y in b]
-        return 1, f"{','.join(map(str, a))}|{','.join(map(str, b))}", pack(f"<{len(keys)}q", *keys)
-    keys, groups, i, j, i0, j0, ahead = [], [], 0, 0, 0, 0, a_sizes[0] - b_sizes[0]
-    while True:  # ahead: how many bytes A's token ends after B's
-        keys.append(a[i] << 32 | b[j])
-        if ahead > 0:
-            j += 1
-            ahead -= b_sizes[j]
-        elif ahead < 0:
-            i += 1
-            ahead += a_sizes[i]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            if i == len(a):
-                return len(groups), ";".join(groups), pack(f"<{len(keys)}q", *keys)
-            i0, j0, ahead = i, j, a_sizes[i] - b_sizes[j]
+
+def _unit(name: str) -> str | None:
+    """The unit of a name; None for a piece of text that is no unit's name, since it has white space at an
+    end."""
+    if name[:1] == _RAW:
+        return name[1:]
+    unit = name if name[:1] == "\n" else f" {name}"
+    return unit if _name(unit) == name else None
+_ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 class Pair:
@@ -71,6 +67,11 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         if any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece reaches across words")
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, "<i8")
+        self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], "<i8")
+        # Each id in words: inside and at the end of its part of a group, for A and then for B.
+        self.words = [f"{k}{end}" for n, ends in ((len(self.a_sizes), ",|"), (len(self.b_sizes), ",;")) for end in ends for k in range(n)]
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.limit = limit
@@ -90,17 +91,22 @@ class Pair:
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return a, [x if u[0] == " " else x[1:] for u, x in zip(units, b, strict=True)]
 
-    def _made(self, full: str, a: list[int], b: list[int]) -> tuple:
-        """aligned() with the numbers of tokens; empty where the tokens do not spell the unit."""
-        a_bytes, b_bytes = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == full.encode():
-            return ()
-        return len(a), len(b), *aligned(a, b, [*map(len, a_bytes)], [*map(len, b_bytes)])
-
     def _learn(self, units: set[str]) -> dict[str, tuple]:
-        """What is new of a text's units, in one call of each library."""
-        new = [u for u in units if u not in self.old]
-        got = {u: self._made(u, a, b) for u, a, b in zip(new, *self._ids(new), strict=True)} if new else {}
+        """What is new of a text's units, by their names, in one call of each library: (tokens of A, of B,
+        groups, the groups in words, keys of the links). () for a name of none, or of a unit that the
+        tokens do not spell."""
+        new = {u: full for u in units if u not in self.old and (full := _unit(u)) is not None}
+        got = dict.fromkeys(units, ())
+        if new:
+            full = [f.encode() for f in new.values()]
+            a, b = self._ids(list(new.values()))
+            if self._spelt(full, a, b):
+                got |= zip(new, self._aligned(full, a, b), strict=True)
+            else:
+                for u, *one in zip(new, full, a, b, strict=True):
+                    one = [[x] for x in one]
+                    if self._spelt(*one):
+                        got[u] = self._aligned(*one)[0]
         got |= {u: self.old[u] for u in units if u in self.old}
         for u, v in got.items():
             if len(u) <= LONGEST:
@@ -109,21 +115,67 @@ class Pair:
                 self.memo[u] = v
         return got
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, bytes]:
+    def _spelt(self, full: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Whether the tokens' bytes are those of each unit."""
+        for f, x, y in zip(full, a, b, strict=True):
+            if not b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == f:
+                return False
+        return True
+
+    def _aligned(self, full: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[tuple]:
+        """What _learn() says of each unit, by one pass over the bytes of all."""
+        a, b = (np.fromiter(chain.from_iterable(ids), "<i8") for ids in (a_ids, b_ids))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        # Between two ends of tokens lies one token of each; no two tokens share two such stretches.
+        ends = np.sort(np.concatenate([ends_a, ends_b]))
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
+        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = (ends_a[i] == ends) & (ends_b[j] == ends)
+        keys = (a[i] << 32 | b[j]).tobytes()
+        words = self._groups(a, b, i[both], j[both])
+        unit_ends = np.cumsum([len(f) for f in full])
+        links, groups = np.searchsorted(ends, unit_ends, "right").tolist(), np.searchsorted(ends[both], unit_ends, "right").tolist()
+        out, link, group, word = [], 0, 0, 0
+        for x, y, next_link, next_group in zip(a_ids, b_ids, links, groups, strict=True):
+            next_word = word + len(x) + len(y)
+            out.append((len(x), len(y), next_group - group, "".join(words[word:next_word])[:-1], keys[8 * link : 8 * next_link]))
+            link, group, word = next_link, next_group, next_word
+        return out
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """The groups in words, token by token: the ids of A, a bar, the ids of B, and a semicolon. last_a and
+        last_b are the places of each group's last tokens."""
+        n_a, n_b = len(self.a_sizes), len(self.b_sizes)
+        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        a, b = a.copy(), b + 2 * n_a
+        a[last_a] += n_a
+        b[last_b] += n_b
+        out = np.empty(len(a) + len(b), "<i8")
+        out[np.arange(len(a)) + np.r_[0, last_b + 1][group_a]] = a
+        out[np.arange(len(b)) + (last_a + 1)[group_b]] = b
+        return list(map(self.words.__getitem__, out.tolist()))
+
+    def _parts(self, names: list[str]) -> list[tuple]:
+        parts = list(map(self.memo.get, names))
+        if None in parts:
+            got = self._learn({u for u, p in zip(names, parts, strict=True) if p is None})
+            parts = [got[u] if p is None else p for u, p in zip(names, parts, strict=True)]
+        return parts
+
+    def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(tokens of A, of B, groups, the groups' digest, keys of all links) of a text; all zero and
         empty for a null or empty one, and where the tokens' bytes are not the text's."""
-        nothing = 0, 0, 0, "", b""
+        nothing = 0, 0, 0, "", np.empty(0, "<i8")
         if not text:
             return nothing
-        units = _CUTS.split(f" {text}")
-        parts = list(map(self.memo.get, units))
-        if None in parts:
-            got = self._learn({u for u, p in zip(units, parts, strict=True) if p is None})
-            parts = [got[u] if p is None else p for u, p in zip(units, parts, strict=True)]
+        # Most texts have no white space but single spaces and line ends, and are cut there.
+        parts = self._parts(text.replace("\n", " \n").split(" "))
+        if not all(parts):
+            parts = self._parts(list(map(_name, _CUTS.split(f" {text}"))))
         if not all(parts):
             return nothing
         a, b, n, words, keys = zip(*parts, strict=True)
-        return sum(a), sum(b), sum(n), sha256(";".join(words).encode()).hexdigest(), b"".join(keys)
+        return sum(a), sum(b), sum(n), sha256(";".join(words).encode()).hexdigest(), np.frombuffer(b"".join(keys), "<i8")
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +197,7 @@ def links(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a, b, n, digest, keys = align(text.as_py())
-                keys, times = np.unique(np.frombuffer(keys, "<i8"), return_counts=True)
+                keys, times = np.unique(keys, return_counts=True)
                 rows.append((doc, a, b, n, int(times.sum()), digest, keys, times.astype("<i4")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 

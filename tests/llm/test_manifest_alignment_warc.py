@@ -149,7 +149,8 @@ def test_alignment_of_no_rows_and_of_rows_without_tokens(spark):
 def test_units_keep_their_tokens_when_the_memo_is_small(libraries):
     small, large = alignment.Pair(BYTE_BPE, PIECES, limit=3), alignment.Pair(BYTE_BPE, PIECES)
     for t in odd_texts():
-        assert small.align(t) == large.align(t)
+        mine, theirs = small.align(t), large.align(t)
+        assert mine[:4] == theirs[:4] and mine[4].tolist() == theirs[4].tolist()
 
 
 def test_sorted_shards_sum_runs_over_file_borders(spark, monkeypatch):
