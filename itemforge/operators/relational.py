@@ -107,12 +107,19 @@ def first_seen(rows: DataFrame, key: Column, order: list[Column], known: DataFra
 
 def value_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """(keys, one column for each rank): the values that stand at given places, from 0, of a group's sorted
-    values; a rank may use the group's size `n`. Equal values are counted before anything is shuffled,
-    and a running sum of the counts finds the place, so no group is gathered into one row."""
+    values; a rank may use the group's size `n`. Equal values are counted before anything is shuffled.
+    Ranges of values are counted apart, and a running sum inside one range, begun with the sum of those
+    before it, finds the place: a group is neither gathered into one row nor sorted by one task."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    by = Window.partitionBy(*keys)
-    up = F.sum("__c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    spread = counts.select(*keys, value, "__c", up.alias("__up"), F.sum("__c").over(by).alias("n"))
+    dealt = cut(counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id()))
+    of_key = Window.partitionBy(*keys)
+    before = F.sum("__here").over(of_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__here"))
+    sizes = sizes.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__here").over(of_key).alias("n"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = dealt.join(sizes.withColumnsRenamed({k: f"__{k}" for k in keys} | {"__part": "__at"}), [F.col("__part") == F.col("__at"), *on])
+    up = F.col("__before") + F.sum("__c").over(Window.partitionBy("__part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    spread = met.select(*keys, value, "__c", up.alias("__up"), "n")
     here = lambda rank: (F.col("__up") - F.col("__c") <= rank) & (rank < F.col("__up"))
     return spread.groupBy(*keys).agg(*[F.min(F.when(here(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
 

@@ -15,6 +15,7 @@ from itemforge.functions import text as T
 from itemforge.operators import admission, bank, intervals, known_hashes, layout, relational, search_index, selection, topics
 from itemforge.plans import assembly
 from itemforge.sources import files, shared
+from itemforge.streaming import ingest
 
 
 def one(spark, column):
@@ -360,6 +361,46 @@ def test_stored_exams_print_alike_and_are_listed(spark, tmp_path):
         assembly.store_exams(spark, path, heads, picked, options)
 
 
+def paged(spark, doc, questions, first=1):
+    rows = [(doc, 0, 20.0, 80.0 + 15 * (5 * k + i), 400.0, 90.0 + 15 * (5 * k + i), t, 9.0, False, False, 595.0, 842.0) for k, q in enumerate(questions) for i, t in enumerate([f"{first + k}. {q}, which is a statement that is long enough", "A) one", "B) two", "C) three", "D) four"])]
+    return spark.createDataFrame(rows, ingest.PAGED)
+
+
+def test_a_stream_that_is_killed_goes_on_and_stores_each_question_once(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    paged(spark, 1, ["heart", "brain"]).coalesce(1).write.mode("append").parquet(source)
+    ingest.import_stream(spark, source, out, checkpoint, 1)
+    paged(spark, 2, ["brain", "bone"]).coalesce(1).write.mode("append").parquet(source)
+    whole = relational.cut
+
+    def dies(rows):
+        if "__seen" in rows.columns:
+            raise RuntimeError("killed")
+        return whole(rows)
+
+    monkeypatch.setattr(ingest.relational, "cut", dies)
+    with pytest.raises(Exception, match="killed"):
+        ingest.import_stream(spark, source, out, checkpoint, 1)
+    monkeypatch.setattr(ingest.relational, "cut", whole)
+    # The batch had written its questions when it died: they are written anew.
+    spark.createDataFrame([(2, 9, "half", [], 1.0, "x")], "doc_id long, number int, statement string, options array<struct<letter:string,text:string>>, confidence double, hash string").write.parquet(f"{out}/questions/batch=1")
+    ingest.import_stream(spark, source, out, checkpoint, 1)
+    paged(spark, 3, ["heart", "brain"]).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([(4, 0, 20.0, 80.0, 400.0, 90.0, "scan", 9.0, False, False, 595.0, 842.0)], ingest.PAGED).coalesce(1).write.mode("append").parquet(source)
+    ingest.import_stream(spark, source, out, checkpoint, 1)
+    got = ingest.stored(spark, out, "questions").collect()
+    assert sorted((q.doc_id, q.number, q.statement.split(",")[0]) for q in got) == [(1, 1, "heart"), (1, 2, "brain"), (2, 2, "bone")]
+    assert {(x.doc_id, x.status, x.error) for x in ingest.stored(spark, out, "statuses").collect()} == {(1, "processado", None), (2, "processado", None), (3, "known", None), (4, "erro", "no text layer")}
+
+
+def test_contents_are_ingested_once(spark, tmp_path):
+    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    for rows in ([(1, "One"), (2, "two")], [(3, " one "), (4, "three")]):
+        spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(spark, source, "id long, text string", "text", out, checkpoint)
+    assert sorted(x.id for x in spark.read.parquet(out).collect()) == [1, 2, 4]
+
+
 # Text
 
 
