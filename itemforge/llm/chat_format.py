@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -104,12 +105,22 @@ def turns_of(record: dict) -> tuple[str, Mapping | None, list[tuple[str, str]]]:
     return mark, found, [(role, "\n\n".join(t for p in paths if (t := _string(record.get(p))))) for role, paths in found.turns]
 
 
+def _whole(x):
+    """A parsed value whose strings and names have no half surrogate pairs."""
+    if isinstance(x, str):
+        return re.sub("[\ud800-\udfff]", "\ufffd", x)
+    if isinstance(x, list):
+        return [_whole(v) for v in x]
+    return {_whole(k): _whole(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
 TURNS = "conv_id long, turn long, role string, text string, mapping string, fingerprint string"
 
 
 def from_records(records: DataFrame, id_column: str = "conv_id", record_column: str = "record") -> DataFrame:
-    """TURNS from a column of JSON objects. A record that is null, no JSON object, or of a layout no
-    mapping knows gives one row without turn and mapping, its text the record itself."""
+    """TURNS from a column of JSON objects. A record that is null, no JSON object, nested too deeply, or of
+    a layout no mapping knows gives one row without turn and mapping, its text the record itself. Half
+    a surrogate pair, which no text can hold, becomes U+FFFD. An empty table gives no rows."""
     workspace.ship(records.sparkSession)
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("mapping", pa.string()), ("fingerprint", pa.string())])
 
@@ -117,11 +128,13 @@ def from_records(records: DataFrame, id_column: str = "conv_id", record_column:
         for b in batches:
             rows = []
             for conv, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mark, mapping, turns, record = None, None, [], None
                 try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                mark, mapping, turns = turns_of(record) if isinstance(record, dict) else (None, None, [])
+                    record = _whole(json.loads(raw)) if raw is not None else None
+                    if isinstance(record, dict):
+                        mark, mapping, turns = turns_of(record)
+                except (ValueError, RecursionError):  # no JSON, or nested too deeply to be read
+                    pass
                 if mapping is None:
                     rows.append((conv, None, None, raw, None, mark))
                 first = record.get("turn") if mapping and mapping.row else 0

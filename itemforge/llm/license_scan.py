@@ -1,18 +1,19 @@
 """License notices by diagonal voting.
 
 All rolling word k-gram hashes of a text meet the templates' in a Spark join. A hit at word p of the
-text and word t of a template votes for the diagonal p - t. Neighbouring diagonals, which a word
-more or less leaves behind, are merged, and a span counts once the template words it covers are
-enough.
+text and word t of a template votes for the diagonal p - t, if the words themselves are the template's.
+Neighbouring diagonals, which a word more or less leaves behind, are merged, and a span counts once
+the template words it covers are enough.
 
 A gram's hash is a polynomial over the bytes of its words, with one space between two, taken from sums
-over the whole text as the window rolls, and mixed to 64 bits. A gram of a text is taken for one of the
-hundred or so of the templates by chance once in 10 to the 17th grams.
+over the whole text as the window rolls, and mixed to 64 bits. Where it is one of the templates' hundred
+or so, the gram's words go along, and a hit counts only if they are those of the template, so hashes
+that collide, by chance or by design, make no span.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -85,12 +86,13 @@ def gram_hashes(found: list[bytes], k: int) -> np.ndarray:
 class Templates:
     """Templates as word lists, and the hashes of their grams."""
 
-    def __init__(self, base: dict[str, str], notices: dict[str, str], long_gram: int = 4):
+    def __init__(self, base: dict[str, str], notices: dict[str, str], long_gram: int = 4, hashes: Callable[[list[bytes], int], np.ndarray] = gram_hashes):
+        self.hashes = hashes
         self.items = [(p.encode().split(), label, True) for p, label in base.items()] + [(p.encode().split(), label, False) for p, label in notices.items()]
         self.by_template = [min(len(t), 2 if b else long_gram) for t, _, b in self.items]
         self.sizes = sorted(set(self.by_template))
-        #: hash, template, position
-        self.rows = [(h, number, at) for number, (t, _, _) in enumerate(self.items) for at, h in enumerate(gram_hashes(t, self.by_template[number]).tolist())]
+        #: hash, template, position, words
+        self.rows = [(h, number, at, b" ".join(t[at : at + k]).decode()) for number, ((t, _, _), k) in enumerate(zip(self.items, self.by_template, strict=True)) for at, h in enumerate(hashes(t, k).tolist())]
 
     def spans(self, votes: list[tuple[int, int, list[int]]], slack: int, least: float) -> list[dict]:
         """Verified spans from (template, diagonal, template positions of its grams)."""
@@ -128,7 +130,15 @@ def scan(docs: DataFrame, templates: Templates | None = None, slack: int = 2, le
     spark = docs.sparkSession
     workspace.ship(spark)
     templates = templates or Templates(BASE, NOTICES)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("first", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("first", pa.int64()), ("hashes", pa.list_(pa.int64())), ("shown", pa.map_(pa.int32(), pa.string()))])
+    known = np.unique(np.array([h for h, *_ in templates.rows], dtype=np.int64))
+
+    def shown(found: list[bytes], first: int, k: int, h: np.ndarray) -> list[tuple[int, str]]:
+        """The words of the grams whose hashes are among the templates'."""
+        if not len(known):
+            return []
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        return [(i, b" ".join(found[first + i : first + i + k]).decode()) for i in hit.tolist()]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -141,10 +151,11 @@ def scan(docs: DataFrame, templates: Templates | None = None, slack: int = 2, le
             held = 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = words(text.as_py())
-                out.append((number, doc, len(found), 0, np.array([_HERE])))
+                out.append((number, doc, len(found), 0, np.array([_HERE]), []))
                 for k in templates.sizes:
                     for at in range(0, len(found) - k + 1, CHUNK):
-                        out.append((number, doc, len(found), at, gram_hashes(found[at : at + CHUNK + k - 1], k)))
+                        h = templates.hashes(found[at : at + CHUNK + k - 1], k)
+                        out.append((number, doc, len(found), at, h, shown(found, at, k, h)))
                         held += len(out[-1][4])
                         if held > 16 * CHUNK:
                             yield batch(out)
@@ -161,10 +172,11 @@ def scan(docs: DataFrame, templates: Templates | None = None, slack: int = 2, le
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spans], names=["doc_id", "n_words", "spans"])
 
     sent = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    sent = sent.mapInArrow(grams, "row long, doc_id long, n_words long, first long, hashes array<long>")
-    hits = sent.select("row", "doc_id", "n_words", "first", F.posexplode("hashes").alias("at", "hash"))
-    places = spark.createDataFrame([*templates.rows, (_HERE, _HERE, 0)], "hash long, template int, place int")
-    met = hits.join(F.broadcast(places), "hash").withColumn("diagonal", F.col("first") + F.col("at") - F.col("place"))
+    sent = sent.mapInArrow(grams, "row long, doc_id long, n_words long, first long, hashes array<long>, shown map<int,string>")
+    hits = sent.select("row", "doc_id", "n_words", "first", "shown", F.posexplode("hashes").alias("at", "hash"))
+    places = spark.createDataFrame([*templates.rows, (_HERE, _HERE, 0, None)], "hash long, template int, place int, words string")
+    same = (F.col("template") == _HERE) | (F.try_element_at("shown", F.col("at")) == F.col("words"))
+    met = hits.join(F.broadcast(places), "hash").where(same).withColumn("diagonal", F.col("first") + F.col("at") - F.col("place"))
     keys = ["row", "doc_id", "n_words"]
     by_diagonal = met.repartition(F.col("row")).groupBy(*keys, "template", "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"))
     by_row = by_diagonal.groupBy(*keys).agg(F.collect_list(F.struct("template", "diagonal", "places")).alias("votes"))

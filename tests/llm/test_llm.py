@@ -312,6 +312,29 @@ def _least(n, pairs):
     return label
 
 
+def test_records_with_half_surrogates_and_deep_nesting_are_read(spark):
+    record = json.dumps({"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "content": "y"}]})
+    rows = [(1, record.replace('"x"', '"a\\ud83d"')), (2, '{"messages": ' + "[" * 100_000 + "]" * 100_000 + "}"), (3, '{"\\ude00": 1}'), (4, record)]
+    got = chat_format.from_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
+    assert {(r.conv_id, r.turn, r.text) for r in got if r.conv_id in (1, 4)} == {(1, 0, "a\ufffd"), (1, 1, "y"), (4, 0, "x"), (4, 1, "y")}
+    assert {r.conv_id for r in got if r.mapping is None} == {2, 3} and len(got) == 6
+    assert chat_format.from_records(spark.createDataFrame([], "conv_id long, record string")).count() == 0
+
+
+def test_license_hits_are_told_by_their_words(spark):
+    """With hashes that nearly all collide the spans are the same."""
+
+    def few(found, k):
+        return license_scan.gram_hashes(found, k) % 3
+
+    texts = ["released under the MIT License today", "mit apache license mit license", "license mit general public license " * 3, words(400, 3), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    weak = license_scan.Templates(license_scan.BASE, license_scan.NOTICES, hashes=few)
+    rows = lambda found: sorted((r.doc_id, r.n_words, str(r.spans)) for r in found.collect())
+    assert rows(license_scan.scan(docs, weak)) == rows(license_scan.scan(docs))
+    assert [s.label for s in license_scan.scan(docs, weak).where("doc_id = 1").first().spans] == ["apache", "mit"]
+
+
 @pytest.mark.parametrize("full", [simhash.FULL, 4])
 def test_wide_links_of_crowded_buckets(spark, full):
     rng = random.Random(5)
