@@ -125,7 +125,8 @@ def _join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Found:
-    """Links found so far, cut down by `_join` when they grow many."""
+    """Pairs found so far, cut down when they grow many: by `_join` to links that join the same nodes,
+    or, where pairs have a distance, to a forest of true pairs."""
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
@@ -140,38 +141,15 @@ class _Found:
 
     def links(self) -> tuple[np.ndarray, ...]:
         if not self.size:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return self.cut_down(*[np.concatenate(x) for x in zip(*self.held, strict=True)])
+            return tuple(np.empty(0, np.int64) for _ in (self.held[0] if self.held else "ab"))
+        found = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        if len(found) == 2:
+            return _join(*found)
+        keep = np.union1d(forest(*found), nearest(*found))
+        return tuple(x[keep] for x in found)
 
-    def cut_down(self, *pairs: np.ndarray) -> tuple[np.ndarray, ...]:
-        return _join(*pairs)
 
-
-class _Candidates(_Found):
-    """Candidate pairs (a, b, distance, label of a, label of b) between nodes of different labels, each once: those of a forest
-    that joins all labels that pairs join, and the `most` nearest of each node. `whole` tells whether
-    no pair was left out."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.whole = most, True
-
-    def put(self, a: np.ndarray, b: np.ndarray, d: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> None:
-        apart, turn = label_a != label_b, a > b
-        columns = np.where(turn, b, a), np.where(turn, a, b), d, np.where(turn, label_b, label_a), np.where(turn, label_a, label_b)
-        super().put(*[c[apart] for c in columns])
-
-    def cut_down(self, *pairs: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((pairs[1], pairs[0]))
-        a, b = pairs[0][order], pairs[1][order]
-        order = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
-        a, b, d, label_a, label_b = (x[order] for x in pairs)
-        keep = np.union1d(forest(label_a, label_b, d), nearest(a, b, d, self.most))
-        self.whole &= len(keep) == len(a)
-        return tuple(x[keep] for x in (a, b, d, label_a, label_b))
-
-
-def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int = 4) -> np.ndarray:
     """Which pairs are among the n nearest of one of their ends: more than a forest needs, so that a
     pair that turns out to be no link seldom parts what others join."""
     ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
@@ -229,9 +207,9 @@ def _pairs(table: pa.Table, parts: list[np.uint64], budget: int) -> tuple[np.nda
 
 
 class _Bucket:
-    """Codes of one bucket whose pairs within `near` bits and of different labels are to be found, or, with
-    join(), pairs that join the same codes. `parts` are the ring's segments in the chain's order after
-    the one that all codes share; the first l + 2 segments of a chain have l + 1 differences at most."""
+    """Codes of one bucket whose pairs within `near` bits are to be found, or pairs that join the same
+    codes. `parts` are the ring's segments in the chain's order after the one that all codes share;
+    the first l + 2 segments of a chain have l + 1 differences at most."""
 
     #: A dense group of more codes than this is joined through pivots.
     DENSE = 1500
@@ -293,17 +271,6 @@ class _Bucket:
         other = group != pivot
         self.put(np.full(other.sum(), pivot), group[other], d[other])
 
-    def every(self, label: np.ndarray) -> None:
-        """All pairs but those within the label that most codes have, and, of others, those that put()
-        refuses."""
-        values, counts = np.unique(label, return_counts=True)
-        if len(values) < 2:
-            return
-        most = label == values[counts.argmax()]
-        others, rest = np.flatnonzero(~most), np.flatnonzero(most)
-        self.follow(others, others, True)
-        self.follow(others, rest, False)
-
     def join(self) -> None:
         """Dense groups first: those within `near` of a pivot are joined, only codes within twice `near`
         of it can have a pair among them, and then they are done with."""
@@ -330,14 +297,13 @@ def _budgets(rings: int, near: int) -> list[int]:
     return [(near + 1) // rings - 1 + (k < (near + 1) % rings) for k in range(rings)]
 
 
-def _wide_pairs(table: pa.Table, rings: int, near: int, most: int, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, whole): candidates of whole buckets of wide codes, sorted by key, and whether these are all;
-    a dense group's are not all unless `every` pair is to be found."""
-    key, node, label = table["key"].to_numpy(), table["node"].to_numpy(), table["label"].to_numpy()
+def _wide_pairs(table: pa.Table, rings: int, near: int) -> tuple[np.ndarray, ...]:
+    """A forest of the pairs of whole buckets of wide codes, sorted by key."""
+    key, node = table["key"].to_numpy(), table["node"].to_numpy()
     flat = b"".join(table["wide"].to_pylist())
     words = np.ascontiguousarray(np.frombuffer(flat, "<u8").reshape(len(node), -1).T)
     codes = np.frombuffer(flat, ">u4").reshape(len(node), -1).T
-    found, budgets = _Candidates(most), _budgets(rings, near)
+    found, budgets = _Found(), _budgets(rings, near)
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
     for a, b in zip(edges, edges[1:], strict=False):
         if b - a < 2:
@@ -345,35 +311,27 @@ def _wide_pairs(table: pa.Table, rings: int, near: int, most: int, every: bool)
         ring, start = int(key[a]) >> 56, int(key[a]) >> 48 & 255
         parts = masks(32, budgets[ring] + 1)
         order = [(ring // 2 + 1 + k) % len(words) for k in range(len(words))]  # the ring's own word last
-        here, labels = node[a:b], label[a:b]
-        bucket = _Bucket(
+        here = node[a:b]
+        _Bucket(
             [words[k, a:b] for k in order],
             codes[ring, a:b].astype(np.uint64),
             parts[start + 1 :] + parts[:start],
             near,
-            lambda x, y, d, here=here, labels=labels: found.put(here[x], here[y], d, labels[x], labels[y]),
-        )
-        if every:
-            bucket.every(labels)
-        else:
-            found.whole &= b - a <= 500  # larger ones may have dense groups
-            bucket.join()
-    links = found.links()
-    return links[0], links[1], found.whole
+            lambda x, y, d, here=here: found.put(here[x], here[y], d),
+        ).join()
+    return found.links()[:2]
 
 
 def _links(keyed: DataFrame, pairs: Callable) -> DataFrame:
-    """What `pairs` finds in the buckets of keyed(key, ...), and a row of nulls where it says that this is not
-    all."""
+    """What `pairs` finds in the buckets of keyed(key, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows, enough = 0, 50_000
 
         def links(table: pa.Table) -> pa.RecordBatch:
-            a, b, *whole = pairs(table)
-            more = [None] * (whole == [False])
-            return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *more], pa.int64()) for x in (a, b)], names=["a", "b"])
+            a, b = pairs(table)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             held.append(b)
@@ -423,34 +381,31 @@ def _block(key: str, low: Column, high: Column) -> Column:
     return F.col(key).bitwiseAND(F.lit(-1 << 48)) + F.xxhash64(key, low, high).bitwiseAND(rest)
 
 
-def wide_links(classes: DataFrame, rings: int, near: int, full: int = WIDE_FULL, most: int = 4, every: bool = False) -> DataFrame:
-    """(a, b): pairs among classes(node long, wide binary, and perhaps label long) whose codes differ in
-    `near` bits or fewer and whose labels differ, enough of them to join every two nodes that such
-    pairs join. A code has 32 * rings bits; rings are even. A row of nulls tells that a task left pairs
-    out.
+def wide_links(classes: DataFrame, rings: int, near: int, full: int = WIDE_FULL) -> DataFrame:
+    """(a, b): pairs among classes(node long, wide binary) whose codes differ in `near` bits or fewer,
+    enough of them to join every two nodes that such pairs join. A code has 32 * rings bits; rings
+    are even.
 
     The rings' budgets add up so that some ring of a pair keeps within its own. It is cut into one
     segment more than its budget, so a chain starts at a segment that agrees: a code goes to a bucket
     for each of its segments, and there chains are followed. The rows of a bucket of more than `full`
     codes are dealt over parts, and every two parts meet in a block, so nothing is lost. A task puts
-    out the nearest of its pairs: those that join what all of them do, and `most` of each node. In
-    dense groups it looks for such pairs only, unless `every` pair is to be found.
+    out the nearest of its pairs: those that join what all of them do, and four of each node.
     """
     workspace.ship(classes.sparkSession)
-    classes = classes if "label" in classes.columns else classes.withColumn("label", F.col("node"))
     keys = []
     for k, budget in enumerate(_budgets(rings, near)):
         ring = F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long")
         keys += [F.lit(k << 56 | i << 48) + ring.bitwiseAND(F.lit(m)) for i, m in enumerate(masks(32, budget + 1) if budget >= 0 else ())]
-    keyed = classes.select("node", "wide", "label", F.explode(F.array(*keys)).alias("key"))
+    keyed = classes.select("node", "wide", F.explode(F.array(*keys)).alias("key"))
     crowded = workspace.saved(keyed.groupBy("key").count().where(F.col("count") > full), "crowded")
     if not crowded.isEmpty():
         keyed = keyed.join(F.broadcast(crowded), "key", "left")
         parts = F.ceil(F.col("count") / full)
         mine = F.pmod(F.xxhash64(F.lit(0), "node"), parts)
         met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: _block("key", F.least(mine, j), F.greatest(mine, j)))
-        keyed = keyed.select("node", "wide", "label", F.explode(F.coalesce(met, F.array("key"))).alias("key"))
-    return _links(keyed.select("key", "node", "wide", "label"), lambda table: _wide_pairs(table, rings, near, most, every))
+        keyed = keyed.select("node", "wide", F.explode(F.coalesce(met, F.array("key"))).alias("key"))
+    return _links(keyed.select("key", "node", "wide"), lambda table: _wide_pairs(table, rings, near))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -524,57 +479,16 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float, salted: int =
     return dealt.select("hub", "spoke", "code").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(docs: DataFrame, text_column: str, classes: DataFrame, places: DataFrame, words: int, similarity: float, rings: int, near: int) -> DataFrame:
-    """(a, b): links between classes(node, wide) whose sets are similar enough, that join every two nodes that
-    all such pairs within `near` bits join.
-
-    By rounds: tasks put forward candidates between groups that are still apart, enough to join all that
-    candidates join, and each is held against the sets. If none is refused, nothing more can join. Else
-    the nodes that a refused candidate may hold apart go on to the next round, where refused pairs
-    do not come again and eight times as many are put forward, until none is refused or none is left
-    out. The number of rounds grows with the logarithm of the most candidates that a node has.
-    """
-    active, most, no_links = classes.withColumn("label", F.col("node")), 4, classes.selectExpr("node AS a", "node AS b").limit(0)
-    good, sets, tried = no_links, None, no_links
-    while True:
-        found = workspace.saved(wide_links(active, rings, near, most=most, every=most > 4), "proposed")
-        links = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = workspace.saved(links.join(tried, ["a", "b"], "left_anti"), "candidates")
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        new = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
-        at = workspace.saved(places.join(new, "node", "left_semi"), "places")
-        blocks = known_hashes.blocks_for(at.count())
-        wanted = workspace.saved(known_hashes.build(at, "place", blocks), "wanted-filter")
-        texts = known_hashes.maybe_known(docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")), wanted, "place", blocks)
-        texts = texts.where("maybe").join(at, "place").select("node", "text")  # the filter keeps other texts out of the shuffle
-        fresh = workspace.saved(_sets(texts, words), "sets")
-        sets = fresh if sets is None else sets.unionByName(fresh)
-        held = workspace.saved(verified(links, sets, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "confirmed")
-        good = good.unionByName(held)
-        refused = workspace.saved(links.join(held, ["a", "b"], "left_anti"), "refused")
-        if refused.isEmpty() or found.where("a IS NULL").isEmpty():
-            return good
-        # Nodes of the groups that candidates would have joined and a refused one may hold apart.
-        of = active.select("node", "label")
-        joined = links.join(of.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "y"}), "b")
-        group = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        doubt = refused.select(F.col("a").alias("node")).join(of, "node").join(group.withColumnRenamed("node", "label"), "label").select("root").distinct()
-        mine = active.drop("label").join(of.join(group.withColumnRenamed("node", "label"), "label").join(doubt, "root", "left_semi").select("node"), "node", "left_semi")
-        tied = components(good).withColumnRenamed("root", "label")
-        active = workspace.saved(mine.join(tied, "node", "left").withColumn("label", F.coalesce("label", "node")), "active")
-        tried, most = tried.unionByName(refused), 8 * most
-
-
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(locator, id, stays) of a located table: each row's place, its id, and whether it stays.
 
     Texts are near when the Jaccard similarity of their sets of shingles is at least `similarity`. The
     fingerprints of 32 * rings bits find the candidates: all pairs at no more bits than this
     similarity has on average and `slack` standard deviations above, so 95 of 100 pairs at the
-    threshold itself and nearly all beyond it. Candidates are held against the sets themselves, see
-    _confirmed(): what similar candidates join is a group, and none of these is lost. Its row with the
-    least id stays, of one id the one whose locator is first. Texts with equal sets are one class, and
-    so are null and empty texts. Null ids come last.
+    threshold itself and nearly all beyond it. Of the candidates each task puts forward a forest of
+    the nearest, and every one of these is held against the sets themselves. What confirmed links join
+    is a group; its row with the least id stays, of one id the one whose locator is first. Texts with
+    equal sets are one class, and so are null and empty texts. Null ids come last.
     """
     octets, bits = 4 * rings, 32 * rings
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -584,8 +498,16 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings:
     marks = workspace.saved(marks.select("locator", "id", "code", F.xxhash64("code").alias("node")), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator")).alias("first")
     classes = workspace.saved(marks.groupBy("node").agg(first, F.min(F.substring("code", 1, octets)).alias("wide")), "classes")
-    places = classes.select("node", F.col("first.locator").alias("place"))
-    tied = components(_confirmed(docs, text_column, classes.select("node", "wide"), places, words, similarity, rings, near)).withColumnRenamed("node", "tied")
+    links = wide_links(classes.select("node", "wide"), rings, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = workspace.saved(links.distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    places = workspace.saved(classes.join(ends, "node", "left_semi").select("node", F.col("first.locator").alias("place")), "places")
+    blocks = known_hashes.blocks_for(places.count())
+    wanted = workspace.saved(known_hashes.build(places, "place", blocks), "wanted-filter")
+    texts = known_hashes.maybe_known(docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")), wanted, "place", blocks)
+    texts = texts.where("maybe").join(places, "place").select("node", "text")  # the filter keeps other texts out of the shuffle
+    sets = workspace.saved(_sets(texts, words), "sets")
+    tied = components(verified(links, sets, similarity)).withColumnRenamed("node", "tied")
     rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("best"))
     stays = rooted.join(least, "root").select("node", F.col("best.locator").alias("best"))
