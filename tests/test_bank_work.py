@@ -188,6 +188,30 @@ def test_more_exams_take_no_more_jobs(spark):
     assert jobs(1000) <= jobs(3) + 40
 
 
+def test_a_draw_keeps_few_of_the_pairs_and_looks_again_where_they_are_too_few(spark, monkeypatch):
+    reach = spark.range(6000).select((F.col("id") % 2).alias("topic"), F.col("id").alias("item"))
+    quotas = spark.range(40).select(F.col("id").alias("exam"), F.col("id").alias("seed"), F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("topic"), F.lit(5).alias("wanted"), F.lit(t).alias("place")) for t in (0, 1, 9)])).alias("q")).select("exam", "seed", "q.*")
+    asked, pairs = selection._asked(reach, quotas)
+    kept = selection._first_items(asked, pairs, F.col("share"))
+    assert 40 * 15 <= kept.count() <= 40 * 6000 / 20  # of 240,000 pairs
+    want = [sorted(map(tuple, x.collect())) for x in selection.draw_many(reach, quotas)]
+    monkeypatch.setattr(selection, "_SPARE", -0.4)  # about half of the quotas find too few at first
+    monkeypatch.setattr(selection, "_ITEMS", 700)
+    monkeypatch.setattr(selection, "_QUOTAS", 9)
+    assert [sorted(map(tuple, x.collect())) for x in selection.draw_many(reach, quotas)] == want
+    assert len(want[0]) == 400 and len(want[1]) == 40
+
+
+def test_shortfall_draws_exams_with_a_small_topic_only(spark, monkeypatch):
+    reach = spark.createDataFrame([(t, i) for t, n in ((0, 90), (1, 4)) for i in range(n)], "topic int, item long")
+    quotas = spark.createDataFrame([(e, e, t, 3, k) for e in range(12) for k, t in enumerate((0, 1) if e < 2 else (0,))] + [(5, 5, 7, 1, 1)], "exam long, seed long, topic int, wanted int, place int")
+    want = sorted(map(tuple, selection.draw_many(reach, quotas)[1].collect()))
+    drawn, draw = [], selection.draw_many
+    monkeypatch.setattr(selection, "draw_many", lambda r, q: drawn.extend(x.exam for x in q.collect()) or draw(r, q))
+    assert sorted(map(tuple, selection.shortfall(reach, quotas).collect())) == want and (5, 7, 1, 0) in want
+    assert set(drawn) == {5}
+
+
 # The index of words
 
 
