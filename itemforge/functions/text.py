@@ -56,6 +56,18 @@ def _lookup(text: Column, pattern: str, table: dict[str, str]) -> Column:
     return F.aggregate(found, text, lambda done, x: F.replace(done, x, F.coalesce(F.try_element_at(pairs, x), x)))
 
 
+def _translated(text: Column, before: str, after: str) -> Column:
+    """F.translate() of characters beyond ASCII: each distinct one that stands in the text is replaced by
+    itself, since F.translate() looks up every character."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class(sorted(map(ord, before)))), F.lit(0)))
+    return F.aggregate(found, text, lambda done, x: F.replace(done, x, F.translate(x, before, after)))
+
+
+def _beyond(text: Column) -> Column:
+    """Whether a text has a character beyond ASCII."""
+    return text.rlike(r"[^\x00-\x7F]")
+
+
 def compose(text: Column) -> Column:
     """NFKC of a text, by Spark's own functions, for characters of the basic plane and for letters with
     up to two marks. A text without any character that NFKC could change is not touched."""
@@ -63,7 +75,7 @@ def compose(text: Column) -> Column:
     alone = _char_class(sorted(map(ord, several)))
 
     def composed(t: Column) -> Column:
-        single = _lookup(F.translate(t, before, after), alone, several)
+        single = _lookup(_translated(t, before, after), alone, several)
         return _lookup(_lookup(single, r"\P{M}\p{M}{2}", joined), r"\P{M}\p{M}", joined)
 
     # Most texts have no character beyond ASCII and the letters of Latin-1, and are not looked at again.
@@ -73,22 +85,27 @@ def compose(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """NFKC, typographic characters as plain ones, white space collapsed and trimmed, null as empty."""
-    text = F.replace(compose(F.coalesce(text, F.lit(""))), F.lit("…"), F.lit("..."))
     kept = {k: v for k, v in TYPOGRAPHY.items() if v}
     gone = "".join(k for k, v in TYPOGRAPHY.items() if not v)
-    text = F.translate(text, "".join(kept) + gone, "".join(kept.values()))
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+    def plain(t: Column) -> Column:
+        t = F.replace(compose(t), F.lit("…"), F.lit("..."))
+        return F.regexp_replace(_translated(t, "".join(kept) + gone, "".join(kept.values())), r"(?U)[\s&&[^ ]]\s*| \s+", " ")
+
+    # Only white space that is not a single space is touched.
+    return _let(F.coalesce(text, F.lit("")), lambda t: F.trim(F.when(_beyond(t), plain(t)).otherwise(F.regexp_replace(t, r"[\t-\r]\s*| \s+", " "))))
 
 
 def _char_class(codes: list[int]) -> str:
-    """A pattern for one of the characters, by runs."""
+    """A pattern for one of the characters, none of them ASCII, by runs. Plain characters are refused by one
+    comparison, since a class of many runs is slow."""
     runs = [[codes[0], codes[0]]]
     for code in codes[1:]:
         if code == runs[-1][1] + 1:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    return r"[[^\x00-\x7F]&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]]"
 
 
 @lru_cache(maxsize=1)
@@ -114,9 +131,13 @@ def fold_accents(text: Column) -> Column:
     script of the basic plane. Characters beyond it stay as they are."""
     before, after, several, marks = _accents()
     latin = sum(ord(c) < 0x100 for c in before)
-    whole = F.regexp_replace(_lookup(F.translate(text, before, after), _char_class(sorted(map(ord, several))), several), marks, "")
-    # Most texts have no character beyond Latin-1.
-    return F.when(text.rlike(r"[^\x00-\xFF]"), whole).otherwise(F.translate(text, before[:latin], after[:latin]))
+
+    def folded(t: Column) -> Column:
+        whole = F.regexp_replace(_lookup(_translated(t, before, after), _char_class(sorted(map(ord, several))), several), marks, "")
+        # Most texts have no character beyond ASCII, or none beyond Latin-1.
+        return F.when(~_beyond(t), t).when(t.rlike(r"[^\x00-\xFF]"), whole).otherwise(_translated(t, before[:latin], after[:latin]))
+
+    return _let(text, folded)
 
 
 def normalize(text: Column) -> Column:
@@ -272,6 +293,30 @@ def _parts(text: Column, *takes: Callable[[Column], Column]) -> Column:
     return parts
 
 
+#: The markers of plain ASCII text, after cleaning: all parts by one pattern, the last is what follows.
+_PLAIN_NUMBER = r"^((?i:questao|quest\.|q\.)\s*+)?+([0-9]{1,3})(?![0-9]) *+([.)\]:-]?+)((?s:.*))"
+_PLAIN_LETTER = r"^([(\[]?+)([A-Ea-e])([.)\]:-]?+)((?s:.*))"
+
+
+def _plain_marker(text: Column, pattern: str, letters: bool) -> Column:
+    """An array of at most one MARKER of a cleaned ASCII text."""
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    given, mark, rest = part(1) != "", part(3) != "", part(4)
+    opens = mark if letters else mark & rest.rlike(r"^[\sA-Za-z]")
+    good = text.rlike(pattern) & (given | opens | (F.trim(rest) == ""))
+    return F.when(good, F.array(F.struct(part(2).alias("value"), F.ltrim(rest).alias("rest"), (given | mark).alias("strong")))).otherwise(F.array().cast(f"array<{MARKER}>"))
+
+
+def _found_marker(first: Column, plain: str, pattern: str, letters: bool, whole: Callable[[Column], Column]) -> Column:
+    """What `whole` finds, by the pattern where a line's first fragment is ASCII, and not at all where it
+    does not begin as `plain` says."""
+    first = F.coalesce(first, F.lit(""))
+    none = F.array().cast(f"array<{MARKER}>")
+    text = lambda t: fix_leading_zero(t) if not letters else t
+    quick = _plain_marker(text(F.trim(F.regexp_replace(first, r"[\t-\r]\s*| \s+", " "))), pattern, letters)
+    return F.when(_beyond(first), whole(clean(first))).when(first.rlike(plain), quick).otherwise(none)
+
+
 def number_marker(first: Column, others: Column | None = None) -> Column:
     """The question number that a line's first fragment opens with.
 
@@ -289,8 +334,11 @@ def number_marker(first: Column, others: Column | None = None) -> Column:
         good = F.length(digits).between(1, 3) & (alone | opens | (given != ""))
         return F.filter(F.array(F.struct(digits.alias("value"), F.ltrim(rest).alias("rest"), ((given != "") | (mark != "")).alias("strong"))), lambda m: good)
 
-    parts = _parts(fix_leading_zero(clean(first)), word, lambda t: F.regexp_extract(t, "^[0-9]+", 0), lambda t: F.regexp_extract(t, "^ +", 0), _delimiter)
-    return _marker(_let(parts, found), others)
+    def whole(text: Column) -> Column:
+        parts = _parts(fix_leading_zero(text), word, lambda t: F.regexp_extract(t, "^[0-9]+", 0), lambda t: F.regexp_extract(t, "^ +", 0), _delimiter)
+        return _let(parts, found)
+
+    return _marker(_found_marker(first, r"^\s*([0-9oO]|[qQ])", _PLAIN_NUMBER, False, whole), others)
 
 
 def letter_marker(first: Column, others: Column | None = None) -> Column:
@@ -302,8 +350,11 @@ def letter_marker(first: Column, others: Column | None = None) -> Column:
         good = F.upper(value).isin("A", "B", "C", "D", "E") & ((F.trim(rest) == "") | (mark != "") | (bracket != ""))
         return F.filter(F.array(F.struct(value.alias("value"), F.ltrim(rest).alias("rest"), ((bracket != "") | (mark != "")).alias("strong"))), lambda m: good)
 
-    parts = _parts(clean(first), lambda t: F.regexp_extract(t, r"^[(\[]", 0), lambda t: F.substring(t, 1, 1), _delimiter)
-    return _marker(_let(parts, found), others)
+    def whole(text: Column) -> Column:
+        parts = _parts(text, lambda t: F.regexp_extract(t, r"^[(\[]", 0), lambda t: F.substring(t, 1, 1), _delimiter)
+        return _let(parts, found)
+
+    return _marker(_found_marker(first, r"^\s*[(\[]?[A-Ea-e]", _PLAIN_LETTER, True, whole), others)
 
 
 def answer_letter(raw: Column, letters: str = "ABCDE") -> Column:
