@@ -150,16 +150,34 @@ def strong_marker(first: Column, others: Column) -> Column:
     return F.coalesce(T.number_marker(first, others)["strong"], F.lit(False))
 
 
-def recurrences(lines: DataFrame) -> DataFrame:
-    """(doc_id, key, band, n, pages, y_mean, y_sd): each key's bands with its first line a page. Strong
-    question markers, empty and long keys take no part."""
-    keyed = lines.withColumn("key", T.line_key(F.col("text"))).where((F.length("key") > 0) & (F.length("key") <= LONGEST_KEY) & ~strong_marker(F.col("first_fragment"), F.col("others")))
-    first = keyed.groupBy("doc_id", "page", "key").agg(F.min_by("y0", F.struct("col", "y0", "seq")).alias("y0"))
+def _keyed(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, col, seq, y0, height, key, open) of lines, written once for the steps that count them:
+    `open` for keys that may recur. Strong question markers, empty and long keys take no part."""
+    key = T.line_key(F.col("text"))
+    rows = lines.select("doc_id", "page", "col", "seq", "y0", (F.col("y1") - F.col("y0")).alias("height"), key.alias("key"), strong_marker(F.col("first_fragment"), F.col("others")).alias("strong"))
+    fits = (F.length("key") > 0) & (F.length("key") <= LONGEST_KEY)
+    return shared.saved(rows.select("doc_id", "page", "col", "seq", "y0", "height", "key", (fits & ~F.col("strong")).alias("open")), "lines")
+
+
+def recurrences(keyed: DataFrame) -> DataFrame:
+    """(doc_id, key, band, n, pages, y_mean, y_sd): each open key's bands with its first line a page."""
+    first = keyed.where("open").groupBy("doc_id", "page", "key").agg(F.min_by("y0", F.struct("col", "y0", "seq")).alias("y0"))
     return y_bands(first, ["doc_id", "key"]).groupBy("doc_id", "key", "band").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_set("page")).alias("pages"), F.round(F.avg("y0"), 2).alias("y_mean"), F.round(F.stddev_pop("y0"), 2).alias("y_sd")
     )
 
 
+def _at_ranks(rows: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(doc_id, one column for each rank): the values that stand at given places, from 0, of a document's
+    sorted values; a rank may use their number `n`. Equal values are counted before anything is shuffled."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy("doc_id", value).agg(F.count("*").alias("__c"))
+    of_doc = Window.partitionBy("doc_id")
+    up = F.sum("__c").over(of_doc.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("__up")
+    placed = counts.select("doc_id", value, "__c", up, F.sum("__c").over(of_doc).alias("n"))
+    here = lambda rank: (F.col("__up") - F.col("__c") <= rank) & (rank < F.col("__up"))
+    return placed.groupBy("doc_id").agg(*[F.min(F.when(here(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
 def within_budget(candidates: Column, budget: Column) -> Column:
     """Of an array of structs with an int `n`, in order, those that fit what is left of a budget; one that
     does not fit is passed over."""
@@ -172,22 +190,26 @@ def within_budget(candidates: Column, budget: Column) -> Column:
     return F.aggregate(candidates, start, step, lambda state: state["took"])
 
 
-def _recurring(lines: DataFrame, pages: DataFrame) -> DataFrame:
+def _recurring(keyed: DataFrame, pages: DataFrame) -> DataFrame:
     """Recurring keys' bands on enough pages, with `kind`: `header` or `footer` for those that may be
     noise, null for the body's. Documents of fewer than three pages have none."""
-    height = F.col("y1") - F.col("y0")
-    facts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), positional("y0", 0.05).alias("top"), positional("y0", 0.95).alias("bottom"), upper_median(F.when(height > 0, height)).alias("line_height"))
+    at_share = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    facts = keyed.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    facts = facts.join(_at_ranks(keyed, "y0", {"top": at_share(0.05), "bottom": at_share(0.95)}), "doc_id", "left")
+    facts = facts.join(_at_ranks(keyed.where("height > 0"), "height", {"line_height": F.floor(F.col("n") / 2)}), "doc_id", "left")
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.min_by("height", "page").alias("page_height"))
-    rec = recurrences(lines).join(facts, "doc_id").join(sizes, "doc_id").where((F.col("n_pages") >= LEAST_PAGES) & (F.size("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * PAGE_SHARE))))
+    rec = recurrences(keyed).join(facts, "doc_id").join(sizes, "doc_id").where((F.col("n_pages") >= LEAST_PAGES) & (F.size("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * PAGE_SHARE))))
     kind = F.when(F.col("y_sd") > MOST_SD, None).when(F.col("y_mean") <= F.col("top"), "header").when(F.col("y_mean") >= F.col("bottom"), "footer")
-    rec = rec.withColumn("kind", kind).withColumn("band_width", F.greatest(F.col("y_sd") * 1.5, F.lit(2.0)))
-    # Each page of a band: lines outside it, and the gap to the nearest body line.
-    at = rec.where("kind IS NOT NULL").select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(lines.select("doc_id", "page", "y0"), ["doc_id", "page"])
-    above, below = F.col("y0") < F.col("y_mean") - F.col("band_width"), F.col("y0") > F.col("y_mean") + F.col("band_width")
+    rec = shared.saved(rec.withColumn("kind", kind).withColumn("band_width", F.greatest(F.col("y_sd") * 1.5, F.lit(2.0))), "bands")
+    # Each page of a band: lines outside it, and the gap to the nearest body line. A page's heights are one row.
+    heights = keyed.groupBy("doc_id", "page").agg(F.collect_list("y0").alias("ys"))
+    at = rec.where("kind IS NOT NULL").select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(heights, ["doc_id", "page"])
+    above = F.filter("ys", lambda y: y < F.col("y_mean") - F.col("band_width"))
+    below = F.filter("ys", lambda y: y > F.col("y_mean") + F.col("band_width"))
     header = F.col("kind") == "header"
-    outside = F.count_if(F.when(header, above).otherwise(below))
-    gap = F.coalesce(F.min(F.when(header & below, F.col("y0") - F.col("y_mean")).when(~header & above, F.col("y_mean") - F.col("y0"))), F.lit(float("inf")))
-    page_facts = at.groupBy("doc_id", "key", "band", "line_height", "page").agg(outside.alias("outside"), gap.alias("gap"))
+    at = at.select("doc_id", "key", "band", "line_height", "y_mean", header.alias("header"), F.when(header, above).otherwise(below).alias("out"), F.when(header, below).otherwise(above).alias("in"))
+    gap = F.when(F.col("header"), F.array_min("in") - F.col("y_mean")).otherwise(F.col("y_mean") - F.array_max("in"))
+    page_facts = at.select("doc_id", "key", "band", "line_height", F.size("out").alias("outside"), F.coalesce(gap, F.lit(float("inf"))).alias("gap"))
     good = page_facts.groupBy("doc_id", "key", "band", "line_height").agg((F.avg((F.col("outside") <= 1).cast("double")) >= 0.8).alias("conform"), upper_median("gap").alias("gap")).where(F.col("conform") & (F.col("gap") >= F.coalesce("line_height", F.lit(0.0)) * GAP_LINES))
     met = rec.join(good.select("doc_id", "key", "band", F.lit(True).alias("__good")), ["doc_id", "key", "band"], "left")
     return met.withColumn("kind", F.when(F.col("__good"), F.col("kind"))).drop("__good")
@@ -211,18 +233,18 @@ def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
     passed over. Documents of fewer than three pages have none.
     """
     height = F.col("y1") - F.col("y0")
-    chosen = _within(_recurring(lines, pages)).drop("band")
-    keyed = lines.withColumn("key", T.line_key(F.col("text")))
-    near = F.abs(F.col("y0") - F.col("y_mean")) <= F.greatest(F.col("y_sd") * 3, F.when(height > 0, height).otherwise(12.0))
-    hits = keyed.join(chosen, ["doc_id", "key"]).where(near).groupBy("doc_id", "page", "seq").agg(F.min("kind").alias("noise"))
-    return lines.join(hits, ["doc_id", "page", "seq"], "left").select(*lines.columns, "noise")
+    chosen = _within(_recurring(_keyed(lines), pages)).groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind", "y_mean", "y_sd")).alias("__bands"))
+    near = lambda b: F.abs(F.col("y0") - b["y_mean"]) <= F.greatest(b["y_sd"] * 3, F.when(height > 0, height).otherwise(12.0))
+    met = lines.join(chosen, "doc_id", "left").withColumn("__key", F.when(F.col("__bands").isNotNull(), T.line_key(F.col("text"))))
+    hits = F.filter("__bands", lambda b: (b["key"] == F.col("__key")) & near(b))
+    return met.select(*lines.columns, F.array_min(F.transform(hits, lambda b: b["kind"])).alias("noise"))
 
 
 def recurrence_report(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, place, key, n, pages, y_mean, y_sd, kind, verdict) of all recurring bands, numbered by place
     in each document: the most frequent first, equal ones by key. verdict is `noise`, `body`, or `over
     budget` for a band that would have been noise, of which a reader should be warned."""
-    rec = relational.cut(_recurring(lines, pages))
+    rec = relational.cut(_recurring(_keyed(lines), pages))
     taken = _within(rec).select("doc_id", "key", "band", F.lit("noise").alias("__taken"))
     verdict = F.when(F.col("kind").isNull(), "body").otherwise(F.coalesce("__taken", F.lit("over budget")))
     order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "key", "band")

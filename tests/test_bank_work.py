@@ -317,6 +317,27 @@ def test_a_band_over_the_budget_is_reported(spark):
     assert [x.place for x in sorted(got.values(), key=lambda x: (-x.n, x.key))] == list(range(1, len(got) + 1))
 
 
+def test_noise_is_told_without_a_second_join_of_the_lines(spark):
+    # A budget of a quarter takes the header; each line of a page is told by its document's bands.
+    rows = []
+    for page in range(5):
+        for k, (y, text) in enumerate([(20.0, f"Paper {page}"), *[(100.0 + 40 * k, f"body {'abcde'[page]}{'abcdef'[k]}") for k in range(6)]]):
+            rows.append((1, page, 0, k, 20.0, y, 300.0, y + 10, text, text.split()[0], " ".join(text.split()[1:]), 9.0, False))
+    lines = spark.createDataFrame([*rows, (2, 0, 0, 0, 20.0, 20.0, 300.0, 30.0, "Paper 9", "Paper", "9", 9.0, False)], layout._LINES)
+    pages = spark.createDataFrame([(1, p, 595.0, 842.0) for p in range(5)], "doc_id long, page int, width double, height double")
+    found = layout.detect_noise(lines, pages)
+    assert {(x.doc_id, x.page, x.seq) for x in found.where("noise = 'header'").collect()} == {(1, p, 0) for p in range(5)} and found.count() == len(rows) + 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("seq#" in x for x in plan.splitlines() if "Join " in x)
+
+
+def test_markers_of_plain_lines_take_no_nested_functions(spark):
+    rows = [("12.", "x"), ("o5)", ""), ("Questao 7", "tail"), ("q. 3 - b", None), ("3.5 mg", ""), ("1234.", ""), ("(c", "d"), ("b]", ""), ("Bem", ""), ("12 –", "é"), ("QUESTÃO 4 ____", "x"), (None, "x"), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(T.number_marker(F.col("a"), F.col("b")).alias("n"), T.letter_marker(F.col("a"), F.col("b")).alias("l"))
+    got = [(x.n and tuple(x.n), x.l and tuple(x.l)) for x in df.collect()]
+    assert got == [(("12", "x", True), None), (("05", "", True), None), (("7", "tail", True), None), (("3", "b", True), None), (None, None), (None, None), (None, ("c", "d", True)), (None, ("b", "", True)), (None, None), (("12", "é", True), None), (("4", "x", True), None), (None, None), (None, None)]
+
+
 def test_import_refuses_scans_and_unreadable_texts_and_writes_the_status(spark, tmp_path):
     kinds = files.FRAGMENTS
     good = [(1, p, 20.0, 80.0 + 15 * (5 * k + i), 400.0, 90.0 + 15 * (5 * k + i), t, 9.0, False, False) for p in range(2) for k in range(4) for i, t in enumerate([f"{4 * p + k + 1}. The statement of this question is long enough", "A) one", "B) two", "C) three", "D) four"])]
