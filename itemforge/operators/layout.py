@@ -331,6 +331,9 @@ def _segmented(lines: DataFrame, warnings: bool) -> DataFrame:
     shared.ship(lines.sparkSession)
     marked = lines.withColumns({"num": T.number_marker(F.col("first_fragment"), F.col("others")), "let": T.letter_marker(F.col("first_fragment"), F.col("others"))})
     marked = marked.select("doc_id", "page", "col", "seq", "x0", "text", F.col("num.value").try_cast("int").alias("number"), F.col("num.rest").alias("number_rest"), F.col("num.strong").alias("number_strong"), F.upper("let.value").alias("letter"), F.col("let.rest").alias("letter_rest"), F.col("let.strong").alias("letter_strong"))
+    if warnings:  # they follow from the numbers alone: texts and letters are neither made nor sent
+        none = F.lit(None).cast("string")
+        marked = marked.select("doc_id", "page", "col", "seq", "x0", none.alias("text"), "number", none.alias("number_rest"), "number_strong", none.alias("letter"), none.alias("letter_rest"), F.lit(None).cast("boolean").alias("letter_strong"))
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         rows = [r._replace(number=None if pd.isna(r.number) else int(r.number), letter=r.letter if isinstance(r.letter, str) else None) for r in doc.sort_values(["page", "col", "seq"]).itertuples(index=False)]

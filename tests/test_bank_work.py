@@ -331,6 +331,13 @@ def test_noise_is_told_without_a_second_join_of_the_lines(spark):
     assert not any("seq#" in x for x in plan.splitlines() if "Join " in x)
 
 
+def test_warnings_send_no_texts_and_letters(spark):
+    lines = paper(spark, [(n, 4) for n in (2, 3, 5)])
+    found = layout.segment_warnings(lines)
+    assert {tuple(x)[1:] for x in found.collect()} == {("late start", None, 2), ("jump", 3, 5)}
+    assert "null AS letter" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_markers_of_plain_lines_take_no_nested_functions(spark):
     rows = [("12.", "x"), ("o5)", ""), ("Questao 7", "tail"), ("q. 3 - b", None), ("3.5 mg", ""), ("1234.", ""), ("(c", "d"), ("b]", ""), ("Bem", ""), ("12 –", "é"), ("QUESTÃO 4 ____", "x"), (None, "x"), ("", "")]
     df = spark.createDataFrame(rows, "a string, b string").select(T.number_marker(F.col("a"), F.col("b")).alias("n"), T.letter_marker(F.col("a"), F.col("b")).alias("l"))
