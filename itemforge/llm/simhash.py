@@ -479,6 +479,88 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float, salted: int =
     return dealt.select("hub", "spoke", "code").mapInArrow(run, "a long, b long")
 
 
+def unconfirmed_links(members: DataFrame, sets: DataFrame, near: int, similarity: float, heavy: int = 1 << 21, many: int = 4096) -> DataFrame:
+    """(a, b): links among members(node, wide, tied, root) within `near` bits whose sets have that Jaccard
+    similarity, enough to join all that such pairs join. `tied` is what candidates join and `root` what
+    confirmed links have joined already.
+
+    Only nodes of one `tied` can be within `near` bits, and pairs of one root need no look, so groups of one
+    root are done. The nodes of the others are dealt over blocks of about `heavy` bytes of sets or `many`
+    nodes, a large root's over blocks of their own, and every two blocks but two of one large root meet
+    in a task, which holds no others. It compares each pair whose ends it has not joined yet.
+    """
+    spark = members.sparkSession
+    parted = members.groupBy("tied").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tied")
+    rows = members.join(parted, "tied").join(sets, "node")
+    rows = workspace.saved(rows.withColumn("weight", F.greatest(F.lit(1 / many), F.length("code") / heavy)), "parted")
+    roots = rows.groupBy("tied", "root").agg(F.sum("weight").alias("weight"))
+    sizes = roots.withColumn("own", F.when(F.col("weight") >= 1, F.col("root")))
+    large = workspace.saved(sizes.where("own IS NOT NULL").select("tied", "own"), "large")
+    parts = sizes.groupBy("tied", "own").agg(F.ceil(F.sum("weight")).alias("parts"))
+    parts = workspace.saved(parts, "parts")
+    owned = rows.join(large.select(F.col("tied").alias("__tied"), F.col("own")), (F.col("tied") == F.col("__tied")) & (F.col("root") == F.col("own")), "left").drop("__tied")
+    o, q = owned.alias("o"), parts.alias("q")
+    dealt = o.join(q, (F.col("o.tied") == F.col("q.tied")) & F.col("o.own").eqNullSafe(F.col("q.own")))
+    dealt = dealt.select("node", "wide", "root", "code", F.col("o.tied").alias("tied"), F.xxhash64("o.own", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    blocks = parts.select("tied", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    blocks = blocks.select("tied", "own", F.xxhash64("own", "k").alias("block"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = x.join(y, (F.col("x.tied") == F.col("y.tied")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own"))))
+    met = met.select(F.col("x.tied").alias("tied"), F.col("x.block").alias("low"), F.col("y.block").alias("high"))
+    sides = met.select("tied", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    n = workspace.partitions(spark)
+    order = ("tied", "low", "high")
+    there = dealt.join(sides, ["tied", "block"]).repartition(n, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def links() -> pa.RecordBatch:
+            found = _confirmed(held, near, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[c] != held[0][c] for c in order):
+                    yield links()
+                    held = []
+                held.append(row)
+        if held:
+            yield links()
+
+    return there.select(*order, "block", "node", "wide", "root", "code").mapInArrow(run, "a long, b long")
+
+
+def _confirmed(rows: list[dict], near: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of two blocks' nodes, or of one block's, that join roots."""
+    words = np.ascontiguousarray(np.frombuffer(b"".join(r["wide"] for r in rows), "<u8").reshape(len(rows), -1).T)
+    root = np.array([r["root"] for r in rows])
+    sets = [np.frombuffer(r["code"], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sets])
+    start, (values, flat) = np.cumsum(size) - size, np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.array([r["block"] == r["low"] for r in rows])
+    single, found, marked = first.all(), [], np.zeros(len(values), dtype=bool)
+    others = np.flatnonzero(~first | single)
+    for k in np.flatnonzero(first).tolist():
+        d = sum(np.bitwise_count(w[others] ^ w[k]).astype(np.int64) for w in words)
+        at = others[(d <= near) & (root[others] != root[k]) & (np.minimum(size[others], size[k]) >= similarity * np.maximum(size[others], size[k]) - 1e-9) & (size[others] > 0)]
+        if single:
+            at = at[at > k]
+        mine = flat[start[k] : start[k] + size[k]]
+        marked[mine] = True
+        for some in np.array_split(at, size[at].sum() // 1_000_000 + 1):
+            if not len(some):
+                continue
+            before = np.cumsum(size[some]) - size[some]
+            both = np.add.reduceat(marked[flat[np.repeat(start[some] - before, size[some]) + np.arange(size[some].sum())]], before, dtype=np.int64)
+            for j in some[both >= similarity * (size[some] + size[k] - both) - 1e-9].tolist():
+                if root[j] != root[k]:
+                    found.append((rows[k]["node"], rows[j]["node"]))
+                    root[root == root[j]] = root[k]
+        marked[mine] = False
+    return found
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(locator, id, stays) of a located table: each row's place, its id, and whether it stays.
 
@@ -486,8 +568,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings:
     fingerprints of 32 * rings bits find the candidates: all pairs at no more bits than this
     similarity has on average and `slack` standard deviations above, so 95 of 100 pairs at the
     threshold itself and nearly all beyond it. Of the candidates each task puts forward a forest of
-    the nearest, and every one of these is held against the sets themselves. What confirmed links join
-    is a group; its row with the least id stays, of one id the one whose locator is first. Texts with
+    the nearest, and every one of these is held against the sets themselves. Where a refused one leaves what
+    candidates join in several pieces, all candidates between the pieces are held against the sets as
+    well, so none is left out. What confirmed links join is a group; its row with the least id stays, of one id the one whose locator is first. Texts with
     equal sets are one class, and so are null and empty texts. Null ids come last.
     """
     octets, bits = 4 * rings, 32 * rings
@@ -507,7 +590,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings:
     texts = known_hashes.maybe_known(docs.select(workspace.locator(docs).alias("place"), F.col(text_column).alias("text")), wanted, "place", blocks)
     texts = texts.where("maybe").join(places, "place").select("node", "text")  # the filter keeps other texts out of the shuffle
     sets = workspace.saved(_sets(texts, words), "sets")
-    tied = components(verified(links, sets, similarity)).withColumnRenamed("node", "tied")
+    confirmed = workspace.saved(verified(links, sets, similarity), "confirmed")
+    joined = components(links).withColumnRenamed("root", "tied").join(components(confirmed), "node", "left").select("node", "tied", F.coalesce("root", "node").alias("root"))
+    members = workspace.saved(joined.join(classes.select("node", "wide"), "node"), "members")
+    more = workspace.saved(unconfirmed_links(members, sets, near, similarity), "more")
+    tied = components(confirmed.union(more)).withColumnRenamed("node", "tied")
     rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("best"))
     stays = rooted.join(least, "root").select("node", F.col("best.locator").alias("best"))

@@ -439,6 +439,29 @@ def test_near_copies_of_a_dense_group(spark):
     assert 2500 - len(kept) >= 0.93 * (2500 - len(want))
 
 
+@pytest.mark.parametrize(("heavy", "many"), [(1 << 21, 4096), (20_000, 40)])
+def test_near_copies_lose_no_candidate(spark, monkeypatch, heavy, many):
+    """Clouds of edits, loose ones and two that a few links join: the groups are those of all pairs within the
+    bits whose similarity suffices, also where the nearest candidates are refused."""
+    look = simhash.unconfirmed_links
+    monkeypatch.setattr(simhash, "unconfirmed_links", lambda *args: look(*args, heavy=heavy, many=many))
+    r, texts = random.Random(31), []
+    for cloud, edits in enumerate([(1, 2, 3, 4, 6), (3, 4, 5), (2, 3, 4)]):
+        base = words(150, 50 + cloud).split()
+        for k in range(220):
+            changed = list(base)
+            for _ in range(r.choice(edits)):
+                changed[r.randrange(150)] = f"edit{cloud}x{k}x{r.random()}"
+            texts.append(" ".join(changed))
+    kept = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).select("doc_id").collect()}
+    codes = [int.from_bytes(simhash.sketch(t, 5, 32)[:32], "big") for t in texts]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (codes[a] ^ codes[b]).bit_count() <= 47 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = _least(len(texts), pairs)
+    assert 3 < len(set(want)) < 600
+    assert kept == set(want)
+
+
 def _spread(near):
     label = np.arange(len(near))
     while True:
