@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
+from typing import IO
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,51 +59,78 @@ def text_lines(rows: DataFrame, text: Column, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\R")).alias("line_no", "line"))
 
 
-def workbook_cells(content: bytes) -> list[tuple[str, int, int, str]]:
+def _elements(file: IO[bytes], name: str) -> Iterator[ElementTree.Element]:
+    """Elements of a name, one at a time: what has been read of its surroundings is dropped, so that a sheet is
+    never held whole."""
+    above: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(file, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == f"{_MAIN}{name}":
+            yield element
+            if above:
+                above[-1].remove(element)
+
+
+def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(sheet, row, col, value) of the filled cells of a workbook, sheets by name; rows and columns
-    from 0. Bad archives raise."""
+    from 0. Sheets are read row by row; the table of strings is held. Bad archives raise."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names, shared = set(z.namelist()), []
         if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in root.iter(f"{_MAIN}si")]
-        out = []
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in _elements(f, "si")]
         for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
-            for row_no, row in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{_MAIN}row")):
-                for cell in row.iter(f"{_MAIN}c"):
-                    letters = re.match(r"[A-Za-z]+", cell.get("r", ""))
-                    col = 0
-                    for c in (letters.group() if letters else "A").upper():
-                        col = col * 26 + ord(c) - 64
-                    kind, v = cell.get("t"), cell.find(f"{_MAIN}v")
-                    if kind == "inlineStr":
-                        value = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-                    elif v is None or v.text is None:
-                        continue
-                    else:
-                        value = shared[int(v.text)] if kind == "s" else v.text
-                    if value:
-                        out.append((name.rsplit("/", 1)[1][:-4], int(row.get("r", row_no + 1)) - 1, col - 1, value))
-        return out
-
-
-def read_cells(files: DataFrame) -> DataFrame:
+            sheet = name.rsplit("/", 1)[1][:-4]
+            with z.open(name) as f:
+                for row_no, row in enumerate(_elements(f, "row")):
+                    at = int(row.get("r", row_no + 1)) - 1
+                    for cell in row.iter(f"{_MAIN}c"):
+                        letters = re.match(r"[A-Za-z]+", cell.get("r", ""))
+                        col = 0
+                        for c in (letters.group() if letters else "A").upper():
+                            col = col * 26 + ord(c) - 64
+                        kind, v = cell.get("t"), cell.find(f"{_MAIN}v")
+                        if kind == "inlineStr":
+                            value = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+                        elif v is None or v.text is None:
+                            continue
+                        else:
+                            value = shared[int(v.text)] if kind == "s" else v.text
+                        if value:
+                            yield sheet, at, col - 1, value
+
+
+def read_cells(files: DataFrame, many: int = 10_000) -> DataFrame:
     """CELLS of spreadsheet files(path, content). A file that cannot be read gives one row with the
-    error and no cell."""
-
-    def run(batches):
+    error and no cell.
+
+    A task holds one file and `many` of its cells. A file is read twice, first to see that all of it can be
+    read, so that no cells of a bad file are put out.
+    """
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.string()), ("error", pa.string())])
+
+    def of_file(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for _ in workbook_cells(content):
+                pass
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+            yield path, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
+        for cell in workbook_cells(content):
+            yield path, *cell, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, content in zip(b.path, b.content, strict=True):
-                try:
-                    rows += [(path, *cell, None) for cell in workbook_cells(content)]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
-                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "error"])
-            yield out.astype({"row": "Int32", "col": "Int32"})
+            for k in range(b.num_rows):
+                cells = of_file(b.column(0)[k].as_py(), b.column(1)[k].as_py() or b"")
+                while some := list(islice(cells, many)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     shared.ship(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    return files.select("path", "content").mapInArrow(run, CELLS)
 
 
 def flatten_spans(spans: DataFrame) -> DataFrame:

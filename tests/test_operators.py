@@ -1,4 +1,5 @@
 import io
+import tracemalloc
 import zipfile
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import text as T
 from itemforge.operators import bank, keys, layout, models, relational, selection
-from itemforge.plans import assembly, catalogue, classification
+from itemforge.plans import assembly, catalogue, classification, layout_queries
 from itemforge.plans import queries as plans
 from itemforge.sources import files
 
@@ -136,6 +137,23 @@ def test_spreadsheet_cells_and_bad_files(spark, tmp_path):
     assert got == {1: ["C"], 3: ["D"]}
 
 
+def test_a_workbook_is_read_without_being_held(spark):
+    book = layout_queries._workbook(((str(k), f"name {k} <b>") for k in range(30_000)), False)
+    tracemalloc.start()
+    n = sum(1 for _ in files.workbook_cells(book))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 4_000_000
+    broken = layout_queries._workbook(iter([("1", "a"), ("2", "b")]), True)
+    with zipfile.ZipFile(io.BytesIO(broken)) as z, zipfile.ZipFile(out := io.BytesIO(), "w") as w:
+        for name in z.namelist():
+            w.writestr(name, z.read(name).replace(b"<v>3</v>", b"<v>9</v>"))
+    rows = [("good", book), ("broken", out.getvalue()), ("none", b"no archive")]
+    got = files.read_cells(spark.createDataFrame(rows, "path string, content binary").coalesce(1), many=7)
+    counts = {r.path: (r.cells, r.errors) for r in got.groupBy("path").agg(F.count("value").alias("cells"), F.count("error").alias("errors")).collect()}
+    assert counts == {"good": (60_000, 0), "broken": (0, 1), "none": (0, 1)}
+
+
 def test_model_votes(spark):
     class Fixed:  # defined here, so that workers get it by value
         def ask(self, prompt, round_no):
