@@ -7,7 +7,11 @@ document's lines are the unit of the sequential steps; they are bounded by its p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,32 +100,109 @@ _LINES = "doc_id long, page int, col int, seq long, x0 double, y0 double, x1 dou
 
 def fuse_lines(fragments: DataFrame) -> DataFrame:
     """Lines of fragments(…, col). On a page, fragments of a column join while their centre is within
-    half the upper median height of the running mean of the line's centres; a page is one group."""
-
-    shared.ship(fragments.sparkSession)
-
-    def fuse(page: pd.DataFrame) -> pd.DataFrame:
-        heights = sorted(h for h in page.y1 - page.y0 if h > 0)
-        slack, rows = max(0.5 * (heights[len(heights) // 2] if heights else 10.0), 1.0), []
-        for col, part in page.assign(c=(page.y0 + page.y1) / 2).sort_values(["col", "c", "x0"]).groupby("col"):
-            line: list = []
-            centre = 0.0
-            for f in [*part.itertuples(), None]:
-                if f is not None and line and abs(f.c - centre) <= slack:
-                    line.append(f)
-                    centre = sum(x.c for x in line) / len(line)
-                    continue
-                if line:
-                    line.sort(key=lambda x: x.x0)
-                    words = [x.text or "" for x in line]
-                    rows.append((page.doc_id.iloc[0], page.page.iloc[0], col, 0, min(x.x0 for x in line), min(x.y0 for x in line), max(x.x1 for x in line), max(x.y1 for x in line), " ".join(words), words[0], " ".join(words[1:]), max(x.size for x in line), all(x.bold for x in line)))
-                if f is not None:
-                    line, centre = [f], f.c
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")]).sort_values(["col", "y0"], kind="stable")
-        out["seq"] = range(len(out))
-        return out
-
-    return fragments.groupBy("doc_id", "page").applyInPandas(fuse, _LINES)
+    half the upper median height of the running mean of the line's centres.
+
+    Pages are dealt over tasks and sorted there; a task takes many at once and holds no more than a batch
+    and one page.
+    """
+    spark = fragments.sparkSession
+    shared.ship(spark)
+    kinds = dict(x.split() for x in _LINES.split(", "))
+    names = ["doc_id", "page", "col", "x0", "y0", "x1", "y1", "text", "size", "bold"]
+    rows = fragments.select(*[F.col(c).cast(kinds[c]).alias(c) for c in names]).withColumn("c", (F.col("y0") + F.col("y1")) / 2)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = ("doc_id", "page", F.col("col").asc_nulls_last(), F.col("c").asc_nulls_last(), F.col("x0").asc_nulls_last(), "text")
+    return rows.repartition(n, "doc_id", "page").sortWithinPartitions(*order).mapInArrow(_fused, _LINES)
+
+
+def _fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the sorted fragments of whole pages."""
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, 20_000
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < enough:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.flatnonzero(_begins(table, "doc_id", "page"))[-1])  # the last page may go on
+        if cut:
+            yield _lines_of(table.slice(0, cut).combine_chunks())
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        enough = max(20_000, rows * 5 // 4)
+    if rows:
+        yield _lines_of(pa.Table.from_batches(held).combine_chunks())
+
+
+def _begins(table: pa.Table, *names: str) -> np.ndarray:
+    """Where a row differs from the one before in one of these columns of whole numbers."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for name in names:
+        column = table[name]
+        for values in (column.fill_null(0).to_numpy(), column.is_null().to_numpy()):
+            new[1:] |= values[1:] != values[:-1]
+    return new
+
+
+def _breaks(c: np.ndarray, fresh: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Where lines begin among sorted centres. A gap beyond the slack parts lines, since no mean lies
+    beyond the centre before; centres that lie within the slack altogether are one line; only the
+    others are told one by one against the running mean."""
+    eps = 1e-9 * (1 + np.abs(c))
+    with np.errstate(invalid="ignore"):
+        new = fresh | ~(np.diff(c, prepend=c[:1]) <= slack + eps)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(c)) - 1
+        doubtful = (last > first) & ~(c[last] - c[first] <= (slack - eps)[first])
+    for a, b in zip(first[doubtful].tolist(), last[doubtful].tolist(), strict=True):
+        high = low = 0.0  # of a sum whose rounding is made up for, as Python's sum() does
+        start, most = a, float(slack[a])
+        for k, x in enumerate(c[a : b + 1].tolist(), a):
+            if k > start and not abs(x - (high + low) / (k - start)) <= most:
+                new[k], start, high, low = True, k, 0.0, 0.0
+            total = high + x
+            low += (high - total) + x if abs(high) >= abs(x) else (x - total) + high
+            high = total
+    return new
+
+
+def _lines_of(table: pa.Table) -> pa.RecordBatch:
+    page = np.cumsum(_begins(table, "doc_id", "page")) - 1
+    number = lambda name: table[name].cast("double").to_numpy()
+    height = number("y1") - number("y0")
+    tall = np.flatnonzero(height > 0)
+    tall = tall[np.lexsort((height[tall], page[tall]))]
+    count = np.bincount(page[tall], minlength=page[-1] + 1)
+    middle = np.full(len(count), 10.0)
+    middle[count > 0] = height[tall[(np.cumsum(count) - count + count // 2)[count > 0]]]
+    slack = np.maximum(0.5 * middle, 1.0)
+    inside = table["col"].is_valid().to_numpy()
+    table, page = table.filter(pa.array(inside)), page[inside]
+    if not len(page):
+        return pa.RecordBatch.from_pylist([], schema=_LINES_ARROW)
+    line = np.cumsum(_breaks(number("c"), _begins(table, "col") | (np.diff(page, prepend=-1) > 0), slack[page])) - 1
+    by_x = np.lexsort((number("x0"), line))
+    table = table.take(pa.array(by_x))
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    low = {k: np.fmin.reduceat(number(k), first) for k in ("x0", "y0")}
+    high = {k: np.fmax.reduceat(number(k), first) for k in ("x1", "y1", "size")}
+    words = table["text"].fill_null("").to_pylist()
+    edges = [*first.tolist(), len(words)]
+    spans = list(zip(edges, edges[1:], strict=False))
+    heads = table.select(["doc_id", "page", "col"]).take(pa.array(first))
+    order = np.lexsort((low["y0"], heads["col"].to_numpy(), page[first]))
+    at = page[first][order]
+    places = np.arange(len(at)) - np.flatnonzero(np.diff(at, prepend=-1))[np.cumsum(np.diff(at, prepend=-1) > 0) - 1]
+    told = {k: heads[k] for k in ("doc_id", "page", "col")}
+    told |= {k: pa.array(v, from_pandas=True) for k, v in (low | high).items()}
+    told |= {"text": pa.array([" ".join(words[a:b]) for a, b in spans]), "first_fragment": pa.array([words[a] for a, _ in spans]), "others": pa.array([" ".join(words[a + 1 : b]) for a, b in spans])}
+    told["bold"] = pa.array(np.logical_and.reduceat(table["bold"].fill_null(False).to_numpy(), first))
+    out = pa.table(told).take(pa.array(order)).append_column("seq", pa.array(places))
+    return out.select(_LINES_ARROW.names).cast(_LINES_ARROW).combine_chunks().to_batches()[0]
+
+
+_LINES_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]]) for x in _LINES.split(", ")])
 
 
 def _banded(heights: DataFrame, keys: list[str], gap: float) -> DataFrame:

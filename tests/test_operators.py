@@ -1,4 +1,6 @@
 import io
+import itertools
+import random
 import tracemalloc
 import zipfile
 
@@ -137,6 +139,42 @@ def test_spreadsheet_cells_and_bad_files(spark, tmp_path):
     assert got == {1: ["C"], 3: ["D"]}
 
 
+def test_lines_of_many_pages_follow_the_running_mean(spark):
+    """Pages with drifting lines, whose centres lie within no single slack, against a plain loop; many pages go
+    through one call."""
+    r, rows = random.Random(9), []
+    for doc, page in itertools.product([None, 1, 2], range(40)):
+        y = 0.0
+        for k in range(r.randrange(1, 60)):
+            y += r.choice([0.0, 0.3, 1.7, 4.9, 5.0, 5.1, 30.0])
+            rows.append((doc, page, r.randrange(400) * 1.0, y, 0.0, y + r.choice([0.0, 10.0, 10.0, 12.0]), r.choice([None, f"w{k}"]), 9.0 + k % 2, k % 3 > 0, r.choice([0, 0, 1, None])))
+    r.shuffle(rows)
+
+    def plain(page):
+        heights = sorted(f[5] - f[3] for f in page if f[5] > f[3])
+        slack, lines = max(0.5 * (heights[len(heights) // 2] if heights else 10.0), 1.0), []
+        centre = lambda f: (f[3] + f[5]) / 2
+        for f in sorted((f for f in page if f[9] is not None), key=lambda f: (f[9], centre(f), f[2], f[6] is not None, f[6])):
+            if lines and lines[-1][0][9] == f[9] and abs(centre(f) - sum(map(centre, lines[-1])) / len(lines[-1])) <= slack:
+                lines[-1].append(f)
+            else:
+                lines.append([f])
+        out = sorted(lines, key=lambda x: (x[0][9], min(f[3] for f in x)))
+        for seq, x in enumerate(out):
+            w = [f[6] or "" for f in sorted(x, key=lambda f: f[2])]
+            yield (x[0][0], x[0][1], x[0][9], seq, min(f[2] for f in x), min(f[3] for f in x), max(f[5] for f in x), " ".join(w), w[0], " ".join(w[1:]), max(f[7] for f in x), all(f[8] for f in x))
+
+    pages = {}
+    for f in rows:
+        pages.setdefault(f[:2], []).append(f)
+    want = [x for p in pages.values() for x in plain(p)]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean, col int")
+    got = layout.fuse_lines(frame).select("doc_id", "page", "col", "seq", "x0", "y0", "y1", "text", "first_fragment", "others", "size", "bold").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert layout.fuse_lines(frame.limit(0)).count() == 0
+    assert "FlatMapGroupsInPandas" not in layout.fuse_lines(frame)._jdf.queryExecution().toString()  # no call for each page
+
+
 def test_a_workbook_is_read_without_being_held(spark):
     book = layout_queries._workbook(((str(k), f"name {k} <b>") for k in range(30_000)), False)
     tracemalloc.start()
