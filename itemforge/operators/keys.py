@@ -76,7 +76,8 @@ def parse_keys(texts: DataFrame, id_column: str = "exam_id", text_column: str =
     `out of range` below 1 or above the expected total. Equal repeats are one reading.
     """
     lines = texts.select(F.col(id_column).alias("exam_id"), F.col(expected_column).alias("expected"), F.explode(F.split(F.coalesce(F.col(text_column), F.lit("")), r"\R")).alias("line"))
-    folded = F.upper(T.fold_accents(T.clean(F.col("line"))))
+    plain = F.col("line").rlike("^[ -~]*$")  # nothing to fold, and spaces part words however many they are
+    folded = F.upper(F.when(plain, F.col("line")).otherwise(T.fold_accents(T.clean(F.col("line")))))
     found = lines.select("exam_id", "expected", F.explode(key_pairs(folded)).alias("pair"))
     pairs = found.select("exam_id", "expected", "pair.number", "pair.letters")
     ranged = F.when((F.col("number") < 1) | (F.col("number") > F.coalesce("expected", F.lit(999))), "out of range")
@@ -95,12 +96,12 @@ def report_counts(parsed: DataFrame) -> DataFrame:
 
 def missing_numbers(parsed: DataFrame, exams: DataFrame) -> DataFrame:
     """(exam_id, number) from 1 to the expected total, or to the greatest number read, that were not
-    read. exams(exam_id, expected)."""
-    read = parsed.where("outcome = 'read'").select("exam_id", "number")
-    last = exams.join(read.groupBy("exam_id").agg(F.max("number").alias("top")), "exam_id", "left")
+    read. exams(exam_id, expected). The numbers that an exam's key names are gathered once, by exam."""
+    read = parsed.where("outcome = 'read'").groupBy("exam_id").agg(F.max("number").alias("top"), F.collect_set("number").alias("read"))
+    last = exams.join(read, "exam_id", "left")
     top = F.coalesce("expected", "top", F.lit(0))
-    wanted = last.where(top >= 1).select("exam_id", F.explode(F.sequence(F.lit(1), top)).alias("number"))
-    return wanted.join(read, ["exam_id", "number"], "left_anti")
+    missing = F.array_except(F.sequence(F.lit(1), top), F.coalesce("read", F.array().cast("array<int>")))
+    return last.where(top >= 1).select("exam_id", F.explode(missing).alias("number"))
 
 
 def sheet_lines(cells: DataFrame) -> DataFrame:

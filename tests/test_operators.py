@@ -139,6 +139,19 @@ def test_spreadsheet_cells_and_bad_files(spark, tmp_path):
     assert got == {1: ["C"], 3: ["D"]}
 
 
+def test_missing_numbers_take_one_pass_over_the_keys(spark):
+    rows = [(1, None, "1-A\n3) B"), (2, 3, "2: C   1\tÉ"), (3, 2, ""), (4, None, None), (5, 2, "7 A"), (None, 2, "1 A"), (6, 3, "3 A e B  2 ANULADA\n1 – D"), (7, None, "2 A\n2 B")]
+    exams = spark.createDataFrame(rows, "exam_id long, expected int, text string")
+    parsed = keys.parse_keys(exams)
+    found = keys.missing_numbers(parsed, exams.select("exam_id", "expected"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.exam_id, set()).add(r.number)
+    assert got == {1: {2}, 2: {3}, 3: {1, 2}, 5: {1, 2}, None: {1, 2}}
+    assert {(r.exam_id, r.number): list(r.letters) for r in parsed.where("outcome = 'read' and exam_id in (2, 6)").collect()} == {(2, 1): ["E"], (2, 2): ["C"], (6, 1): ["D"], (6, 2): [], (6, 3): ["A", "B"]}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(split") == 1  # keys are parsed once
+
+
 def test_lines_of_many_pages_follow_the_running_mean(spark):
     """Pages with drifting lines, whose centres lie within no single slack, against a plain loop; many pages go
     through one call."""
