@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from itemforge.llm import workspace
 
 
+#: Links a written file holds where all are few: a round's few links are not dealt over as many files as there are partitions.
+FILE_ROWS = 50_000
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -33,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     now = workspace.saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = _state(now)
     while before[0]:
-        now = workspace.saved(_star(_star(now, True), False), "links")
+        # A round never has more links than the one before.
+        now = workspace.saved(_star(_star(now, True), False).coalesce(-(-before[0] // FILE_ROWS)), "links")
         after = _state(now)
         if after == before:
             break

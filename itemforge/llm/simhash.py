@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm import workspace
+from itemforge.llm import tokens, workspace
 from itemforge.llm.components import components
 from itemforge.operators import known_hashes
 
@@ -71,6 +71,7 @@ def map_texts(docs: DataFrame, keys: dict[str, Column], text: Column, make: Call
     names = [*keys, "code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for b in batches:
             codes = pa.array([make(t.as_py()) for t in b.columns[-1]], arrow)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], codes], names=names)
@@ -128,6 +129,9 @@ class _Found:
     """Pairs found so far, cut down when they grow many: by `_join` to links that join the same nodes,
     or, where pairs have a distance, to a forest of true pairs."""
 
+    #: Pairs held at most before they are cut down, which takes some hundred bytes for each.
+    MANY = 500_000
+
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
@@ -135,7 +139,7 @@ class _Found:
     def put(self, *pairs: np.ndarray) -> None:
         self.held.append(pairs)
         self.size += len(pairs[0])
-        if self.size > 2_000_000:
+        if self.size > self.MANY:
             self.held = [self.links()]
             self.size = len(self.held[0][0])
 
@@ -561,6 +565,18 @@ def _confirmed(rows: list[dict], near: int, similarity: float) -> list[tuple[int
     return found
 
 
+def _pieces(links: DataFrame, grown: DataFrame) -> DataFrame:
+    """(node, tied, root) of the nodes of links(a, b) whose links join several pieces of grown(node, root); a
+    node that grown has not is a piece of its own. Pieces stand for their nodes, so only refused links
+    between them are followed."""
+    ends = [grown.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    pieces = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", *[F.coalesce(f"root_{c}", c).alias(f"root_{c}") for c in "ab"])
+    between = pieces.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    tied = components(between).toDF("root", "tied")
+    nodes = pieces.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col(f"root_{c}").alias("root")) for c in "ab"])).alias("e")).select("e.*").distinct()
+    return nodes.join(tied, "root").select("node", "tied", "root")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings: int = 8, slack: float = 1.6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(locator, id, stays) of a located table: each row's place, its id, and whether it stays.
 
@@ -591,10 +607,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rings:
     texts = texts.where("maybe").join(places, "place").select("node", "text")  # the filter keeps other texts out of the shuffle
     sets = workspace.saved(_sets(texts, words), "sets")
     confirmed = workspace.saved(verified(links, sets, similarity), "confirmed")
-    joined = components(links).withColumnRenamed("root", "tied").join(components(confirmed), "node", "left").select("node", "tied", F.coalesce("root", "node").alias("root"))
-    members = workspace.saved(joined.join(classes.select("node", "wide"), "node"), "members")
+    grown = components(confirmed)
+    members = workspace.saved(_pieces(links, grown).join(classes.select("node", "wide"), "node"), "members")
     more = workspace.saved(unconfirmed_links(members, sets, near, similarity), "more")
-    tied = components(confirmed.union(more)).withColumnRenamed("node", "tied")
+    if not more.isEmpty():
+        grown = components(grown.toDF("a", "b").union(more))
+    tied = grown.withColumnRenamed("node", "tied")
     rooted = workspace.saved(classes.join(tied, F.col("node") == F.col("tied"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("best"))
     stays = rooted.join(least, "root").select("node", F.col("best.locator").alias("best"))

@@ -117,3 +117,8 @@ def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, so that its memo outlives a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
+
+
+def forget() -> None:
+    """Gives back the worker's encoders and their memos: a worker that goes on to other work needs none."""
+    encoder.cache_clear()

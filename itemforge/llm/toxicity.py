@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm import workspace
+from itemforge.llm import tokens, workspace
 
 #: Words of abuse, in groups that vote together.
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -222,6 +222,7 @@ def observed(docs: DataFrame, mined: frozenset = frozenset(), keys: dict[str, F.
     schema = ", ".join([*[f"{k} {t}" for k, t in rows.dtypes[:-1]], "votes binary, x array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for b in batches:
             x = np.array([observe(t.as_py(), mined) for t in b.columns[-1]], dtype=np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([v.tobytes() for v in votes(x)], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], names=names)

@@ -288,6 +288,48 @@ def test_near_links_miss_nothing(spark, full):
             assert same == (label[i] == label[j])
 
 
+def test_components_write_few_links_to_few_files(spark, monkeypatch):
+    """A file is made for every FILE_ROWS links, not for every partition."""
+    written, save = [], workspace.saved
+    monkeypatch.setattr(workspace, "saved", lambda df, name: written.append(save(df, name)) or written[-1])
+    joined, kept = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(components, "FILE_ROWS", 60)
+    try:
+        spark.conf.set(joined, "false")
+        _few_files(spark, monkeypatch, written)
+    finally:
+        spark.conf.set(joined, kept)
+
+
+def _few_files(spark, monkeypatch, written):
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 400, 2)] + [(1, 2), (5, 8)], "a long, b long")
+    assert components.components(links).select("node").distinct().count() == 400
+    assert len(written[1].inputFiles()) > 1
+    written.clear()
+    monkeypatch.setattr(components, "FILE_ROWS", 50_000)
+    assert components.components(links).select("node").distinct().count() == 400
+    assert [len(x.inputFiles()) for x in written[1:]] == [1] * (len(written) - 1)
+
+
+def test_pieces_follow_refused_links_only(spark):
+    """Of 1-2-3, 4-5 and 6-7 the link 2-4 was refused, and 8-9 too; what has one piece is not looked at."""
+    links = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (8, 9)], "a long, b long")
+    grown = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)], "node long, root long")
+    assert sorted(map(tuple, simhash._pieces(links, grown).collect())) == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4), (8, 8, 8), (9, 8, 9)]
+
+
+def test_pairs_held_are_cut_down_in_time():
+    """A bucket's pairs are cut down before they take more than some hundred bytes for each of MANY."""
+    r, found = np.random.default_rng(3), simhash._Found()
+    a, b = r.integers(0, 3000, (2, 1_500_000))
+    for x, y in zip(np.array_split(a, 30), np.array_split(b, 30), strict=True):
+        found.put(x, y + 3000, (x + y) % 40)
+        assert found.size <= 600_000
+    one = simhash._Found()
+    one.held, one.size = [(a, b + 3000, (a + b) % 40)], len(a)
+    assert len(np.unique(np.stack(found.links()[:2]))) == len(np.unique(np.stack(one.links()[:2])))
+
+
 def test_components_of_paths_and_nothing(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100), (200, 201)], "a long, b long")
     got = {r.node: r.root for r in components.components(path).collect()}
