@@ -32,6 +32,7 @@ MAGIC = b"RPG2"
 HEADER = "<5I"
 SHARD_SCHEMA = "part int, shard int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+RUN = 1 << 16
 _NONE = np.uint32(0xFFFFFFFF)
 #: The multiplier of the hash that counts pairs at first, and the bits of a slot.
 _ODD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
@@ -205,9 +206,19 @@ _ARROW = pa.schema(
 )
 
 
+def _crcs(shard: Shard, starts: np.ndarray, lengths: np.ndarray) -> Iterator[int]:
+    """The crc32 of each document's ids; documents that begin within the same RUN ids are one access."""
+    edges = np.append(np.flatnonzero(np.diff(starts // RUN, prepend=-1)), len(starts)).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        data = memoryview(shard.ids(int(starts[a]), int(lengths[a:b].sum())).astype("<u4").tobytes())
+        at = (4 * (starts[a:b] - starts[a])).tolist()
+        for k, n in zip(at, (4 * lengths[a:b]).tolist(), strict=True):
+            yield zlib.crc32(data[k : k + n])
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
     """DOC_SCHEMA from shards: each document's place in the whole sequence, its number of ids and
-    their unsigned crc32, each read by random access. The driver gathers one total for each part, no more than there were
+    their unsigned crc32, read by random access, neighbouring documents of about RUN ids at a time. The driver gathers one total for each part, no more than there were
     tasks."""
     workspace.ship(shards.sparkSession)
     before, total = {}, 0
@@ -219,7 +230,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 shard = Shard(row["payload"])
                 starts = np.cumsum(row["doc_tokens"]) - row["doc_tokens"]
-                crc = [zlib.crc32(shard.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), row["doc_tokens"], strict=True)]
+                crc = list(_crcs(shard, starts, np.array(row["doc_tokens"], dtype=np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + (before[row["part"]] + row["first_token"])), pa.array(row["doc_tokens"], pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -77,6 +77,39 @@ def test_encoder_equals_library_on_random_text(library):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_ascii_words_need_no_call_of_the_whole_tokenizer(library, monkeypatch):
+    """They go to its model, without the steps before it; letters beyond ASCII still take the whole way."""
+    encoder, calls = tokens.WordEncoder(tokenizer_path("word_bpe_49k.json")), []
+
+    class Counted:
+        def encode(self, text, add_special_tokens):
+            calls.append(text)
+            return library.encode(text, add_special_tokens=add_special_tokens)
+
+    encoder.library = Counted()
+    for text in ("Zqxj wvkk's 90% of <b>it</b>, isn't-it?!", "an\nUPPER line 'll'"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not calls
+    assert np.frombuffer(encoder.encode("fjørd qvist"), "<u4").tolist() == library.encode("fjørd qvist", add_special_tokens=False).ids
+    assert calls == ["fjørd"]
+
+
+def test_documents_are_read_back_by_runs(monkeypatch):
+    """Neighbouring documents of RUN ids are one access to the shard, and no document is cut."""
+    r, opened = np.random.default_rng(8), []
+    lengths = r.integers(1, 60, 400)
+    ids = r.integers(0, 50, lengths.sum()).astype(np.uint32)
+    shard = token_shards.Shard(token_shards.to_bytes(*token_shards.compress(ids, 50), 50))
+    look = shard.ids
+    monkeypatch.setattr(shard, "ids", lambda start, n: opened.append(n) or look(start, n))
+    monkeypatch.setattr(token_shards, "RUN", 1000)
+    starts = np.cumsum(lengths) - lengths
+    want = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(starts, lengths, strict=True)]
+    assert list(token_shards._crcs(shard, starts, lengths)) == want
+    assert len(opened) <= len(ids) // 1000 + 1
+    assert max(opened) < 1060
+
+
 def test_repair_round_trip_and_ranges():
     r = np.random.default_rng(4)
     for ids in ([], [1], [1, 1], [5] * 1000, [1, 2] * 600, [3, 3, 3, 2] * 100, (r.zipf(1.5, 20_000) % 300).tolist()):
