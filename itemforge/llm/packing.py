@@ -189,10 +189,10 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, rows = encoder(tokenizer).encode, Packer(capacity, grain, batch, TaskContext.get().partitionId()), []
+        encode, packer, rows = encoder(tokenizer).encode_all, Packer(capacity, grain, batch, TaskContext.get().partitionId()), []
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows += packer.add(doc, encode(text.as_py()) + end)
+            for doc, found in zip(b.column(0).to_pylist(), encode(t.as_py() for t in b.column(1)), strict=True):
+                rows += packer.add(doc, found + end)
                 if len(rows) > 20_000:
                     yield _columns(rows, names)
                     rows = []

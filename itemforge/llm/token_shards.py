@@ -174,7 +174,7 @@ def write_shards(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         ids: list = []
         texts: list[bytes] = []
         first = shard = held = 0
@@ -188,8 +188,8 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                texts.append(encode(text.as_py()) + end)
+            for doc, found in zip(b.column(0).to_pylist(), encode(t.as_py() for t in b.column(1)), strict=True):
+                texts.append(found + end)
                 ids.append(doc)
                 held += len(texts[-1]) // 4
                 if held >= shard_tokens:

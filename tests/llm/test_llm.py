@@ -94,6 +94,41 @@ def test_new_ascii_words_need_no_call_of_the_whole_tokenizer(library, monkeypatc
     assert calls == ["fjørd"]
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 21])
+def test_texts_encoded_together_equal_the_library_one_by_one(library, monkeypatch, size):
+    """Whatever stands at their borders and wherever a long one is cut; contractions, digits and signs too."""
+    monkeypatch.setattr(tokens, "SLICE", size)
+    r, coder = random.Random(12), tokens.WordEncoder(WORD_BPE, limit=60)
+    texts = ["", None, "'", "'s", "x'", "'re've'll", "''s", "!'s", "a'sb", "'r", "'l 'll", "É'T’s", "²3½", "a×b÷c", "<|endoftext|>", "日本's", "\n\n", " ", "x" * 200, "a\tb"]
+    texts += ["".join(r.choice("aàÉzsrevmltd''' 0²!-×µ\n") for _ in range(r.randint(0, 90))) for _ in range(400)]
+    r.shuffle(texts)
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode_all(texts)]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_of_many_texts_are_one_call(library):
+    """Each distinct word is told once, and those beyond ASCII go to the library together."""
+    coder, calls, told = tokens.WordEncoder(WORD_BPE), [], []
+
+    class Counted:
+        def encode(self, text, add_special_tokens):
+            calls.append(text)
+            return library.encode(text, add_special_tokens=add_special_tokens)
+
+    class Model:
+        def tokenize(self, word):
+            told.append(word)
+            return library.model.tokenize(word)
+
+    coder.library, coder.model = Counted(), Model()
+    texts = [f"Fjørd{c} qvist {c}é fjørd" for c in "abcdefgh"] * 5
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode_all(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert told == ["qvist"]
+    assert len(calls) == 1
+    assert len(calls[0].split()) == 17
+
+
 def test_documents_are_read_back_by_runs(monkeypatch):
     """Neighbouring documents of RUN ids are one access to the shard, and no document is cut."""
     r, opened = np.random.default_rng(8), []
