@@ -68,6 +68,11 @@ def _beyond(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
+def _odd(text: Column) -> Column:
+    """Whether a text has anything but single spaces and visible ASCII, so that cleaning may do more than trim."""
+    return text.rlike(r"[^\x20-\x7E]") | F.contains(text, F.lit("  "))
+
+
 def compose(text: Column) -> Column:
     """NFKC of a text, by Spark's own functions, for characters of the basic plane and for letters with
     up to two marks. A text without any character that NFKC could change is not touched."""
@@ -163,8 +168,9 @@ def mask_digits(text: Column) -> Column:
 
 
 def line_key(text: Column) -> Column:
-    """What recurring lines share: normalised text with numbers masked."""
-    return mask_digits(normalize(text))
+    """What recurring lines share: normalised text with numbers masked. Plain texts take no nested functions."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(_odd(text), mask_digits(normalize(text))).otherwise(mask_digits(F.lower(F.trim(text))))
 
 
 def tokens(text: Column) -> Column:
@@ -240,9 +246,12 @@ def fix_leading_zero(text: Column) -> Column:
     return F.regexp_replace(text, r"^[oO](?=\d)", "0")
 
 
+_LEADERS, _PLAIN_LEADERS = r"[_.‐-―-]{3,}", r"[_.-]{3}"
+
+
 def strip_leaders(text: Column) -> Column:
     """Without runs of three or more rules, dots or dashes."""
-    return clean(F.regexp_replace(text, r"[_.‐-―-]{3,}", " "))
+    return F.when(_odd(text) | text.rlike(_PLAIN_LEADERS), clean(F.regexp_replace(text, _LEADERS, " "))).otherwise(F.coalesce(F.trim(text), F.lit("")))
 
 
 def escape_markup(text: Column) -> Column:
@@ -274,11 +283,9 @@ def _delimiter(text: Column) -> Column:
 MARKER = "struct<value:string,rest:string,strong:boolean>"
 
 
-def _marker(found: Column, others: Column | None) -> Column:
-    """MARKER from an array of at most one found(value, rest, strong), with the rest of its line."""
-    more = F.lit("") if others is None else others
-    out = F.transform(found, lambda m: F.struct(m["value"].alias("value"), strip_leaders(F.concat_ws(" ", m["rest"], more)).alias("rest"), m["strong"].alias("strong")))
-    return F.try_element_at(out, F.lit(1))
+def _rest(rest: Column, others: Column | None) -> Column:
+    """The rest of a marker's fragment with the rest of its line."""
+    return strip_leaders(F.concat_ws(" ", rest, F.lit("") if others is None else others))
 
 
 def _split(parts: Column, take: Callable[[Column], Column]) -> Column:
@@ -293,37 +300,57 @@ def _parts(text: Column, *takes: Callable[[Column], Column]) -> Column:
     return parts
 
 
-#: The markers of plain ASCII text, after cleaning: all parts by one pattern, the last is what follows.
-_PLAIN_NUMBER = r"^((?i:questao|quest\.|q\.)\s*+)?+([0-9]{1,3})(?![0-9]) *+([.)\]:-]?+)((?s:.*))"
-_PLAIN_LETTER = r"^([(\[]?+)([A-Ea-e])([.)\]:-]?+)((?s:.*))"
+#: The markers of plain text: word or bracket, value, delimiter, and what follows. Numbers begin with digits or
+#: with an o for a zero.
+_WORD, _DIGITS, _MARK = r"(?i:questao|quest\.|q\.) *+", r"(?:[0-9]{1,3}|[oO][0-9]{1,2})(?![0-9])", r"[.)\]:-]"
+_NUMBER = rf"^({_WORD})?+({_DIGITS}) *+({_MARK}?+)(.*)"
+_LETTER = rf"^([(\[]?+)([A-Ea-e])({_MARK}?+)(.*)"
+#: Those that count: after a word, before a delimiter that opens a text, or alone; and those that are strong.
+_NUMBER_COUNTS = rf"^(?:{_WORD}[0-9]{{1,3}}(?![0-9])|{_DIGITS} *+(?:{_MARK}(?=[ A-Za-z])|{_MARK}?+ *+$))"
+_NUMBER_STRONG = rf"^(?:{_WORD}[0-9]{{1,3}}(?![0-9])|{_DIGITS} *+{_MARK}(?:[ A-Za-z]|$))"
+_LETTER_STRONG = rf"^(?:[(\[][A-Ea-e]|[A-Ea-e]{_MARK})"
+_LETTER_COUNTS = rf"{_LETTER_STRONG}|^[A-Ea-e] *+$"
+
 
+#: Kinds of markers: patterns of those that count, of strong ones and of their parts, and what a first fragment
+#: becomes before it is taken apart.
+_KINDS = {"number": (_NUMBER_COUNTS, _NUMBER_STRONG, _NUMBER, fix_leading_zero), "letter": (_LETTER_COUNTS, _LETTER_STRONG, _LETTER, lambda t: t)}
 
-def _plain_marker(text: Column, pattern: str, letters: bool) -> Column:
-    """An array of at most one MARKER of a cleaned ASCII text."""
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    given, mark, rest = part(1) != "", part(3) != "", part(4)
-    opens = mark if letters else mark & rest.rlike(r"^[\sA-Za-z]")
-    good = text.rlike(pattern) & (given | opens | (F.trim(rest) == ""))
-    return F.when(good, F.array(F.struct(part(2).alias("value"), F.ltrim(rest).alias("rest"), (given | mark).alias("strong")))).otherwise(F.array().cast(f"array<{MARKER}>"))
 
+def _plain_marker(kind: str, first: Column, rest: Callable[[Column], Column]) -> Column:
+    """MARKER of a plain first fragment, by patterns alone."""
+    counts, strong, pattern, given = _KINDS[kind]
+    text = F.trim(first)
+    return F.when(text.rlike(counts), F.struct(F.regexp_extract(given(text), pattern, 2).alias("value"), rest(F.regexp_extract(given(text), pattern, 4)).alias("rest"), text.rlike(strong).alias("strong")))
 
-def _found_marker(first: Column, plain: str, pattern: str, letters: bool, whole: Callable[[Column], Column]) -> Column:
-    """What `whole` finds, by the pattern where a line's first fragment is ASCII, and not at all where it
-    does not begin as `plain` says."""
+
+def _marker(kind: str, first: Column, others: Column | None, whole: Callable[[Column], Column]) -> Column:
+    """MARKER of a line. A plain first fragment is told by patterns alone; any other is cleaned and taken apart
+    by `whole`, an array of at most one found(value, rest, strong)."""
     first = F.coalesce(first, F.lit(""))
-    none = F.array().cast(f"array<{MARKER}>")
-    text = lambda t: fix_leading_zero(t) if not letters else t
-    quick = _plain_marker(text(F.trim(F.regexp_replace(first, r"[\t-\r]\s*| \s+", " "))), pattern, letters)
-    return F.when(_beyond(first), whole(clean(first))).when(first.rlike(plain), quick).otherwise(none)
+    found = F.try_element_at(F.transform(whole(clean(first)), lambda m: F.struct(m["value"].alias("value"), _rest(m["rest"], others).alias("rest"), m["strong"].alias("strong"))), F.lit(1))
+    return F.when(_odd(first), found).otherwise(_plain_marker(kind, first, lambda r: _rest(r, others)))
 
 
-def number_marker(first: Column, others: Column | None = None) -> Column:
-    """The question number that a line's first fragment opens with.
+@lru_cache(maxsize=1 << 16)
+def plain_marker(kind: str, first: str) -> tuple[str, str, bool] | None:
+    """What number_marker() or letter_marker() finds in a plain first fragment, told outside Spark: few of them are
+    distinct."""
+    counts, strong, pattern = map(re.compile, _KINDS[kind][:3])
+    text = first.strip(" ")
+    given = re.sub(r"^[oO](?=[0-9])", "0", text) if kind == "number" else text
+    parts = pattern.match(given) if counts.match(text) else None
+    return (parts[2], parts[4].strip(" "), bool(strong.match(text))) if parts else None
+
+
+def plain_line(first: Column, others: Column) -> Column:
+    """Whether a line's markers are those of plain_markers() and its rest needs no cleaning but trimming."""
+    text = F.concat_ws(" ", first, others)
+    return ~(_odd(text) | text.rlike(_PLAIN_LEADERS))
 
-    The strictest is a number that stands alone, perhaps after a word for question and before a
-    delimiter. A delimiter makes text after it a question's if a space or a letter follows, so that a
-    decimal is none. The word makes any text one. The number has three digits at most.
-    """
+
+def _whole_number(text: Column) -> Column:
+    """An array of at most one number found(value, rest, strong) in a cleaned text."""
 
     def word(t: Column) -> Column:
         return F.substring(t, F.lit(1), F.length(F.regexp_extract(F.lower(fold_accents(t)), QUESTION_WORD, 0)))
@@ -334,27 +361,43 @@ def number_marker(first: Column, others: Column | None = None) -> Column:
         good = F.length(digits).between(1, 3) & (alone | opens | (given != ""))
         return F.filter(F.array(F.struct(digits.alias("value"), F.ltrim(rest).alias("rest"), ((given != "") | (mark != "")).alias("strong"))), lambda m: good)
 
-    def whole(text: Column) -> Column:
-        parts = _parts(fix_leading_zero(text), word, lambda t: F.regexp_extract(t, "^[0-9]+", 0), lambda t: F.regexp_extract(t, "^ +", 0), _delimiter)
-        return _let(parts, found)
+    parts = _parts(fix_leading_zero(text), word, lambda t: F.regexp_extract(t, "^[0-9]+", 0), lambda t: F.regexp_extract(t, "^ +", 0), _delimiter)
+    return _let(parts, found)
 
-    return _marker(_found_marker(first, r"^\s*([0-9oO]|[qQ])", _PLAIN_NUMBER, False, whole), others)
 
-
-def letter_marker(first: Column, others: Column | None = None) -> Column:
-    """The option letter, A to E, that a line's first fragment opens with: alone, before a delimiter, or
-    after an opening bracket, which a scanner may have left unclosed."""
+def _whole_letter(text: Column) -> Column:
+    """An array of at most one letter found(value, rest, strong) in a cleaned text."""
 
     def found(p: Column) -> Column:
         bracket, value, mark, rest = p["taken"][0], p["taken"][1], p["taken"][2], p["rest"]
         good = F.upper(value).isin("A", "B", "C", "D", "E") & ((F.trim(rest) == "") | (mark != "") | (bracket != ""))
         return F.filter(F.array(F.struct(value.alias("value"), F.ltrim(rest).alias("rest"), ((bracket != "") | (mark != "")).alias("strong"))), lambda m: good)
 
-    def whole(text: Column) -> Column:
-        parts = _parts(text, lambda t: F.regexp_extract(t, r"^[(\[]", 0), lambda t: F.substring(t, 1, 1), _delimiter)
-        return _let(parts, found)
+    parts = _parts(text, lambda t: F.regexp_extract(t, r"^[(\[]", 0), lambda t: F.substring(t, 1, 1), _delimiter)
+    return _let(parts, found)
+
+
+def number_marker(first: Column, others: Column | None = None) -> Column:
+    """The question number that a line's first fragment opens with.
 
-    return _marker(_found_marker(first, r"^\s*[(\[]?[A-Ea-e]", _PLAIN_LETTER, True, whole), others)
+    The strictest is a number that stands alone, perhaps after a word for question and before a
+    delimiter. A delimiter makes text after it a question's if a space or a letter follows, so that a
+    decimal is none. The word makes any text one. The number has three digits at most.
+    """
+    return _marker("number", first, others, _whole_number)
+
+
+def strong_number(first: Column) -> Column:
+    """Whether number_marker() finds a strong number."""
+    first = F.coalesce(first, F.lit(""))
+    found = F.exists(_whole_number(clean(first)), lambda m: m["strong"])
+    return F.when(_odd(first), found).otherwise(F.trim(first).rlike(_NUMBER_STRONG))
+
+
+def letter_marker(first: Column, others: Column | None = None) -> Column:
+    """The option letter, A to E, that a line's first fragment opens with: alone, before a delimiter, or
+    after an opening bracket, which a scanner may have left unclosed."""
+    return _marker("letter", first, others, _whole_letter)
 
 
 def answer_letter(raw: Column, letters: str = "ABCDE") -> Column:

@@ -206,18 +206,13 @@ _LINES_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(),
 
 
 def _banded(heights: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """heights(keys, y0, ...), each height of a key once, with band."""
+    """heights(keys, y0, ...), each height of a key once, with band: a new one where y0 is more than the gap below
+    the one before. A page bounds the heights of a key, however common the line is."""
     order = Window.partitionBy(*keys).orderBy("y0")
     fresh = F.when(F.col("y0") - F.lag("y0").over(order) > gap, 1).otherwise(0)
     return heights.withColumn("__new", fresh).withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
-def y_bands(occurrences: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
-    """occurrences with band: a new one where y0 is more than the gap below the one before. Bands are
-    told from the distinct heights of a key, which a page bounds however common the line is."""
-    return occurrences.join(_banded(occurrences.select(*keys, "y0").distinct(), keys, gap), [*keys, "y0"])
-
-
 def band_facts(counted: DataFrame, keys: list[str], gap: float = BAND_GAP) -> DataFrame:
     """(keys, band, n, y_min, y_max, y_mean, y_sd) from counted(keys, y0, n): each height of a key once,
     and how many lines stand there. The lines themselves are not needed again."""
@@ -227,31 +222,37 @@ def band_facts(counted: DataFrame, keys: list[str], gap: float = BAND_GAP) -> Da
     return rows.groupBy(*keys, "band").agg(n.alias("n"), F.min("y0").alias("y_min"), F.max("y0").alias("y_max"), F.round(s / n, 2).alias("y_mean"), F.round(F.sqrt(F.greatest(spread, F.lit(0.0))), 2).alias("y_sd"))
 
 
-def strong_marker(first: Column, others: Column) -> Column:
-    return F.coalesce(T.number_marker(first, others)["strong"], F.lit(False))
-
-
 def _keyed(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, col, seq, y0, height, key, open) of lines, written once for the steps that count them:
-    `open` for keys that may recur. Strong question markers, empty and long keys take no part."""
+    """(doc_id, page, col, y0, height, key) of lines, written once for the steps that count them. Keys that
+    may not recur are null: strong question markers, empty and long keys take no part."""
     key = T.line_key(F.col("text"))
-    rows = lines.select("doc_id", "page", "col", "seq", "y0", (F.col("y1") - F.col("y0")).alias("height"), key.alias("key"), strong_marker(F.col("first_fragment"), F.col("others")).alias("strong"))
-    fits = (F.length("key") > 0) & (F.length("key") <= LONGEST_KEY)
-    return shared.saved(rows.select("doc_id", "page", "col", "seq", "y0", "height", "key", (fits & ~F.col("strong")).alias("open")), "lines")
+    rows = lines.select("doc_id", "page", "col", "y0", (F.col("y1") - F.col("y0")).alias("height"), F.when(~T.strong_number(F.col("first_fragment")), key).alias("key"))
+    fits = F.length("key").between(1, LONGEST_KEY)
+    return shared.saved(rows.withColumn("key", F.when(fits, F.col("key"))), "lines")
 
 
 def recurrences(keyed: DataFrame) -> DataFrame:
-    """(doc_id, key, band, n, pages, y_mean, y_sd): each open key's bands with its first line a page."""
-    first = keyed.where("open").groupBy("doc_id", "page", "key").agg(F.min_by("y0", F.struct("col", "y0", "seq")).alias("y0"))
-    return y_bands(first, ["doc_id", "key"]).groupBy("doc_id", "key", "band").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("page")).alias("pages"), F.round(F.avg("y0"), 2).alias("y_mean"), F.round(F.stddev_pop("y0"), 2).alias("y_sd")
-    )
+    """(doc_id, key, band, n, pages, y_mean, y_sd): each key's bands with its first line a page. First lines are
+    minima of plain numbers by column, so the lines are counted and not sorted, and heights are what bands
+    are told from."""
+    spark = keyed.sparkSession
+    least = F.lit(float("-inf"))  # a missing height comes first, and has no band
+    by_col = keyed.where("key IS NOT NULL").groupBy("doc_id", "page", "key", F.coalesce("col", F.lit(-(2**31))).alias("col")).agg(F.min(F.coalesce("y0", least)).alias("y0"))
+    # What follows stays with a document's key, and is shuffled once.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    first = by_col.repartition(n, "doc_id", "key").groupBy("doc_id", "page", "key").agg(F.min_by("y0", "col").alias("y0"))
+    there = first.where(F.col("y0") > least).groupBy("doc_id", "key", "y0").agg(F.count("*").alias("c"), F.collect_list("page").alias("pages"))
+    total, mean = F.sum("c"), F.sum(F.col("c") * F.col("y0")) / F.sum("c")
+    bands = _banded(there, ["doc_id", "key"], BAND_GAP).groupBy("doc_id", "key", "band")
+    facts = bands.agg(total.alias("n"), F.array_sort(F.flatten(F.collect_list("pages"))).alias("pages"), mean.alias("mean"), F.collect_list(F.struct("c", "y0")).alias("at"))
+    squares = F.aggregate("at", F.lit(0.0), lambda s, x: s + x["c"] * (x["y0"] - F.col("mean")) * (x["y0"] - F.col("mean")))
+    return facts.select("doc_id", "key", "band", "n", "pages", F.round("mean", 2).alias("y_mean"), F.round(F.sqrt(squares / F.col("n")), 2).alias("y_sd"))
 
 
-def _at_ranks(rows: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+def _at_ranks(counts: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
     """(doc_id, one column for each rank): the values that stand at given places, from 0, of a document's
-    sorted values; a rank may use their number `n`. Equal values are counted before anything is shuffled."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy("doc_id", value).agg(F.count("*").alias("__c"))
+    sorted values, of counts(doc_id, value, c); a rank may use their number `n`."""
+    counts = counts.where(F.col(value).isNotNull()).groupBy("doc_id", value).agg(F.sum("c").alias("__c"))
     of_doc = Window.partitionBy("doc_id")
     up = F.sum("__c").over(of_doc.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("__up")
     placed = counts.select("doc_id", value, "__c", up, F.sum("__c").over(of_doc).alias("n"))
@@ -275,16 +276,19 @@ def _recurring(keyed: DataFrame, pages: DataFrame) -> DataFrame:
     """Recurring keys' bands on enough pages, with `kind`: `header` or `footer` for those that may be
     noise, null for the body's. Documents of fewer than three pages have none."""
     at_share = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
-    facts = keyed.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    facts = facts.join(_at_ranks(keyed, "y0", {"top": at_share(0.05), "bottom": at_share(0.95)}), "doc_id", "left")
-    facts = facts.join(_at_ranks(keyed.where("height > 0"), "height", {"line_height": F.floor(F.col("n") / 2)}), "doc_id", "left")
+    counts = keyed.groupBy("doc_id", "y0", "height").agg(F.count("*").alias("c"))
+    # Tables of documents and pages grow with the input, so none of them is broadcast.
+    facts = counts.groupBy("doc_id").agg(F.sum("c").alias("n_lines")).hint("merge")
+    facts = facts.join(_at_ranks(counts, "y0", {"top": at_share(0.05), "bottom": at_share(0.95)}).hint("merge"), "doc_id", "left")
+    facts = facts.join(_at_ranks(counts.where("height > 0"), "height", {"line_height": F.floor(F.col("n") / 2)}).hint("merge"), "doc_id", "left")
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.min_by("height", "page").alias("page_height"))
-    rec = recurrences(keyed).join(facts, "doc_id").join(sizes, "doc_id").where((F.col("n_pages") >= LEAST_PAGES) & (F.size("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * PAGE_SHARE))))
+    facts = facts.join(sizes.hint("merge"), "doc_id")
+    rec = recurrences(keyed).join(facts.hint("merge"), "doc_id").where((F.col("n_pages") >= LEAST_PAGES) & (F.size("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * PAGE_SHARE))))
     kind = F.when(F.col("y_sd") > MOST_SD, None).when(F.col("y_mean") <= F.col("top"), "header").when(F.col("y_mean") >= F.col("bottom"), "footer")
     rec = shared.saved(rec.withColumn("kind", kind).withColumn("band_width", F.greatest(F.col("y_sd") * 1.5, F.lit(2.0))), "bands")
     # Each page of a band: lines outside it, and the gap to the nearest body line. A page's heights are one row.
     heights = keyed.groupBy("doc_id", "page").agg(F.collect_list("y0").alias("ys"))
-    at = rec.where("kind IS NOT NULL").select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(heights, ["doc_id", "page"])
+    at = rec.where("kind IS NOT NULL").select("doc_id", "key", "band", "kind", "y_mean", "band_width", "line_height", F.explode("pages").alias("page")).join(heights.hint("merge"), ["doc_id", "page"])
     above = F.filter("ys", lambda y: y < F.col("y_mean") - F.col("band_width"))
     below = F.filter("ys", lambda y: y > F.col("y_mean") + F.col("band_width"))
     header = F.col("kind") == "header"
@@ -292,7 +296,7 @@ def _recurring(keyed: DataFrame, pages: DataFrame) -> DataFrame:
     gap = F.when(F.col("header"), F.array_min("in") - F.col("y_mean")).otherwise(F.col("y_mean") - F.array_max("in"))
     page_facts = at.select("doc_id", "key", "band", "line_height", F.size("out").alias("outside"), F.coalesce(gap, F.lit(float("inf"))).alias("gap"))
     good = page_facts.groupBy("doc_id", "key", "band", "line_height").agg((F.avg((F.col("outside") <= 1).cast("double")) >= 0.8).alias("conform"), upper_median("gap").alias("gap")).where(F.col("conform") & (F.col("gap") >= F.coalesce("line_height", F.lit(0.0)) * GAP_LINES))
-    met = rec.join(good.select("doc_id", "key", "band", F.lit(True).alias("__good")), ["doc_id", "key", "band"], "left")
+    met = rec.join(good.select("doc_id", "key", "band", F.lit(True).alias("__good")).hint("merge"), ["doc_id", "key", "band"], "left")
     return met.withColumn("kind", F.when(F.col("__good"), F.col("kind"))).drop("__good")
 
 
@@ -314,11 +318,17 @@ def detect_noise(lines: DataFrame, pages: DataFrame) -> DataFrame:
     passed over. Documents of fewer than three pages have none.
     """
     height = F.col("y1") - F.col("y0")
-    chosen = _within(_recurring(_keyed(lines), pages)).groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind", "y_mean", "y_sd")).alias("__bands"))
-    near = lambda b: F.abs(F.col("y0") - b["y_mean"]) <= F.greatest(b["y_sd"] * 3, F.when(height > 0, height).otherwise(12.0))
-    met = lines.join(chosen, "doc_id", "left").withColumn("__key", F.when(F.col("__bands").isNotNull(), T.line_key(F.col("text"))))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    facts = [F.max(of("header", "y_mean")).alias("__high"), F.min(of("footer", "y_mean")).alias("__low"), (F.max("y_sd") * 3).alias("__sd")]
+    chosen = _within(_recurring(_keyed(lines), pages)).groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind", "y_mean", "y_sd")).alias("__bands"), *facts)
+    slack = F.when(height > 0, height).otherwise(12.0)
+    near = lambda b: F.abs(F.col("y0") - b["y_mean"]) <= F.greatest(b["y_sd"] * 3, slack)
+    # Most lines lie between a page's headers and footers, and no key is made of them.
+    far = F.greatest("__sd", slack)
+    edge = (F.col("y0") <= F.col("__high") + far) | (F.col("y0") >= F.col("__low") - far)
+    met = lines.join(chosen.hint("shuffle_hash"), "doc_id", "left").withColumn("__key", F.when(edge, T.line_key(F.col("text"))))
     hits = F.filter("__bands", lambda b: (b["key"] == F.col("__key")) & near(b))
-    return met.select(*lines.columns, F.array_min(F.transform(hits, lambda b: b["kind"])).alias("noise"))
+    return met.select(*lines.columns, F.when(F.col("__key").isNotNull(), F.array_min(F.transform(hits, lambda b: b["kind"]))).alias("noise"))
 
 
 def recurrence_report(lines: DataFrame, pages: DataFrame) -> DataFrame:

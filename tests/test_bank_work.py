@@ -331,6 +331,24 @@ def test_noise_is_told_without_a_second_join_of_the_lines(spark):
     assert not any("seq#" in x for x in plan.splitlines() if "Join " in x)
 
 
+def test_noise_broadcasts_no_documents_and_pages(spark):
+    rows = []
+    for doc in range(3):
+        for page in range(5):
+            for k, (y, text) in enumerate([(20.0, f"Paper {page}"), *[(100.0 + 40 * k, f"body {'abcde'[page]}{'abcdef'[k]}") for k in range(6)], (800.0, f"{page}")]):
+                rows.append((doc, page, 0, k, 20.0, y, 300.0, y + 10, text, text.split()[0], " ".join(text.split()[1:]), 9.0, False))
+    lines = spark.createDataFrame(rows, layout._LINES)
+    pages = spark.createDataFrame([(d, p, 595.0, 842.0) for d in range(3) for p in range(5)], "doc_id long, page int, width double, height double")
+    keyed = layout._keyed(lines)
+    for found in (layout.detect_noise(lines, pages), layout._recurring(keyed, pages)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(x.doc_id, x.page, x.seq, x.noise) for x in layout.detect_noise(lines, pages).where("noise IS NOT NULL").collect()}
+    assert {x[3] for x in got} == {"header", "footer"} and {x for x in got if x[3] == "header"} == {(d, p, 0, "header") for d in range(3) for p in range(5)}
+    # First lines by column, then height: the second column's higher line is not a page's first.
+    two = spark.createDataFrame([(1, p, c, y, 10.0, "k") for p in range(4) for c, y in ((0, 50.0 + p), (1, 20.0))], "doc_id long, page int, col int, y0 double, height double, key string")
+    assert [tuple(x) for x in layout.recurrences(two).collect()] == [(1, "k", 0, 4, [0, 1, 2, 3], 51.5, 1.12)]
+
+
 def test_warnings_send_no_texts_and_letters(spark):
     lines = paper(spark, [(n, 4) for n in (2, 3, 5)])
     found = layout.segment_warnings(lines)
