@@ -335,8 +335,8 @@ def recurrence_report(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, place, key, n, pages, y_mean, y_sd, kind, verdict) of all recurring bands, numbered by place
     in each document: the most frequent first, equal ones by key. verdict is `noise`, `body`, or `over
     budget` for a band that would have been noise, of which a reader should be warned."""
-    rec = relational.cut(_recurring(_keyed(lines), pages))
-    taken = _within(rec).select("doc_id", "key", "band", F.lit("noise").alias("__taken"))
+    rec = shared.saved(_recurring(_keyed(lines), pages), "recurring")
+    taken = _within(rec).select("doc_id", "key", "band", F.lit("noise").alias("__taken")).hint("merge")
     verdict = F.when(F.col("kind").isNull(), "body").otherwise(F.coalesce("__taken", F.lit("over budget")))
     order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "key", "band")
     met = rec.join(taken, ["doc_id", "key", "band"], "left").withColumns({"verdict": verdict, "place": F.row_number().over(order)})

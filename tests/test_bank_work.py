@@ -340,7 +340,7 @@ def test_noise_broadcasts_no_documents_and_pages(spark):
     lines = spark.createDataFrame(rows, layout._LINES)
     pages = spark.createDataFrame([(d, p, 595.0, 842.0) for d in range(3) for p in range(5)], "doc_id long, page int, width double, height double")
     keyed = layout._keyed(lines)
-    for found in (layout.detect_noise(lines, pages), layout._recurring(keyed, pages)):
+    for found in (layout.detect_noise(lines, pages), layout.recurrence_report(lines, pages), layout._recurring(keyed, pages)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(x.doc_id, x.page, x.seq, x.noise) for x in layout.detect_noise(lines, pages).where("noise IS NOT NULL").collect()}
     assert {x[3] for x in got} == {"header", "footer"} and {x for x in got if x[3] == "header"} == {(d, p, 0, "header") for d in range(3) for p in range(5)}
