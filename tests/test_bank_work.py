@@ -349,6 +349,45 @@ def test_noise_broadcasts_no_documents_and_pages(spark):
     assert [tuple(x) for x in layout.recurrences(two).collect()] == [(1, "k", 0, 4, [0, 1, 2, 3], 51.5, 1.12)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_segments_by_arrays_equal_one_line_after_another(spark, seed):
+    r = random.Random(seed)
+    rows, want = [], []
+    for doc in range(20):
+        bare, k = r.random() < 0.3, 0
+        for number in range(1, r.randint(2, 9)):
+            lines = [(8.0, f"{number}.", r.choice(["Um enunciado com acentuação que basta", "A plain statement that is long enough", "short", ""]))]
+            for _ in range(r.randint(0, 7)):
+                letter = r.choice("ABCDE")
+                lines.append(r.choice([(20.0, letter if bare else f"{letter})", r.choice(["one", "dois é", "", "____ x", "y"])), (20.0, "more", "text"), (20.0, "", "")]))
+            texts = [" ".join(x for x in (a, b) if x) for _, a, b in lines]
+            rest = lambda t: t.replace("____ ", "")
+            marks = [a[0] if a and a[0] in "ABCDE" else None for _, a, _ in lines[1:]]
+            statement, options = layout.split_options(texts[1:], marks, [rest(b) for _, _, b in lines[1:]])
+            want.append((doc, number, " ".join(x for x in (lines[0][2], statement) if x), options))
+            for (x, a, b), text in zip(lines, texts, strict=True):
+                rows.append((doc, k // 10, 0, k, x, 70.0, text, a, b))
+                k += 1
+    r.shuffle(rows)
+    found = layout.segment(spark.createDataFrame(rows, "doc_id long, page int, col int, seq long, x0 double, y0 double, text string, first_fragment string, others string"))
+    got = [(x.doc_id, x.number, x.statement, [tuple(o) for o in x.options]) for x in found.collect()]
+    strict = {d for d in range(20) if sum(x[0] == d and x[7][1:] == ")" for x in rows) >= 5}
+    assert len(strict) > 5 and sorted(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "InPandas" not in plan
+
+
+def test_plain_markers_are_those_of_columns(spark):
+    r = random.Random(5)
+    pieces = ["1", "12", "123", "1234", "o", "O", "Questao", "quest.", "q.", " ", ".", ")", "]", ":", "-", "(", "[", "A", "b", "E", "f", "mg", "", "#"]
+    texts = [x for x in {"".join(r.choice(pieces) for _ in range(r.randint(0, 6))) for _ in range(3000)} if "  " not in x and "---" not in x and "..." not in x]
+    df = spark.createDataFrame([(x,) for x in texts], "a string").select("a", T.number_marker(F.col("a")).alias("number"), T.letter_marker(F.col("a")).alias("letter"), T.strong_number(F.col("a")).alias("strong"))
+    for x in df.collect():
+        for kind in ("number", "letter"):
+            assert (x[kind] and tuple(x[kind])) == T.plain_marker(kind, x.a), (kind, x.a)
+        assert x.strong == bool(x.number and x.number.strong)
+
+
 def test_warnings_send_no_texts_and_letters(spark):
     lines = paper(spark, [(n, 4) for n in (2, 3, 5)])
     found = layout.segment_warnings(lines)
